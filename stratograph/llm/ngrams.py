@@ -1,0 +1,213 @@
+"""Character n-gram models: counted by Spark, estimated by modified Kneser-Ney, stored in sorted hash arrays.
+
+Tokens are characters folded onto one fixed vocabulary of 64 symbols, so a model has at most 64 ** 4 entries for a group however
+large the corpus is. That bound is what allows it to be gathered and broadcast.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import slices
+from .words import _mix_int, mix
+
+ORDER, BITS = 4, 6
+SYMBOLS = 1 << BITS
+#: The characters with a symbol of their own, besides a to z. Symbol 0 is the padding before a text and whatever
+#: has no other; capitals, digits, spaces and all other letters are a symbol each.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_MARKS = ".,;:!?'\"()-/" + "#*$%&|<>"
+_ACCENTED = "äöüßéèêàçñíó"
+
+
+@lru_cache(maxsize=1)
+def _fold_table() -> np.ndarray:
+    own = {c: 1 + i for i, c in enumerate(_LETTERS)}
+    own |= {c: 31 + i for i, c in enumerate(_MARKS)} | {c: 51 + i for i, c in enumerate(_ACCENTED)}
+    table = np.zeros(0x10000, np.uint8)
+    for i in range(0x10000):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if c in own:
+            table[i] = own[c]
+        elif c == "\n":
+            table[i] = 30
+        elif c in "\t\v\f\r" or kind == "Zs":
+            table[i] = 29
+        elif kind in ("Lu", "Lt"):
+            table[i] = 27
+        elif kind[0] == "N":
+            table[i] = 28
+        elif kind[0] in "LM":
+            table[i] = own.get(unicodedata.normalize("NFD", c)[0], 63)
+    return table
+
+
+def codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 4-gram that ends at each character, as a number of 24 bits, and where each text's begin (one more at the end).
+    The first characters of a text follow padding."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = _fold_table()[np.where(points < 0x10000, points, 0xFFFF)].astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    out = symbols.copy()
+    place = np.arange(len(symbols)) - np.repeat(first[:-1], lengths)
+    for back in range(1, ORDER):
+        before = np.zeros_like(symbols)
+        before[back:] = symbols[:-back] if back < len(symbols) else 0
+        before[place < back] = 0
+        out |= before << (BITS * back)
+    return out, first
+
+
+def count_ngrams(docs: DataFrame, group: Column, text: str, among: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """How often each 4-gram occurs in the texts of each group: group, code, n. ``among`` tells which texts of a batch count.
+
+    A task counts its own rows in arrays and hands out one row for a 4-gram; Spark adds those up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            groups = np.array(batch.column(0).to_pylist(), object)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            if among:
+                chosen = np.flatnonzero(among(texts))
+                groups, texts = groups[chosen], [texts[i] for i in chosen]
+            for name in sorted(set(groups.tolist())):
+                own = [texts[i] for i in np.flatnonzero(groups == name)]
+                for a, b in slices(own, 1 << 21):
+                    found, n = np.unique(codes(own[a:b])[0], return_counts=True)
+                    if name in held:
+                        found, at = np.unique(np.concatenate([held[name][0], found]), return_inverse=True)
+                        n = np.bincount(at, np.concatenate([held[name][1], n])).astype(np.int64)
+                    held[name] = found, n
+        for name, (found, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["group", "code", "n"])
+
+    slim = docs.select(group.cast("string").alias("group"), F.col(text).alias("text"))
+    counted = slim.mapInArrow(run, "group string, code int, n long")
+    return counted.groupBy("group", "code").agg(F.sum("n").alias("n"))
+
+
+def _discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts 1 to 4."""
+    of = [np.count_nonzero(n == k) for k in range(5)]
+    if not all(of[1:]):
+        return np.array([0.0, 0.5, 0.75, 0.9])
+    y = of[1] / (of[1] + 2 * of[2])
+    return np.clip([0.0, *(k - (k + 1) * y * of[k + 1] / of[k] for k in (1, 2, 3))], 0.0, [0.0, 0.95, 1.95, 2.95])
+
+
+def _key(group: str, order: int, code: np.ndarray) -> np.ndarray:
+    seed = 0
+    for byte in group.encode():
+        seed = _mix_int(seed ^ byte)
+    return mix(code.astype(np.uint64) ^ np.uint64(_mix_int(seed + order)))
+
+
+class Model:
+    """Modified Kneser-Ney models of several groups. One sorted array of 64-bit hashes of (group, order, n-gram), with
+    parallel arrays: log probability of the n-gram's last symbol after the others, and log weight of its back-off."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        parts = [part for group, (code, n) in sorted(counts.items()) for part in self._estimate(group, code, n)]
+        keys = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.log_p = np.concatenate([p[1] for p in parts] or [np.empty(0, np.float32)])[order]
+        self.log_back = np.concatenate([p[2] for p in parts] or [np.empty(0, np.float32)])[order]
+
+    @staticmethod
+    def _estimate(group: str, code: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        tables = {ORDER: (code, n)}
+        for order in range(ORDER - 1, 0, -1):  # continuation counts: different symbols before
+            tables[order] = np.unique(tables[order + 1][0] & (1 << BITS * order) - 1, return_counts=True)
+        below_code, below_p = np.zeros(1, np.int64), np.full(1, 1 / SYMBOLS)
+        out: dict[int, list[np.ndarray]] = {}
+        for order in range(1, ORDER + 1):
+            code, n = tables[order]
+            discount = _discounts(n)[np.minimum(n, 3)]
+            context, at = np.unique(code >> BITS, return_inverse=True)
+            total = np.bincount(at, n)
+            weight = np.bincount(at, discount) / total
+            shorter = below_p[np.searchsorted(below_code, code & (1 << BITS * (order - 1)) - 1)] if order > 1 else below_p[0]
+            p = (n - discount) / total[at] + weight[at] * shorter
+            out[order] = [code, np.log(p).astype(np.float32), np.zeros(len(code), np.float32)]
+            if order > 1:  # the weight belongs to the context, an n-gram one shorter
+                seen, place = np.isin(context, out[order - 1][0]), np.searchsorted(out[order - 1][0], context)
+                out[order - 1][2][place[seen]] = np.log(weight[seen])
+                # contexts that begin with padding never end an n-gram: they get entries of their own
+                extra = context[~seen]
+                merged = np.concatenate([out[order - 1][0], extra])
+                sort = np.argsort(merged)
+                out[order - 1] = [
+                    merged[sort],
+                    np.concatenate([out[order - 1][1], np.full(len(extra), np.nan, np.float32)])[sort],
+                    np.concatenate([out[order - 1][2], np.log(weight[~seen]).astype(np.float32)])[sort],
+                ]
+            below_code, below_p = code, p
+        return [(_key(group, order, x[0]), x[1], x[2]) for order, x in out.items()]
+
+    def _find(self, group: str, order: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = _key(group, order, code)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, (self.keys[at] == keys) if len(self.keys) else np.zeros(len(code), bool)
+
+    def log_probability(self, group: str, code: np.ndarray) -> np.ndarray:
+        """Of each 4-gram's last symbol after the other three; unseen n-grams back off to shorter ones."""
+        out = np.full(len(code), -np.log(SYMBOLS), np.float64)
+        back = np.zeros(len(code))
+        open_ = np.arange(len(code))
+        for order in range(ORDER, 0, -1):
+            part = code[open_] & (1 << BITS * order) - 1
+            at, hit = self._find(group, order, part)
+            if len(self.keys):
+                hit &= ~np.isnan(self.log_p[at])
+                out[open_[hit]] = self.log_p[at[hit]] + back[open_[hit]]
+            open_ = open_[~hit]
+            if order > 1 and len(open_):
+                at, hit = self._find(group, order - 1, (code[open_] & (1 << BITS * order) - 1) >> BITS)
+                back[open_[hit]] += self.log_back[at[hit]]
+        out[open_] += back[open_]
+        return out
+
+    def losses(self, groups: Sequence[str], texts: Sequence[str]) -> np.ndarray:
+        """For each text, the sum over its characters of minus log probability, a column for each of ``groups``."""
+        out = np.zeros((len(texts), len(groups)))
+        for a, b in slices(texts, 1 << 21):
+            code, first = codes(texts[a:b])
+            seen = np.unique(code)
+            full = np.flatnonzero(np.diff(first))
+            for k, group in enumerate(groups):
+                table = _scratch()
+                table[seen] = -self.log_probability(group, seen.astype(np.int64))
+                if len(full):
+                    out[a + full, k] = np.add.reduceat(table[code], first[:-1][full], dtype=np.float64)
+        return out
+
+
+@lru_cache(maxsize=1)
+def _scratch() -> np.ndarray:
+    """Room for a value by 4-gram, used again for every batch; only the places just written are read."""
+    return np.empty(1 << BITS * ORDER, np.float32)
+
+
+def gather(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Counts by group, codes ascending, in the driver: at most 64 ** 4 rows a group."""
+    table = counts.toArrow()
+    groups = np.array(table.column("group").to_pylist(), object)
+    code, n = table.column("code").to_numpy().astype(np.int64), table.column("n").to_numpy()
+    out = {}
+    for group in sorted(set(groups.tolist())):
+        own = np.flatnonzero(groups == group)
+        own = own[np.argsort(code[own])]
+        out[group] = code[own], n[own]
+    return out
