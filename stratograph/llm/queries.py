@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing, quality, sharding, toxicity
+from . import bpe, lm_score, near_dedup, packing, privacy, quality, sharding, toxicity, urlfilter
 from .common import read
 
+#: The key of pseudonyms in the registered queries; a deployment passes its own secret to ``privacy.pseudonymize``.
+PSEUDONYM_KEY = "registered-queries"
+
 
 def vocabulary() -> str:
     """Path of the public byte-level BPE vocabulary on this machine; executors find it at the same path."""
@@ -31,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("piece", F.col("piece").cast("int"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what is labelled of good quality; the background is every document."""
+    docs = lm_score.with_label(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id", "quality", "text")
+    return lm_score.cross_entropy_difference(docs, F.col("_label") == 1)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=5, percent=75)
 
@@ -39,6 +48,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pseudonymize(read(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_pages(read(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -47,8 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_near_dedup": op5_near_dedup,
     "op6_bpe": op6_bpe,
+    "op8_pii": op8_pii,
+    "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": urlfilter.ORACLE_SQL}
