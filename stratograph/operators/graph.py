@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -28,8 +28,12 @@ def registry(classes: DataFrame) -> DataFrame:
 def type_references(classes: DataFrame) -> DataFrame:
     """Explode field_types, constructor_types and parameter_types: project_id, file_seq, ref_seq, ref_kind, raw_type."""
     kinds = (("FIELD", "field_types"), ("CONSTRUCTOR", "constructor_types"), ("METHOD_PARAMETER", "parameter_types"))
-    tagged = [F.transform(F.col(c), lambda t, k=k: F.struct(F.lit(k).alias("ref_kind"), t.alias("raw_type"))) for k, c in kinds]
-    rows = classes.select("project_id", "file_seq", F.posexplode(F.concat(*tagged)).alias("ref_seq", "r"))
+
+    def tagged(kind: str, types: str) -> Column:
+        return F.transform(types, lambda t: F.struct(F.lit(kind).alias("ref_kind"), t.alias("raw_type")))
+
+    every = F.concat(*(tagged(kind, types) for kind, types in kinds))
+    rows = classes.select("project_id", "file_seq", F.posexplode(every).alias("ref_seq", "r"))
     return rows.select("project_id", "file_seq", F.col("ref_seq").cast("long").alias("ref_seq"), "r.*")
 
 

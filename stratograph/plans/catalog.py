@@ -1,11 +1,482 @@
-"""Registered queries of the code-architecture engine and the SQL that each is checked against."""
+"""Registered queries of the architecture engine, named by operator, and the SQL that each is checked against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expressions as E
+from ..functions import fixed
+from ..operators import analysis, graph, modules, render
+from ..sources import archives, java
+from . import codebase
 
 FLAGSHIP = "arc2_violations"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# ---- the same steps in the checking engine's SQL
+
+
+def _case(rows, test: str, column: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test.format(c=column, x=name)} THEN '{role}'" for name, role in rows) + " END"
+
+
+_ROLES = {
+    "by_annotation": _case(fixed.ANNOTATION_ROLES, "list_contains(string_split({c}, ','), '{x}')", "annotations"),
+    "by_superclass": _case(fixed.SUPERCLASS_ROLES.items(), "{c} = '{x}'", "super_class"),
+    "by_interface": _case(fixed.INTERFACE_ROLES, "list_contains(string_split({c}, ','), '{x}')", "interfaces"),
+    "by_name": "CASE WHEN is_interface = 1 THEN (CASE WHEN class_name LIKE '%Repository' THEN 'REPOSITORY' END) ELSE " + _case(fixed.SUFFIX_ROLES, "{c} LIKE '%{x}'", "class_name") + " END",
+    "by_package": _case(fixed.PACKAGE_ROLES.items(), "list_last(string_split(lower({c}), '.')) = '{x}'", "package_name"),
+}
+_NORMALIZED = """CASE WHEN raw_type IS NULL THEN '' WHEN contains(t, '? extends') THEN
+  CASE WHEN strpos(t, '>') > 0 AND strpos(t, 'extends') + 8 <= strpos(t, '>') THEN trim(substr(t, strpos(t, 'extends') + 8, strpos(t, '>') - strpos(t, 'extends') - 8)) END
+  WHEN contains(t, '<') AND contains(t, '>') THEN trim(list_last(string_split(regexp_extract(t, '<(.*)>', 1), ',')))
+  ELSE list_last(string_split(t, '.')) END"""
+_LIST = lambda names: ", ".join(f"'{n}'" for n in names)
+_IGNORED = f"(n IS NULL OR trim(n) = '' OR regexp_matches(n, '^[A-Z]$') OR n LIKE '%[]' OR n IN ({_LIST(fixed.PRIMITIVES + fixed.IGNORED_TYPES)}))"
+_FOLDER = "coalesce(" + _case(fixed.ROLE_FOLDERS.items(), "{c} = '{x}'", "component_type") + ", 'COMMON')"
+_FOLDER_NAME = _case(fixed.FOLDER_NAMES.items(), "{c} = '{x}'", "folder_type")
+_RULES = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}', {str(ok).lower()})" for i, (a, b, ok) in enumerate(fixed.LAYER_RULES, 1)) + ") r(rule_seq, source, target, allowed)"
+_ORDINAL = _case([(n, i) for i, n in enumerate(fixed.COMPONENT_TYPES)], "{c} = '{x}'", "component_type").replace("THEN '", "THEN ").replace("' WHEN", " WHEN").replace("' END", " END")
+_GRAPH = f"""
+classes AS (SELECT *, CASE WHEN class_name IS NULL THEN 'UNKNOWN' ELSE coalesce({", ".join(_ROLES.values())}, 'UNKNOWN') END AS component_type FROM raw_classes),
+""" + f"""
+normalized AS (SELECT *, {_NORMALIZED} AS n FROM (SELECT *, trim(raw_type) AS t FROM refs)),
+registry AS (SELECT project_id, class_name, max_by(package_name, file_seq) AS package_name, max_by(component_type, file_seq) AS component_type FROM classes GROUP BY ALL),
+resolved AS (SELECT x.project_id, x.file_seq, x.ref_seq, x.ref_kind, c.class_name AS src, c.package_name AS src_package, c.component_type AS src_type, n AS dst,
+  g.package_name AS dst_package, g.component_type AS dst_type
+  FROM normalized x JOIN classes c ON x.project_id = c.project_id AND x.file_seq = c.file_seq LEFT JOIN registry g ON g.project_id = x.project_id AND g.class_name = n WHERE NOT {_IGNORED}),
+edges AS (SELECT project_id, src, dst, ref_kind AS dependency_type, file_seq, ref_seq, src_package, src_type, dst_package, dst_type FROM resolved WHERE src IS DISTINCT FROM dst
+  QUALIFY row_number() OVER (PARTITION BY project_id, src, dst, ref_kind ORDER BY file_seq, ref_seq) = 1),
+nodes AS (SELECT * FROM (SELECT project_id, class_name, file_seq, -1 AS ref_seq, package_name, component_type FROM classes WHERE class_name IS NOT NULL
+  UNION ALL SELECT project_id, dst, file_seq, ref_seq, dst_package, dst_type FROM resolved)
+  QUALIFY row_number() OVER (PARTITION BY project_id, class_name ORDER BY file_seq, ref_seq) = 1)
+"""
+_SHOP = f"WITH sales AS ({codebase.duckdb_sql(codebase.SALES)}), raw_classes AS ({codebase.duckdb_sql(codebase.CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.REFERENCES)}), {_GRAPH} "
+_SPARSE = (
+    f"WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.SPARSE_REFERENCES)}), "
+    + _GRAPH.partition("FROM raw_classes),")[2]
+    + """,
+links AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+reach AS (SELECT class_name AS start, class_name AS member FROM nodes UNION SELECT start, b FROM reach JOIN links ON member = a),
+labels AS (SELECT start AS class_name, min(member) AS label FROM reach GROUP BY 1),
+members AS (SELECT n.project_id, m.class_name AS module_name, n.class_name, n.component_type, n.package_name FROM nodes m JOIN reach ON start = m.class_name JOIN nodes n ON n.class_name = member
+  WHERE m.component_type = 'CONTROLLER'),
+ends AS (SELECT min(string_split(package_name, '.')) AS a, max(string_split(package_name, '.')) AS b FROM members),
+base AS (SELECT coalesce(array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[1:i] = b[1:i]), lambda i: a[i]), '.'), '') AS base_package FROM ends)
+"""
+)
+
+
+def _shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Classes and resolved references of the derived shop."""
+    classes = codebase.classes(spark, sf_dir)
+    return classes, graph.resolved(classes, codebase.references(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(_shop(spark, sf_dir)[1])
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes(*_shop(spark, sf_dir))
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    classes, refs = codebase.sparse(spark, sf_dir)
+    found = graph.resolved(classes, refs)
+    return graph.nodes(classes, found), graph.edges(found)
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.discover(*_sparse(spark, sf_dir))
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return register
+
+
+# ---- roles of classes
+
+_TOLD = {
+    "cls1_annotation": (E.role_by_annotation, ["annotations"], "by_annotation"),
+    "cls2_superclass": (E.role_by_superclass, ["super_class"], "by_superclass"),
+    "cls3_interface": (E.role_by_interface, ["interfaces"], "by_interface"),
+    "cls4_name_suffix": (E.role_by_name, ["class_name", "is_interface"], "by_name"),
+    "cls5_package": (E.role_by_package, ["package_name"], "by_package"),
+}
+for _name, (_rule, _columns, _sql) in _TOLD.items():
+
+    @query(_name, _SHOP + f"SELECT project_id, file_seq, {_ROLES[_sql]} AS role FROM classes WHERE class_name IS NOT NULL")
+    def _by_rule(spark: SparkSession, sf_dir: str, rule=_rule, columns=_columns) -> DataFrame:
+        rows = codebase.unclassified(spark, sf_dir).filter("class_name IS NOT NULL")
+        return rows.select("project_id", "file_seq", rule(*map(F.col, columns)).alias("role"))
+
+
+@query("cls0_component_type", _SHOP + "SELECT project_id, file_seq, class_name, component_type FROM classes")
+def cls0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebase.classes(spark, sf_dir).select("project_id", "file_seq", "class_name", "component_type")
+
+
+# ---- type references
+
+
+@query("str1_normalize_type", _SHOP + "SELECT project_id, file_seq, ref_seq, raw_type, n AS normalized FROM normalized")
+def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebase.references(spark, sf_dir).select("project_id", "file_seq", "ref_seq", "raw_type", E.normalize_type(F.col("raw_type")).alias("normalized"))
+
+
+@query("flt1_ignored_types", _SHOP + f"SELECT project_id, n AS name, count(*) AS refs FROM normalized WHERE {_IGNORED} GROUP BY ALL")
+def flt1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = codebase.references(spark, sf_dir).select("project_id", E.normalize_type(F.col("raw_type")).alias("name"))
+    return named.filter(E.is_ignored(F.col("name"))).groupBy("project_id", "name").agg(F.count(F.lit(1)).alias("refs"))
+
+
+@query("flt2_primitives", _SHOP + f"SELECT project_id, file_seq, ref_seq, n AS name FROM normalized WHERE n IN ({_LIST(fixed.PRIMITIVES)})")
+def flt2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = codebase.references(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.normalize_type(F.col("raw_type")).alias("name"))
+    return named.filter(E.is_primitive(F.col("name")))
+
+
+@query("flt3_stop_list", _SHOP + f"SELECT project_id, file_seq, ref_seq, n AS name FROM normalized WHERE n IN ({_LIST(fixed.IGNORED_TYPES)})")
+def flt3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = codebase.references(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.normalize_type(F.col("raw_type")).alias("name"))
+    return named.filter(E.is_stop_listed(F.col("name")))
+
+
+@query("flt4_node_guard", _SHOP + "SELECT count(*) AS files, count(class_name) AS with_class FROM classes")
+def flt4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = F.col("class_name").isNotNull() & ~E.is_blank(F.col("class_name"))
+    return codebase.classes(spark, sf_dir).agg(F.count(F.lit(1)).alias("files"), F.count_if(good).alias("with_class"))
+
+
+@query("flt5_self_loops", _SHOP + "SELECT project_id, file_seq, src FROM resolved WHERE src = dst")
+def flt5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shop(spark, sf_dir)[1].filter(F.col("src").eqNullSafe(F.col("dst"))).select("project_id", "file_seq", "src")
+
+
+@query("q6_type_errors", _SHOP + "SELECT project_id, 'JavaParsing' AS kind, 400 AS http_status, 'cannot normalize type ' || raw_type AS message FROM normalized WHERE n IS NULL")
+def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.type_errors(codebase.references(spark, sf_dir))
+
+
+# ---- the graph
+
+
+@query("agg8_registry", _SHOP + "SELECT project_id, class_name, package_name, component_type FROM registry")
+def agg8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.registry(codebase.classes(spark, sf_dir))
+
+
+@query("lkp1_resolve", _SHOP + "SELECT project_id, file_seq, ref_seq, ref_kind, src, dst, dst_package, dst_type FROM resolved")
+def lkp1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shop(spark, sf_dir)[1].select("project_id", "file_seq", "ref_seq", "ref_kind", "src", "dst", "dst_package", "dst_type")
+
+
+@query("lkp2_internal_refs", _SHOP + "SELECT project_id, file_seq, ref_seq, n AS name FROM normalized x WHERE EXISTS (SELECT 1 FROM registry g WHERE g.project_id = x.project_id AND g.class_name = x.n)")
+def lkp2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = codebase.references(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.normalize_type(F.col("raw_type")).alias("name"))
+    known = graph.registry(codebase.classes(spark, sf_dir)).select("project_id", F.col("class_name").alias("name"))
+    return named.join(known, ["project_id", "name"], "left_semi").select("project_id", "file_seq", "ref_seq", "name")
+
+
+@query("set1_nodes", _SHOP + "SELECT project_id, class_name, package_name, component_type, file_seq, CAST(ref_seq AS BIGINT) AS ref_seq FROM nodes")
+def set1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir).select("project_id", "class_name", "package_name", "component_type", "file_seq", "ref_seq")
+
+
+@query("set2_edges", _SHOP + "SELECT project_id, src, dst, dependency_type, file_seq, ref_seq, src_type, dst_type FROM edges")
+def set2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).select("project_id", "src", "dst", "dependency_type", "file_seq", "ref_seq", "src_type", "dst_type")
+
+
+@query("set3_module_members", _SPARSE + "SELECT DISTINCT project_id, module_name, class_name FROM members")
+def set3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modules(spark, sf_dir).select("project_id", "module_name", "class_name").dropDuplicates()
+
+
+@query("gb2_external_nodes", _SHOP + "SELECT project_id, class_name FROM nodes WHERE component_type IS NULL")
+def gb2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir).filter("component_type IS NULL").select("project_id", "class_name")
+
+
+@query("q1_no_class_edges", _SHOP + "SELECT project_id, dst, dependency_type FROM edges WHERE src IS NULL")
+def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).filter("src IS NULL").select("project_id", "dst", "dependency_type")
+
+
+@query("jadj_adjacency", _SHOP + "SELECT project_id, src, string_agg(dst, ',' ORDER BY file_seq, ref_seq) AS targets FROM edges WHERE src IS NOT NULL GROUP BY ALL")
+def jadj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.adjacency(_edges(spark, sf_dir).filter("src IS NOT NULL")).select("project_id", "src", F.array_join("targets", ",").alias("targets"))
+
+
+@query("agg5_graph_size", _SHOP + "SELECT project_id, count(*) AS n_nodes, (SELECT count(*) FROM edges e WHERE e.project_id = n.project_id) AS n_edges FROM nodes n GROUP BY project_id")
+def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, found = _shop(spark, sf_dir)
+    n = graph.nodes(classes, found).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return n.join(graph.edges(found).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_edges")), "project_id", "left").fillna(0)
+
+
+@query("dead3_outgoing", _SHOP + "SELECT project_id, src, dst, dependency_type FROM edges WHERE src = 'Customer1Controller'")
+def dead3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.outgoing(_edges(spark, sf_dir), "Customer1Controller").select("project_id", "src", "dst", "dependency_type")
+
+
+@query("dead4_incoming", _SHOP + "SELECT project_id, src, dst, dependency_type FROM edges WHERE dst = 'Nation3Dto'")
+def dead4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.incoming(_edges(spark, sf_dir), "Nation3Dto").select("project_id", "src", "dst", "dependency_type")
+
+
+@query("dead5_find_node", _SHOP + "SELECT project_id, class_name, package_name, component_type FROM nodes WHERE class_name = 'Supplier5Entity'")
+def dead5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node_named(_nodes(spark, sf_dir), "Supplier5Entity").select("project_id", "class_name", "package_name", "component_type")
+
+
+@query("str3_edge_lines", _SHOP + "SELECT project_id, file_seq, ref_seq, coalesce(src, 'null') || ' --(' || dependency_type || ')--> ' || dst AS line FROM edges")
+def str3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.edge_line(F.col("src"), F.col("dependency_type"), F.col("dst")).alias("line"))
+
+
+@query("str4_node_lines", _SHOP + "SELECT project_id, class_name || ' (' || coalesce(component_type, 'null') || ')' AS line FROM nodes")
+def str4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir).select("project_id", E.node_line(F.col("class_name"), F.col("component_type")).alias("line"))
+
+
+_LINES = "string_agg(coalesce(src, 'null') || ' --(' || dependency_type || ')--> ' || dst, chr(10) ORDER BY file_seq, ref_seq)"
+
+
+@query("str5_graph_text", _SHOP + f"SELECT n.project_id, 'Dependency Graph' || chr(10) || 'Nodes : ' || n.c || chr(10) || 'Edges : ' || e.c || chr(10) || e.l AS report FROM (SELECT project_id, count(*) c FROM nodes GROUP BY 1) n JOIN (SELECT project_id, count(*) c, {_LINES} l FROM edges GROUP BY 1) e ON n.project_id = e.project_id")
+def str5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, found = _shop(spark, sf_dir)
+    return render.graph_text(graph.nodes(classes, found), graph.edges(found))
+
+
+@query("dead1_plantuml", _SPARSE + "SELECT project_id, '@startuml' || chr(10) || chr(10) || string_agg(src || ' --> ' || dst, chr(10) ORDER BY file_seq, ref_seq) || chr(10) || chr(10) || '@enduml' AS plantuml FROM edges GROUP BY 1")
+def dead1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.plantuml(_sparse(spark, sf_dir)[1])
+
+
+# ---- analysis
+
+
+@query("jrl_edge_verdicts", _SHOP + f"SELECT project_id, file_seq, ref_seq, coalesce(r.allowed, true) AS allowed FROM edges LEFT JOIN {_RULES} ON src_type = r.source AND dst_type = r.target WHERE src_type IS NOT NULL AND dst_type IS NOT NULL")
+def jrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.edge_verdicts(_edges(spark, sf_dir)).select("project_id", "file_seq", "ref_seq", "allowed")
+
+
+_VIOLATIONS = f"SELECT project_id, file_seq, ref_seq, src_type || ' ''' || coalesce(src, 'null') || ''' must not depend on ' || dst_type || ' ''' || dst || '''' AS message FROM edges JOIN {_RULES} ON src_type = r.source AND dst_type = r.target WHERE NOT r.allowed"
+
+
+@query("arc2_violations", _SHOP + _VIOLATIONS)
+def arc2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.violations(_edges(spark, sf_dir)).select("project_id", "file_seq", "ref_seq", "message")
+
+
+@query("arc3_rules", _SHOP + f"SELECT r.rule_seq, r.source, r.target, r.allowed, count(e.dst) AS edges FROM {_RULES} LEFT JOIN edges e ON e.src_type = r.source AND e.dst_type = r.target GROUP BY ALL")
+def arc3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _edges(spark, sf_dir).groupBy(F.col("src_type").alias("source"), F.col("dst_type").alias("target")).agg(F.count(F.lit(1)).alias("edges"))
+    return analysis.layer_rules(spark).join(counts, ["source", "target"], "left").fillna(0, ["edges"]).select("rule_seq", "source", "target", "allowed", "edges")
+
+
+@query("agg1_component_summary", _SHOP + f"SELECT project_id, component_type, count(*) AS n, {_ORDINAL} AS ordinal FROM classes GROUP BY ALL")
+def agg1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.component_summary(codebase.classes(spark, sf_dir)).select("project_id", "component_type", "n", "ordinal")
+
+
+_LAYERS = ", ".join(f"count(*) FILTER (component_type = '{t}') AS {t.lower()}" for t in fixed.COUNTED_LAYERS)
+
+
+@query("agg2_layer_counts", _SHOP + f"SELECT project_id, {_LAYERS} FROM nodes GROUP BY project_id")
+def agg2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.layer_counts(_nodes(spark, sf_dir))
+
+
+@query("arc1_architecture", _SHOP + f"SELECT n.*, e.dependencies, coalesce(v.violations, 0) AS violations FROM (SELECT project_id, {_LAYERS} FROM nodes GROUP BY project_id) n JOIN (SELECT project_id, count(*) AS dependencies FROM edges GROUP BY 1) e ON e.project_id = n.project_id LEFT JOIN (SELECT project_id, count(*) AS violations FROM ({_VIOLATIONS}) GROUP BY 1) v ON v.project_id = n.project_id")
+def arc1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, found = _shop(spark, sf_dir)
+    return analysis.architecture_report(graph.nodes(classes, found), graph.edges(found))
+
+
+@query("snk2_summary_text", _SHOP + f"SELECT project_id, string_agg(rpad(component_type, 20, ' ') || ' : ' || n, chr(10) ORDER BY ordinal) AS report FROM (SELECT project_id, component_type, count(*) AS n, {_ORDINAL} AS ordinal FROM classes GROUP BY ALL) GROUP BY 1")
+def snk2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.summary_text(analysis.component_summary(codebase.classes(spark, sf_dir)))
+
+
+# ---- traversal, modules, mappings
+
+
+@query("dead8_components", _SPARSE + "SELECT n.project_id, n.class_name, label FROM nodes n JOIN labels l ON l.class_name = n.class_name")
+def dead8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = _sparse(spark, sf_dir)
+    return graph.components(e, n).select("project_id", "class_name", "label")
+
+
+@query("grf1_reachability", _SPARSE + "SELECT DISTINCT project_id, module_name AS start, class_name FROM members")
+def grf1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.traversal(*_sparse(spark, sf_dir)).select("project_id", "start", "class_name")
+
+
+@query("grf2_cycles", f"""WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.CYCLE_REFERENCES)}), {_GRAPH.partition("FROM raw_classes),")[2]},
+walk AS (SELECT src AS start, src AS here, [src] AS path, 0 AS closed FROM edges UNION ALL
+  SELECT start, e.dst, list_append(path, e.dst), CASE WHEN e.dst = start THEN 1 ELSE 0 END FROM walk JOIN edges e ON e.src = here WHERE closed = 0 AND (e.dst = start OR NOT list_contains(path, e.dst)))
+SELECT 'S' AS project_id, array_to_string(path, ' > ') AS cycle FROM walk WHERE closed = 1 AND start = list_aggregate(path, 'min')""")
+def grf2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles, each turned so that its least member comes first."""
+    classes, _ = codebase.sparse(spark, sf_dir)
+    found = graph.resolved(classes, codebase.derive(spark, sf_dir, codebase.CYCLE_REFERENCES))
+    ring = graph.cycles(graph.nodes(classes, found), graph.edges(found)).withColumn("ring", F.slice("path", 1, F.size("path") - 1))
+    at = F.array_position("ring", F.array_min("ring")).cast("int")
+    turned = F.concat(F.slice("ring", at, F.size("ring")), F.slice("ring", F.lit(1), at - 1), F.array(F.array_min("ring")))
+    return ring.select("project_id", F.array_join(turned, " > ").alias("cycle"))
+
+
+@query("agg9_cycle_count")
+def agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grf2(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("cycles"))
+
+
+@query("grf3_modules", _SPARSE + "SELECT DISTINCT * FROM members")
+def grf3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modules(spark, sf_dir)
+
+
+@query("agg7_module_counts", _SPARSE + "SELECT project_id, module_name, count(DISTINCT class_name) AS classes FROM members GROUP BY ALL")
+def agg7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.module_counts(_modules(spark, sf_dir))
+
+
+@query("dead6_module_lookup", _SPARSE + "SELECT project_id, module_name, class_name FROM members WHERE module_name = 'Supplier10'")
+def dead6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modules(spark, sf_dir).filter("module_name = 'Supplier10'").select("project_id", "module_name", "class_name")
+
+
+@query("agg6_layout", _SPARSE + f"SELECT project_id, module_name, {_FOLDER} AS folder_type, string_agg(class_name, ',' ORDER BY class_name) AS classes FROM (SELECT DISTINCT * FROM members) GROUP BY ALL")
+def agg6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.layout(_modules(spark, sf_dir)).withColumn("classes", F.array_join("classes", ","))
+
+
+@query("agg3_base_package", _SPARSE + "SELECT 'S' AS project_id, base_package FROM base")
+def agg3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.base_package(_modules(spark, sf_dir))
+
+
+@query("agg4_packages", _SPARSE + "SELECT DISTINCT project_id, package_name FROM members")
+def agg4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modules(spark, sf_dir).filter(~E.is_blank(F.col("package_name"))).select("project_id", "package_name").distinct()
+
+
+_MAPPED = f"""SELECT project_id, class_name, module_name, folder_type, package_name AS source_package, base_package, target_package,
+  'src/main/java/' || replace(target_package, '.', '/') || '/' || class_name || '.java' AS target_file
+FROM (SELECT *, CASE WHEN base_package = '' THEN '' ELSE base_package || '.' END || lower(module_name) || '.' || {_FOLDER_NAME} AS target_package
+  FROM (SELECT *, {_FOLDER} AS folder_type FROM (SELECT DISTINCT * FROM members), base))"""
+
+
+@query("map1_mappings", _SPARSE + _MAPPED)
+def map1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.mappings(_modules(spark, sf_dir))
+
+
+@query("fol1_folders", _SHOP + f"SELECT component_type, {_FOLDER} AS folder_type, count(*) AS n FROM nodes GROUP BY ALL")
+def fol1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nodes(spark, sf_dir).select("component_type", E.folder_type(F.col("component_type")).alias("folder_type"))
+    return rows.groupBy("component_type", "folder_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HEURISTIC = "class_name"
+for _part in fixed.NAME_PARTS:
+    _HEURISTIC = f"replace({_HEURISTIC}, '{_part}', '')"
+
+
+@query("dead2_naming", _SHOP + f"SELECT project_id, file_seq, CASE WHEN class_name IS NULL OR trim({_HEURISTIC}) = '' THEN 'common' ELSE lower({_HEURISTIC}) END AS module FROM classes")
+def dead2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebase.classes(spark, sf_dir).select("project_id", "file_seq", E.naming_heuristic(F.col("class_name")).alias("module"))
+
+
+# ---- archives and Java sources
+
+_SUPPLIER_PROJECT = "'PROJECT-' || upper(substr(sha256('/in/nation' || s_nationkey || '.zip'), 1, 8))"
+_ARCHIVE = "CASE o_orderkey % 7 WHEN 0 THEN 'a.ZIP' WHEN 1 THEN 'b.tar' WHEN 2 THEN '  ' ELSE 'p' || CAST(o_orderkey AS STRING) || '.zip' END"
+_SIZE = "CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 524288001 ELSE 1000 + o_orderkey END"
+
+
+@query("src2_archive_checks", f"SELECT o_orderkey, CASE WHEN s = 0 THEN 'File is empty' WHEN trim(a) = '' THEN 'File name is missing' WHEN NOT lower(trim(a)) LIKE '%.zip' THEN 'Only ZIP files are supported' WHEN s > 524288000 THEN 'File is larger than 500 MB' END AS reject_reason FROM (SELECT o_orderkey, {_ARCHIVE} AS a, {_SIZE} AS s FROM orders)")
+def src2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = codebase.tables(spark, sf_dir)["orders"].select("o_orderkey", F.expr(_ARCHIVE).alias("a"), F.expr(_SIZE).alias("s"))
+    return named.select("o_orderkey", archives.reject_reason(F.col("a"), F.col("s")).alias("reject_reason"))
+
+
+@query("src10_project_ids", f"SELECT DISTINCT s_nationkey, {_SUPPLIER_PROJECT} AS project_id FROM supplier")
+def src10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/in/nation"), "s_nationkey", F.lit(".zip"))
+    return codebase.tables(spark, sf_dir)["supplier"].select("s_nationkey", archives.project_id(path).alias("project_id")).distinct()
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.explode_entries(archives.admitted(codebase.java_archives(spark, sf_dir)))
+
+
+@query("src6_zip_entries", f"SELECT {_SUPPLIER_PROJECT} AS project_id, 'app/src/main/java/com/mart/n' || s_nationkey || '/Supplier' || s_suppkey || '.java' AS path FROM supplier UNION ALL SELECT DISTINCT {_SUPPLIER_PROJECT}, p FROM supplier, (VALUES ('app/pom.xml'), ('app/sub/pom.xml'), ('app/src/test/java/ATest.java')) v(p)")
+def src6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir).select("project_id", "path")
+
+
+@query("src7_project_roots", f"SELECT DISTINCT {_SUPPLIER_PROJECT} AS project_id, 'app' AS root FROM supplier")
+def src7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.project_roots(_entries(spark, sf_dir))
+
+
+_FILES = f"SELECT {_SUPPLIER_PROJECT} AS project_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY lower('Supplier' || s_suppkey || '.java')) AS file_seq, * FROM supplier"
+
+
+@query("src8_java_sources", f"SELECT project_id, file_seq, 'app/src/main/java/com/mart/n' || s_nationkey || '/Supplier' || s_suppkey || '.java' AS path FROM ({_FILES})")
+def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.java_sources(_entries(spark, sf_dir)).select("project_id", "file_seq", "path")
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java.parsed(java.extract(archives.java_sources(_entries(spark, sf_dir))))
+
+
+@query("prj_class_metadata", f"SELECT project_id, file_seq, 'Supplier' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN 'Controller' ELSE '' END AS class_name, 'com.mart.n' || s_nationkey AS package_name, false AS is_interface, 'Base' AS super_class, 'Named' AS interfaces, CASE WHEN s_suppkey % 2 = 0 THEN 'Service' ELSE 'Component' END AS annotations, 'run' AS methods FROM ({_FILES})")
+def prj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = [F.array_join(c, ",").alias(c) for c in ("interfaces", "annotations", "methods")]
+    return _extracted(spark, sf_dir).select("project_id", "file_seq", "class_name", "package_name", "is_interface", "super_class", *joined)
+
+
+@query("ext_type_references", f"""SELECT project_id, file_seq, unnest(range(0, 6)) AS ref_seq, unnest(['FIELD', 'FIELD', 'FIELD', 'CONSTRUCTOR', 'CONSTRUCTOR', 'METHOD_PARAMETER']) AS ref_kind,
+  unnest(['List<Nation' || s_nationkey || '>', 'List<Nation' || s_nationkey || '>[]', 'Extra' || (s_suppkey % 7), 'Map<String, Region' || s_nationkey || '>', 'int', 'Order' || s_suppkey]) AS raw_type FROM ({_FILES})""")
+def ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.type_references(_extracted(spark, sf_dir))
+
+
+@query("map3_archives_to_mappings")
+def map3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All the way from archives to mappings."""
+    classes = analysis.classify(_extracted(spark, sf_dir))
+    found = graph.resolved(classes, graph.type_references(classes))
+    return modules.mappings(modules.discover(graph.nodes(classes, found), graph.edges(found)))
+
+
+@query("snk1_responses", f"SELECT project_id, '{{\"success\":true,\"message\":\"Project uploaded successfully.\",\"data\":{{\"projectId\":\"' || project_id || '\",\"projectName\":\"nation' || s_nationkey || '.zip\",\"fileSize\":' || 1000 || ',\"status\":\"UPLOADED\"}}}}' AS response FROM (SELECT DISTINCT s_nationkey, {_SUPPLIER_PROJECT} AS project_id FROM supplier)")
+def snk1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/in/nation"), "s_nationkey", F.lit(".zip"))
+    found = codebase.tables(spark, sf_dir)["supplier"].select(path.alias("path"), F.lit(1000).cast("long").alias("length")).distinct()
+    return render.upload_response(archives.admitted(found).withColumnRenamed("length", "file_size"))
+
+
+@query("snk3_errors", f"SELECT 'PROJECT-' || upper(substr(sha256(CAST(o_orderkey AS STRING) || '/' || a), 1, 8)) AS project_id, 'InvalidZip' AS kind, 400 AS http_status, CASE WHEN s = 0 THEN 'File is empty' WHEN trim(a) = '' THEN 'File name is missing' WHEN NOT lower(trim(a)) LIKE '%.zip' THEN 'Only ZIP files are supported' ELSE 'File is larger than 500 MB' END AS message FROM (SELECT o_orderkey, {_ARCHIVE} AS a, {_SIZE} AS s FROM orders) WHERE s = 0 OR trim(a) = '' OR NOT lower(trim(a)) LIKE '%.zip' OR s > 524288000")
+def snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), F.expr(_ARCHIVE))
+    found = codebase.tables(spark, sf_dir)["orders"].select(path.alias("path"), F.expr(_SIZE).alias("length"), F.lit(None).cast("binary").alias("content"))
+    admitted = archives.admitted(found)
+    return archives.errors(admitted, archives.explode_entries(admitted.filter("reject_reason IS NULL AND false")))
