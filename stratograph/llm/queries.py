@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_score, near_dedup, packing, privacy, quality, sharding, toxicity, urlfilter
+from . import bpe, lm_score, near_dedup, packing, privacy, quality, search, sharding, toxicity, urlfilter
 from .common import read
 
 #: The key of pseudonyms in the registered queries; a deployment passes its own secret to ``privacy.pseudonymize``.
@@ -48,6 +48,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth document as a query, its whole text, against all documents."""
+    docs = read(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter("doc_id % 100 = 0"), k=10)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.pseudonymize(read(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text")
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_near_dedup": op5_near_dedup,
     "op6_bpe": op6_bpe,
+    "op7_search": op7_search,
     "op8_pii": op8_pii,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
