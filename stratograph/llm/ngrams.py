@@ -153,6 +153,8 @@ class Model:
                     np.concatenate([out[order - 1][1], np.full(len(extra), np.nan, np.float32)])[sort],
                     np.concatenate([out[order - 1][2], np.log(weight[~seen]).astype(np.float32)])[sort],
                 ]
+            else:
+                out[0] = [np.zeros(1, np.int64), np.full(1, np.nan, np.float32), np.log(weight).astype(np.float32)]
             below_code, below_p = code, p
         return [(_key(group, order, x[0]), x[1], x[2]) for order, x in out.items()]
 
@@ -173,7 +175,7 @@ class Model:
                 hit &= ~np.isnan(self.log_p[at])
                 out[open_[hit]] = self.log_p[at[hit]] + back[open_[hit]]
             open_ = open_[~hit]
-            if order > 1 and len(open_):
+            if len(open_):
                 at, hit = self._find(group, order - 1, (code[open_] & (1 << BITS * order) - 1) >> BITS)
                 back[open_[hit]] += self.log_back[at[hit]]
         out[open_] += back[open_]
