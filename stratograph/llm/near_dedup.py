@@ -1,10 +1,12 @@
 """Near-duplicate documents by a chosen-path set similarity join, confirmed on whole shingle sets.
 
-Documents branch into the children of a tree node by selected minwise tokens: each node selects ``BRANCH`` coordinates of the
-signature, and a document goes to the child of the value it has there. ``TREES`` independent trees are grown together, a level
-at a time. A node that is small is compared exhaustively and is done; a larger one branches again. Two documents of similarity
-0.75 part in one level with probability 0.0625, and in one whole tree with at most 0.112, so all eight trees miss a pair with
-probability below 3e-8 at any depth.
+Documents branch into the children of a tree node by selected minwise tokens: each root selects ``ROOT_BRANCH`` coordinates of
+the signature, each inner node ``BRANCH`` paths of ``WIDTH`` coordinates, and a document goes to the children of the values it
+has there. ``TREES`` independent trees are grown together, a level at a time. A node that is small is compared exhaustively
+and is done; a larger one branches again. Two documents of similarity 0.75 share at least one leaf of a tree with probability
+0.84 at any depth (0.94 if the tree is one level deep), so the trees together miss such a pair with a probability of 6e-4 at most
+(2e-5 if they are one level deep), and more similar ones less often; documents that share only a passage, of similarity 0.3,
+lose nine tenths of their common nodes with each level.
 
 Two things keep large groups of copies linear. Equal shingle sets are one class from the start. And documents that links
 already join share a label: nodes with a single label are done, and elsewhere only documents of different labels are compared,
@@ -25,17 +27,20 @@ from pyspark.sql import functions as F
 from .common import checkpoint, slices
 from .words import Words, _mix_int
 
-#: Signature coordinates, trees, coordinates that a node selects, levels after which the rest is compared exhaustively.
-COORDINATES, TREES, BRANCH, LEVELS = 64, 8, 2, 7
-#: A node is small if its pairs across labels are at most this many to a member.
-PAIRS_A_MEMBER = 16
-#: Sketches have four bits of each coordinate. Pairs that differ in more coordinates are no candidates: at similarity 0.75 a pair
-#: differs in 15 on average, and in over 34 with probability below 1e-7.
-MOST_UNEQUAL = 34
+#: Signature coordinates, trees, coordinates that a root selects, paths and their coordinates that an inner node selects, and
+#: the level at which whatever is left is compared exhaustively.
+COORDINATES, TREES, ROOT_BRANCH, BRANCH, WIDTH, LEVELS = 64, 4, 2, 4, 3, 5
+#: A node is small if its pairs across labels are at most this many to a member: some 1,000 members if all are apart.
+PAIRS_A_MEMBER = 512
+#: Sketches have four bits of each of SKETCHED minwise values. Pairs that differ in more are no candidates: at similarity 0.75
+#: a pair differs in 60 on average, with a deviation of 6.8.
+SKETCHED, MOST_UNEQUAL = 256, 82
+LONGS = SKETCHED // 16
 #: Keys up to this many (some 30 MB in a hash table) are sent to all executors; more are joined by shuffling.
 BROADCAST_KEYS = 1_000_000
 
-_MULTIPLIER = np.array([_mix_int(50_000 + k) | 1 for k in range(COORDINATES)], np.uint64)
+_MULTIPLIER = np.array([_mix_int(50_000 + k) | 1 for k in range(SKETCHED)], np.uint64)
+_SKETCH = [f"s{k}" for k in range(LONGS)]
 
 
 def semi_or_anti(docs: DataFrame, keys: DataFrame, n_keys: int, key: str, how: str) -> DataFrame:
@@ -45,7 +50,7 @@ def semi_or_anti(docs: DataFrame, keys: DataFrame, n_keys: int, key: str, how: s
 
 
 def _signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key, n_shingles, digest (equal for equal sets), signature, sketch (4 longs) of each row."""
+    """key, n_shingles, digest (equal for equal sets), signature, sketch (LONGS numbers) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,15 +59,14 @@ def _signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 found, first = Words(texts[a:b], lower=True).shingles(size)
                 counts = np.diff(first)
                 full = np.flatnonzero(counts)
-                signature = np.zeros((b - a, COORDINATES), np.uint32)
-                for k in range(COORDINATES):
-                    if len(full):
-                        signature[full, k] = np.minimum.reduceat((found * _MULTIPLIER[k]) >> np.uint64(32), first[full]).astype(np.uint32)
-                # four bits that depend on a whole coordinate, sixteen coordinates to a long
-                nibble = ((signature * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64)
-                sketch = np.zeros((b - a, COORDINATES // 16), np.uint64)
-                for k in range(COORDINATES):
-                    sketch[:, k // 16] |= nibble[:, k] << np.uint64(4 * (k % 16))
+                signature, sketch = np.zeros((b - a, COORDINATES), np.uint32), np.zeros((b - a, LONGS), np.uint64)
+                for k in range(SKETCHED if len(full) else 0):
+                    least = np.minimum.reduceat((found * _MULTIPLIER[k]) >> np.uint64(32), first[full])
+                    if k < COORDINATES:
+                        signature[full, k] = least
+                    # four bits that depend on the whole value, sixteen values to a long
+                    nibble = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
+                    sketch[full, k // 16] |= nibble << np.uint64(4 * (k % 16))
                 digest = [hashlib.md5(found[first[i] : first[i + 1]].tobytes()).digest() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -72,12 +76,12 @@ def _signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                         pa.FixedSizeListArray.from_arrays(pa.array(signature.view(np.int32).ravel()), COORDINATES).cast(pa.list_(pa.int32())),
                         *(pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(sketch.shape[1])),
                     ],
-                    names=["id", "n_shingles", "digest", "signature", "s0", "s1", "s2", "s3"],
+                    names=["id", "n_shingles", "digest", "signature", *_SKETCH],
                 )
 
     slim = docs.select(F.col(key), F.col(text))
     kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, signature array<int>, s0 long, s1 long, s2 long, s3 long")
+    return slim.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, signature array<int>" + "".join(f", {c} long" for c in _SKETCH))
 
 
 def _sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -140,7 +144,7 @@ def _unequal(left: str, right: str) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-    return reduce(lambda x, y: x + y, (one(k) for k in range(4)))
+    return reduce(lambda x, y: x + y, (one(k) for k in range(LONGS)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -153,17 +157,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     rows = checkpoint(_signatures(docs, key, text, size))
     usable = rows.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    same = ("signature", "s0", "s1", "s2", "s3")
+    same = ("signature", *_SKETCH)
     classes = checkpoint(usable.groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in same)))
-    sketches = classes.select("id", "s0", "s1", "s2", "s3")
+    sketches = classes.select("id", *_SKETCH)
 
-    # the roots: each of the trees selects BRANCH coordinates of its own
-    roots = classes.select("id", F.posexplode(F.slice("signature", 1, TREES * BRANCH))).select("id", F.xxhash64("pos", "col").alias("node"))
+    # the roots: each of the trees selects coordinates of its own
+    roots = classes.select("id", F.posexplode(F.slice("signature", 1, TREES * ROOT_BRANCH))).select("id", F.xxhash64("pos", "col").alias("node"))
     shared = roots.groupBy("node").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpoint(roots.join(shared, "node").select("node", "id", "pivot"))
 
-    # first links: each document with the least of its node-mates, if they meet in many nodes (5 of 16 at least)
-    met = members.filter("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    # first links: each document with the least of its node-mates, if they meet in two nodes at least
+    met = members.filter("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     star = met.groupBy("id").agg(F.max_by("pivot", "n").alias("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     links = checkpoint(_confirmed(star, docs, key, text, size, percent))
     labels = checkpoint(connected(links))
@@ -188,9 +192,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         large = found.filter(~F.col("small")).select("node", "id")
         if level == LEVELS or large.isEmpty():
             break
-        pick = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(BRANCH))))
-        chosen = large.select("node", "id", pick.alias("at")).join(classes.select("id", "signature"), "id")
-        children = chosen.select("id", F.xxhash64("node", "at", F.element_at("signature", F.col("at") + 1)).alias("node"))
+        at = lambda path, k: F.pmod(F.xxhash64("node", path, F.lit(k)), F.lit(COORDINATES)).cast("int") + 1
+        chosen = large.join(classes.select("id", "signature"), "id").withColumn("path", F.explode(F.array(*map(F.lit, range(BRANCH)))))
+        values = [F.element_at("signature", at(F.col("path"), k)) for k in range(WIDTH)]
+        children = chosen.select("id", F.xxhash64("node", "path", *values).alias("node"))
         lone = children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
         nodes = checkpoint(children.join(lone, "node", "left_semi").select("node", "id"))
         level += 1
