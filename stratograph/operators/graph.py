@@ -16,7 +16,7 @@ from ..functions import expressions as E
 from .lineage import checkpoint
 
 #: Stands for the one node that all files without a class share.
-NO_CLASS = "\u0000"
+NO_CLASS = "(no class)"
 
 
 def registry(classes: DataFrame) -> DataFrame:
@@ -190,6 +190,6 @@ def cycles(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
                 else:
                     stack.pop()
                     del place[path.pop()]
-        return pd.DataFrame({"project_id": [project] * len(found), "cycle_seq": range(1, len(found) + 1), "path": found})
+        return pd.DataFrame([(project, i, path) for i, path in enumerate(found, 1)], columns=["project_id", "cycle_seq", "path"])
 
     return _per_project(graph_nodes, graph_edges, run, "project_id string, cycle_seq int, path array<string>")
