@@ -14,9 +14,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratograph.llm import bpe, near_dedup, ngrams, packing, privacy, quality, queries, search, sharding, toxicity
+from stratograph.llm import bpe, near_dedup, ngrams, packing, privacy, queries, search, sharding, toxicity
 from stratograph.llm.words import Words
 
 SF = "/root/testdata/sf0.001"
@@ -155,16 +156,15 @@ def test_sharding_query(spark, texts):
     assert len(out) == len(texts) and set(out["law"]) == {"bytes"}
     for shard, rows in out.groupby("shard"):
         assert 0 <= shard < 40 and sorted(rows["slot"]) == list(range(len(rows)))
-    assert all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in out[["doc_id", "size", "text_crc32"]].itertuples(index=False, name="R") for r in [_Row(*r)])
+    for doc, size, crc in zip(out["doc_id"], out["size"], out["text_crc32"]):
+        raw = texts[doc].encode()
+        assert (size, crc) == (len(raw) + 16, zlib.crc32(raw))
     by_text = collections.defaultdict(set)
     for doc, shard in zip(out["doc_id"], out["shard"]):
         by_text[texts[doc]].add(shard)
     assert all(len(s) == 1 for s in by_text.values())
 
 
-_Row = collections.namedtuple("_Row", "doc_id size text_crc32")
-
-
 def test_a_group_over_a_shards_share_is_alone(spark):
     rows = [(i, "big" * 100) for i in range(50)] + [(100 + i, f"small text {i}") for i in range(200)]
     out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=4).toPandas()
@@ -242,8 +242,6 @@ def test_kneser_ney_probabilities_add_up():
 
 def test_counts_are_those_of_characters(spark):
     rows = [("a", "abab"), ("a", "ab"), ("b", ""), (None, "x")]
-    from pyspark.sql import functions as F
-
     counted = ngrams.count_ngrams(spark.createDataFrame(rows, "g string, text string"), F.col("g"), "text").collect()
     total = collections.Counter()
     for r in counted:
@@ -372,11 +370,5 @@ def test_pseudonyms_by_force(spark):
 
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(21 * 34).selectExpr("id div 34 AS a", "id % 34 AS b")
-    from pyspark.sql import functions as F
-
     moved = rows.select(privacy._feistel("t", F.col("a"), F.col("b"), F.lit(21), F.lit(34), "k").alias("x")).select("x.a", "x.b").distinct()
     assert moved.count() == 21 * 34
-
-
-def test_exact_base_rate():
-    assert quality.LEAST_WORDS == 20 and quality.MOST_REPEATED == 30
