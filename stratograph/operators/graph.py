@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from .lineage import checkpoint
+from .components import connected
 
 #: Stands for the one node that all files without a class share.
 NO_CLASS = "(no class)"
@@ -90,30 +90,14 @@ def adjacency(graph_edges: DataFrame) -> DataFrame:
 
 
 def components(graph_edges: DataFrame, graph_nodes: DataFrame | None = None) -> DataFrame:
-    """Undirected connected components: project_id, class_name (NO_CLASS: files without one), label (least member).
-
-    Alternates the published large-star and small-star steps: each joins an id with its least neighbour, so a hub's
-    neighbours need not meet in one task and a chain shrinks by a constant factor in a round. Projects don't mix.
-    """
+    """Undirected connected components: project_id, class_name (NO_CLASS: files without one), label (least member). With
+    nodes given, those without an edge are components of their own. Projects don't mix."""
     key = lambda c: F.coalesce(F.col(c), F.lit(NO_CLASS))
-    links = graph_edges.select("project_id", F.greatest(key("src"), key("dst")).alias("u"), F.least(key("src"), key("dst")).alias("v"))
-    state, before = checkpoint(links.filter("u <> v").distinct()), None
-    p = "project_id"
-    while True:
-        both = state.union(state.select(p, "v", "u"))
-        least = both.groupBy(p, "u").agg(F.min("v").alias("m")).select(p, "u", F.least("u", "m").alias("m"))
-        large = both.join(least, [p, "u"]).filter("v > u").select(p, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy(p, "u").agg(F.min("v").alias("m"))
-        pairs = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        state = checkpoint(large.join(least, [p, "u"]).select(p, pairs.alias("e")).select(p, "e.*").filter("u <> v").distinct())
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64(p, "u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    found = state.select(p, F.col("u").alias("class_name"), F.col("v").alias("label")).union(state.select(p, "v", "v").distinct())
+    links = graph_edges.select("project_id", key("src").alias("u"), key("dst").alias("v"))
+    found = connected(links, by=("project_id",)).withColumnRenamed("id", "class_name")
     if graph_nodes is None:
         return found
-    return graph_nodes.select(p, "class_name").join(found, [p, "class_name"], "full").withColumn("label", F.coalesce("label", "class_name"))
+    return graph_nodes.select("project_id", "class_name").join(found, ["project_id", "class_name"], "full").withColumn("label", F.coalesce("label", "class_name"))
 
 
 def _per_project(graph_nodes: DataFrame, graph_edges: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
