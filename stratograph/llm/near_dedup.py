@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import checkpoint, slices
 from .words import Words, _mix_int
 
@@ -113,28 +114,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
     return both.filter(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """Connected components of ``links`` (a, b): id and label (least id of its component) for every id in a link.
-
-    Alternates the large-star and small-star steps of the published map-reduce algorithm: every step joins each id with its
-    least neighbour, so no id's neighbours need to meet in a task. Lineage is cut after each round.
-    """
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = checkpoint(small.select("e.u", "e.v").filter("u != v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
-
-
 def _unequal(left: str, right: str) -> Column:
     """In how many coordinates the sketches of two rows differ."""
 
@@ -170,7 +149,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     met = members.filter("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     star = met.groupBy("id").agg(F.max_by("pivot", "n").alias("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     links = checkpoint(_confirmed(star, docs, key, text, size, percent))
-    labels = checkpoint(connected(links))
+    labels = checkpoint(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     # then whatever the trees bring together under different labels
     def labelled(nodes: DataFrame) -> DataFrame:
@@ -201,7 +180,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         level += 1
     more = reduce(DataFrame.union, candidates).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     every = links.union(checkpoint(_confirmed(more, docs, key, text, size, percent)))
-    component = connected(every)
+    component = connected(every.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = usable.groupBy("digest").agg(F.min("id").alias("id")).join(component, "id", "left")
     of_class = named.select("digest", F.coalesce("label", "id").alias("component_id"))
