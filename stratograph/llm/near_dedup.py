@@ -103,7 +103,7 @@ def _sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole shingle sets have a similarity of ``percent`` or more."""
     pairs = checkpoint(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    ids = pairs.select(F.col("a").alias(key)).distinct().union(pairs.select(F.col("b").alias(key)).distinct()).distinct()
     found = semi_or_anti(docs.select(F.col(key), F.col(text)), ids, pairs.count(), key, "left_semi")
     sets = checkpoint(_sets(found, key, text, size).dropDuplicates(["id"]))
     both = (
