@@ -24,7 +24,9 @@ SHARD, BLOCK = 16_384, 64
 #: Terms in at least this share of a shard's documents have their weights in rows of a matrix, not in postings.
 DENSE = 1 / 16
 #: A block of queries is at most so many, with so many terms in all (some 60 MB), and goes to all executors.
-QUERIES, QUERY_TERMS = 4_096, 3_000_000
+QUERIES, QUERY_TERMS = 8_192, 3_000_000
+#: Queries that a shard scores at once on frequent terms.
+TOGETHER = 64
 
 
 def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,14 +94,11 @@ class Shard:
         self.dense = np.full(len(self.terms), -1, np.int64)
         often = np.flatnonzero(size >= max(8, DENSE * self.n))
         self.dense[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), self.n))
+        self.blocks = -(-self.n // BLOCK)
+        self.matrix = np.zeros((len(often), self.blocks * BLOCK))
         for row, t in enumerate(often):
             at = slice(self.start[t], self.start[t + 1])
             self.matrix[row, self.doc[at]] = self.weight[at]
-        self.blocks = -(-self.n // BLOCK)
-        padded = np.zeros((len(often), self.blocks * BLOCK))
-        padded[:, : self.n] = self.matrix
-        self.matrix_bound = padded.reshape(len(often), self.blocks, BLOCK).max(2)
         # of the other terms, a posting for each block with the largest weight in it
         block = self.doc.astype(np.int64) // BLOCK
         of_term = np.repeat(np.arange(len(self.terms)), size)
@@ -117,45 +116,53 @@ class Shard:
         which = np.repeat(np.arange(len(n)), n)
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), which
 
-    def best(self, terms: np.ndarray, factor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def answers(self, queries: list[tuple[object, np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+        """For each query (name, terms, factors) its name and what ``best`` gives. Frequent terms are scored for TOGETHER queries
+        at once, by a matrix product."""
+        for a in range(0, len(queries), TOGETHER):
+            part = queries[a : a + TOGETHER]
+            factors, rare = np.zeros((len(part), len(self.matrix))), []
+            for i, (_, terms, factor) in enumerate(part):
+                at = np.searchsorted(self.terms, terms)
+                at[at == len(self.terms)] = 0
+                hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+                at, factor = at[hit], factor[hit]
+                row = self.dense[at]
+                factors[i, row[row >= 0]] = factor[row >= 0]
+                rare.append((at[row < 0], factor[row < 0]))
+            dense = factors @ self.matrix
+            for (name, _, _), score, (at, factor) in zip(part, dense, rare):
+                yield name, *self.best(score, at, factor, k)
+
+    def best(self, dense: np.ndarray, rare: np.ndarray, factor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents with the k best scores, ties at the k-th included, and those scores; only scores above 0 count.
 
-        Every block has an upper bound: the sum of its terms' largest weights in it. Blocks are scored from the highest bound
-        down, and once k scores beat the bound of the next block (the pivot of block-max WAND), the rest are skipped.
+        Every block has an upper bound: the largest score of frequent terms in it, and the sum of the other terms' largest
+        weights in it. The blocks of the highest bounds are scored first; once there are k scores, only blocks whose bound
+        reaches the k-th (the pivot of block-max WAND) are scored, from the highest bound down.
         """
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, factor = at[hit], factor[hit]
-        row = self.dense[at]
-        rows, row_factor = row[row >= 0], factor[row >= 0]
-        rare, rare_factor = at[row < 0], factor[row < 0]
-        upper = row_factor @ self.matrix_bound[rows] if len(rows) else np.zeros(self.blocks)
         place, which = self._spread(self.bound_start[rare], self.bound_start[rare + 1])
-        upper = upper + np.bincount(self.bound_block[place], self.bound[place] * rare_factor[which], self.blocks)
+        upper = dense.reshape(self.blocks, BLOCK).max(1) + np.bincount(self.bound_block[place], self.bound[place] * factor[which], self.blocks)
         place, which = self._spread(self.start[rare], self.start[rare + 1])
-        doc, gain = self.doc[place], self.weight[place] * rare_factor[which]
+        doc = self.doc[place]
+        block = doc // BLOCK
         order = np.argsort(-upper, kind="stable")
-        found_doc, found_score, threshold, done, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, max(1, -(-2 * k // BLOCK))
+        found_doc, found_score, threshold, done, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, max(4, -(-2 * k // BLOCK))
         while done < len(order) and upper[order[done]] > 0 and upper[order[done]] >= threshold * (1 - 1e-9):
-            chosen = np.sort(order[done : done + step])
+            chosen = order[done : done + step]
             chosen = chosen[upper[chosen] >= threshold * (1 - 1e-9)]
-            own = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = own[own < self.n]
-            local = np.full(self.blocks, -1, np.int64)
-            local[chosen] = np.arange(len(chosen))
-            mine = local[doc // BLOCK]
-            live = mine >= 0
-            score = np.bincount(mine[live] * BLOCK + doc[live] % BLOCK, gain[live], len(chosen) * BLOCK)[: len(own)]
-            if len(rows):
-                score = score + row_factor @ self.matrix[np.ix_(rows, own)]
-            found_doc, found_score = np.concatenate([found_doc, own]), np.concatenate([found_score, score])
+            live = np.zeros(self.blocks, bool)
+            live[chosen] = True
+            mine = np.flatnonzero(live[block])
+            score = np.bincount(doc[mine], self.weight[place[mine]] * factor[which[mine]], len(dense))
+            own = np.flatnonzero(np.repeat(live, BLOCK)[: self.n])
+            found_doc, found_score = np.concatenate([found_doc, own]), np.concatenate([found_score, score[own] + dense[own]])
             if len(found_score) > k:
                 threshold = max(threshold, np.partition(found_score, -k)[-k])
                 keep = found_score >= threshold * (1 - 1e-9)
                 found_doc, found_score = found_doc[keep], found_score[keep]
             done += step
-            step = min(2 * step, 256)
+            step *= 16
         keep = found_score > 0
         return found_doc[keep], found_score[keep]
 
@@ -195,8 +202,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
                     part = batch.slice(a, SHARD)
                     shard = Shard([t or "" for t in part.column(1).to_pylist()], mean_length)
                     query, doc, score = [], [], []
-                    for q, t, f in shared.value:
-                        d, s = shard.best(t, f, k)
+                    for q, d, s in shard.answers(shared.value, k):
                         query += [q] * len(d)
                         doc.append(d)
                         score.append(s)
