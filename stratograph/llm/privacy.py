@@ -14,14 +14,22 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-#: The formats. Each begins where no word, number or address goes on, and repeats give back nothing, so a text is
-#: read once. Groups are not captured.
+#: The formats. Each begins where no word, number or address goes on, and repeats give back nothing or are short, so
+#: a text is read once: an address gives back at most eight labels, as the last may end a sentence. Groups are not captured.
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_.@+-])", r"(?![\p{L}\p{N}_@]|[.-]\p{N})"
+_PHONES = (
+    r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}",  # +1 (017) 555-7713
+    r"\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}",  # +44 20 7946 0958
+    r"\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-][0-9]{6,8}",  # +49 170 1234567
+    r"\+[0-9]{1,3}\.[0-9]{1,4}(?:\.[0-9]{2,4}){2,4}",  # +33.1.23.45.67.89
+    r"\+[0-9](?:\)?[ -]?\(?[0-9]){6,14}",  # any other grouping of 7 to 15 digits, and none: +491701234567
+    r"(?:1[ .-]|1(?=\())?\(?[0-9]{3}(?:\)[ .-]?|[ .-])[0-9]{3}[ .-][0-9]{4}",  # 1-800-555-1234, (555)123-4567, 555.123.4567
+)
 FORMATS = {
-    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}_.%+-]{0,63}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}+\p{L}{2,24}+",
+    "email": r"(?<![\p{L}\p{N}_%+-])(?<![\p{L}\p{N}_%+-]\.)[\p{L}\p{N}_%+-][\p{L}\p{N}_.%+-]{0,63}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}+",
     "secret": r"(?<![\p{L}\p{N}_])(?=[0-9a-fA-F]{0,63}[0-9])[0-9a-fA-F]{32,64}+(?![\p{L}\p{N}_])",
     "ip": _BEFORE + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _AFTER,
-    "phone": r"(?<![\p{L}\p{N}_.@-])(?:\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ -]?[0-9]{4}|\+[0-9]{1,3}[ -][0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}|\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4})" + _AFTER,
+    "phone": r"(?<![\p{L}\p{N}_.@-])(?:" + "|".join(_PHONES) + ")" + _AFTER,
     "ssn": _BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _AFTER,
     "iso_date": _BEFORE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _AFTER,
     "dot_date": _BEFORE + r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}" + _AFTER,
@@ -32,6 +40,8 @@ _ANY = "|".join(FORMATS.values())
 _DATE_PATTERN = {"iso_date": "yyyy-MM-dd", "dot_date": "dd.MM.yyyy", "slash_date": "MM/dd/yyyy"}
 #: Dates are permuted within 400 years, after which the calendar repeats: 146097 days, 189 times 773.
 _FIRST_DAY, _DATE_SIDES = "1800-01-01", (189, 773)
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _SSN_SIDES = (898, 99 * 9999)
 
 
@@ -108,9 +118,16 @@ def _card(value: Column, secret: str) -> Column:
 
 
 def _phone(value: Column, secret: str) -> Column:
-    country = F.length(F.regexp_extract(value, r"^\+([0-9]+)", 1))
-    national = F.substr(_digits(value), country + 1, F.length(value))
-    return _let(_let(national, lambda x: _permute_digits("phone", x, secret)), lambda x: _laid_out(value, x, country))
+    """The country code stays, and the 1 before ten digits; so a number gets the same new digits with and without them."""
+    written = F.length(F.regexp_extract(value, r"^\+([0-9]+)", 1))
+    listed = F.length(F.regexp_extract(value, _COUNTRY, 1))
+    country = F.when(written > 3, listed).when((written == 0) & (F.length(_digits(value)) == 11), 1).otherwise(written)
+
+    def moved(kept: Column) -> Column:
+        national = F.substr(_digits(value), kept + 1, F.length(value))
+        return _let(_let(national, lambda x: _permute_digits("phone", x, secret)), lambda x: _laid_out(value, x, kept))
+
+    return _let(country, moved)
 
 
 def _ip(value: Column, secret: str) -> Column:
@@ -193,7 +210,8 @@ def pseudonymize(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
 
     Card numbers (Luhn), IPv4 addresses, telephone numbers, US social security numbers and dates (to 400 years from 1800, as
     yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy) are permuted within their valid values; e-mail names and hexadecimal secrets of 32 to
-    64 digits get keyed characters. A text keeps its length but for IPv4 addresses. Whatever doesn't validate, and null and
+    64 digits get keyed characters. Telephone numbers have a plus sign and 7 to 15 digits, grouped or not, or are three, three and
+    four digits set apart; bare runs of digits without a plus sign are taken for card numbers only. A text keeps its length but for IPv4 addresses. Whatever doesn't validate, and null and
     empty texts, stay as they are. Null keys, repeated rows and empty tables need nothing special. A row is handled by
     itself: no shuffle, no Python.
     """
