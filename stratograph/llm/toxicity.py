@@ -30,6 +30,8 @@ STEMS, LEAST_DOCUMENTS, LEAST_ODDS = (3, 4, 5, 6, 7), 3, 1.5
 PLENTY = 10
 #: Lexical weight of a seed, and the most that a document's evidence in one context adds up to.
 SEED_WEIGHT, MOST_EVIDENCE = 6.0, 12.0
+#: Words as written whose classes a worker remembers before it forgets them all (and those of one text more).
+REMEMBERED = 500_000
 
 OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, ENDS = 0, 1, 2, 3, 4, 5, 8
 #: Words of the closed classes, and a few insults to start from, in English, German, French and Spanish.
@@ -136,6 +138,9 @@ class Lexicon:
 
     def evidence(self, text: str | None) -> list[float]:
         """Lexical weight matched in each context of CONTEXTS, over all clauses of the text."""
+        if len(self.classes) >= REMEMBERED:  # only between texts: a text needs the weights of all its words
+            self.classes.clear()
+            self.weights.clear()
         total = dict.fromkeys(CONTEXTS, 0.0)
         words = text.split() if text else []
         codes = bytes(map(self.classes.__getitem__, words))
@@ -167,7 +172,7 @@ class Lexicon:
 
 
 class _Classes(dict):
-    """Class of a word as written (with ENDS if it ends a clause), remembered while there is room."""
+    """Class of a word as written (with ENDS if it ends a clause), remembered until ``Lexicon.evidence`` makes room."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
@@ -182,9 +187,6 @@ class _Classes(dict):
             code = INSULT
         if word[-1] in ".,;:!?":
             code |= ENDS
-        if len(self) >= 500_000:
-            self.clear()
-            self.lexicon.weights.clear()
         if most:
             self.lexicon.weights[word] = most
         self[word] = code
