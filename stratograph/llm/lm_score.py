@@ -2,53 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import Model, count_ngrams, gather
+from .word_lm import Model
 
 #: Labels up to this many (some 30 MB in a hash table) are sent to all executors; more are joined by shuffling.
 BROADCAST_LABELS = 1_000_000
 
 
-def models(docs: DataFrame, in_target: Column, text: str) -> Model:
-    """Two matched models: same vocabulary (the 64 symbols that characters fold onto), order and smoothing. The background is
-    counted over all documents, the target over those of ``in_target``."""
-    counts = gather(count_ngrams(docs, F.when(in_target, F.lit("target")).otherwise(F.lit("other")), text))
-    parts = [counts[g] for g in ("target", "other") if g in counts]
-    every = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
-    code, at = np.unique(every, return_inverse=True)
-    n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64) if parts else code
-    return Model({g: c for g, c in (("target", counts.get("target")), ("background", (code, n))) if c is not None and len(c[0])})
-
-
 def cross_entropy_difference(docs: DataFrame, in_target: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, target_loss, background_loss (minus log probability a token) and score, their difference: the lower, the
     more a text is like the target.
 
-    Tokens are a text's characters. A null or empty text has no tokens, losses of 0 and score 0. Without target documents, the
-    target model is uniform. Null keys and repeated rows are scored like any other; an empty table gives an empty table; other
-    columns are dropped.
+    Two matched models: same vocabulary (all words of ``docs``), order and smoothing. The background is counted over all
+    documents, the target over those of ``in_target``. Tokens are words and signs (see ``word_lm.words``). A null or empty text
+    has no tokens, losses of 0 and score 0. Without target documents, the target model is uniform. Null keys and repeated rows
+    are scored like any other; an empty table gives an empty table; other columns are dropped.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models(docs, in_target, text))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = np.array([len(t) for t in texts], np.int64)
-            loss = shared.value.losses(["target", "background"], texts) / np.maximum(n, 1)[:, None]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(loss[:, 0]), pa.array(loss[:, 1]), pa.array(loss[:, 0] - loss[:, 1])],
-                names=[key, "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    slim = docs.select(F.col(key), F.col(text))
-    kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{key}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    sums = Model(docs, in_target, text).losses(docs, key, text)
+    mean = lambda c: F.col(c) / F.greatest(F.col("n_tokens"), F.lit(1))
+    return sums.select(key, "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss"), (mean("target") - mean("background")).alias("score"))
 
 
 def with_label(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str) -> DataFrame:
