@@ -15,24 +15,34 @@ from stratograph.llm import near_dedup, packing, privacy, quality, queries, toxi
 from stratograph.llm.common import checkpoint, read
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` but for the keys in ``rejected``. Texts are shuffled only if the keys are too many to broadcast."""
-    keys = checkpoint(rejected.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    return near_dedup.semi_or_anti(docs, keys, keys.count(), "doc_id", "left_anti").select(*docs.columns)
+    keys = checkpoint(rejected.filter(F.col(key).isNotNull()).select(key).distinct())
+    return near_dedup.semi_or_anti(docs, keys, keys.count(), key, "left_anti").select(*docs.columns)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, so that a verdict on a row is on no other, whatever its key. Rows must come in the
+    same order whenever ``docs`` is read, as those of Parquet files do."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _without(docs, quality.quality_rules(docs).filter("NOT kept"))
+    """Documents that the quality rules keep. Each row is judged by itself, also with a null key or one that comes again."""
+    rows = _numbered(docs)
+    return _without(rows, quality.quality_rules(rows, key="_row").filter("NOT kept"), "_row").drop("_row")
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
-    return _without(docs, toxicity.toxicity(docs, read(spark, sf_dir, "labels")).filter("predicted = 1"))
+    """Documents that aren't predicted toxic. Each row is judged by itself, also with a null key or one that comes again."""
+    rows = _numbered(docs)
+    scores = toxicity.score(rows, toxicity.learn(docs, read(spark, sf_dir, "labels")), key="_row")
+    return _without(rows, scores.filter("score >= 0.5"), "_row").drop("_row")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates. A key that comes again is the same document and stays as often."""
+    """One document of each group of near duplicates. A key that comes again is the same document and stays as
+    often; rows with a null key are linked with nothing and stay."""
     return _without(docs, near_dedup.near_duplicates(docs, size=5, percent=75).filter("NOT kept"))
 
 
