@@ -213,6 +213,32 @@ def test_chains_and_unlinked_relatives(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == true
 
 
+def test_recall_in_deep_nodes(spark, monkeypatch):
+    """All trees are grown to their last level. Pairs are just similar enough, and each has a relative with a smaller id that is
+    not, so that few of them are linked through the least of their node-mates."""
+    monkeypatch.setattr(near_dedup, "PAIRS_A_MEMBER", 0)
+    texts, pairs = {}, 300
+    for k in range(pairs):
+        words = [f"p{k}w{i}" for i in range(104)]
+        edited = lambda places, mark, words=words: " ".join(f"{mark}{i}" if i in places else w for i, w in enumerate(words))
+        texts[k] = edited({10, 20, 30, 90, 97}, f"d{k}_")  # shares 75 of 100 shingles with the first, some 63 with the second
+        texts[1000 + 2 * k] = " ".join(words)
+        texts[1001 + 2 * k] = edited({50, 60}, f"e{k}_") + f" {words[0]} x{k} y{k} z{k}"
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    true = components_by_force(texts)
+    linked = [k for k in range(pairs) if true[1000 + 2 * k][1] == true[1001 + 2 * k][1]]
+    found = [k for k in linked if out[1000 + 2 * k] == out[1001 + 2 * k]]
+    assert len(linked) == pairs and len(found) >= 0.99 * len(linked)
+    assert all(true[d][1] == true[c][1] for d, c in out.items())
+
+
+def test_pairs_that_share_one_id_are_dealt_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL", 8)
+    texts = {k: " ".join(f"e{k}" if i == 40 else f"w{i}" for i in range(80)) for k in range(100)}
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in out} == {0} and sum(r["kept"] for r in out) == 1
+
+
 # quality and language models
 
 
