@@ -1,52 +1,62 @@
-"""Word bigram models of a whole corpus: counted, estimated by modified Kneser-Ney and looked up by Spark's aggregates and joins.
+"""Word bigram models of a whole corpus, of one or many groups of documents: counted by Spark, estimated by modified Kneser-Ney.
 
-Vocabulary and model grow with the corpus and are gathered nowhere: pairs of words are a table, and a document's pairs meet
-it in a shuffle join. Only what is very common is sent to executors, and its number is fixed: HOT_WORDS words get short numbers
-and carry their unigram values along, and pairs that make up 1 / HOT_PAIRS of the corpus are scored where they are met.
+Words of all groups share one vocabulary, its size bounded by VOCABULARY; what is known of words fits an executor. Pairs of words
+grow with the corpus and are gathered nowhere: each bucket of pairs is a sorted array of codes with counts, and documents meet
+the buckets in a shuffle. What is shuffled are sorted arrays too, a row for what a slice of some documents has in one bucket.
 """
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, slices
 from .words import _BASE, _INVERSE, _powers, mix
 
-HOT_WORDS, HOT_PAIRS = 65_535, 131_072
+#: The commonest words of all groups that have a number of their own; others are their group's unknown word.
+VOCABULARY = 1 << 20
+#: Groups with models of their own, those of most documents; others share one.
+GROUPS = 1 << 16
+#: Bits of a number: words, then for each group its unknown word and the start of a text.
+BITS = 21
+#: Words of the corpus to a bucket of pairs, and the commonest pairs, which are scored where they are met.
+BUCKET, HOT_PAIRS = 1 << 20, 1 << 19
 #: Characters that are looked at together.
 SLICE = 1 << 22
-#: Word 0 stands before a text; hot words are 1 to HOT_WORDS, others negative. No word is NO_WORD.
-NO_WORD = -1
+#: Signs that part words and are no words themselves, and scripts of which each character is a word.
+PARTING = ".,;:!?'\"()[]/-–—…’‘“”«»、。，"
 _ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each character, its class (0: space, 1: letter, mark or digit, 2: a word of its own) and its small letter."""
+    """For each character, its class (0: parts words, 1: letter, mark or digit, 2: a word of its own) and its small letter."""
     kind, small = np.full(0x110000, 2, np.uint8), np.arange(0x110000, dtype=np.uint32)
     for i in range(0x20000):
         c = chr(i)
         category = unicodedata.category(c)
-        kind[i] = 1 if category[0] in "LMN" else 0 if category[0] == "Z" or c in "\t\n\v\f\r" else 2
+        kind[i] = 1 if category[0] in "LMN" else 0 if category[0] == "Z" or c in "\t\n\v\f\r" or c in PARTING else 2
         lower = c.lower()
         if len(lower) == 1:
             small[i] = ord(lower)
     for a, b in _ALONE:
-        kind[a : b + 1] = 2
+        kind[a : b + 1] = np.where(kind[a : b + 1] == 0, 0, 2)
     return kind, small
 
 
 def words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 63-bit hash of each word, and where each text's words begin (one more at the end). Words are runs of letters, marks
-    and digits of any script, in small letters; other signs, and characters of scripts without spaces, are words of their own."""
+    """A 63-bit hash of each word, and where each text's words begin (one more at the end). Words are runs of letters, marks and
+    digits of any script, in small letters; signs but those in PARTING, and characters of scripts without spaces, are words of
+    their own."""
     kind, small = _tables()
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -64,53 +74,85 @@ def words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return (found >> np.uint64(1)).astype(np.int64), np.searchsorted(begin, first)
 
 
-def _pairs(texts: Sequence[str], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's number, that of the word before it in its text, and where each text's begin."""
-    found, first = words(texts)
-    at = np.minimum(np.searchsorted(hot, found), max(len(hot) - 1, 0))
-    c = np.where(hot[at] == found, at + 1, -2 - found) if len(hot) else -2 - found
-    b = np.zeros_like(c)
-    b[1:] = c[:-1]
-    b[first[:-1][np.diff(first) > 0]] = 0
-    return b, c, first
+def _of_groups(found: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Hashes of words of groups: a word is another one in another group; in group 0 it keeps its hash."""
+    return np.where(groups == 0, found, (mix(found.astype(np.uint64) ^ mix(groups.astype(np.uint64))) >> np.uint64(1)).astype(np.int64))
 
 
-def _hot_words(docs: DataFrame, text: str) -> np.ndarray:
-    """Hashes of the commonest words, ascending: HOT_WORDS at most."""
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted table, and which of them are there."""
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts, SLICE):
-                found, n = np.unique(words(texts[a:b])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["w", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = counted.filter("n > 1").orderBy(F.desc("n"), "w").limit(HOT_WORDS).select("w").toArrow()
-    return np.sort(top.column("w").to_numpy())
+# arrays as compressed bytes
 
 
-def count_pairs(docs: DataFrame, in_target: Column, text: str, hot: np.ndarray) -> DataFrame:
-    """How often each pair of words occurs: b, c, t (in target documents), n (in all)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            inside = np.array(batch.column(1).to_pylist(), np.int64)
-            for i, j in slices(texts, SLICE):
-                b, c, first = _pairs(texts[i:j], shared.value)
-                if not len(c):
-                    continue
-                order = np.lexsort((c, b))
-                target = np.repeat(inside[i:j], np.diff(first))[order]
-                b, c = b[order], c[order]
-                new = np.concatenate([[0], 1 + np.flatnonzero((b[1:] != b[:-1]) | (c[1:] != c[:-1]))])
-                n = np.diff(np.concatenate([new, [len(b)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b[new], c[new], np.add.reduceat(target, new), n)], names=["b", "c", "t", "n"])
-
-    slim = docs.select(F.col(text), F.coalesce(in_target, F.lit(False)).cast("long"))
-    return slim.mapInArrow(run, "b long, c long, t long, n long").groupBy("b", "c").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+@lru_cache(maxsize=1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def seal(x: np.ndarray) -> bytes:
+    """Numbers from 0, by planes of their bytes."""
+    used = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8).T[:used]
+    return struct.pack("<IB", len(x), used) + _codec()[0].compress(planes.tobytes())
+
+
+def unseal(data: bytes) -> np.ndarray:
+    n, used = struct.unpack_from("<IB", data)
+    out = np.zeros((n, 8), np.uint8)
+    if n and used:
+        out[:, :used] = np.frombuffer(_codec()[1].decompress(data[5:]), np.uint8).reshape(used, n).T
+    return out.view(np.int64).ravel()
+
+
+def _segments(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.concatenate([[0], 1 + np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]), [len(sorted_keys)]])
+    return zip(edges[:-1].tolist(), edges[1:].tolist()) if len(sorted_keys) else iter(())
+
+
+class Lexicon:
+    """Numbers of words: 0 to size - 1 by hash, then an unknown word for each group, then the start of a text for each group."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, groups: np.ndarray, n_groups: int, total: int) -> None:
+        self.hashes, self.size, self.n_groups = hashes, len(hashes), n_groups
+        self.group = np.concatenate([groups, np.arange(n_groups), np.arange(n_groups)]).astype(np.int32)
+        self.buckets = max(1, -(-total // BUCKET))
+        #: Words whose pairs would crowd one bucket: their pairs are dealt by both words.
+        self.crowded = np.concatenate([counts > BUCKET // 4, np.ones(2 * n_groups, bool)])
+
+    def pairs(self, texts: Sequence[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each word and the one before it, and where each text's begin (one more at the end)."""
+        found, first = words(texts)
+        n = np.diff(first)
+        of = np.repeat(groups, n)
+        distinct, place = np.unique(_of_groups(found, of) if self.n_groups > 1 else found, return_inverse=True)
+        at, known = _find(self.hashes, distinct)
+        number = np.where(known, at, -1)[place]
+        c = np.where(number >= 0, number, self.size + of)
+        b = np.zeros_like(c)
+        b[1:] = c[:-1]
+        b[first[:-1][n > 0]] = self.size + self.n_groups + groups[n > 0]
+        return b << BITS | c, first
+
+    def bucket(self, code: np.ndarray) -> np.ndarray:
+        b = code >> BITS
+        return (mix(np.where(self.crowded[b], code, b).astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def _threshold(counted: DataFrame, most: int, least: int) -> int:
+    """The least n, ``least`` or more, so that at most ``most`` rows have as much; of equal ones all or none are taken."""
+    rows = counted.filter(F.col("n") >= least).groupBy("n").agg(F.sum("rows").alias("rows")).toArrow().to_pydict()
+    left = most
+    for n, k in sorted(zip(rows["n"], rows["rows"]), reverse=True):
+        left -= k
+        if left < 0:
+            return n + 1
+    return least
 
 
 def _discounts(of: Sequence[int]) -> list[float]:
@@ -121,100 +163,237 @@ def _discounts(of: Sequence[int]) -> list[float]:
     return [0.0, *(min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.0), k - 0.05) for k in (1, 2, 3))]
 
 
-def _tally(column: str) -> list[Column]:
-    return [F.sum(F.when(F.col(column) == k, 1).otherwise(0)).alias(f"{column}{k}") for k in (1, 2, 3, 4)] + [
-        F.sum(F.when(F.col(column) >= 3, 1).otherwise(0)).alias(f"{column}_more"), F.sum(column).alias(f"{column}_sum"),
-    ]
+class Values:
+    """What a model knows of words, by number: the probability of a word after unknown ones, how often it stands before another,
+    and the weight of what follows it being unknown; and discounts by group."""
 
+    def __init__(self, lexicon: Lexicon, tally: dict[str, np.ndarray]) -> None:
+        group, before = lexicon.group, tally["before"]
+        by_group = lambda weights: np.bincount(group, weights, lexicon.n_groups)
+        self.group = group
+        self.discounts = np.array([_discounts(of) for of in np.stack([by_group(tally[f"of{k}"]) for k in (1, 2, 3, 4)], 1)])
+        d1 = np.array([_discounts(of) for of in np.stack([by_group(before == k) for k in (1, 2, 3, 4)], 1)])
+        taken = d1[group, np.minimum(before, 3)]
+        whole, left, size = by_group(before), by_group(taken), np.bincount(group[: lexicon.size], minlength=lexicon.n_groups) + 1
+        seen = np.maximum(whole, 1)[group]
+        self.p = ((before - taken) / seen + np.where(whole > 0, left / np.maximum(whole, 1), 1.0)[group] / size[group]).astype(np.float32)
+        self.total = tally["total"]
+        weight = sum(tally[f"of{k}"] * self.discounts[group, k] for k in (1, 2)) + tally["more"] * self.discounts[group, 3]
+        self.back = np.where(self.total > 0, weight / np.maximum(self.total, 1), 1.0).astype(np.float32)
 
-def _minus(column: str, d: Sequence[float]) -> Column:
-    x = F.col(column)
-    return F.when(x >= 3, x - d[3]).when(x == 2, x - d[2]).when(x == 1, x - d[1]).otherwise(0.0)
+    def losses(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Minus log probabilities of the pairs with these codes, which the model has counted so often."""
+        b, c = code >> BITS, code & (1 << BITS) - 1
+        seen = (n - self.discounts[self.group[b], np.minimum(n, 3)]) / np.maximum(self.total[b], 1)
+        return -np.log(np.maximum(seen, 0.0) + self.back[b] * self.p[c].astype(np.float64))
 
 
 class Model:
-    """``pairs`` (b, c, t, n) and ``lone`` (w, and for target and background, x being t or n: p_x, the probability of w after
-    unknown words; sum_x, how often w stands before a word; back_x, the weight of what follows it being unknown)."""
+    """Matched models on one vocabulary: "n" is counted over all of ``docs`` (those texts that ``among`` tells, if given), "t" over
+    those of them where ``flag`` holds. With ``group``, each group of documents has models of its own."""
 
-    def __init__(self, docs: DataFrame, in_target: Column, text: str) -> None:
+    def __init__(self, docs: DataFrame, text: str, flag: Column | None = None, group: Column | None = None, among: Callable[[list[str]], np.ndarray] | None = None) -> None:
         spark = docs.sparkSession
+        self.spark, self.text, self.kinds = spark, text, "n" if flag is None else "nt"
+        self.name = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
+        self.groups: dict[str, int] = {}
+        if group is not None:
+            top = docs.groupBy(self.name.alias("g")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "g").limit(GROUPS - 1)
+            self.groups = {r["g"]: k for k, r in enumerate(top.collect(), 1)}
+        self.lexicon = self._vocabulary(docs)
         checkpoint(spark.range(1))  # sets a folder where the session names none
         folder = f"{spark.sparkContext.getCheckpointDir()}/word-lm-{uuid.uuid4().hex}"
-        self.hot = _hot_words(docs, text)
-        count_pairs(docs, in_target, text, self.hot).write.parquet(f"{folder}/pairs")
-        self.pairs = spark.read.parquet(f"{folder}/pairs")
-        before = self.pairs.groupBy("c").agg(F.sum((F.col("t") > 0).cast("long")).alias("t"), F.count(F.lit(1)).alias("n"))
-        after = self.pairs.groupBy("b").agg(*_tally("t"), *_tally("n"))
-        both = before.join(after, F.col("b") == F.col("c"), "full").select(F.coalesce("c", "b").alias("w"), *(c for c in before.columns if c != "c"), *(c for c in after.columns if c != "b"))
-        both.write.parquet(f"{folder}/words")
-        both = spark.read.parquet(f"{folder}/words")
-        sums = after.agg(*(F.sum(c).alias(c) for c in after.columns if c != "b")).first()
-        ones = both.filter("n IS NOT NULL").agg(F.count(F.lit(1)).alias("words"), *_tally("t"), *_tally("n")).first()
-        self.size, self.total = max(ones["words"], 1), sums["n_sum"] or 0
-        self.discounts, values = {}, []
-        for x in "tn":
-            d1, d2 = (_discounts([r[f"{x}{k}"] or 0 for k in (1, 2, 3, 4)]) for r in (ones, sums))
-            self.discounts[x] = d2
-            whole = ones[f"{x}_sum"] or 0
-            left = sum((ones[c] or 0) * d for c, d in zip((f"{x}1", f"{x}2", f"{x}_more"), d1[1:])) / whole if whole else 1.0
-            values.append(((_minus(x, d1) / whole if whole else F.lit(0.0)) + left / self.size).alias(f"p_{x}"))
-            seen = F.coalesce(F.col(f"{x}_sum"), F.lit(0))
-            back = (F.col(f"{x}1") * d2[1] + F.col(f"{x}2") * d2[2] + F.col(f"{x}_more") * d2[3]) / seen
-            values += [seen.alias(f"sum_{x}"), F.when(seen > 0, back).otherwise(1.0).alias(f"back_{x}")]
-        self.lone = both.select("w", *values)
-
-    def _with(self, rows: DataFrame, word: str, columns: Sequence[str]) -> DataFrame:
-        """``rows`` with values of ``word``: those of hot words are broadcast, others joined by shuffling."""
-        values = self.lone.select(F.col("w").alias(word), *columns)
-        common = rows.filter(f"{word} >= 0").join(F.broadcast(values.filter(f"{word} >= 0")), word)
-        return common.unionByName(rows.filter(f"{word} < 0").join(values.filter(f"{word} < 0"), word))
-
-    def scored(self, pairs: DataFrame) -> DataFrame:
-        """b, c and minus log probability of c after b: target, background."""
-        rows = self._with(self._with(pairs, "c", ["p_t", "p_n"]), "b", ["sum_t", "back_t", "sum_n", "back_n"])
-
-        def loss(x: str) -> Column:
-            seen = F.when(F.col(f"sum_{x}") > 0, _minus(x, self.discounts[x]) / F.col(f"sum_{x}")).otherwise(0.0)
-            return -F.log(seen + F.col(f"back_{x}") * F.col(f"p_{x}"))
-
-        return rows.select("b", "c", loss("t").alias("target"), loss("n").alias("background"))
-
-    def losses(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """key, n_tokens, and the sums of losses of every row of ``docs``, each of whose words the model has counted."""
-        common = self.scored(self.pairs.filter((F.col("n") >= max(self.total / HOT_PAIRS, 2)) & (F.col("b") >= 0) & (F.col("c") >= 0))).toArrow()
-        code = common.column("b").to_numpy() << 16 | common.column("c").to_numpy()
+        self._count(docs, flag, among).write.option("compression", "uncompressed").parquet(folder)
+        self.pairs = spark.read.parquet(folder)
+        tally = self._tally()
+        self.values = {x: Values(self.lexicon, tally[x]) for x in self.kinds}
+
+    def _of(self) -> Callable[[list[str]], np.ndarray]:
+        groups = self.groups
+        return lambda names: np.fromiter((groups.get(x, 0) for x in names), np.int64, len(names))
+
+    def _vocabulary(self, docs: DataFrame) -> Lexicon:
+        of, many = self._of(), bool(self.groups)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, groups = [t or "" for t in batch.column(0).to_pylist()], of(batch.column(1).to_pylist())
+                for i, j in slices(texts, SLICE):
+                    found, first = words(texts[i:j])
+                    own = np.repeat(groups[i:j], np.diff(first))
+                    found, at, n = np.unique(_of_groups(found, own) if many else found, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(own[at].astype(np.int32)), pa.array(n.astype(np.int64))], names=["w", "g", "n"])
+
+        slim = docs.select(F.col(self.text), self.name)
+        counted = checkpoint(slim.mapInArrow(run, "w long, g int, n long").groupBy("w").agg(F.first("g").alias("g"), F.sum("n").alias("n")))
+        least = _threshold(counted.withColumn("rows", F.lit(1)), VOCABULARY, 2)
+        total = counted.agg(F.sum("n")).first()[0] or 0
+        top = counted.filter(F.col("n") >= least).toArrow()
+        order = np.argsort(top.column("w").to_numpy())
+        hashes, groups, n = (top.column(c).to_numpy()[order] for c in ("w", "g", "n"))
+        return Lexicon(hashes, n, groups, len(self.groups) + 1, total)
+
+    def _count(self, docs: DataFrame, flag: Column | None, among: Callable | None) -> DataFrame:
+        """bucket, codes (ascending), n and t of each bucket of pairs."""
+        of, lexicon = self._of(), self.spark.sparkContext.broadcast(self.lexicon)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                every, names, flags = ([t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), np.int64))
+                chosen = np.flatnonzero(among(every)) if among else np.arange(len(every))
+                texts, groups, flags = [every[i] for i in chosen], of(names)[chosen], flags[chosen]
+                for i, j in slices(texts, SLICE):
+                    code, first = lexicon.value.pairs(texts[i:j], groups[i:j])
+                    distinct, place, n = np.unique(code, return_inverse=True, return_counts=True)
+                    t = np.bincount(place, np.repeat(flags[i:j], np.diff(first)), len(distinct)).astype(np.int64)
+                    bucket = lexicon.value.bucket(distinct)
+                    order = np.argsort(bucket, kind="stable")
+                    rows = [(bucket[order[a]], *(seal(x) for x in (np.diff(distinct[order[a:b]], prepend=0), n[order[a:b]], t[order[a:b]]))) for a, b in _segments(bucket[order])]
+                    yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "codes", "n", "t"), r)) for r in rows], schema)
+
+        def merge(table: pa.Table) -> pa.Table:
+            parts = [[unseal(x) for x in table.column(c).to_pylist()] for c in ("codes", "n", "t")]
+            codes, place = np.unique(np.concatenate([np.cumsum(x) for x in parts[0]]), return_inverse=True)
+            n, t = (np.bincount(place, np.concatenate(x), len(codes)).astype(np.int64) for x in parts[1:])
+            return pa.table([table.column("bucket").slice(0, 1), *(pa.array([seal(x)], pa.binary()) for x in (np.diff(codes, prepend=0), n, t))], schema)
+
+        schema = pa.schema([("bucket", pa.int64()), ("codes", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+        ddl = "bucket long, codes binary, n binary, t binary"
+        slim = docs.select(F.col(self.text), self.name, F.coalesce(F.lit(False) if flag is None else flag, F.lit(False)).cast("long"))
+        return slim.mapInArrow(run, ddl).groupBy("bucket").applyInArrow(merge, ddl)
+
+    def counts(self) -> DataFrame:
+        """code, n and t of all pairs, a row for each."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for codes, n, t in zip(*(batch.column(c).to_pylist() for c in ("codes", "n", "t"))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unseal(codes))), pa.array(unseal(n)), pa.array(unseal(t))], names=["code", "n", "t"])
+
+        return self.pairs.select("codes", "n", "t").mapInArrow(run, "code long, n long, t long")
+
+    def _tally(self) -> dict[str, dict[str, np.ndarray]]:
+        """Of each number: how often it stands before a word, how many words follow it so often, and how many precede it."""
+        kinds = self.kinds
+        names = [f"{x}_{c}" for x in kinds for c in ("total", "of1", "of2", "of3", "of4", "more", "before")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for sealed, *counts in zip(*(batch.column(c).to_pylist() for c in ("codes", *kinds))):
+                    code = np.cumsum(unseal(sealed))
+                    for word, after in ((code >> BITS, True), (code & (1 << BITS) - 1, False)):
+                        word, place = np.unique(word, return_inverse=True)
+                        columns = []
+                        for x in map(unseal, counts):
+                            add = lambda weights, place=place, n=len(word): np.bincount(place, weights, n).astype(np.int64)
+                            zero = np.zeros(len(word), np.int64)
+                            columns += [add(x), *(add(x == k) for k in (1, 2, 3, 4)), add(x >= 3), zero] if after else [zero] * 6 + [add(x > 0)]
+                        yield pa.RecordBatch.from_arrays([pa.array(word), *map(pa.array, columns)], names=["w", *names])
+
+        rows = self.pairs.select("codes", *kinds).mapInArrow(run, "w long" + "".join(f", {c} long" for c in names))
+        small = lambda c: F.sum(c).alias(c) if c.endswith("total") else F.sum(c).cast("int").alias(c)
+        table = rows.groupBy(F.col("w").cast("int").alias("w")).agg(*map(small, names)).toArrow()
+        out: dict[str, dict[str, np.ndarray]] = {x: {} for x in kinds}
+        for c in names:
+            dense = np.zeros(len(self.lexicon.group), np.int64)
+            dense[table.column("w").to_numpy()] = table.column(c).to_numpy()
+            out[c[0]][c[2:]] = dense
+        return out
+
+    def _hot(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Codes of the commonest pairs, ascending, and their losses."""
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for sealed in batch.column(0).to_pylist():
+                    n, rows = np.unique(unseal(sealed), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(rows.astype(np.int64))], names=["n", "rows"])
+
+        least = _threshold(self.pairs.select("n").mapInArrow(tally, "n long, rows long"), HOT_PAIRS, 2)
+        table = self.counts().filter(F.col("n") >= least).toArrow()
+        code = table.column("code").to_numpy()
         order = np.argsort(code)
-        table = [common.column(c).to_numpy()[order] for c in ("target", "background")]
-        shared = docs.sparkSession.sparkContext.broadcast((self.hot, code[order], table))
-        slim = docs.select(F.col(key).alias("key"), F.col(text), F.monotonically_increasing_id())
+        return code[order], [self.values[x].losses(code[order], table.column(x).to_numpy()[order]).astype(np.float32) for x in self.kinds]
+
+    def losses(self, docs: DataFrame, key: str, facts: Callable[[list[str]], dict[str, np.ndarray]] | None = None, fact_names: Sequence[str] = ()) -> DataFrame:
+        """Of every row of ``docs``: key, group (its number), n_tokens, loss_n (and loss_t), the sums of minus log probabilities of its
+        words, and the ``facts`` (integers) that are asked of its text along the way."""
+        of, kinds, names = self._of(), self.kinds, ["group", *fact_names]
+        shared = docs.sparkSession.sparkContext.broadcast((self.lexicon, [self.values[x] for x in kinds], *self._hot()))
+        slim = docs.select(F.col(key).alias("key"), F.col(self.text), self.name, F.monotonically_increasing_id())
         kind = slim.schema[0].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hot, codes, (target, background) = shared.value
+            lexicon, _, hot, hot_losses = shared.value
             for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                row = batch.column(2).to_numpy()
+                texts, groups, row = [t or "" for t in batch.column(1).to_pylist()], of(batch.column(2).to_pylist()), batch.column(3).to_numpy()
                 for i, j in slices(texts, SLICE):
-                    b, c, first = _pairs(texts[i:j], hot)
-                    n = np.diff(first)
-                    doc = np.repeat(np.arange(j - i), n)
-                    own = np.where((b >= 0) & (c >= 0), b << 16 | c, -1)
-                    at = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
-                    met = codes[at] == own if len(codes) else np.zeros(len(own), bool)
-                    sums = [np.bincount(doc[met], x[at[met]], j - i).astype(np.float64) for x in (target, background)]
+                    code, first = lexicon.pairs(texts[i:j], groups[i:j])
+                    doc = np.repeat(np.arange(j - i), np.diff(first))
+                    distinct, place = np.unique(code, return_inverse=True)
+                    at, hit = _find(hot, distinct)
+                    met = hit[place]
+                    sums = np.stack([np.bincount(doc[met], x[at[place[met]]], j - i) for x in hot_losses]) if len(hot) else np.zeros((len(kinds), j - i))
+                    told = facts(texts[i:j]) if facts else {}
+                    columns = np.stack([groups[i:j], *(told[c] for c in fact_names)])
                     rest = np.flatnonzero(~met)
-                    m = len(rest)
-                    arrays = [
-                        pa.array(np.concatenate([row[i:j], row[i:j][doc[rest]]])),
-                        pa.concat_arrays([batch.column(0).slice(i, j - i), pa.nulls(m, batch.column(0).type)]),
-                        pa.array(np.concatenate([np.full(j - i, NO_WORD), b[rest]])),
-                        pa.array(np.concatenate([row[i:j], c[rest]])),
-                        pa.array(np.concatenate([n, np.zeros(m, np.int64)])),
-                        *(pa.array(np.concatenate([x, np.zeros(m)])) for x in sums),
-                    ]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["row", "key", "b", "c", "n_tokens", "t", "n"])
-
-        met = slim.mapInArrow(run, f"row long, key {kind}, b long, c long, n_tokens long, t double, n double")
-        every = met.join(self.scored(self.pairs), ["b", "c"], "left")
-        add = lambda x, y: F.sum(F.col(x) + F.coalesce(F.col(y), F.lit(0.0))).alias(y)
-        return every.groupBy("row").agg(F.max("key").alias(key), F.sum("n_tokens").alias("n_tokens"), add("t", "target"), add("n", "background")).drop("row")
+                    bucket = lexicon.bucket(distinct)[place[rest]]
+                    order = np.argsort(bucket * len(distinct) + place[rest], kind="stable")
+                    rest, bucket = rest[order], bucket[order]
+                    parts = [(int(bucket[a]), seal(np.diff(code[rest[a:b]], prepend=0)), seal(doc[rest[a:b]])) for a, b in _segments(bucket)]
+                    n, none = 1 + len(parts), [None] * len(parts)
+                    keys = batch.column(0).slice(i, j - i)
+                    offsets = pa.array([0, *[j - i] * n], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row[i]] * n, pa.int64()),
+                            pa.array([-1 - int(row[i]) % 1024, *(p[0] for p in parts)], pa.int64()),
+                            pa.ListArray.from_arrays(offsets, keys),
+                            pa.array([np.diff(first).tolist(), *none], pa.list_(pa.int64())),
+                            pa.array([columns.ravel().tolist(), *none], pa.list_(pa.int64())),
+                            pa.array([None, *(p[1] for p in parts)], pa.binary()),
+                            pa.array([None, *(p[2] for p in parts)], pa.binary()),
+                            pa.array([sums.astype(np.float64).tobytes(), *none], pa.binary()),
+                        ],
+                        names=fields,
+                    )
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not right.num_rows:
+                return left
+            _, values, _, _ = shared.value
+            codes = np.cumsum(unseal(right.column("codes")[0].as_py()))
+            tables = [v.losses(codes, unseal(right.column(x)[0].as_py())) for x, v in zip(kinds, values)]
+            docs_of, sums_of = [], []
+            for own, placed in zip(left.column("codes").to_pylist(), left.column("docs").to_pylist()):
+                code, doc = np.cumsum(unseal(own)), unseal(placed)
+                at, hit = _find(codes, code)
+                found, place = np.unique(doc, return_inverse=True)
+                none = np.zeros(np.count_nonzero(~hit), np.int64)
+                sums = []
+                for table, v in zip(tables, values):
+                    each = table[at]
+                    each[~hit] = v.losses(code[~hit], none)
+                    sums.append(np.bincount(place, each, len(found)))
+                docs_of.append(seal(found))
+                sums_of.append(np.stack(sums).astype(np.float32).tobytes())
+            nothing = pa.nulls(left.num_rows, pa.binary())
+            return left.set_column(5, "codes", nothing).set_column(6, "docs", pa.array(docs_of, pa.binary())).set_column(7, "sums", pa.array(sums_of, pa.binary()))
+
+        def total(table: pa.Table) -> pa.Table:
+            table = table.sort_by("bucket")  # the documents themselves come first
+            keys, n, told = (table.column(c)[0].values for c in ("keys", "n", "facts"))
+            size = len(keys)
+            sums = np.frombuffer(table.column("sums")[0].as_py(), np.float64).reshape(len(kinds), size).copy()
+            for placed, own in zip(table.column("docs").to_pylist()[1:], table.column("sums").to_pylist()[1:]):
+                doc = unseal(placed)
+                sums[:, doc] += np.frombuffer(own, np.float32).reshape(len(kinds), len(doc))
+            told = told.to_numpy().reshape(len(names), size)
+            return pa.table([keys, n, *map(pa.array, sums), *map(pa.array, told)], names=["key", "n_tokens", *(f"loss_{x}" for x in kinds), *names])
+
+        fields = ["slice", "bucket", "keys", "n", "facts", "codes", "docs", "sums"]
+        ddl = f"slice long, bucket long, keys array<{kind}>, n array<long>, facts array<long>, codes binary, docs binary, sums binary"
+        parts = slim.mapInArrow(run, ddl)
+        scored = parts.groupBy("bucket").cogroup(self.pairs.groupBy("bucket")).applyInArrow(score, ddl)
+        out = scored.groupBy("slice").applyInArrow(total, f"key {kind}, n_tokens long" + "".join(f", loss_{x} double" for x in kinds) + "".join(f", {c} long" for c in names))
+        return out.withColumnRenamed("key", key)
