@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint, slices
-from .ngrams import Model, count_ngrams, gather
+from .word_lm import Model
 from .words import Words
 
-#: Half the width of a language's band, in loss a character: so many times its usual deviation (which falls with the square
-#: root of the length), and this much at least.
-DEVIATIONS, MARGIN = 5.0, 0.08
+#: Half the width of a language's band, in loss a word: so many times its usual deviation (which falls with the square root of
+#: the number of words), and this much at least above and below the median. Copies of a text lower each other's loss.
+DEVIATIONS, ABOVE, BELOW = 5.0, 1.0, 3.0
 #: A document fails the base rules with fewer words, or with more of them (in percent) in repeated windows of REPEAT_WINDOW words.
 LEAST_WORDS, MOST_REPEATED, REPEAT_WINDOW = 20, 30, 8
 
@@ -73,59 +71,45 @@ def prose(texts: list[str]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: Model, key: str, text: str, lang: str) -> DataFrame:
-    """key, lang, the base counts, n_chars and loss (minus log probability of the text under its language's model)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            langs = np.array(batch.column(2).to_pylist(), object)
-            loss, counts = np.zeros(len(texts)), {k: np.zeros(len(texts), np.int64) for k in _BASE}
-            for a, b in slices(texts):
-                for k, v in base_counts(texts[a:b]).items():
-                    counts[k][a:b] = v
-            for name in set(langs.tolist()):
-                own = np.flatnonzero(langs == name)
-                loss[own] = shared.value.losses([name], [texts[i] for i in own])[:, 0]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(counts[k]) for k in _BASE), pa.array([len(t) for t in texts], pa.int64()), pa.array(loss)],
-                names=["_key", "lang", *_BASE, "n_chars", "loss"],
-            )
-
-    slim = docs.select(F.col(key), F.col(text), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
-    kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(run, f"_key {kind}, lang string, " + "".join(f"{k} long, " for k in _BASE) + "n_chars long, loss double")
+def _middle(rows: DataFrame, value: Column, shares: list[float], step: float) -> DataFrame:
+    """Quantiles of ``value`` by group, to ``step``: exact counts of a fine histogram, which no order of rows changes. Of its
+    places, those of no value left out, the first with a share of the rows up to it."""
+    places = rows.select("group", F.round(value / step).cast("long").alias("place")).groupBy("group", "place").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("group").orderBy("place"))
+    whole = F.sum("n").over(Window.partitionBy("group"))
+    return places.select("group", "place", (upto / whole).alias("share")).groupBy("group").agg(*(F.min(F.when(F.col("share") >= q, F.col("place") * step)).alias(f"q{k}") for k, q in enumerate(shares)))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Base rules and perplexity bands for every document.
 
-    Spark counts the character 4-grams of all prose (documents that pass the base rules and have few symbols) by language; a modified Kneser-Ney model of each language scores each
-    document's perplexity. A language's band lies about the median of its documents' losses. Its half-width is
-    DEVIATIONS usual deviations plus MARGIN, where the usual deviation of a text of n characters is the language's
+    Spark counts the pairs of words of all prose (documents that pass the base rules and have few symbols) by language; a modified
+    Kneser-Ney model of each language scores each document's perplexity (see ``word_lm``: pairs are stored as sorted arrays of
+    hashed codes and meet documents in a shuffle). A language's band lies about the median of its documents' losses a word: its
+    halves are DEVIATIONS usual deviations, plus ABOVE or BELOW, where the usual deviation of a text of n words is the language's
     interquartile deviation of sqrt(n) * (loss - median), divided by sqrt(n): short texts vary more.
 
     Returns key, n_words, word_chars (code points in words), n_symbols (of #*$%&|<>), n_dup_lines (lines with a word, equal to
     an earlier one), n_repeat_words (words in 8-word windows that occur twice or more in the text), base_failed, kept, and the
-    verdict's perplexity, perplexity_low and perplexity_high. A null text counts as empty: without words, it fails. A null
-    language is a language of its own. Null keys and repeated rows are judged as any other row; an empty table gives an empty
-    table; other columns are dropped.
+    verdict's perplexity, perplexity_low and perplexity_high. A null text counts as empty: without words, it fails. A null or
+    empty language is a language of its own; beyond the 65,535 languages of most documents, all others are one. A text without
+    a word that the models know of has a perplexity of 1. Null keys and repeated rows are judged as any other row; an empty table
+    gives an empty table; other columns are dropped.
     """
-    counts = gather(count_ngrams(docs, F.coalesce(F.col(lang).cast("string"), F.lit("")), text, prose))
-    scored = checkpoint(score(docs, Model(counts), key, text, lang))
-    rate = F.col("loss") / F.greatest(F.col("n_chars"), F.lit(1))
-    worded = scored.filter("n_words > 0").withColumn("rate", rate)
-    middle = checkpoint(worded.groupBy("lang").agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle")))
+    model = Model(docs, text, group=F.col(lang), among=prose)
+    scored = checkpoint(model.losses(docs, key, base_counts, _BASE).withColumnRenamed(key, "_key"))
+    rate = F.round(F.col("loss_n") / F.greatest(F.col("n_tokens"), F.lit(1)), 9)
+    worded = scored.filter("n_tokens > 0").withColumn("rate", rate)
+    middle = checkpoint(_middle(worded, F.col("rate"), [0.5], 0.001).withColumnRenamed("q0", "middle"))
     small = (lambda df: F.broadcast(df)) if middle.count() <= BROADCAST_LANGUAGES else (lambda df: df)
-    spread = F.percentile_approx((F.col("rate") - F.col("middle")) * F.sqrt("n_chars"), [0.25, 0.75], 10_000)
-    usual = worded.join(small(middle), "lang").groupBy("lang").agg(F.first("middle").alias("middle"), spread.alias("s"))
-    bands = usual.select("lang", "middle", ((F.col("s")[1] - F.col("s")[0]) / 1.349).alias("usual"))
-    half = F.lit(DEVIATIONS) * F.col("usual") / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1))) + F.lit(MARGIN)
+    off = worded.join(small(middle), "group")
+    spread = _middle(off, (F.col("rate") - F.col("middle")) * F.sqrt("n_tokens"), [0.25, 0.75], 0.01)
+    bands = middle.join(spread, "group").select("group", "middle", ((F.col("q1") - F.col("q0")) / 1.349).alias("usual"))
+    usual = F.lit(DEVIATIONS) * F.col("usual") / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
     failed = fails_base({k: F.col(k) for k in _BASE})
-    judged = scored.join(small(bands), "lang", "left").select(
+    judged = scored.join(small(bands), "group", "left").select(
         F.col("_key").alias(key), *_BASE, failed.alias("base_failed"),
-        F.exp(rate).alias("perplexity"), F.exp(F.col("middle") - half).alias("perplexity_low"), F.exp(F.col("middle") + half).alias("perplexity_high"),
+        F.exp(rate).alias("perplexity"), F.exp(F.col("middle") - usual - BELOW).alias("perplexity_low"), F.exp(F.col("middle") + usual + ABOVE).alias("perplexity_high"),
     )
     within = F.coalesce(F.col("perplexity").between(F.col("perplexity_low"), F.col("perplexity_high")), F.lit(False))
     return judged.select(key, *_BASE, "base_failed", (~F.col("base_failed") & within).alias("kept"), "perplexity", "perplexity_low", "perplexity_high")

@@ -116,9 +116,11 @@ def _segments(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class Lexicon:
-    """Numbers of words: 0 to size - 1 by hash, then an unknown word for each group, then the start of a text for each group."""
+    """Numbers of words: 0 to size - 1 by hash, then an unknown word for each group, then the start of a text for each group. An
+    unknown word stands for as many words as the group has without a number: ``rare``."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, groups: np.ndarray, n_groups: int, total: int) -> None:
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, groups: np.ndarray, rare: np.ndarray, total: int) -> None:
+        n_groups, self.log_rare = len(rare), np.log(np.maximum(rare, 1))
         self.hashes, self.size, self.n_groups = hashes, len(hashes), n_groups
         self.group = np.concatenate([groups, np.arange(n_groups), np.arange(n_groups)]).astype(np.int32)
         self.buckets = max(1, -(-total // BUCKET))
@@ -170,7 +172,7 @@ class Values:
     def __init__(self, lexicon: Lexicon, tally: dict[str, np.ndarray]) -> None:
         group, before = lexicon.group, tally["before"]
         by_group = lambda weights: np.bincount(group, weights, lexicon.n_groups)
-        self.group = group
+        self.group, self.size, self.log_rare = group, lexicon.size, lexicon.log_rare
         self.discounts = np.array([_discounts(of) for of in np.stack([by_group(tally[f"of{k}"]) for k in (1, 2, 3, 4)], 1)])
         d1 = np.array([_discounts(of) for of in np.stack([by_group(before == k) for k in (1, 2, 3, 4)], 1)])
         taken = d1[group, np.minimum(before, 3)]
@@ -185,7 +187,8 @@ class Values:
         """Minus log probabilities of the pairs with these codes, which the model has counted so often."""
         b, c = code >> BITS, code & (1 << BITS) - 1
         seen = (n - self.discounts[self.group[b], np.minimum(n, 3)]) / np.maximum(self.total[b], 1)
-        return -np.log(np.maximum(seen, 0.0) + self.back[b] * self.p[c].astype(np.float64))
+        known = -np.log(np.maximum(seen, 0.0) + self.back[b] * self.p[c].astype(np.float64))
+        return np.where(c < self.size, known, known + self.log_rare[self.group[c]])
 
 
 class Model:
@@ -228,10 +231,13 @@ class Model:
         counted = checkpoint(slim.mapInArrow(run, "w long, g int, n long").groupBy("w").agg(F.first("g").alias("g"), F.sum("n").alias("n")))
         least = _threshold(counted.withColumn("rows", F.lit(1)), VOCABULARY, 2)
         total = counted.agg(F.sum("n")).first()[0] or 0
+        rare = np.zeros(len(self.groups) + 1, np.int64)
+        for r in counted.filter(F.col("n") < least).groupBy("g").agg(F.count(F.lit(1)).alias("rows")).collect():
+            rare[r["g"]] = r["rows"]
         top = counted.filter(F.col("n") >= least).toArrow()
         order = np.argsort(top.column("w").to_numpy())
         hashes, groups, n = (top.column(c).to_numpy()[order] for c in ("w", "g", "n"))
-        return Lexicon(hashes, n, groups, len(self.groups) + 1, total)
+        return Lexicon(hashes, n, groups, rare, total)
 
     def _count(self, docs: DataFrame, flag: Column | None, among: Callable | None) -> DataFrame:
         """bucket, codes (ascending), n and t of each bucket of pairs."""
@@ -359,11 +365,12 @@ class Model:
                     )
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not right.num_rows:
-                return left
+            if left.num_rows and left.column("bucket")[0].as_py() < 0:
+                return left  # the documents themselves
             _, values, _, _ = shared.value
-            codes = np.cumsum(unseal(right.column("codes")[0].as_py()))
-            tables = [v.losses(codes, unseal(right.column(x)[0].as_py())) for x, v in zip(kinds, values)]
+            counted = {c: unseal(right.column(c)[0].as_py()) if right.num_rows else np.zeros(0, np.int64) for c in ("codes", *kinds)}
+            codes = np.cumsum(counted["codes"])
+            tables = [v.losses(codes, counted[x]) for x, v in zip(kinds, values)]
             docs_of, sums_of = [], []
             for own, placed in zip(left.column("codes").to_pylist(), left.column("docs").to_pylist()):
                 code, doc = np.cumsum(unseal(own)), unseal(placed)
@@ -372,8 +379,8 @@ class Model:
                 none = np.zeros(np.count_nonzero(~hit), np.int64)
                 sums = []
                 for table, v in zip(tables, values):
-                    each = table[at]
-                    each[~hit] = v.losses(code[~hit], none)
+                    each = np.zeros(len(code))
+                    each[hit], each[~hit] = table[at[hit]], v.losses(code[~hit], none)
                     sums.append(np.bincount(place, each, len(found)))
                 docs_of.append(seal(found))
                 sums_of.append(np.stack(sums).astype(np.float32).tobytes())

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratograph.llm import bpe, near_dedup, ngrams, packing, privacy, queries, search, sharding, toxicity
+from stratograph.llm import bpe, near_dedup, packing, privacy, queries, search, sharding, toxicity
 from stratograph.llm.words import Words
 
 SF = "/root/testdata/sf0.001"
@@ -255,26 +255,6 @@ def test_quality_base_counts(spark, texts):
         assert not (r["kept"] and r["base_failed"])
 
 
-def test_kneser_ney_probabilities_add_up():
-    text = "the theory of the thing that then thought through " * 3 + "and another one, entirely."
-    code, _ = ngrams.codes([text])
-    found, n = np.unique(code, return_counts=True)
-    model = ngrams.Model({"x": (found.astype(np.int64), n)})
-    for context in [*set((found >> 6).tolist()), 12345, 0]:
-        p = np.exp(model.log_probability("x", (context << 6) + np.arange(64)))
-        assert abs(p.sum() - 1) < 1e-5
-    assert abs(model.losses(["x"], [text])[0, 0] + model.log_probability("x", code.astype(np.int64)).sum()) < 1e-2
-
-
-def test_counts_are_those_of_characters(spark):
-    rows = [("a", "abab"), ("a", "ab"), ("b", ""), (None, "x")]
-    counted = ngrams.count_ngrams(spark.createDataFrame(rows, "g string, text string"), F.col("g"), "text").collect()
-    total = collections.Counter()
-    for r in counted:
-        total[r["group"]] += r["n"]
-    assert total == {"a": 6, None: 1}
-
-
 def test_lm_scores_of_held_out_labels(spark):
     """Rows whose labels the target model has not seen: scores of good ones are lower more often than not."""
     folder = "/root/testdata/sf0.01"
