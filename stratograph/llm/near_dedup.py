@@ -43,6 +43,10 @@ BLOCK = 512
 #: similarity 0.75 a pair differs in 120 on average, with a deviation of 9.6.
 SKETCHED, MOST_UNEQUAL = 512, 154
 LONGS = SKETCHED // 16
+#: What is looked at first: so many numbers of a sketch, in which 15 coordinates differ on average, with a deviation of 3.4.
+GLANCE, MOST_AT_A_GLANCE = 4, 30
+#: Members of a node's main label that others are compared with for second links, and the least size of a label for it.
+PIVOTS, LEAST_MAIN = 8, 16
 #: Pairs whose sets are compared in one group.
 CELL = 4096
 #: Keys up to this many (some 30 MB in a hash table) are sent to all executors; more are joined by shuffling.
@@ -162,8 +166,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
     return placed.groupBy("cell").cogroup(needed.join(sets, "id").groupBy("into")).applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def _unequal() -> Column:
-    """In how many coordinates two sketches (columns s0 to ..., and the same with x_ before) differ."""
+def _unequal(longs: int = LONGS) -> Column:
+    """In how many coordinates two sketches (columns s0 to ..., and the same with x_ before), or their first numbers, differ."""
 
     def one(name: str) -> Column:
         x = F.col(name).bitwiseXOR(F.col(f"x_{name}"))
@@ -171,7 +175,22 @@ def _unequal() -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-    return reduce(lambda x, y: x + y, map(one, _SKETCH))
+    return reduce(lambda x, y: x + y, map(one, _SKETCH[:longs]))
+
+
+def _alike() -> Column:
+    return (_unequal(GLANCE) <= MOST_AT_A_GLANCE) & (_unequal() <= MOST_UNEQUAL)
+
+
+def _to_main(found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """A pair (a, b) for each document outside a large main label: of some PIVOTS of that label's members in each of its nodes, the
+    one with the most similar sketch, if similar enough."""
+    crowd = found.filter(F.col("most") >= LEAST_MAIN)
+    chosen = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("most") / PIVOTS)) == 0
+    y = crowd.filter((F.col("label") == F.col("main")) & chosen).select("node", "id").join(sketches, "id")
+    x = crowd.filter("label != main").select("node", "id").join(sketches, "id").select("node", *(F.col(c).alias(f"x_{c}") for c in ("id", *_SKETCH)))
+    near = x.join(y, "node").filter(_alike()).select(F.col("x_id").alias("a"), "id", _unequal().alias("off"))
+    return near.groupBy("a").agg(F.min_by("id", F.struct("off", "id")).alias("b"))
 
 
 def _met(done: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -183,7 +202,7 @@ def _met(done: DataFrame, sketches: DataFrame) -> DataFrame:
     y = each.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
     x = each.filter("label != main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "main")
     x = x.select("node", "block", *(F.col(c).alias(f"x_{c}") for c in ("id", "label", "nodes", *_SKETCH)))
-    once = F.expr("label != x_label AND (label = main OR x_id < id)") & (_unequal() <= MOST_UNEQUAL) & (F.array_min(F.array_intersect("nodes", "x_nodes")) == F.col("node"))
+    once = F.expr("label != x_label AND (label = main OR x_id < id)") & _alike() & (F.array_min(F.array_intersect("nodes", "x_nodes")) == F.col("node"))
     return x.join(y, ["node", "block"]).filter(once).select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"))
 
 
@@ -212,15 +231,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     links = checkpoint(_confirmed(star, docs, key, text, size, percent))
     labels = checkpoint(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    # then whatever the trees bring together under different labels
+    # nodes with several labels, and how their members are labelled
     def labelled(nodes: DataFrame) -> DataFrame:
         named = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         counts = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
-        mixed = counts.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("labels"), F.max_by("label", "c").alias("main"))
+        mixed = counts.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("labels"), F.max_by("label", "c").alias("main"), F.max("c").alias("most"))
         small = F.expr(f"(n * n - q) / 2 <= {PAIRS_A_MEMBER} * n")
-        mixed = mixed.filter("labels > 1").select("node", small.alias("small"), "main", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        mixed = mixed.filter("labels > 1").select("node", small.alias("small"), "main", "most", F.ceil(F.col("n") / BLOCK).alias("blocks"))
         return checkpoint(named.join(mixed, "node"))
 
+    # second links: what the least of the node-mates did not link to a large label, by others of that label
+    second = checkpoint(_confirmed(_to_main(labelled(members.select("node", "tree", "id")), sketches), docs, key, text, size, percent))
+    if not second.isEmpty():
+        links = links.union(second)
+        labels = checkpoint(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    # then whatever the trees bring together under different labels
     candidates: list[DataFrame] = []
     level, nodes, deep = 1, members.select("node", "tree", "id"), None
     while True:
