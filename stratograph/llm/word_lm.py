@@ -29,7 +29,9 @@ GROUPS = 1 << 16
 #: Bits of a number: words, then for each group its unknown word and the start of a text.
 BITS = 21
 #: Words of the corpus to a bucket of pairs, and the commonest pairs, which are scored where they are met.
-BUCKET, HOT_PAIRS = 1 << 20, 1 << 19
+BUCKET, HOT_PAIRS = 1 << 21, 1 << 20
+#: Leading bits of a word's hash that tell its bucket when words are counted.
+WORD_BITS = 8
 #: Characters that are looked at together.
 SLICE = 1 << 22
 #: Signs that part words and are no words themselves, and scripts of which each character is a word.
@@ -216,7 +218,12 @@ class Model:
         return lambda names: np.fromiter((groups.get(x, 0) for x in names), np.int64, len(names))
 
     def _vocabulary(self, docs: DataFrame) -> Lexicon:
-        of, many = self._of(), bool(self.groups)
+        of, many, rest = self._of(), bool(self.groups), 63 - WORD_BITS
+
+        def sealed(found: np.ndarray, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            bucket = found >> rest
+            rows = [(int(bucket[a]), *(seal(x) for x in (np.diff(found[a:b], prepend=bucket[a] << rest), g[a:b], n[a:b]))) for a, b in _segments(bucket)]
+            return pa.RecordBatch.from_pylist([dict(zip(("bucket", "w", "g", "n"), r)) for r in rows], schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -225,16 +232,38 @@ class Model:
                     found, first = words(texts[i:j])
                     own = np.repeat(groups[i:j], np.diff(first))
                     found, at, n = np.unique(_of_groups(found, own) if many else found, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(own[at].astype(np.int32)), pa.array(n.astype(np.int64))], names=["w", "g", "n"])
+                    yield sealed(found, own[at], n)
+
+        def opened(bucket: int, w: bytes, g: bytes, n: bytes) -> list[np.ndarray]:
+            return [(bucket << rest) + np.cumsum(unseal(w)), unseal(g), unseal(n)]
+
+        def merge(table: pa.Table) -> pa.Table:
+            found, g, n = (np.concatenate(x) for x in zip(*(opened(*r.values()) for r in table.to_pylist())))
+            found, at, place = np.unique(found, return_index=True, return_inverse=True)
+            return pa.Table.from_batches([sealed(found, g[at], np.bincount(place, n).astype(np.int64))])
 
-        slim = docs.select(F.col(self.text), self.name)
-        counted = checkpoint(slim.mapInArrow(run, "w long, g int, n long").groupBy("w").agg(F.first("g").alias("g"), F.sum("n").alias("n")))
-        least = _threshold(counted.withColumn("rows", F.lit(1)), VOCABULARY, 2)
-        total = counted.agg(F.sum("n")).first()[0] or 0
+        def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    _, g, n = opened(*r.values())
+                    both, rows = np.unique(np.stack([g, n]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(rows.astype(np.int64))], names=["g", "n", "rows"])
+
+        def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    arrays = opened(*r.values())
+                    yield pa.RecordBatch.from_arrays([pa.array(x[arrays[2] >= least]) for x in arrays], names=["w", "g", "n"])
+
+        schema, ddl = pa.schema([("bucket", pa.int64()), ("w", pa.binary()), ("g", pa.binary()), ("n", pa.binary())]), "bucket long, w binary, g binary, n binary"
+        counted = checkpoint(docs.select(F.col(self.text), self.name).mapInArrow(run, ddl).groupBy("bucket").applyInArrow(merge, ddl))
+        places = checkpoint(counted.mapInArrow(numbers, "g long, n long, rows long").groupBy("g", "n").agg(F.sum("rows").alias("rows")))
+        least = _threshold(places, VOCABULARY, 2)
+        total = places.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
         rare = np.zeros(len(self.groups) + 1, np.int64)
-        for r in counted.filter(F.col("n") < least).groupBy("g").agg(F.count(F.lit(1)).alias("rows")).collect():
+        for r in places.filter(F.col("n") < least).groupBy("g").agg(F.sum("rows").alias("rows")).collect():
             rare[r["g"]] = r["rows"]
-        top = counted.filter(F.col("n") >= least).toArrow()
+        top = counted.mapInArrow(common, "w long, g long, n long").toArrow()
         order = np.argsort(top.column("w").to_numpy())
         hashes, groups, n = (top.column(c).to_numpy()[order] for c in ("w", "g", "n"))
         return Lexicon(hashes, n, groups, rare, total)
