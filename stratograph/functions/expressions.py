@@ -21,7 +21,7 @@ def _cascade(rules: Iterable[tuple[Column, str]]) -> Column:
 
 def trim_java(value: Column) -> Column:
     """Trim as Java does: every character up to the space, control characters included."""
-    return F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(value, F.lit("".join(map(chr, range(0x21)))))
 
 
 def is_blank(value: Column) -> Column:
@@ -97,7 +97,8 @@ def is_stop_listed(name: Column) -> Column:
 
 def is_ignored(name: Column) -> Column:
     """Whether a normalized type name stays out of the graph."""
-    return name.isNull() | is_blank(name) | name.rlike("^[A-Z]$") | name.endswith("[]") | is_primitive(name) | is_stop_listed(name)
+    odd = name.rlike(r"^(\s*|[A-Z])$|\[\]\z")  # blank, a single capital, an array
+    return F.coalesce(name.isin(*fixed.PRIMITIVES, *fixed.IGNORED_TYPES) | odd, F.lit(True))
 
 
 # names, folders, packages

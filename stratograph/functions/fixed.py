@@ -39,10 +39,10 @@ IGNORED_TYPES = (
 )
 #: Layer rules: source role, target role, allowed. Pairs without a rule are allowed.
 LAYER_RULES = (
-    ("CONTROLLER", "SERVICE", True), ("CONTROLLER", "REPOSITORY", False), ("CONTROLLER", "ENTITY", False), ("CONTROLLER", "DTO", True),
+    ("CONTROLLER", "SERVICE", True), ("CONTROLLER", "DTO", True), ("CONTROLLER", "REPOSITORY", False), ("CONTROLLER", "ENTITY", False),
     ("SERVICE", "REPOSITORY", True), ("SERVICE", "ENTITY", True), ("SERVICE", "DTO", True),
     ("REPOSITORY", "ENTITY", True), ("REPOSITORY", "CONTROLLER", False), ("REPOSITORY", "DTO", False),
-    ("ENTITY", "CONTROLLER", False), ("ENTITY", "SERVICE", False), ("DTO", "ENTITY", True), ("DTO", "REPOSITORY", False),
+    ("ENTITY", "CONTROLLER", False), ("ENTITY", "SERVICE", False), ("DTO", "REPOSITORY", False), ("DTO", "ENTITY", True),
 )
 COUNTED_LAYERS = ("CONTROLLER", "SERVICE", "REPOSITORY", "ENTITY", "COMPONENT", "CONFIGURATION")
 #: Roles and the folder kind of their classes; other roles and none go to COMMON. Folder kinds and their directory names.

@@ -37,18 +37,24 @@ def type_references(classes: DataFrame) -> DataFrame:
     return rows.select("project_id", "file_seq", F.col("ref_seq").cast("long").alias("ref_seq"), "r.*")
 
 
+def named(refs: DataFrame, name: str) -> DataFrame:
+    """``refs`` with the normalized type as ``name``. It is generated, not projected, so that no later filter or join writes its
+    long expression out again for each place that names it."""
+    return refs.withColumn(name, F.explode(F.array(E.normalize_type(F.col("raw_type")))))
+
+
 def resolved(classes: DataFrame, refs: DataFrame) -> DataFrame:
     """References that enter the graph, with the attributes of their own file and of what they resolve to (null: external)."""
-    named = refs.withColumn("dst", E.normalize_type(F.col("raw_type"))).filter(~E.is_ignored(F.col("dst")))
+    entering = named(refs, "dst").filter(~E.is_ignored(F.col("dst")))
     own = classes.select("project_id", "file_seq", F.col("class_name").alias("src"), F.col("package_name").alias("src_package"), F.col("component_type").alias("src_type"))
     known = registry(classes).select("project_id", F.col("class_name").alias("dst"), F.col("package_name").alias("dst_package"), F.col("component_type").alias("dst_type"))
-    return named.join(own, ["project_id", "file_seq"]).join(known, ["project_id", "dst"], "left")
+    return entering.join(own, ["project_id", "file_seq"]).join(known, ["project_id", "dst"], "left")
 
 
 def type_errors(refs: DataFrame) -> DataFrame:
     """References whose type cannot be normalized, as rows of the error table."""
     message = F.concat(F.lit("cannot normalize type "), F.col("raw_type"))
-    return refs.filter(E.type_error(F.col("raw_type"))).select("project_id", F.lit("JavaParsing").alias("kind"), F.lit(400).alias("http_status"), message.alias("message"))
+    return named(refs, "name").filter("name IS NULL").select("project_id", F.lit("JavaParsing").alias("kind"), F.lit(400).alias("http_status"), message.alias("message"))
 
 
 def edges(found: DataFrame, null_sources: bool = True) -> DataFrame:
@@ -100,6 +106,15 @@ def components(graph_edges: DataFrame, graph_nodes: DataFrame | None = None) ->
     return graph_nodes.select("project_id", "class_name").join(found, ["project_id", "class_name"], "full").withColumn("label", F.coalesce("label", "class_name"))
 
 
+def reachable(graph_nodes: DataFrame, graph_edges: DataFrame, role: str = "CONTROLLER") -> DataFrame:
+    """What undirected paths reach from each node of a role, as a set: project_id, start, class_name (null: files without a class).
+    It is the start's component; nothing is walked."""
+    members = components(graph_edges, graph_nodes)
+    starts = graph_nodes.filter(F.col("component_type") == role).select("project_id", F.col("class_name").alias("start"))
+    labelled = starts.join(members.withColumnRenamed("class_name", "start"), ["project_id", "start"])
+    return labelled.join(members, ["project_id", "label"]).select("project_id", "start", F.nullif(F.col("class_name"), F.lit(NO_CLASS)).alias("class_name"))
+
+
 def _per_project(graph_nodes: DataFrame, graph_edges: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``run`` on the ordered nodes and edges of each project. One project's graph fits a worker: it is one code base."""
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder (spark.checkpoint.dir) and cut its lineage. Only a session that
-    names no folder, as in a local test, gets one of its own."""
+    """Write ``df`` to the cluster's shared checkpoint folder (spark.checkpoint.dir) and cut its lineage. Only a local session that
+    names no folder, as in a test, gets one of its own; on a cluster it is an error to name none."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

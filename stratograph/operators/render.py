@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import fixed
+from ..sources.archives import shown_id
 
 
 def plantuml(edges: DataFrame) -> DataFrame:
@@ -65,5 +66,5 @@ def response(success: Column, message: Column, data: Column) -> Column:
 
 def upload_response(projects: DataFrame) -> DataFrame:
     """For accepted projects (project_id, project_name, file_size): the response, whose status is always UPLOADED."""
-    data = F.struct(F.col("project_id").alias("projectId"), F.col("project_name").alias("projectName"), F.col("file_size").alias("fileSize"), F.lit("UPLOADED").alias("status"))
+    data = F.struct(shown_id(F.col("project_id")).alias("projectId"), F.col("project_name").alias("projectName"), F.col("file_size").alias("fileSize"), F.lit("UPLOADED").alias("status"))
     return projects.select("project_id", response(F.lit(True), F.lit("Project uploaded successfully."), data).alias("response"))

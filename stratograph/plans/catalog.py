@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..functions import fixed
 from ..operators import analysis, graph, modules, render
+from ..operators.lineage import checkpoint
 from ..sources import archives, java
 from . import codebase
 
@@ -57,25 +58,23 @@ nodes AS (SELECT * FROM (SELECT project_id, class_name, file_seq, -1 AS ref_seq,
   QUALIFY row_number() OVER (PARTITION BY project_id, class_name ORDER BY file_seq, ref_seq) = 1)
 """
 _SHOP = f"WITH sales AS ({codebase.duckdb_sql(codebase.SALES)}), raw_classes AS ({codebase.duckdb_sql(codebase.CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.REFERENCES)}), {_GRAPH} "
-_SPARSE = (
-    f"WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.SPARSE_REFERENCES)}), "
-    + _GRAPH.partition("FROM raw_classes),")[2]
-    + """,
-links AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-reach AS (SELECT class_name AS start, class_name AS member FROM nodes UNION SELECT start, b FROM reach JOIN links ON member = a),
-labels AS (SELECT start AS class_name, min(member) AS label FROM reach GROUP BY 1),
-members AS (SELECT n.project_id, m.class_name AS module_name, n.class_name, n.component_type, n.package_name FROM nodes m JOIN reach ON start = m.class_name JOIN nodes n ON n.class_name = member
-  WHERE m.component_type = 'CONTROLLER'),
-ends AS (SELECT min(string_split(package_name, '.')) AS a, max(string_split(package_name, '.')) AS b FROM members),
-base AS (SELECT coalesce(array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[1:i] = b[1:i]), lambda i: a[i]), '.'), '') AS base_package FROM ends)
+_MODULES = _GRAPH.partition("FROM raw_classes),")[2] + """,
+links AS (SELECT project_id, src AS a, dst AS b FROM edges UNION SELECT project_id, dst, src FROM edges),
+reach AS (SELECT project_id, class_name AS start, class_name AS member FROM nodes UNION SELECT r.project_id, start, b FROM reach r JOIN links l ON member = a AND r.project_id = l.project_id),
+labels AS (SELECT project_id, start AS class_name, min(member) AS label FROM reach GROUP BY 1, 2),
+members AS (SELECT n.project_id, m.class_name AS module_name, n.class_name, n.component_type, n.package_name FROM nodes m JOIN reach r ON r.start = m.class_name AND r.project_id = m.project_id
+  JOIN nodes n ON n.class_name = member AND n.project_id = r.project_id WHERE m.component_type = 'CONTROLLER'),
+ends AS (SELECT project_id, min(string_split(package_name, '.')) AS a, max(string_split(package_name, '.')) AS b FROM members GROUP BY 1),
+base AS (SELECT project_id, coalesce(array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[1:i] = b[1:i]), lambda i: a[i]), '.'), '') AS base_package FROM ends)
 """
-)
+_SPARSE = f"WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.SPARSE_REFERENCES)}), {_MODULES}"
 
 
 def _shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Classes and resolved references of the derived shop."""
-    classes = codebase.classes(spark, sf_dir)
-    return classes, graph.resolved(classes, codebase.references(spark, sf_dir))
+    """Classes and resolved references of the derived shop. Both are used more than once, so what they start from is written."""
+    sold = codebase.sales(spark, sf_dir)
+    classes = checkpoint(codebase.classes(spark, sf_dir, sold))
+    return classes, graph.resolved(classes, codebase.references(spark, sf_dir, sold))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,19 +137,19 @@ def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt1_ignored_types", _SHOP + f"SELECT project_id, n AS name, count(*) AS refs FROM normalized WHERE {_IGNORED} GROUP BY ALL")
 def flt1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = codebase.references(spark, sf_dir).select("project_id", E.normalize_type(F.col("raw_type")).alias("name"))
+    named = graph.named(codebase.references(spark, sf_dir), "name").select("project_id", "name")
     return named.filter(E.is_ignored(F.col("name"))).groupBy("project_id", "name").agg(F.count(F.lit(1)).alias("refs"))
 
 
 @query("flt2_primitives", _SHOP + f"SELECT project_id, file_seq, ref_seq, n AS name FROM normalized WHERE n IN ({_LIST(fixed.PRIMITIVES)})")
 def flt2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = codebase.references(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.normalize_type(F.col("raw_type")).alias("name"))
+    named = graph.named(codebase.references(spark, sf_dir), "name").select("project_id", "file_seq", "ref_seq", "name")
     return named.filter(E.is_primitive(F.col("name")))
 
 
 @query("flt3_stop_list", _SHOP + f"SELECT project_id, file_seq, ref_seq, n AS name FROM normalized WHERE n IN ({_LIST(fixed.IGNORED_TYPES)})")
 def flt3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = codebase.references(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.normalize_type(F.col("raw_type")).alias("name"))
+    named = graph.named(codebase.references(spark, sf_dir), "name").select("project_id", "file_seq", "ref_seq", "name")
     return named.filter(E.is_stop_listed(F.col("name")))
 
 
@@ -185,7 +184,7 @@ def lkp1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lkp2_internal_refs", _SHOP + "SELECT project_id, file_seq, ref_seq, n AS name FROM normalized x WHERE EXISTS (SELECT 1 FROM registry g WHERE g.project_id = x.project_id AND g.class_name = x.n)")
 def lkp2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = codebase.references(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.normalize_type(F.col("raw_type")).alias("name"))
+    named = graph.named(codebase.references(spark, sf_dir), "name").select("project_id", "file_seq", "ref_seq", "name")
     known = graph.registry(codebase.classes(spark, sf_dir)).select("project_id", F.col("class_name").alias("name"))
     return named.join(known, ["project_id", "name"], "left_semi").select("project_id", "file_seq", "ref_seq", "name")
 
@@ -304,6 +303,7 @@ def agg2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("arc1_architecture", _SHOP + f"SELECT n.*, e.dependencies, coalesce(v.violations, 0) AS violations FROM (SELECT project_id, {_LAYERS} FROM nodes GROUP BY project_id) n JOIN (SELECT project_id, count(*) AS dependencies FROM edges GROUP BY 1) e ON e.project_id = n.project_id LEFT JOIN (SELECT project_id, count(*) AS violations FROM ({_VIOLATIONS}) GROUP BY 1) v ON v.project_id = n.project_id")
 def arc1(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, found = _shop(spark, sf_dir)
+    found = checkpoint(found)
     return analysis.architecture_report(graph.nodes(classes, found), graph.edges(found))
 
 
@@ -315,7 +315,7 @@ def snk2(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- traversal, modules, mappings
 
 
-@query("dead8_components", _SPARSE + "SELECT n.project_id, n.class_name, label FROM nodes n JOIN labels l ON l.class_name = n.class_name")
+@query("dead8_components", _SPARSE + "SELECT n.project_id, n.class_name, label FROM nodes n JOIN labels l ON l.class_name = n.class_name AND l.project_id = n.project_id")
 def dead8(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _sparse(spark, sf_dir)
     return graph.components(e, n).select("project_id", "class_name", "label")
@@ -323,13 +323,17 @@ def dead8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grf1_reachability", _SPARSE + "SELECT DISTINCT project_id, module_name AS start, class_name FROM members")
 def grf1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.traversal(*_sparse(spark, sf_dir)).select("project_id", "start", "class_name")
+    return graph.reachable(*_sparse(spark, sf_dir)).select("project_id", "start", "class_name")
 
 
-@query("grf2_cycles", f"""WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.CYCLE_REFERENCES)}), {_GRAPH.partition("FROM raw_classes),")[2]},
-walk AS (SELECT src AS start, src AS here, [src] AS path, 0 AS closed FROM edges UNION ALL
-  SELECT start, e.dst, list_append(path, e.dst), CASE WHEN e.dst = start THEN 1 ELSE 0 END FROM walk JOIN edges e ON e.src = here WHERE closed = 0 AND (e.dst = start OR NOT list_contains(path, e.dst)))
-SELECT 'S' AS project_id, array_to_string(path, ' > ') AS cycle FROM walk WHERE closed = 1 AND start = list_aggregate(path, 'min')""")
+_WALK = f"""WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.CYCLE_REFERENCES)}), {_GRAPH.partition("FROM raw_classes),")[2]},
+walk AS (SELECT project_id, src AS start, src AS here, [src] AS path, 0 AS closed FROM edges UNION ALL
+  SELECT w.project_id, start, e.dst, list_append(path, e.dst), CASE WHEN e.dst = start THEN 1 ELSE 0 END FROM walk w JOIN edges e ON e.src = here AND e.project_id = w.project_id
+  WHERE closed = 0 AND (e.dst = start OR NOT list_contains(path, e.dst))),
+found AS (SELECT project_id, array_to_string(path, ' > ') AS cycle FROM walk WHERE closed = 1 AND start = list_aggregate(path, 'min')) """
+
+
+@query("grf2_cycles", _WALK + "SELECT project_id, cycle FROM found")
 def grf2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles, each turned so that its least member comes first."""
     classes, _ = codebase.sparse(spark, sf_dir)
@@ -340,7 +344,7 @@ def grf2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.select("project_id", F.array_join(turned, " > ").alias("cycle"))
 
 
-@query("agg9_cycle_count")
+@query("agg9_cycle_count", _WALK + "SELECT project_id, count(*) AS cycles FROM found GROUP BY 1")
 def agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grf2(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("cycles"))
 
@@ -365,7 +369,7 @@ def agg6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.layout(_modules(spark, sf_dir)).withColumn("classes", F.array_join("classes", ","))
 
 
-@query("agg3_base_package", _SPARSE + "SELECT 'S' AS project_id, base_package FROM base")
+@query("agg3_base_package", _SPARSE + "SELECT project_id, base_package FROM base")
 def agg3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.base_package(_modules(spark, sf_dir))
 
@@ -378,7 +382,7 @@ def agg4(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAPPED = f"""SELECT project_id, class_name, module_name, folder_type, package_name AS source_package, base_package, target_package,
   'src/main/java/' || replace(target_package, '.', '/') || '/' || class_name || '.java' AS target_file
 FROM (SELECT *, CASE WHEN base_package = '' THEN '' ELSE base_package || '.' END || lower(module_name) || '.' || {_FOLDER_NAME} AS target_package
-  FROM (SELECT *, {_FOLDER} AS folder_type FROM (SELECT DISTINCT * FROM members), base))"""
+  FROM (SELECT *, {_FOLDER} AS folder_type FROM (SELECT DISTINCT * FROM members) JOIN base USING (project_id)))"""
 
 
 @query("map1_mappings", _SPARSE + _MAPPED)
@@ -404,7 +408,8 @@ def dead2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- archives and Java sources
 
-_SUPPLIER_PROJECT = "'PROJECT-' || upper(substr(sha256('/in/nation' || s_nationkey || '.zip'), 1, 8))"
+_SUPPLIER_ARCHIVE = "'nation' || s_nationkey || '-' || (s_suppkey // 400) || '.zip'"
+_SUPPLIER_PROJECT = f"'PROJECT-' || upper(substr(sha256('/in/' || {_SUPPLIER_ARCHIVE}), 1, 32))"
 _ARCHIVE = "CASE o_orderkey % 7 WHEN 0 THEN 'a.ZIP' WHEN 1 THEN 'b.tar' WHEN 2 THEN '  ' ELSE 'p' || CAST(o_orderkey AS STRING) || '.zip' END"
 _SIZE = "CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 524288001 ELSE 1000 + o_orderkey END"
 
@@ -417,8 +422,7 @@ def src2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src10_project_ids", f"SELECT DISTINCT s_nationkey, {_SUPPLIER_PROJECT} AS project_id FROM supplier")
 def src10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("/in/nation"), "s_nationkey", F.lit(".zip"))
-    return codebase.tables(spark, sf_dir)["supplier"].select("s_nationkey", archives.project_id(path).alias("project_id")).distinct()
+    return codebase.tables(spark, sf_dir)["supplier"].select("s_nationkey", archives.project_id(codebase.archive_path()).alias("project_id")).distinct()
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,7 +439,7 @@ def src7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.project_roots(_entries(spark, sf_dir))
 
 
-_FILES = f"SELECT {_SUPPLIER_PROJECT} AS project_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY lower('Supplier' || s_suppkey || '.java')) AS file_seq, * FROM supplier"
+_FILES = f"SELECT {_SUPPLIER_PROJECT} AS project_id, row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 400 ORDER BY lower('Supplier' || s_suppkey || '.java')) AS file_seq, * FROM supplier"
 
 
 @query("src8_java_sources", f"SELECT project_id, file_seq, 'app/src/main/java/com/mart/n' || s_nationkey || '/Supplier' || s_suppkey || '.java' AS path FROM ({_FILES})")
@@ -447,19 +451,24 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return java.parsed(java.extract(archives.java_sources(_entries(spark, sf_dir))))
 
 
-@query("prj_class_metadata", f"SELECT project_id, file_seq, 'Supplier' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN 'Controller' ELSE '' END AS class_name, 'com.mart.n' || s_nationkey AS package_name, false AS is_interface, 'Base' AS super_class, 'Named' AS interfaces, CASE WHEN s_suppkey % 2 = 0 THEN 'Service' ELSE 'Component' END AS annotations, 'run' AS methods FROM ({_FILES})")
+@query("prj_class_metadata", f"SELECT project_id, file_seq, 'Supplier' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN 'Controller' ELSE '' END AS class_name, 'com.mart.n' || s_nationkey AS package_name, false AS is_interface, 'Base' AS super_class, 'Named' AS interfaces, CASE WHEN s_suppkey % 5 = 0 THEN 'Slf4j' WHEN s_suppkey % 2 = 0 THEN 'Service' ELSE 'Component' END AS annotations, 'run' AS methods FROM ({_FILES})")
 def prj(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = [F.array_join(c, ",").alias(c) for c in ("interfaces", "annotations", "methods")]
     return _extracted(spark, sf_dir).select("project_id", "file_seq", "class_name", "package_name", "is_interface", "super_class", *joined)
 
 
-@query("ext_type_references", f"""SELECT project_id, file_seq, unnest(range(0, 6)) AS ref_seq, unnest(['FIELD', 'FIELD', 'FIELD', 'CONSTRUCTOR', 'CONSTRUCTOR', 'METHOD_PARAMETER']) AS ref_kind,
-  unnest(['List<Nation' || s_nationkey || '>', 'List<Nation' || s_nationkey || '>[]', 'Extra' || (s_suppkey % 7), 'Map<String, Region' || s_nationkey || '>', 'int', 'Order' || s_suppkey]) AS raw_type FROM ({_FILES})""")
+_WRITTEN = f"""SELECT project_id, file_seq, unnest(range(0, 6)) AS ref_seq, unnest(['FIELD', 'FIELD', 'FIELD', 'CONSTRUCTOR', 'CONSTRUCTOR', 'METHOD_PARAMETER']) AS ref_kind,
+  unnest(['List<Nation' || s_nationkey || '>', 'List<Nation' || s_nationkey || '>[]', 'Extra' || (s_suppkey % 7), 'Map<String, Region' || s_nationkey || '>', 'int', 'Order' || s_suppkey]) AS raw_type FROM ({_FILES})"""
+
+
+@query("ext_type_references", _WRITTEN)
 def ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.type_references(_extracted(spark, sf_dir))
 
 
-@query("map3_archives_to_mappings")
+@query("map3_archives_to_mappings", f"""WITH RECURSIVE classes AS (SELECT project_id, file_seq, 'Supplier' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN 'Controller' ELSE '' END AS class_name,
+  'com.mart.n' || s_nationkey AS package_name, CASE WHEN s_suppkey % 5 = 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'CONTROLLER' ELSE 'UNKNOWN' END WHEN s_suppkey % 2 = 0 THEN 'SERVICE' ELSE 'COMPONENT' END AS component_type
+  FROM ({_FILES})), refs AS ({_WRITTEN}), {_MODULES} {_MAPPED}""")
 def map3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All the way from archives to mappings."""
     classes = analysis.classify(_extracted(spark, sf_dir))
@@ -467,16 +476,23 @@ def map3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.mappings(modules.discover(graph.nodes(classes, found), graph.edges(found)))
 
 
-@query("snk1_responses", f"SELECT project_id, '{{\"success\":true,\"message\":\"Project uploaded successfully.\",\"data\":{{\"projectId\":\"' || project_id || '\",\"projectName\":\"nation' || s_nationkey || '.zip\",\"fileSize\":' || 1000 || ',\"status\":\"UPLOADED\"}}}}' AS response FROM (SELECT DISTINCT s_nationkey, {_SUPPLIER_PROJECT} AS project_id FROM supplier)")
+@query("snk1_responses", f"SELECT project_id, '{{\"success\":true,\"message\":\"Project uploaded successfully.\",\"data\":{{\"projectId\":\"' || substr(project_id, 1, 16) || '\",\"projectName\":\"' || archive || '\",\"fileSize\":' || 1000 || ',\"status\":\"UPLOADED\"}}}}' AS response FROM (SELECT DISTINCT {_SUPPLIER_ARCHIVE} AS archive, {_SUPPLIER_PROJECT} AS project_id FROM supplier)")
 def snk1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("/in/nation"), "s_nationkey", F.lit(".zip"))
-    found = codebase.tables(spark, sf_dir)["supplier"].select(path.alias("path"), F.lit(1000).cast("long").alias("length")).distinct()
+    found = codebase.tables(spark, sf_dir)["supplier"].select(codebase.archive_path().alias("path"), F.lit(1000).cast("long").alias("length")).distinct()
     return render.upload_response(archives.admitted(found).withColumnRenamed("length", "file_size"))
 
 
-@query("snk3_errors", f"SELECT 'PROJECT-' || upper(substr(sha256(CAST(o_orderkey AS STRING) || '/' || a), 1, 8)) AS project_id, 'InvalidZip' AS kind, 400 AS http_status, CASE WHEN s = 0 THEN 'File is empty' WHEN trim(a) = '' THEN 'File name is missing' WHEN NOT lower(trim(a)) LIKE '%.zip' THEN 'Only ZIP files are supported' ELSE 'File is larger than 500 MB' END AS message FROM (SELECT o_orderkey, {_ARCHIVE} AS a, {_SIZE} AS s FROM orders) WHERE s = 0 OR trim(a) = '' OR NOT lower(trim(a)) LIKE '%.zip' OR s > 524288000")
+#: What each fault of a damaged archive is reported as.
+_FAULTS = """(VALUES (1, ['InvalidZip'], [400], ['Invalid or corrupted ZIP file: File is not a zip file']), (2, ['InvalidProjectStructure'], [400], ['No pom.xml found']),
+  (3, ['SourceCodeNotFound'], [400], ['No Java source under src/main/java']), (4, ['ProjectExtraction', 'JavaParsing'], [500, 400], ['Entry leaves the archive: ../evil.java', 'app/src/main/java/Broken.java: unclosed ('])) f(fault, kinds, codes, messages)"""
+
+
+@query("snk3_errors", f"SELECT 'PROJECT-' || upper(substr(sha256(CAST(o_orderkey AS STRING) || '/' || a), 1, 32)) AS project_id, 'InvalidZip' AS kind, 400 AS http_status, CASE WHEN s = 0 THEN 'File is empty' WHEN trim(a) = '' THEN 'File name is missing' WHEN NOT lower(trim(a)) LIKE '%.zip' THEN 'Only ZIP files are supported' ELSE 'File is larger than 500 MB' END AS message FROM (SELECT o_orderkey, {_ARCHIVE} AS a, {_SIZE} AS s FROM orders) WHERE s = 0 OR trim(a) = '' OR NOT lower(trim(a)) LIKE '%.zip' OR s > 524288000 UNION ALL SELECT DISTINCT {_SUPPLIER_PROJECT}, unnest(kinds), unnest(codes), unnest(messages) FROM supplier JOIN {_FAULTS} ON fault = s_nationkey % 5")
 def snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), F.expr(_ARCHIVE))
     found = codebase.tables(spark, sf_dir)["orders"].select(path.alias("path"), F.expr(_SIZE).alias("length"), F.lit(None).cast("binary").alias("content"))
-    admitted = archives.admitted(found)
-    return archives.errors(admitted, archives.explode_entries(admitted.filter("reject_reason IS NULL AND false")))
+    refused = archives.errors(archives.admitted(found).filter("reject_reason IS NOT NULL"), archives.explode_entries(archives.admitted(found.limit(0))))
+    admitted = archives.admitted(codebase.java_archives(spark, sf_dir, damaged=True))
+    entries = checkpoint(archives.explode_entries(admitted))
+    extracted = java.extract(archives.java_sources(entries.filter("error IS NULL")))
+    return refused.union(archives.errors(admitted, entries, extracted))

@@ -7,10 +7,11 @@ customers. Names repeat, types are written in many ways, and some files have no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis
+from ..operators.lineage import checkpoint
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -82,19 +83,22 @@ SELECT 'P' || CAST(n_nationkey AS STRING), 7000000000000 + n_nationkey, 0, 'FIEL
 """
 
 #: A sparse graph for modules: suppliers (a tenth of them controllers) to nations to regions; and a functional graph for cycles.
-SPARSE_CLASSES = """
-SELECT 'S' AS project_id, s_suppkey AS file_seq, 'Supplier' || CAST(s_suppkey AS STRING) AS class_name, 'com.mart.s' || CAST(s_nationkey AS STRING) || '.supply' AS package_name,
-       CASE WHEN s_suppkey % 10 = 0 THEN 'CONTROLLER' ELSE 'SERVICE' END AS component_type FROM {supplier}
-UNION ALL SELECT 'S', 1000000000 + n_nationkey, 'Nation' || CAST(n_nationkey AS STRING), 'com.mart.nation', 'ENTITY' FROM {nation}
-UNION ALL SELECT 'S', 2000000000 + r_regionkey, 'Region' || CAST(r_regionkey AS STRING), 'com.mart.region', 'CONFIGURATION' FROM {region}
+#: A project is a block of 40 suppliers with their nations and regions, so projects grow in number, not in size.
+BLOCK = "CAST((s_suppkey - s_suppkey % 40) / 40 AS BIGINT)"
+SPARSE_CLASSES = f"""
+SELECT 'S' || CAST({BLOCK} AS STRING) AS project_id, s_suppkey AS file_seq, 'Supplier' || CAST(s_suppkey AS STRING) AS class_name, 'com.mart.s' || CAST(s_nationkey AS STRING) || '.supply' AS package_name,
+       CASE WHEN s_suppkey % 10 = 0 THEN 'CONTROLLER' ELSE 'SERVICE' END AS component_type FROM {{supplier}}
+UNION ALL SELECT DISTINCT 'S' || CAST({BLOCK} AS STRING), 1000000000 + n_nationkey, 'Nation' || CAST(n_nationkey AS STRING), 'com.mart.nation', 'ENTITY' FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT 'S' || CAST({BLOCK} AS STRING), 2000000000 + r_regionkey, 'Region' || CAST(r_regionkey AS STRING), 'com.mart.region', 'CONFIGURATION'
+  FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
 """
-SPARSE_REFERENCES = """
-SELECT 'S' AS project_id, CAST(s_suppkey AS BIGINT) AS file_seq, 0 AS ref_seq, 'FIELD' AS ref_kind, 'Nation' || CAST(s_nationkey AS STRING) AS raw_type FROM {supplier}
-UNION ALL SELECT 'S', 1000000000 + n_nationkey, 0, 'FIELD', 'Region' || CAST(n_regionkey AS STRING) FROM {nation} WHERE n_nationkey % 3 = 0
+SPARSE_REFERENCES = f"""
+SELECT 'S' || CAST({BLOCK} AS STRING) AS project_id, CAST(s_suppkey AS BIGINT) AS file_seq, 0 AS ref_seq, 'FIELD' AS ref_kind, 'Nation' || CAST(s_nationkey AS STRING) AS raw_type FROM {{supplier}}
+UNION ALL SELECT DISTINCT 'S' || CAST({BLOCK} AS STRING), 1000000000 + n_nationkey, 0, 'FIELD', 'Region' || CAST(n_regionkey AS STRING) FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey WHERE n_nationkey % 3 = 0
 """
-CYCLE_REFERENCES = """
-SELECT 'S' AS project_id, s_suppkey AS file_seq, 0 AS ref_seq, 'FIELD' AS ref_kind,
-       'Supplier' || CAST((s_suppkey * s_suppkey + 7) % (SELECT count(*) FROM {supplier}) AS STRING) AS raw_type FROM {supplier}
+CYCLE_REFERENCES = f"""
+SELECT 'S' || CAST({BLOCK} AS STRING) AS project_id, s_suppkey AS file_seq, 0 AS ref_seq, 'FIELD' AS ref_kind,
+       'Supplier' || CAST(s_suppkey - s_suppkey % 40 + (s_suppkey * s_suppkey + 7) % 40 AS STRING) AS raw_type FROM {{supplier}}
 """
 
 
@@ -107,35 +111,46 @@ def duckdb_sql(sql: str) -> str:
     return sql.format(**{t: t for t in (*TABLES, "sales")})
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined sales that classes and references start from, written once."""
     own = tables(spark, sf_dir)
-    used = {t: df for t, df in own.items() if "{" + t + "}" in sql}
+    return checkpoint(spark.sql(SALES, **{t: own[t] for t in ("lineitem", "orders", "customer")}))
+
+
+def derive(spark: SparkSession, sf_dir: str, sql: str, sold: DataFrame | None = None) -> DataFrame:
+    used = {t: df for t, df in tables(spark, sf_dir).items() if "{" + t + "}" in sql}
     if "{sales}" in sql:
-        used["sales"] = spark.sql(SALES, **{t: own[t] for t in ("lineitem", "orders", "customer")})
+        used["sales"] = sales(spark, sf_dir) if sold is None else sold
     return spark.sql(sql, **used)
 
 
-def unclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unclassified(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
     listed = lambda c: F.array_remove(F.split(c, ","), "")
-    return derive(spark, sf_dir, CLASSES).withColumns(
+    return derive(spark, sf_dir, CLASSES, sold).withColumns(
         {"annotations": listed("annotations"), "interfaces": listed("interfaces"), "super_class": F.nullif("super_class", F.lit("")), "is_interface": F.col("is_interface") == 1}
     )
 
 
-def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.classify(unclassified(spark, sf_dir))
+def classes(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
+    return analysis.classify(unclassified(spark, sf_dir, sold))
 
 
-def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, REFERENCES)
+def references(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
+    return derive(spark, sf_dir, REFERENCES, sold)
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return derive(spark, sf_dir, SPARSE_CLASSES), derive(spark, sf_dir, SPARSE_REFERENCES)
 
 
-def java_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse code base written out as Java files and zipped, one archive per nation: path, length, content."""
+def archive_path() -> Column:
+    """Where a supplier's project lies: archives hold the suppliers of one nation in a block of 400, so they grow in number."""
+    return F.format_string("/in/nation%d-%d.zip", "s_nationkey", F.floor(F.col("s_suppkey") / 400))
+
+
+def java_archives(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """Suppliers written out as Java files and zipped: path, length, content. With ``damaged``, archives have faults by nation: cut
+    short, without a pom.xml, without sources, or with an entry that leaves the archive and a file that cannot be read."""
     import io
     import zipfile
 
@@ -143,22 +158,27 @@ def java_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     body = F.format_string(
         "package com.mart.n%d;\n// supplier %d\n@%s(\"x\")\npublic class Supplier%d%s extends Base<%s> implements Named {\n  private List<Nation%d> nations, more[];\n  public Supplier%d%s(Map<String, Region%d> r, int... n) { }\n  void run(final Order%d order) { new Thread() { Extra%d e; }; }\n}\n",
-        "s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "Service").otherwise("Component"), "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "Controller").otherwise(""), F.lit("T"),
+        "s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "Slf4j").when(F.col("s_suppkey") % 2 == 0, "Service").otherwise("Component"), "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "Controller").otherwise(""), F.lit("T"),
         "s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "Controller").otherwise(""), "s_nationkey", "s_suppkey", F.col("s_suppkey") % 7,
     )
     files = tables(spark, sf_dir)["supplier"].select(
-        F.concat(F.lit("/in/nation"), "s_nationkey", F.lit(".zip")).alias("archive"), F.format_string("app/src/main/java/com/mart/n%d/Supplier%d.java", "s_nationkey", "s_suppkey").alias("name"), body.alias("text")
+        archive_path().alias("archive"), (F.col("s_nationkey") % 5 * F.lit(int(damaged))).alias("fault"), F.format_string("app/src/main/java/com/mart/n%d/Supplier%d.java", "s_nationkey", "s_suppkey").alias("name"), body.alias("text")
     )
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        buffer = io.BytesIO()
+        buffer, fault = io.BytesIO(), int(rows["fault"].iloc[0])
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("app/pom.xml", "<project/>")
-            archive.writestr("app/sub/pom.xml", "<project/>")
+            if fault != 2:
+                archive.writestr("app/pom.xml", "<project/>")
+                archive.writestr("app/sub/pom.xml", "<project/>")
+            if fault == 4:
+                archive.writestr("../evil.java", "class Evil { }")
+                archive.writestr("app/src/main/java/Broken.java", "class Broken { void run( { }")
             archive.writestr("app/src/test/java/ATest.java", "class ATest { Hidden h; }")
             for name, text in sorted(zip(rows["name"], rows["text"])):
-                archive.writestr(name, text)
-        return pd.DataFrame({"path": [rows["archive"].iloc[0]], "length": [len(buffer.getvalue())], "content": [buffer.getvalue()]})
+                archive.writestr(name.replace("main", "other") if fault == 3 else name, text)
+        content = buffer.getvalue()[: 20 if fault == 1 else None]
+        return pd.DataFrame({"path": [rows["archive"].iloc[0]], "length": [len(content)], "content": [content]})
 
     return files.groupBy("archive").applyInPandas(pack, "path string, length long, content binary")
 

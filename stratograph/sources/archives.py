@@ -22,8 +22,13 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def project_id(path: Column) -> Column:
-    """PROJECT- and eight upper-case hexadecimal digits that follow from the path."""
-    return F.concat(F.lit("PROJECT-"), F.upper(F.substring(F.sha2(path, 256), 1, 8)))
+    """PROJECT- and 32 upper-case hexadecimal digits that follow from the path: the key of all tables."""
+    return F.concat(F.lit("PROJECT-"), F.upper(F.substring(F.sha2(path, 256), 1, 32)))
+
+
+def shown_id(project: Column) -> Column:
+    """A project's key as responses show it: its first eight digits."""
+    return F.substring(project, 1, 16)
 
 
 def reject_reason(name: Column, length: Column) -> Column:
@@ -92,17 +97,21 @@ def java_sources(entries: DataFrame) -> DataFrame:
     return rows.select("project_id", F.row_number().over(order).cast("long").alias("file_seq"), "path", F.col("content").cast("string").alias("content"))
 
 
-def errors(archives: DataFrame, entries: DataFrame) -> DataFrame:
-    """project_id, kind, http_status, message of everything that was refused; other projects go on."""
+def errors(archives: DataFrame, entries: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """project_id, kind, http_status, message of everything that was refused, of ``extracted`` Java files too; other projects go
+    on. An archive that cannot be read is not also one without a root."""
     row = lambda df, kind, message: df.select("project_id", F.lit(kind).alias("kind"), F.lit(fixed.ERRORS[kind]).alias("http_status"), message.alias("message"))
     good = entries.filter("error IS NULL")
     rooted = project_roots(good)
-    no_root = entries.select("project_id").distinct().join(rooted, "project_id", "left_anti")
+    no_root = entries.filter("error IS NULL OR error LIKE 'Entry%'").select("project_id").distinct().join(rooted, "project_id", "left_anti")
     no_source = rooted.join(java_sources(good).select("project_id").distinct(), "project_id", "left_anti")
-    return (
+    found = (
         row(archives.filter("reject_reason IS NOT NULL"), "InvalidZip", F.col("reject_reason"))
         .union(row(entries.filter("error LIKE '%ZIP file%'"), "InvalidZip", F.col("error")))
         .union(row(entries.filter("error LIKE 'Entry%'"), "ProjectExtraction", F.concat("error", F.lit(": "), "path")))
         .union(row(no_root, "InvalidProjectStructure", F.lit("No pom.xml found")))
         .union(row(no_source, "SourceCodeNotFound", F.lit("No Java source under src/main/java")))
     )
+    if extracted is None:
+        return found
+    return found.union(row(extracted.filter("error IS NOT NULL"), "JavaParsing", F.concat("source_file", F.lit(": "), "error")))

@@ -13,7 +13,8 @@ def analyze(archive_rows: DataFrame) -> dict[str, DataFrame]:
     """All tables of the archives in ``archive_rows`` (path, length, content)."""
     admitted = archives.admitted(archive_rows)
     entries = archives.explode_entries(admitted)
-    classes = analysis.classify(java.parsed(java.extract(archives.java_sources(entries.filter("error IS NULL")))))
+    extracted = java.extract(archives.java_sources(entries.filter("error IS NULL")))
+    classes = analysis.classify(java.parsed(extracted))
     found = graph.resolved(classes, graph.type_references(classes))
     nodes, edges = graph.nodes(classes, found), graph.edges(found)
     return {
@@ -22,7 +23,7 @@ def analyze(archive_rows: DataFrame) -> dict[str, DataFrame]:
         "edges": edges,
         "violations": analysis.violations(edges),
         "mappings": modules.mappings(modules.discover(nodes, edges)),
-        "errors": archives.errors(admitted, entries),
+        "errors": archives.errors(admitted, entries, extracted),
     }
 
 
