@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become classes by an acceptor of word and word-stem patterns. Transducers for reported speech, negation, targets and
-threats read a clause's classes one after the other; their composition gives each insult or threat the context it stands
+threats read a sentence's classes one after the other, and only reported speech reaches beyond a clause; their composition gives each insult or threat the context it stands
 in, and a clause counts by the contexts of what it matches, not by its words alone. Insult patterns and the worth of each
 context are learned from labelled documents.
 """
@@ -33,7 +33,8 @@ SEED_WEIGHT, MOST_EVIDENCE = 6.0, 12.0
 #: Words as written whose classes a worker remembers before it forgets them all (and those of one text more).
 REMEMBERED = 500_000
 
-OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, ENDS = 0, 1, 2, 3, 4, 5, 8
+#: Classes of words; BREAK stands between clauses of a sentence. Flags of a word that ends a clause, or a sentence (or line).
+OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, BREAK, BREAKS, ENDS = 0, 1, 2, 3, 4, 5, 6, 8, 16
 #: Words of the closed classes, and a few insults to start from, in English, German, French and Spanish.
 CLOSED = {
     NEGATION: "not no never neither nor isn't aren't wasn't don't nicht kein keine nie niemals ne pas jamais non nunca jamás sin",
@@ -46,8 +47,10 @@ SEEDS = "idiot moron imbecile scum bastard depp abschaum trottel imbécile crét
 CONTEXTS = {"plain": 1.0, "targeted": 1.2, "negated": 0.3, "reported": 0.5, "threat": 1.2}
 START = -4.0
 
+#: Signs that close a quote or a bracket after a word.
+_CLOSING = "\"'”’»)]"
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_MATCH = re.compile(bytes([91, *(c | e for c in (THREAT, INSULT) for e in (0, ENDS)), 93]))
+_MATCH = re.compile(bytes([91, *(c | e for c in (THREAT, INSULT) for e in (0, BREAKS, ENDS, BREAKS | ENDS)), 93]))
 
 
 class Transducer:
@@ -92,19 +95,28 @@ def _near(trigger: int, reach: int, writes: dict[object, object]) -> Transducer:
     """For ``reach`` words after a trigger, write other symbols in place of some."""
     arcs: dict[tuple[int, object], tuple[int, object]] = {(s, trigger): (reach, trigger) for s in range(reach + 1)}
     arcs |= {(s, symbol): (s - 1, out) for s in range(1, reach + 1) for symbol, out in writes.items()}
+    arcs |= {(s, BREAK): (0, BREAK) for s in range(reach + 1)}
     return Transducer(arcs, {s: max(0, s - 1) for s in range(reach + 1)})
 
 
 def _from(trigger: int, writes: dict[object, object]) -> Transducer:
-    """After a trigger, to the end of the clause."""
+    """After a trigger, to the end of the sentence."""
     arcs: dict[tuple[int, object], tuple[int, object]] = {(s, trigger): (1, trigger) for s in (0, 1)}
     arcs |= {(1, symbol): (1, out) for symbol, out in writes.items()}
     return Transducer(arcs, {0: 0, 1: 1})
 
 
+def _beyond(trigger: int, writes: dict[object, object]) -> Transducer:
+    """After a trigger and then a break, to the end of what is read."""
+    arcs: dict[tuple[int, object], tuple[int, object]] = {(0, trigger): (1, trigger), (1, BREAK): (2, BREAK)}
+    arcs |= {(2, symbol): (2, out) for symbol, out in writes.items()}
+    return Transducer(arcs, {0: 0, 1: 1, 2: 2})
+
+
 def grammar() -> Composed:
-    """Reported speech, then negation, then targets before a match. A threat counts only in the reach of a target; the reach
-    goes both ways, for which the clause is read backwards as well (see ``Lexicon.evidence``)."""
+    """Reported speech, then negation, then targets before a match. A threat counts only in the reach of a target. A report goes
+    on over commas, colons and quotes; negation and targets end with their clause. Reports and targets may also follow a match,
+    for which the sentence is read backwards as well (see ``Lexicon.evidence``): a report so has to be a clause of its own."""
     return Composed(
         _from(REPORT, {INSULT: "reported", THREAT: "reported threat"}),
         _near(NEGATION, 3, {INSULT: "negated", THREAT: "negated threat"}),
@@ -112,7 +124,8 @@ def grammar() -> Composed:
     )
 
 
-_BACKWARDS = _near(TARGET, 3, {INSULT: "targeted", THREAT: "threat"})
+def backwards() -> Composed:
+    return Composed(_beyond(REPORT, {INSULT: "reported", THREAT: "reported threat"}), _near(TARGET, 3, {INSULT: "targeted", THREAT: "threat"}))
 
 
 @dataclass
@@ -126,7 +139,7 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.closed = {w: c for c, words in CLOSED.items() for w in words.split()}
         self.classes, self.weights = _Classes(self), {}
-        self.machine = grammar()
+        self.machine, self.back = grammar(), backwards()
 
     def weight(self, word: str) -> float:
         """The acceptor: the largest weight of the patterns that the word matches; 0 for none."""
@@ -142,8 +155,12 @@ class Lexicon:
             self.classes.clear()
             self.weights.clear()
         total = dict.fromkeys(CONTEXTS, 0.0)
-        words = text.split() if text else []
-        codes = bytes(map(self.classes.__getitem__, words))
+        words, codes = [], bytearray()
+        for line in (text or "").split("\n"):
+            if own := line.split():
+                words += own
+                codes += bytes(map(self.classes.__getitem__, own))
+                codes[-1] |= ENDS
         at = 0
         while found := _MATCH.search(codes, at):
             begin = found.start()
@@ -152,17 +169,20 @@ class Lexicon:
             end = found.start()
             while end < len(codes) - 1 and not codes[end] & ENDS:
                 end += 1
-            clause = [c & 7 for c in codes[begin : end + 1]]
-            written = self.machine.run(clause)
-            state, behind = 0, [0] * len(clause)
-            for k in range(len(clause) - 1, -1, -1):
-                state, behind[k] = _BACKWARDS.step(state, clause[k])
-            for k, symbol in enumerate(clause):
+            sentence, places = [], []
+            for k in range(begin, end + 1):
+                sentence.append(codes[k] & 7)
+                places.append(k)
+                if codes[k] & BREAKS:
+                    sentence.append(BREAK)
+                    places.append(-1)
+            written, behind = self.machine.run(sentence), self.back.run(sentence[::-1])[::-1]
+            for k, symbol, before, after in zip(places, sentence, written, behind):
                 if symbol in (INSULT, THREAT):
-                    context = written[k] if written[k] != symbol else behind[k]
+                    context = after if before == symbol or str(after).startswith("reported") else before
                     context = "plain" if context == INSULT else context
                     if context in total:  # a threat out of any target's reach, negated or reported counts for nothing
-                        total[context] += self.weights.get(words[begin + k], SEED_WEIGHT)
+                        total[context] += self.weights.get(words[k], SEED_WEIGHT)
             at = end + 1
         return [min(v, MOST_EVIDENCE) for v in total.values()]
 
@@ -172,7 +192,7 @@ class Lexicon:
 
 
 class _Classes(dict):
-    """Class of a word as written (with ENDS if it ends a clause), remembered until ``Lexicon.evidence`` makes room."""
+    """Class of a word as written (with BREAKS if it ends a clause, ENDS if a sentence), remembered until ``Lexicon.evidence`` makes room."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
@@ -185,8 +205,11 @@ class _Classes(dict):
             code = max(code, self.lexicon.closed.get(part, OTHER))
         if most:
             code = INSULT
-        if word[-1] in ".,;:!?":
+        last = word.rstrip(_CLOSING)[-1:]
+        if last and last in ".;!?":
             code |= ENDS
+        elif last and last in ",:" or word[-1] in _CLOSING:
+            code |= BREAKS
         if most:
             self.lexicon.weights[word] = most
         self[word] = code
