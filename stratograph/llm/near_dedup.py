@@ -45,8 +45,6 @@ SKETCHED, MOST_UNEQUAL = 512, 154
 LONGS = SKETCHED // 16
 #: What is looked at first: so many numbers of a sketch, in which 15 coordinates differ on average, with a deviation of 3.4.
 GLANCE, MOST_AT_A_GLANCE = 4, 30
-#: Members of a node's main label that others are compared with for second links, and the least size of a label for it.
-PIVOTS, LEAST_MAIN = 8, 16
 #: Pairs whose sets are compared in one group.
 CELL = 4096
 #: Keys up to this many (some 30 MB in a hash table) are sent to all executors; more are joined by shuffling.
@@ -148,7 +146,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
     blocks = F.lit(max(1, math.isqrt(n // CELL)))
     dealt = pairs.withColumns({"i": F.pmod(F.xxhash64("a"), blocks), "j": F.pmod(F.xxhash64("b"), blocks)})
     crowded = dealt.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
-    placed = dealt.join(crowded, ["i", "j"]).select(F.xxhash64("i", "j", F.pmod(F.xxhash64("a", "b"), "parts")).alias("cell"), "a", "b")
+    placed = checkpoint(dealt.join(crowded, ["i", "j"]).select(F.xxhash64("i", "j", F.pmod(F.xxhash64("a", "b"), "parts")).alias("cell"), "a", "b"))
     needed = placed.select(F.col("cell").alias("into"), F.col("a").alias("id")).union(placed.select("cell", "b")).distinct()
     sets = _sets(semi_or_anti(docs.select(F.col(key), F.col(text)), ids, 2 * n, key, "left_semi"), key, text, size)
 
@@ -182,17 +180,6 @@ def _alike() -> Column:
     return (_unequal(GLANCE) <= MOST_AT_A_GLANCE) & (_unequal() <= MOST_UNEQUAL)
 
 
-def _to_main(found: DataFrame, sketches: DataFrame) -> DataFrame:
-    """A pair (a, b) for each document outside a large main label: of some PIVOTS of that label's members in each of its nodes, the
-    one with the most similar sketch, if similar enough."""
-    crowd = found.filter(F.col("most") >= LEAST_MAIN)
-    chosen = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("most") / PIVOTS)) == 0
-    y = crowd.filter((F.col("label") == F.col("main")) & chosen).select("node", "id").join(sketches, "id")
-    x = crowd.filter("label != main").select("node", "id").join(sketches, "id").select("node", *(F.col(c).alias(f"x_{c}") for c in ("id", *_SKETCH)))
-    near = x.join(y, "node").filter(_alike()).select(F.col("x_id").alias("a"), "id", _unequal().alias("off"))
-    return near.groupBy("a").agg(F.min_by("id", F.struct("off", "id")).alias("b"))
-
-
 def _met(done: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) across labels with similar sketches among the members of the nodes ``done`` (node, id, label, main, blocks):
     documents outside a node's main label, each with all others. Of several nodes with one pair the least hands it out."""
@@ -235,17 +222,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def labelled(nodes: DataFrame) -> DataFrame:
         named = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         counts = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
-        mixed = counts.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("labels"), F.max_by("label", "c").alias("main"), F.max("c").alias("most"))
+        mixed = counts.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("labels"), F.max_by("label", "c").alias("main"))
         small = F.expr(f"(n * n - q) / 2 <= {PAIRS_A_MEMBER} * n")
-        mixed = mixed.filter("labels > 1").select("node", small.alias("small"), "main", "most", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        mixed = mixed.filter("labels > 1").select("node", small.alias("small"), "main", F.ceil(F.col("n") / BLOCK).alias("blocks"))
         return checkpoint(named.join(mixed, "node"))
 
-    # second links: what the least of the node-mates did not link to a large label, by others of that label
-    second = checkpoint(_confirmed(_to_main(labelled(members.select("node", "tree", "id")), sketches), docs, key, text, size, percent))
-    if not second.isEmpty():
-        links = links.union(second)
-        labels = checkpoint(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
     # then whatever the trees bring together under different labels
     candidates: list[DataFrame] = []
     level, nodes, deep = 1, members.select("node", "tree", "id"), None
