@@ -32,8 +32,8 @@ BITS = 21
 BUCKET, HOT_PAIRS = 1 << 21, 1 << 20
 #: Leading bits of a word's hash that tell its bucket when words are counted.
 WORD_BITS = 8
-#: Characters that are looked at together.
-SLICE = 1 << 22
+#: Characters of which pairs are put together, and of which words are found together (a longer text is taken whole).
+SLICE, PIECE = 1 << 22, 1 << 19
 #: Signs that part words and are no words themselves, and scripts of which each character is a word.
 PARTING = ".,;:!?'\"()[]/-–—…’‘“”«»、。，"
 _ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
@@ -56,6 +56,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, and where each text's begin (one more at the end), found a piece at a time."""
+    parts = [_words(texts[i:j]) for i, j in slices(texts, PIECE)]
+    starts = np.cumsum([0, *(len(found) for found, _ in parts)])
+    first = [at + of[:-1] for at, (_, of) in zip(starts, parts)]
+    return np.concatenate([np.zeros(0, np.int64), *(found for found, _ in parts)]), np.concatenate([*first, starts[-1:]])
+
+
+def _words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 63-bit hash of each word, and where each text's words begin (one more at the end). Words are runs of letters, marks and
     digits of any script, in small letters; signs but those in PARTING, and characters of scripts without spaces, are words of
     their own."""
@@ -369,8 +377,8 @@ class Model:
                     at, hit = _find(hot, distinct)
                     met = hit[place]
                     sums = np.stack([np.bincount(doc[met], x[at[place[met]]], j - i) for x in hot_losses]) if len(hot) else np.zeros((len(kinds), j - i))
-                    told = facts(texts[i:j]) if facts else {}
-                    columns = np.stack([groups[i:j], *(told[c] for c in fact_names)])
+                    told = [facts(texts[i + a : i + b]) for a, b in slices(texts[i:j], PIECE)] if facts else []
+                    columns = np.stack([groups[i:j], *(np.concatenate([x[c] for x in told]) for c in fact_names)])
                     rest = np.flatnonzero(~met)
                     bucket = lexicon.bucket(distinct)[place[rest]]
                     order = np.argsort(bucket * len(distinct) + place[rest], kind="stable")
