@@ -483,7 +483,7 @@ def snk1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What each fault of a damaged archive is reported as.
-_FAULTS = """(VALUES (1, ['InvalidZip'], [400], ['Invalid or corrupted ZIP file: File is not a zip file']), (2, ['InvalidProjectStructure'], [400], ['No pom.xml found']),
+_FAULTS = """(VALUES (1, ['InvalidZip', 'InvalidProjectStructure'], [400, 400], ['Invalid or corrupted ZIP file: File is not a zip file', 'No pom.xml found']), (2, ['InvalidProjectStructure'], [400], ['No pom.xml found']),
   (3, ['SourceCodeNotFound'], [400], ['No Java source under src/main/java']), (4, ['ProjectExtraction', 'JavaParsing'], [500, 400], ['Entry leaves the archive: ../evil.java', 'app/src/main/java/Broken.java: unclosed ('])) f(fault, kinds, codes, messages)"""
 
 

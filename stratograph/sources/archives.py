@@ -99,11 +99,11 @@ def java_sources(entries: DataFrame) -> DataFrame:
 
 def errors(archives: DataFrame, entries: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     """project_id, kind, http_status, message of everything that was refused, of ``extracted`` Java files too; other projects go
-    on. An archive that cannot be read is not also one without a root."""
+    on. An archive that cannot be read also has no root."""
     row = lambda df, kind, message: df.select("project_id", F.lit(kind).alias("kind"), F.lit(fixed.ERRORS[kind]).alias("http_status"), message.alias("message"))
     good = entries.filter("error IS NULL")
     rooted = project_roots(good)
-    no_root = entries.filter("error IS NULL OR error LIKE 'Entry%'").select("project_id").distinct().join(rooted, "project_id", "left_anti")
+    no_root = entries.select("project_id").distinct().join(rooted, "project_id", "left_anti")
     no_source = rooted.join(java_sources(good).select("project_id").distinct(), "project_id", "left_anti")
     found = (
         row(archives.filter("reject_reason IS NOT NULL"), "InvalidZip", F.col("reject_reason"))
