@@ -17,12 +17,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def number_rows(df: DataFrame, group: str, order: Sequence[Column], name: str, spread: Column, per_bucket: Column) -> DataFrame:
+def number_rows(df: DataFrame, group: str, order: Sequence[Column], name: str, spread: Column, per_bucket: Column, few: bool = True) -> DataFrame:
     """Add ``name``: a gapless number from 0 within each value of ``group``, whatever the size of the largest group.
 
     A group is dealt into ceil(size / per_bucket) buckets by ``spread`` (a hash of the row). Buckets are counted, their
     running totals become offsets, and only the rows of one bucket meet in a task. ``df`` needs a column ``_size`` with the
-    size of the row's group. There are at most (groups + rows / per_bucket) buckets.
+    size of the row's group. There are at most (groups + rows / per_bucket) buckets, whose offsets are
+    sent to all executors if groups are ``few``.
     """
     dealt = df.withColumn("_bucket", F.pmod(spread, F.greatest(F.ceil(F.col("_size") / per_bucket), F.lit(1))))
     counts = dealt.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -31,7 +32,7 @@ def number_rows(df: DataFrame, group: str, order: Sequence[Column], name: str, s
     within = Window.partitionBy(group, "_bucket").orderBy(*order)
     numbered = dealt.withColumn("_row", F.row_number().over(within) - 1)
     return (
-        numbered.join(F.broadcast(offsets), [group, "_bucket"])
+        numbered.join(F.broadcast(offsets) if few else offsets, [group, "_bucket"])
         .withColumn(name, (F.col("_offset") + F.col("_row")).cast("long"))
         .drop("_bucket", "_row", "_offset", "_size")
     )

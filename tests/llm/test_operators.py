@@ -139,16 +139,33 @@ def test_best_two_fit_by_counts_is_that_by_pieces(lengths):
 
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=60))
 @settings(max_examples=200, deadline=None)
-def test_best_fit_decreasing_by_tree_is_that_by_scan(sizes):
-    placed, opened = sharding.best_fit_decreasing(list(zip(sizes, range(len(sizes)))), 50)
+def test_best_fit_decreasing_by_runs_is_that_of_one_at_a_time(sizes):
+    runs, opened = sharding.best_fit_decreasing(collections.Counter(sizes).items(), 50)
+    placed = {(size, first + i): b for size, first, n, b in runs for i in range(n)}
     bins: list[int] = []
-    for size, item in sorted(zip(sizes, range(len(sizes))), key=lambda x: (-x[0], x[1])):
+    seen: collections.Counter = collections.Counter()
+    for size in sorted(sizes, reverse=True):
         fitting = [(50 - b, i) for i, b in enumerate(bins) if 50 - b >= size]
         i = min(fitting)[1] if fitting else len(bins)
         bins += [0] * (i == len(bins))
         bins[i] += size
-        assert placed[item] == i
-    assert opened == len(bins)
+        assert placed.pop((size, seen[size])) == i
+        seen[size] += 1
+    assert opened == len(bins) and not placed
+
+
+@given(st.lists(st.integers(1, 5000), max_size=60), st.integers(1, 8))
+@settings(max_examples=200, deadline=None)
+def test_least_capacity_places_all(sizes, n_bins):
+    counts = collections.Counter(sizes)
+    runs = sharding.least_capacity(counts, n_bins)
+    places = [(size, first + i) for size, first, n, _ in runs for i in range(n)]
+    assert sorted(places) == sorted((size, i) for size, n in counts.items() for i in range(n))
+    loads = collections.Counter()
+    for size, _, n, b in runs:
+        assert 0 <= b < n_bins
+        loads[b] += size * n
+    assert max(loads.values(), default=0) <= 2 * max([-(-sum(sizes) // n_bins), *sizes])
 
 
 def test_sharding_query(spark, texts):
@@ -163,6 +180,14 @@ def test_sharding_query(spark, texts):
     for doc, shard in zip(out["doc_id"], out["shard"]):
         by_text[texts[doc]].add(shard)
     assert all(len(s) == 1 for s in by_text.values())
+    # the same groups by force: shards of the same sizes
+    groups = collections.Counter(dict.fromkeys(by_text, 0))
+    for text in texts.values():
+        groups[text] += len(text.encode()) + 16
+    loads = collections.Counter()
+    for size, _, n, b in sharding.least_capacity(collections.Counter(groups.values()), 40):
+        loads[b] += size * n
+    assert out.groupby("shard")["size"].sum().to_dict() == dict(loads)
 
 
 def test_a_group_over_a_shards_share_is_alone(spark):
