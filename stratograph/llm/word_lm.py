@@ -30,8 +30,9 @@ GROUPS = 1 << 16
 BITS = 21
 #: Words of the corpus to a bucket of pairs, and the commonest pairs, which are scored where they are met.
 BUCKET, HOT_PAIRS = 1 << 21, 1 << 20
-#: Leading bits of a word's hash that tell its bucket when words are counted.
-WORD_BITS = 8
+#: Leading bits of a word's hash that tell its bucket when words are counted, at least (see ``word_bits``), and distinct words
+#: that a task gathers before it sends them.
+WORD_BITS, GATHERED = 8, 1 << 20
 #: Characters of which pairs are put together, and of which words are found together (a longer text is taken whole).
 SLICE, PIECE = 1 << 22, 1 << 19
 #: Signs that part words and are no words themselves, and scripts of which each character is a word.
@@ -89,6 +90,11 @@ def _of_groups(found: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return np.where(groups == 0, found, (mix(found.astype(np.uint64) ^ mix(groups.astype(np.uint64))) >> np.uint64(1)).astype(np.int64))
 
 
+def word_bits(characters: int) -> int:
+    """A bucket of words has what some 2^29 characters have, so its size does not grow with the corpus."""
+    return max(WORD_BITS, (characters >> 29).bit_length())
+
+
 def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of values in a sorted table, and which of them are there."""
     if not len(table):
@@ -226,29 +232,38 @@ class Model:
         return lambda names: np.fromiter((groups.get(x, 0) for x in names), np.int64, len(names))
 
     def _vocabulary(self, docs: DataFrame) -> Lexicon:
-        of, many, rest = self._of(), bool(self.groups), 63 - WORD_BITS
+        of, many = self._of(), bool(self.groups)
+        rest = 63 - word_bits(docs.agg(F.sum(F.length(self.text).cast("long"))).first()[0] or 0)
 
         def sealed(found: np.ndarray, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             bucket = found >> rest
             rows = [(int(bucket[a]), *(seal(x) for x in (np.diff(found[a:b], prepend=bucket[a] << rest), g[a:b], n[a:b]))) for a, b in _segments(bucket)]
             return pa.RecordBatch.from_pylist([dict(zip(("bucket", "w", "g", "n"), r)) for r in rows], schema)
 
+        def added(found: np.ndarray, g: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            found, at, place = np.unique(found, return_index=True, return_inverse=True)
+            return [found, g[at], np.bincount(place, n, len(found)).astype(np.int64)]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.zeros(0, np.int64)] * 3
             for batch in batches:
                 texts, groups = [t or "" for t in batch.column(0).to_pylist()], of(batch.column(1).to_pylist())
                 for i, j in slices(texts, SLICE):
                     found, first = words(texts[i:j])
                     own = np.repeat(groups[i:j], np.diff(first))
                     found, at, n = np.unique(_of_groups(found, own) if many else found, return_index=True, return_counts=True)
-                    yield sealed(found, own[at], n)
+                    held = added(*(np.concatenate(x) for x in zip(held, (found, own[at], n))))
+                    if len(held[0]) >= GATHERED:
+                        yield sealed(*held)
+                        held = [np.zeros(0, np.int64)] * 3
+            if len(held[0]):
+                yield sealed(*held)
 
         def opened(bucket: int, w: bytes, g: bytes, n: bytes) -> list[np.ndarray]:
             return [(bucket << rest) + np.cumsum(unseal(w)), unseal(g), unseal(n)]
 
         def merge(table: pa.Table) -> pa.Table:
-            found, g, n = (np.concatenate(x) for x in zip(*(opened(*r.values()) for r in table.to_pylist())))
-            found, at, place = np.unique(found, return_index=True, return_inverse=True)
-            return pa.Table.from_batches([sealed(found, g[at], np.bincount(place, n).astype(np.int64))])
+            return pa.Table.from_batches([sealed(*added(*(np.concatenate(x) for x in zip(*(opened(*r.values()) for r in table.to_pylist())))))])
 
         def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -390,7 +405,7 @@ class Model:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([row[i]] * n, pa.int64()),
-                            pa.array([-1 - int(row[i]) % 1024, *(p[0] for p in parts)], pa.int64()),
+                            pa.array([-1 - int(row[i]), *(p[0] for p in parts)], pa.int64()),  # no group of documents outgrows a slice
                             pa.ListArray.from_arrays(offsets, keys),
                             pa.array([np.diff(first).tolist(), *none], pa.list_(pa.int64())),
                             pa.array([columns.ravel().tolist(), *none], pa.list_(pa.int64())),
