@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.lineage import checkpoint
 
-__all__ = ["checkpoint", "number_rows", "read", "slices"]
+__all__ = ["checkpoint", "frugal", "number_rows", "read", "slices", "texts_of"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,3 +52,30 @@ def slices(texts: Sequence[str], limit: int = 1 << 20) -> Iterator[tuple[int, in
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def texts_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of a column of texts with about ``limit`` bytes each, as ``slices`` gives them, and their texts (null: empty), of
+    which only one range at a time is in Python's memory."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if size and size + n > limit:
+            yield start, i, [t or "" for t in column.slice(start, i - start).to_pylist()]
+            start, size = i, 0
+        size += n
+    if start < len(column):
+        yield start, len(column), [t or "" for t in column.slice(start).to_pylist()]
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back to the system when a task ends: its Python worker stays for other tasks, and an idle one
+    would keep what the allocators hold."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU only
+        if trim:
+            trim(0)
+
+    return wrapped

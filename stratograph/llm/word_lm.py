@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import checkpoint, frugal, slices, texts_of
 from .words import _BASE, _INVERSE, _powers, mix
 
 #: The commonest words of all groups that have a number of their own; others are their group's unknown word.
@@ -31,10 +31,10 @@ BITS = 21
 #: Words of the corpus to a bucket of pairs, and the commonest pairs, which are scored where they are met.
 BUCKET, HOT_PAIRS = 1 << 21, 1 << 20
 #: Leading bits of a word's hash that tell its bucket when words are counted, at least (see ``word_bits``), and distinct words
-#: that a task gathers before it sends them.
+#: (or pairs) that a task gathers before it sends them.
 WORD_BITS, GATHERED = 8, 1 << 20
-#: Characters of which pairs are put together, and of which words are found together (a longer text is taken whole).
-SLICE, PIECE = 1 << 22, 1 << 19
+#: Bytes of which pairs are put together, and characters of which words are found together (a longer text is taken whole).
+SLICE, PIECE = 1 << 21, 1 << 19
 #: Signs that part words and are no words themselves, and scripts of which each character is a word.
 PARTING = ".,;:!?'\"()[]/-–—…’‘“”«»、。，"
 _ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
@@ -247,9 +247,9 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [np.zeros(0, np.int64)] * 3
             for batch in batches:
-                texts, groups = [t or "" for t in batch.column(0).to_pylist()], of(batch.column(1).to_pylist())
-                for i, j in slices(texts, SLICE):
-                    found, first = words(texts[i:j])
+                groups = of(batch.column(1).to_pylist())
+                for i, j, texts in texts_of(batch.column(0), SLICE):
+                    found, first = words(texts)
                     own = np.repeat(groups[i:j], np.diff(first))
                     found, at, n = np.unique(_of_groups(found, own) if many else found, return_index=True, return_counts=True)
                     held = added(*(np.concatenate(x) for x in zip(held, (found, own[at], n))))
@@ -279,7 +279,7 @@ class Model:
                     yield pa.RecordBatch.from_arrays([pa.array(x[arrays[2] >= least]) for x in arrays], names=["w", "g", "n"])
 
         schema, ddl = pa.schema([("bucket", pa.int64()), ("w", pa.binary()), ("g", pa.binary()), ("n", pa.binary())]), "bucket long, w binary, g binary, n binary"
-        counted = checkpoint(docs.select(F.col(self.text), self.name).mapInArrow(run, ddl).groupBy("bucket").applyInArrow(merge, ddl))
+        counted = checkpoint(docs.select(F.col(self.text), self.name).mapInArrow(frugal(run), ddl).groupBy("bucket").applyInArrow(merge, ddl))
         places = checkpoint(counted.mapInArrow(numbers, "g long, n long, rows long").groupBy("g", "n").agg(F.sum("rows").alias("rows")))
         least = _threshold(places, VOCABULARY, 2)
         total = places.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
@@ -295,30 +295,41 @@ class Model:
         """bucket, codes (ascending), n and t of each bucket of pairs."""
         of, lexicon = self._of(), self.spark.sparkContext.broadcast(self.lexicon)
 
+        def added(codes: np.ndarray, n: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+            codes, place = np.unique(codes, return_inverse=True)
+            return [codes, *(np.bincount(place, x, len(codes)).astype(np.int64) for x in (n, t))]
+
+        def sealed(codes: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+            bucket = lexicon.value.bucket(codes)
+            order = np.argsort(bucket, kind="stable")
+            rows = [(bucket[order[a]], *(seal(x) for x in (np.diff(codes[order[a:b]], prepend=0), n[order[a:b]], t[order[a:b]]))) for a, b in _segments(bucket[order])]
+            return pa.RecordBatch.from_pylist([dict(zip(("bucket", "codes", "n", "t"), r)) for r in rows], schema)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.zeros(0, np.int64)] * 3
             for batch in batches:
-                every, names, flags = ([t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), np.int64))
-                chosen = np.flatnonzero(among(every)) if among else np.arange(len(every))
-                texts, groups, flags = [every[i] for i in chosen], of(names)[chosen], flags[chosen]
-                for i, j in slices(texts, SLICE):
-                    code, first = lexicon.value.pairs(texts[i:j], groups[i:j])
+                names, flagged = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+                for i, j, texts in texts_of(batch.column(0), SLICE):
+                    chosen = np.flatnonzero(among(texts)) if among else np.arange(j - i)
+                    code, first = lexicon.value.pairs([texts[k] for k in chosen], of(names[i:j])[chosen])
                     distinct, place, n = np.unique(code, return_inverse=True, return_counts=True)
-                    t = np.bincount(place, np.repeat(flags[i:j], np.diff(first)), len(distinct)).astype(np.int64)
-                    bucket = lexicon.value.bucket(distinct)
-                    order = np.argsort(bucket, kind="stable")
-                    rows = [(bucket[order[a]], *(seal(x) for x in (np.diff(distinct[order[a:b]], prepend=0), n[order[a:b]], t[order[a:b]]))) for a, b in _segments(bucket[order])]
-                    yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "codes", "n", "t"), r)) for r in rows], schema)
+                    t = np.bincount(place, np.repeat(flagged[i:j][chosen], np.diff(first)), len(distinct)).astype(np.int64)
+                    held = added(*(np.concatenate(x) for x in zip(held, (distinct, n, t))))
+                    if len(held[0]) >= GATHERED:
+                        yield sealed(*held)
+                        held = [np.zeros(0, np.int64)] * 3
+            if len(held[0]):
+                yield sealed(*held)
 
         def merge(table: pa.Table) -> pa.Table:
             parts = [[unseal(x) for x in table.column(c).to_pylist()] for c in ("codes", "n", "t")]
-            codes, place = np.unique(np.concatenate([np.cumsum(x) for x in parts[0]]), return_inverse=True)
-            n, t = (np.bincount(place, np.concatenate(x), len(codes)).astype(np.int64) for x in parts[1:])
+            codes, n, t = added(np.concatenate([np.cumsum(x) for x in parts[0]]), *map(np.concatenate, parts[1:]))
             return pa.table([table.column("bucket").slice(0, 1), *(pa.array([seal(x)], pa.binary()) for x in (np.diff(codes, prepend=0), n, t))], schema)
 
         schema = pa.schema([("bucket", pa.int64()), ("codes", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
         ddl = "bucket long, codes binary, n binary, t binary"
         slim = docs.select(F.col(self.text), self.name, F.coalesce(F.lit(False) if flag is None else flag, F.lit(False)).cast("long"))
-        return slim.mapInArrow(run, ddl).groupBy("bucket").applyInArrow(merge, ddl)
+        return slim.mapInArrow(frugal(run), ddl).groupBy("bucket").applyInArrow(merge, ddl)
 
     def counts(self) -> DataFrame:
         """code, n and t of all pairs, a row for each."""
@@ -384,15 +395,15 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lexicon, _, hot, hot_losses = shared.value
             for batch in batches:
-                texts, groups, row = [t or "" for t in batch.column(1).to_pylist()], of(batch.column(2).to_pylist()), batch.column(3).to_numpy()
-                for i, j in slices(texts, SLICE):
-                    code, first = lexicon.pairs(texts[i:j], groups[i:j])
+                groups, row = of(batch.column(2).to_pylist()), batch.column(3).to_numpy()
+                for i, j, texts in texts_of(batch.column(1), SLICE):
+                    code, first = lexicon.pairs(texts, groups[i:j])
                     doc = np.repeat(np.arange(j - i), np.diff(first))
                     distinct, place = np.unique(code, return_inverse=True)
                     at, hit = _find(hot, distinct)
                     met = hit[place]
                     sums = np.stack([np.bincount(doc[met], x[at[place[met]]], j - i) for x in hot_losses]) if len(hot) else np.zeros((len(kinds), j - i))
-                    told = [facts(texts[i + a : i + b]) for a, b in slices(texts[i:j], PIECE)] if facts else []
+                    told = [facts(texts[a:b]) for a, b in slices(texts, PIECE)] if facts else []
                     columns = np.stack([groups[i:j], *(np.concatenate([x[c] for x in told]) for c in fact_names)])
                     rest = np.flatnonzero(~met)
                     bucket = lexicon.bucket(distinct)[place[rest]]
@@ -452,7 +463,7 @@ class Model:
 
         fields = ["slice", "bucket", "keys", "n", "facts", "codes", "docs", "sums"]
         ddl = f"slice long, bucket long, keys array<{kind}>, n array<long>, facts array<long>, codes binary, docs binary, sums binary"
-        parts = slim.mapInArrow(run, ddl)
+        parts = slim.mapInArrow(frugal(run), ddl)
         scored = parts.groupBy("bucket").cogroup(self.pairs.groupBy("bucket")).applyInArrow(score, ddl)
         out = scored.groupBy("slice").applyInArrow(total, f"key {kind}, n_tokens long" + "".join(f", loss_{x} double" for x in kinds) + "".join(f", {c} long" for c in names))
         return out.withColumnRenamed("key", key)
