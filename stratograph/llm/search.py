@@ -21,8 +21,9 @@ from .words import Words
 K1, B = 1.2, 0.75
 #: Documents of a shard, and of a block of its index (blocks have one upper bound for each of their terms).
 SHARD, BLOCK = 16_384, 64
-#: Terms in at least this share of a shard's documents have their weights in rows of a matrix, not in postings.
-DENSE = 1 / 16
+#: Terms in at least this share of a shard's documents have their weights in rows of a matrix, not in postings: the most
+#: frequent ones, as far as the matrix has no more cells than that (64 MB).
+DENSE, CELLS = 1 / 16, 1 << 23
 #: A block of queries is at most so many, with so many terms in all (some 60 MB), and goes to all executors.
 QUERIES, QUERY_TERMS = 8_192, 3_000_000
 #: Queries that a shard scores at once on frequent terms.
@@ -93,8 +94,9 @@ class Shard:
         size = np.diff(self.start)
         self.dense = np.full(len(self.terms), -1, np.int64)
         often = np.flatnonzero(size >= max(8, DENSE * self.n))
-        self.dense[often] = np.arange(len(often))
         self.blocks = -(-self.n // BLOCK)
+        often = often[np.argsort(-size[often], kind="stable")][: CELLS // max(1, self.blocks * BLOCK)]
+        self.dense[often] = np.arange(len(often))
         self.matrix = np.zeros((len(often), self.blocks * BLOCK))
         for row, t in enumerate(often):
             at = slice(self.start[t], self.start[t + 1])
