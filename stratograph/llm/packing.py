@@ -7,27 +7,31 @@ how many sequences repeat them. Pieces then take their places in the patterns by
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPACE, byte_alphabet
+from .bpe import SPACE, byte_alphabet, segment_tree_bpe
 from .common import checkpoint, number_rows
 
 #: The pre-tokenizer's pattern with possessive repeats: the same cuts, found faster.
 _PATTERN = (
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^" + SPACE + r"\p{L}\p{N}]++|[" + SPACE + r"]++$|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]"
 )
+#: A text with so long a run of white space goes through the segment tree, which gives the same ids: the other library recurses on it.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(f"[{SPACE}]{{{LONG_RUN}}}")
 
 
 @lru_cache(maxsize=2)
-def _encoder(vocabulary: str) -> Callable[[str], list[int]]:
+def _encoder(vocabulary: str) -> Callable[[str], Sequence[int]]:
     import json
 
     import tiktoken
@@ -41,6 +45,8 @@ def _encoder(vocabulary: str) -> Callable[[str], list[int]]:
     encoding = tiktoken.Encoding("corpus", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+            return array("I", segment_tree_bpe(vocabulary)[1].ids(text))
         if any(s in text for s in special):  # the tokenizers library turns their strings into their ids
             return encoding.encode(text, allowed_special="all")
         return encoding.encode_ordinary(text)
@@ -80,7 +86,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, k
             )
 
     slim = docs.select(F.col(key), F.col(text))
-    return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long".replace("piece int", "piece long"))
+    return slim.mapInArrow(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, piece long, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
