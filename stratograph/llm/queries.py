@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_score, near_dedup, packing, privacy, quality, search, sharding, toxicity, urlfilter
+from . import bpe, lm_score, near_dedup, packing, privacy, quality, search, secrets, sharding, toxicity, urlfilter
 from .common import read
 
 #: The key of pseudonyms in the registered queries; a deployment passes its own secret to ``privacy.pseudonymize``.
@@ -68,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
+    "op11_secret_scan": op11_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": urlfilter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": urlfilter.ORACLE_SQL, "op11_secret_scan": secrets.ORACLE_SQL}
