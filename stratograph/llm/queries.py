@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_score, near_dedup, packing, privacy, quality, search, secrets, sharding, toxicity, urlfilter
+from . import bpe, lm_score, manifest, middle, near_dedup, packing, privacy, quality, search, secrets, sharding, toxicity, urlfilter
 from .common import read
 
 #: The key of pseudonyms in the registered queries; a deployment passes its own secret to ``privacy.pseudonymize``.
@@ -72,6 +72,15 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(read(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.middle_digest(read(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf; every seventh, by a hash of its key, is tampered with."""
+    return manifest.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -84,5 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
     "op11_secret_scan": op11_secret_scan,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_manifest": op13_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": urlfilter.ORACLE_SQL, "op11_secret_scan": secrets.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": urlfilter.ORACLE_SQL, "op11_secret_scan": secrets.ORACLE_SQL, "op12_fill_in_middle": middle.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
