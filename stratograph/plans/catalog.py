@@ -132,7 +132,7 @@ def cls0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str1_normalize_type", _SHOP + "SELECT project_id, file_seq, ref_seq, raw_type, n AS normalized FROM normalized")
 def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codebase.references(spark, sf_dir).select("project_id", "file_seq", "ref_seq", "raw_type", E.normalize_type(F.col("raw_type")).alias("normalized"))
+    return graph.named(codebase.references(spark, sf_dir), "normalized").select("project_id", "file_seq", "ref_seq", "raw_type", "normalized")
 
 
 @query("flt1_ignored_types", _SHOP + f"SELECT project_id, n AS name, count(*) AS refs FROM normalized WHERE {_IGNORED} GROUP BY ALL")
@@ -426,7 +426,8 @@ def src10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.explode_entries(archives.admitted(codebase.java_archives(spark, sf_dir)))
+    """Entries of the derived archives, written once: roots and sources both start from them."""
+    return checkpoint(archives.explode_entries(archives.admitted(codebase.java_archives(spark, sf_dir))))
 
 
 @query("src6_zip_entries", f"SELECT {_SUPPLIER_PROJECT} AS project_id, 'app/src/main/java/com/mart/n' || s_nationkey || '/Supplier' || s_suppkey || '.java' AS path FROM supplier UNION ALL SELECT DISTINCT {_SUPPLIER_PROJECT}, p FROM supplier, (VALUES ('app/pom.xml'), ('app/sub/pom.xml'), ('app/src/test/java/ATest.java')) v(p)")
@@ -451,9 +452,9 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return java.parsed(java.extract(archives.java_sources(_entries(spark, sf_dir))))
 
 
-@query("prj_class_metadata", f"SELECT project_id, file_seq, 'Supplier' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN 'Controller' ELSE '' END AS class_name, 'com.mart.n' || s_nationkey AS package_name, false AS is_interface, 'Base' AS super_class, 'Named' AS interfaces, CASE WHEN s_suppkey % 5 = 0 THEN 'Slf4j' WHEN s_suppkey % 2 = 0 THEN 'Service' ELSE 'Component' END AS annotations, 'run' AS methods FROM ({_FILES})")
+@query("prj_class_metadata", f"SELECT project_id, file_seq, 'Supplier' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN 'Controller' ELSE '' END AS class_name, 'com.mart.n' || s_nationkey AS package_name, false AS is_interface, 'Base' AS super_class, 'Named' AS interfaces, CASE WHEN s_suppkey % 5 = 0 THEN 'Slf4j' WHEN s_suppkey % 2 = 0 THEN 'Service' ELSE 'Component' END AS annotations, 'run' AS methods, 'java.util,com.mart.n' || s_nationkey || '.Nation' || s_nationkey AS imports, 'private List<Nation' || s_nationkey || '> nations, more[];' AS fields FROM ({_FILES})")
 def prj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = [F.array_join(c, ",").alias(c) for c in ("interfaces", "annotations", "methods")]
+    joined = [F.array_join(c, ",").alias(c) for c in ("interfaces", "annotations", "methods", "imports", "fields")]
     return _extracted(spark, sf_dir).select("project_id", "file_seq", "class_name", "package_name", "is_interface", "super_class", *joined)
 
 
@@ -470,10 +471,11 @@ def ext(spark: SparkSession, sf_dir: str) -> DataFrame:
   'com.mart.n' || s_nationkey AS package_name, CASE WHEN s_suppkey % 5 = 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'CONTROLLER' ELSE 'UNKNOWN' END WHEN s_suppkey % 2 = 0 THEN 'SERVICE' ELSE 'COMPONENT' END AS component_type
   FROM ({_FILES})), refs AS ({_WRITTEN}), {_MODULES} {_MAPPED}""")
 def map3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All the way from archives to mappings."""
-    classes = analysis.classify(_extracted(spark, sf_dir))
-    found = graph.resolved(classes, graph.type_references(classes))
-    return modules.mappings(modules.discover(graph.nodes(classes, found), graph.edges(found)))
+    """All the way from archives to mappings. What is used more than once is written once: an archive is opened once, a file
+    read once."""
+    classes = checkpoint(analysis.classify(_extracted(spark, sf_dir)))
+    found = checkpoint(graph.resolved(classes, graph.type_references(classes)))
+    return modules.mappings(checkpoint(modules.discover(graph.nodes(classes, found), graph.edges(found))))
 
 
 @query("snk1_responses", f"SELECT project_id, '{{\"success\":true,\"message\":\"Project uploaded successfully.\",\"data\":{{\"projectId\":\"' || substr(project_id, 1, 16) || '\",\"projectName\":\"' || archive || '\",\"fileSize\":' || 1000 || ',\"status\":\"UPLOADED\"}}}}' AS response FROM (SELECT DISTINCT {_SUPPLIER_ARCHIVE} AS archive, {_SUPPLIER_PROJECT} AS project_id FROM supplier)")

@@ -157,8 +157,8 @@ def java_archives(spark: SparkSession, sf_dir: str, damaged: bool = False) -> Da
     import pandas as pd
 
     body = F.format_string(
-        "package com.mart.n%d;\n// supplier %d\n@%s(\"x\")\npublic class Supplier%d%s extends Base<%s> implements Named {\n  private List<Nation%d> nations, more[];\n  public Supplier%d%s(Map<String, Region%d> r, int... n) { }\n  void run(final Order%d order) { new Thread() { Extra%d e; }; }\n}\n",
-        "s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "Slf4j").when(F.col("s_suppkey") % 2 == 0, "Service").otherwise("Component"), "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "Controller").otherwise(""), F.lit("T"),
+        "package com.mart.n%d;\nimport java.util.*;\nimport com.mart.n%d.Nation%d;\n// supplier %d\n@%s(\"x\")\npublic class Supplier%d%s extends Base<%s> implements Named {\n  private List<Nation%d> nations, more[];\n  public Supplier%d%s(Map<String, Region%d> r, int... n) { }\n  void run(final Order%d order) { new Thread() { Extra%d e; }; }\n}\n",
+        "s_nationkey", "s_nationkey", "s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "Slf4j").when(F.col("s_suppkey") % 2 == 0, "Service").otherwise("Component"), "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "Controller").otherwise(""), F.lit("T"),
         "s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "Controller").otherwise(""), "s_nationkey", "s_suppkey", F.col("s_suppkey") % 7,
     )
     files = tables(spark, sf_dir)["supplier"].select(

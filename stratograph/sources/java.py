@@ -1,24 +1,32 @@
-"""Declarations of Java source files: one row of class metadata and written types for each file.
+"""Declarations of Java source files as columns: tokens in rows, brackets by running sums, declarations by neighbouring tokens.
 
-A small scanner: it reads tokens, keeps track of braces, and recognizes declarations where a type body's members begin. Bodies
-of methods are read for the local and anonymous classes in them, whose fields and parameters count for the file too.
+A file's tokens are dealt to one task by a single exchange; all that follows are windows over them:
+
+1. ``_nested``: how deep each token lies, the bracket that it lies in, and brackets that don't match.
+2. ``_statements``: within a bracket, annotations, and statements (up to a semicolon or a block).
+3. ``_bodies``: which braces are bodies of types: of a declaration, an anonymous class, a constant of an enum.
+4. ``_pieces``: statements of bodies are fields, methods or constructors; variables and parameters are parts of a statement or of a
+   parameter list, cut at commas outside of ``<...>``.
+5. ``extract``: a row for each file.
+
+Bodies of methods count for the local and anonymous classes in them, whose fields and parameters are the file's too.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
 
-_TOKEN = re.compile(
-    r'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'|[^\W\d][\w$]*|\d[\w.]*|\.\.\.|->|::|@interface\b|\S',
-    re.DOTALL,
+#: Comments, texts, strings, characters, names, numbers, signs. Repeats are possessive, so a long one is no recursion.
+TOKEN = (
+    r'//[^\n]*+|/\*(?s:.*?)\*/|"""[^"\\]*+(?:(?s:\\.|"(?!""))[^"\\]*+)*+"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[\p{L}_$][\p{L}\p{N}_$]*+|\p{N}[\p{L}\p{N}_.]*+|\.\.\.|->|::|@interface\b|\S"
 )
-_MODIFIERS = {"public", "private", "protected", "static", "final", "abstract", "native", "synchronized", "transient", "volatile", "strictfp", "default", "sealed", "non-sealed"}
-_TYPES = {"class", "interface", "enum", "record", "@interface"}
-_CLOSE = {"(": ")", "{": "}", "[": "]"}
+NAME = r"^[\p{L}_$]"
+MODIFIERS = ("public", "private", "protected", "static", "final", "abstract", "native", "synchronized", "transient", "volatile", "strictfp", "default", "sealed", "non-sealed")
+OPEN, CLOSE = ("(", "{", "["), (")", "}", "]")
+FILE = ("project_id", "file_seq")
 SCHEMA = (
     "project_id string, file_seq long, class_name string, package_name string, is_interface boolean, super_class string, interfaces array<string>, "
     "annotations array<string>, imports array<string>, fields array<string>, methods array<string>, source_file string, field_types array<string>, "
@@ -26,295 +34,250 @@ SCHEMA = (
 )
 
 
-class ParseError(ValueError):
-    pass
-
-
-class _Scanner:
-    def __init__(self, text: str) -> None:
-        self.tokens = [t for t in _TOKEN.findall(text) if not t.startswith(("//", "/*"))]
-        self.match: dict[int, int] = {}
-        open_: list[int] = []
-        for i, t in enumerate(self.tokens):
-            if t in _CLOSE:
-                open_.append(i)
-            elif t in ")}]":
-                if not open_ or _CLOSE[self.tokens[open_[-1]]] != t:
-                    raise ParseError(f"unbalanced {t}")
-                self.match[open_.pop()] = i
-        if open_:
-            raise ParseError(f"unclosed {self.tokens[open_[-1]]}")
-        self.package, self.imports, self.first = "", [], None
-        self.fields, self.constructors, self.parameters = [], [], []
-
-    def at(self, i: int) -> str:
-        return self.tokens[i] if i < len(self.tokens) else ""
-
-    def name(self, i: int) -> tuple[str, int]:
-        """A dotted name at i, and what follows it."""
-        parts = [self.at(i)]
-        while self.at(i + 1) == "." and re.match(r"[^\W\d]|\*", self.at(i + 2)):
-            parts.append(self.at(i + 2))
-            i += 2
-        return ".".join(parts), i + 1
-
-    def annotations(self, i: int) -> tuple[list[str], int]:
-        """Annotations and modifiers at i."""
-        found = []
-        while True:
-            if self.at(i) == "@" and self.at(i + 1) != "interface":
-                name, i = self.name(i + 1)
-                found.append(name)
-                if self.at(i) == "(":
-                    i = self.match[i] + 1
-            elif self.at(i) in _MODIFIERS and self.at(i + 1) not in ("=", ";", ",", ".", "("):
-                i += 1
-            elif self.at(i) == "non" and self.at(i + 1) == "-":
-                i += 3
-            else:
-                return found, i
-
-    def generic(self, i: int) -> int:
-        """The place after the ``<...>`` at i."""
-        depth = 0
-        while True:
-            depth += {"<": 1, ">": -1}.get(self.at(i), 0)
-            if self.at(i) in ("", ";", "{"):
-                raise ParseError("unclosed <")
-            i += 1
-            if not depth:
-                return i
-
-    def type(self, i: int) -> tuple[str, int] | None:
-        """A written type at i without annotations, as it is printed."""
-        _, i = self.annotations(i)
-        if not re.match(r"[^\W\d]", self.at(i)):
-            return None
-        out, i = self.name(i)
-        while True:
-            if self.at(i) == "<":
-                end = self.generic(i)
-                inner = [t for k, t in enumerate(self.tokens[i + 1 : end - 1]) if t != "@"]
-                text = "".join(", " if t == "," else f" {t} " if t in ("extends", "super", "&") else t for t in inner)
-                out, i = f"{out}<{text}>", end
-            elif self.at(i) == "[" and self.at(i + 1) == "]":
-                out, i = out + "[]", i + 2
-            elif self.at(i) == "." and re.match(r"[^\W\d]", self.at(i + 1)):
-                more, i = self.name(i + 1)
-                out = f"{out}.{more}"
-            else:
-                return out, i
-
-    def parameter_types(self, i: int) -> list[str]:
-        """Types of the parameters in the parentheses at i; of ``T...`` the element type."""
-        out, end = [], self.match[i]
-        i += 1
-        while i < end:
-            found = self.type(i)
-            if found is None:
-                raise ParseError("no parameter type")
-            text, i = found
-            if self.at(i) == "...":
-                i += 1
-            receiver = self.at(i) == "this"
-            i += 1
-            while self.at(i) == "[" and i < end:
-                text, i = text + "[]", self.match[i] + 1
-            if not receiver:
-                out.append(text)
-            while i < end and self.at(i) != ",":
-                i += 1
-            i += 1
-        return out
-
-    def unit(self) -> None:
-        i = 0
-        while i < len(self.tokens):
-            start = i
-            notes, i = self.annotations(i)
-            if self.at(i) == "package":
-                self.package, i = self.name(i + 1)
-            elif self.at(i) == "import":
-                name, i = self.name(i + 1 + (self.at(i + 1) == "static"))
-                self.imports.append(name.removesuffix(".*"))
-            elif self.declares_type(i):
-                i = self.declaration(i, notes)
-            elif self.at(i) == ";":
-                i += 1
-            elif i < len(self.tokens):
-                raise ParseError(f"unexpected {self.at(i)}")
-            if i == start:
-                raise ParseError(f"unexpected {self.at(i)}")
-
-    def declares_type(self, i: int) -> bool:
-        if self.at(i) == "@" and self.at(i + 1) == "interface":
-            return True
-        if self.at(i) == "record":
-            return bool(re.match(r"[^\W\d]", self.at(i + 1))) and self.at(i + 2) in ("(", "<")
-        return self.at(i) in _TYPES and bool(re.match(r"[^\W\d]", self.at(i + 1)))
-
-    def declaration(self, i: int, notes: list[str]) -> int:
-        """The type declaration at its keyword; returns what follows its body."""
-        if self.at(i) == "@":
-            i += 1
-            kind = "@interface"
-        else:
-            kind = self.at(i)
-        own = {"name": self.at(i + 1), "interface": kind == "interface", "annotations": notes, "extends": [], "implements": [], "fields": [], "methods": []}
-        if kind in ("class", "interface") and self.first is None:
-            self.first = own
-        name, i = self.at(i + 1), i + 2
-        if self.at(i) == "<":
-            i = self.generic(i)
-        if self.at(i) == "(":
-            i = self.match[i] + 1
-        clause = None
-        while self.at(i) != "{":
-            if self.at(i) in ("extends", "implements", "permits"):
-                clause, i = self.at(i), i + 1
-            found = self.type(i)
-            if found is None:
-                raise ParseError(f"no body of {name}")
-            if clause in ("extends", "implements"):
-                own[clause].append(found[0].partition("<")[0].rpartition(".")[2])
-            i = found[1] + (self.at(found[1]) == ",")
-        self.body(i, name, kind, own)
-        return self.match[i] + 1
-
-    def body(self, i: int, name: str | None, kind: str, own: dict | None) -> None:
-        """The members of the type body at i."""
-        end = self.match[i]
-        i += 1
-        if kind == "enum":
-            while i < end and self.at(i) != ";":  # constants, some with arguments or bodies
-                if self.at(i) == "{":
-                    self.body(i, None, "class", None)
-                    i = self.match[i]
-                elif self.at(i) in "([":
-                    self.code(i, self.match[i])
-                    i = self.match[i]
-                i += 1
-        while i < end:
-            notes, i = self.annotations(i)
-            if self.at(i) in (";", "}"):
-                i += 1
-            elif self.at(i) == "{":
-                self.code(i, self.match[i])
-                i = self.match[i] + 1
-            elif self.declares_type(i):
-                i = self.declaration(i, notes)
-            else:
-                i = self.member(i, name, own)
-
-    def member(self, i: int, name: str | None, own: dict | None) -> int:
-        if self.at(i) == "<":
-            i = self.generic(i)
-            _, i = self.annotations(i)
-        if self.at(i) == name and self.at(i + 1) in ("(", "{"):  # a constructor, or a record's short one
-            if self.at(i + 1) == "(":
-                self.constructors += self.parameter_types(i + 1)
-            return self.rest(i + 1)
-        begin, found = i, self.type(i)
-        if found is None:
-            raise ParseError(f"unexpected {self.at(i)}")
-        text, i = found
-        if self.at(i + 1) == "(":
-            self.parameters += self.parameter_types(i + 1)
-            if own:
-                own["methods"].append(self.at(i))
-            return self.rest(i + 1)
-        while True:  # a field's variables
-            if not re.match(r"[^\W\d]", self.at(i)):
-                raise ParseError(f"unexpected {self.at(i)}")
-            one, i = text, i + 1
-            while self.at(i) == "[":
-                one, i = one + "[]", self.match[i] + 1
-            self.fields.append(one)
-            if self.at(i) == "=":
-                start = i
-                angle = 0
-                while self.at(i) != ";" and not (self.at(i) == "," and not angle):
-                    if not self.at(i):
-                        raise ParseError("unclosed field")
-                    if self.at(i) in _CLOSE:
-                        i = self.match[i]
-                    elif self.at(i) == "<" and (self.at(i - 1) == "." or self.at(i - 1)[:1].isupper()):
-                        angle += 1
-                    elif self.at(i) == ">" and angle:
-                        angle -= 1
-                    i += 1
-                self.code(start, i)
-            if self.at(i) == ";":
-                if own:
-                    own["fields"].append(" ".join(self.tokens[begin:i]) + ";")
-                return i + 1
-            if self.at(i) != ",":
-                raise ParseError(f"unexpected {self.at(i)}")
-            i += 1
-
-    def rest(self, i: int) -> int:
-        """What follows a method whose parameters or body begin at i."""
-        while self.at(i) not in ("{", ";"):
-            if not self.at(i):
-                raise ParseError("unclosed method")
-            i = self.match.get(i, i) + 1
-        if self.at(i) == ";":
-            return i + 1
-        self.code(i, self.match[i])
-        return self.match[i] + 1
-
-    def code(self, i: int, end: int) -> None:
-        """Local and anonymous classes among statements and expressions."""
-        i += 1
-        while i < end:
-            if self.declares_type(i) and self.at(i - 1) not in (".", "::") and self.at(i) != "@":
-                i = self.declaration(i, [])
-                continue
-            if self.at(i) == "new" and (found := self.type(i + 1)) and self.at(found[1]) == "(":
-                close = self.match[found[1]]
-                self.code(found[1], close)
-                i = close + 1
-                if self.at(i) == "{":
-                    self.body(i, None, "class", None)
-                    i = self.match[i] + 1
-                continue
-            i += 1
-
-
-def declarations(text: str) -> dict:
-    """Class metadata and written types of one file; raises ParseError."""
-    scanner = _Scanner(text)
-    try:
-        scanner.unit()
-    except KeyError as e:
-        raise ParseError("unbalanced brackets") from e
-    first = scanner.first or {}
-    return {
-        "class_name": first.get("name"), "package_name": scanner.package, "is_interface": first.get("interface", False),
-        "super_class": (first.get("extends") or [None])[-1], "interfaces": first.get("implements", []), "annotations": first.get("annotations", []),
-        "imports": scanner.imports if first else [], "fields": first.get("fields", []), "methods": first.get("methods", []),
-        "field_types": scanner.fields, "constructor_types": scanner.constructors, "parameter_types": scanner.parameters, "error": None,
-    }
+def _over(*by: str, start: int | None = None, end: int = Window.currentRow) -> WindowSpec:
+    """Rows of a file (and of ``by``) up to this one, in the order of tokens."""
+    return Window.partitionBy(*FILE, *by).orderBy("pos").rowsBetween(Window.unboundedPreceding if start is None else start, end)
+
+
+def _before(*by: str) -> WindowSpec:
+    return _over(*by, end=-1)
+
+
+def _all(*by: str) -> WindowSpec:
+    return Window.partitionBy(*FILE, *by)
+
+
+def _last(value: Column, where: Column, window: WindowSpec) -> Column:
+    return F.last(F.when(where, value), ignorenulls=True).over(window)
+
+
+def _place(where: Column, window: WindowSpec) -> Column:
+    """The last place where something holds; -1 without one."""
+    return F.coalesce(F.max(F.when(where, F.col("pos"))).over(window), F.lit(-1))
+
+
+def tokens(sources: DataFrame) -> DataFrame:
+    """project_id, file_seq, pos, tok of each file, and an empty token at its end, which carries the file's path."""
+    found = F.filter(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("//") & ~t.startswith("/*"))
+    rows = sources.select(*FILE, "path", F.posexplode(F.concat(found, F.array(F.lit("")))).alias("pos", "tok"))
+    return rows.withColumn("path", F.when(F.col("tok") == "", F.col("path")))
+
+
+def _nested(toks: DataFrame) -> DataFrame:
+    """Rows (role, level, parent): a token as a child (c) of the bracket at place ``parent``; a bracket as the begin (o) and the end (x)
+    of its own level; ``fault`` tells of brackets that don't match."""
+    tok = F.col("tok")
+    opens, closes = tok.isin(*OPEN), tok.isin(*CLOSE)
+    deep = toks.withColumn("deep", F.sum(opens.cast("int") - closes.cast("int")).over(_over()))
+    row = lambda role, level: F.struct(F.lit(role).alias("role"), level.alias("level"))
+    roles = F.when(opens, F.array(row("c", F.col("deep") - 1), row("o", F.col("deep")))).when(closes, F.array(row("x", F.col("deep") + 1))).otherwise(F.array(row("c", F.col("deep"))))
+    rows = deep.select(*FILE, "path", "pos", "tok", F.explode(roles).alias("r")).select(*FILE, "path", "pos", "tok", "r.*")
+    opener = F.col("role") == "o"
+    rows = rows.withColumn("parent", _place(opener, _over("level"))).withColumn("within", F.coalesce(_last(tok, opener, _over("level")), F.lit("")))
+    fits = F.coalesce(*(F.when(F.col("within") == a, tok == b) for a, b in zip(OPEN, CLOSE)), F.lit(False))
+    wrong = F.when((F.col("role") == "x") & ~fits, F.concat(F.lit("unbalanced "), tok)).when((tok == "") & (F.col("level") > 0), F.concat(F.lit("unclosed "), F.col("within")))
+    return rows.withColumn("fault", wrong)
+
+
+def _statements(rows: DataFrame) -> DataFrame:
+    """Adds what is told by neighbours within a bracket: annotations, declaring words, the place where the statement begins."""
+    by, tok, child = "parent", F.col("tok"), F.col("role") == "c"
+    beside = Window.partitionBy(*FILE, by).orderBy("pos")
+    rows = rows.withColumn("prev", F.when(child, F.coalesce(F.lag("tok").over(beside), F.lit("")))).withColumn("next", F.lead("tok").over(beside)).withColumn("next2", F.lead("tok", 2).over(beside))
+    # the first token of a bracket follows the bracket itself
+    rows = rows.withColumn("prev", F.when(F.lag("role").over(beside) == "o", F.lit("")).otherwise(F.col("prev")))
+    chained = (tok == ".") | F.col("prev").isin(".", "@")
+    rows = rows.withColumn("chain", _place(~chained, _over(by))).withColumn("head", _last(tok, ~chained, _over(by)))
+    noted = child & (F.col("head") == "@")
+    rows = rows.withColumn("noted", noted).withColumn("note_list", child & (tok == "(") & F.coalesce(F.lag("noted").over(beside), F.lit(False)))
+    named = F.coalesce(F.col("next").rlike(NAME), F.lit(False))
+    declares = (tok.isin("class", "interface", "enum") & ~F.col("prev").isin(".", "::") | (tok == "@interface") | (tok == "record") & F.col("next2").isin("(", "<")) & named & child & ~noted
+    declares = F.coalesce(declares, F.lit(False))
+    rows = rows.withColumn("declares", declares)
+    rows = rows.withColumn("semicolon", _place(child & (tok == ";"), _before(by))).withColumn("equals", _place(child & (tok == "="), _before(by)))
+    ends = child & ((tok == ";") | (tok == "{") & (F.col("equals") <= F.col("semicolon")))
+    rows = rows.withColumn("ends", ends).withColumn("begin", _place(F.col("ends"), _before(by)))
+    return rows.withColumn("declared", _place(F.col("declares"), _over(by))).withColumn("kind", _last(tok, F.col("declares"), _over(by))).withColumn("type", _last(F.col("next"), F.col("declares"), _over(by)))
+
+
+def _bodies(rows: DataFrame) -> DataFrame:
+    """Adds to each token the body that it lies in directly: ``body`` (its kind; null if it isn't one), its type, and where that is
+    declared; and of each file, where its first class or interface is declared."""
+    by, tok, child = "parent", F.col("tok"), F.col("role") == "c"
+    beside = Window.partitionBy(*FILE, by).orderBy("pos")
+    of_type = tok.rlike(NAME) & ~tok.isin("return", "throw", "else", "case", "instanceof") | tok.isin(".", "<", ">", ",", "?", "&", "@") | F.col("noted") | F.col("note_list")
+    rows = rows.withColumn("made", child & (tok == "(") & (_place(child & (tok == "new"), _before(by)) > _place(child & ~of_type, _before(by))))
+    declaration = F.col("declared") > F.col("begin")
+    brace = child & (tok == "{")
+    own = F.when(brace & declaration, F.col("kind")).when(brace & F.coalesce(F.lag("made").over(beside), F.lit(False)), F.lit("anonymous"))
+    rows = rows.withColumn("opened", own).withColumn("opened_at", F.when(brace & declaration, F.col("declared"))).withColumn("opened_type", F.when(brace & declaration, F.col("type")))
+    for c in ("opened", "opened_at", "opened_type"):  # from a bracket as a child to the same bracket as a begin, and on to all within
+        rows = rows.withColumn(c, F.max(c).over(_all("pos")))
+    begins = F.col("role") == "o"
+    for c, name in (("opened", "body"), ("opened_at", "body_at"), ("opened_type", "body_type")):
+        rows = rows.withColumn(name, F.max(F.when(begins, F.col(c))).over(_all(by)))
+    constant = (F.col("body") == "enum") & (F.col("semicolon") < 0)
+    # a constant's body is one more kind; it has no name
+    rows = rows.withColumn("opened", F.coalesce("opened", F.max(F.when(brace & constant, F.lit("constant"))).over(_all("pos"))))
+    rows = rows.withColumn("body", F.coalesce("body", F.max(F.when(begins, F.col("opened"))).over(_all(by))))
+    rows = rows.withColumn("constant", F.coalesce(constant, F.lit(False)))
+    first = F.min(F.when(F.col("opened").isin("class", "interface") & brace, F.col("opened_at"))).over(_all())
+    return rows.withColumn("first_at", first).withColumn("own", F.coalesce(F.col("body_at") == first, F.lit(False)))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Adds, within a statement, how deep in ``<...>`` a token is, the part between commas, and lists of parameters."""
+    by, tok, child = ("parent", "begin"), F.col("tok"), F.col("role") == "c"
+    plain = child & ~F.col("noted") & ~F.col("note_list")
+    modifier = tok.isin(*MODIFIERS) & ~F.coalesce(F.col("next").isin("=", ";", ",", ".", "("), F.lit(False)) | (tok == "non") & (F.col("next") == "-") | (tok == "-") & (F.col("prev") == "non")
+    rows = rows.withColumn("plain", plain & ~modifier)
+    # in an initializer "<" opens a list of types only behind a dot or the name of a type
+    generic = (tok == "<") & ((F.col("equals") <= F.col("begin")) | (F.col("prev") == ".") | F.col("prev").rlike(r"^\p{Lu}"))
+    step = F.when(plain & generic, 1).when(plain & (tok == ">"), -1).otherwise(0)
+    rows = rows.withColumn("walk", F.sum(step).over(_over(*by)))
+    # a ">" that closes nothing doesn't count: the walk above its own least value so far
+    rows = rows.withColumn("angle", F.col("walk") - F.least(F.lit(0), F.min("walk").over(_over(*by))))
+    top = F.col("plain") & (F.col("angle") == 0)
+    rows = rows.withColumn("part", F.sum((top & (tok == ",") & (F.col("declared") <= F.col("begin"))).cast("int")).over(_over(*by)))
+    rows = rows.withColumn("written", F.sum((top & ~tok.isin(">", "[")).cast("int")).over(_before(*by)))  # words so far
+    in_body = F.col("body").isNotNull() & ~F.col("constant")
+    list_ = plain & (tok == "(") & in_body & (F.col("equals") <= F.col("begin")) & (F.col("declared") <= F.col("begin")) & F.col("prev").rlike(NAME)
+    rows = rows.withColumn("list", list_ & (_place(list_, _before(*by)) <= F.col("begin")))
+    takes = F.when((F.col("prev") == F.col("body_type")) & (F.coalesce("written", F.lit(0)) <= 1), F.lit("CONSTRUCTOR")).otherwise(F.lit("METHOD_PARAMETER"))
+    rows = rows.withColumn("makes", F.when(F.col("list"), takes)).withColumn("takes", F.max("makes").over(_all("pos")))
+    return rows.withColumn("takes", F.max(F.when(F.col("role") == "o", F.col("takes"))).over(_all("parent")))
+
+
+def _written(toks: Column) -> Column:
+    """Tokens of a type as they are printed."""
+    spaced = F.regexp_replace(F.array_join(toks, " "), " (extends|super|&) ", "\u0001$1\u0001")
+    return F.translate(F.replace(F.replace(spaced, F.lit(" , "), F.lit(",\u0001")), F.lit(" "), F.lit("")), "\u0001", " ")
+
+
+def _printed(text: Column) -> Column:
+    """Tokens between spaces as source text."""
+    closer = F.regexp_replace(text, r" (?=[.,;)\]>(\[<])", "")
+    return F.regexp_replace(closer, r"(?<=[.@(\[<]) ", "")
+
+
+def _listed(value: Column, order: Column, where: Column) -> Column:
+    """An aggregate: values in the order of tokens."""
+    rows = F.array_sort(F.collect_list(F.when(where & value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
+    return F.transform(rows, lambda r: r["v"])
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Parts of statements and of parameter lists: their plain tokens, and what the statement is."""
+    tok, child = F.col("tok"), F.col("role") == "c"
+    kept = F.when(F.col("plain") & ~(F.col("ends") | (tok == "") | (tok == ",") & (F.col("angle") == 0)), F.struct("pos", "tok"))
+    heads = F.when(F.col("plain") & ~F.col("ends") & ((F.col("angle") == 0) & (tok != ">")), F.struct("pos", "tok"))
+    told = rows.filter(child & ((F.col("body").isNotNull() & ~F.col("constant")) | F.col("takes").isNotNull() | (F.col("parent") < 0) | F.col("noted") | (F.col("declared") > F.col("begin")) | (tok == "")))
+    names = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda r: r["tok"])
+    grouped = told.groupBy(*FILE, "parent", "begin", "part").agg(
+        F.min("pos").alias("at"), names(kept).alias("toks"), names(heads).alias("heads"), F.max("own").alias("own"), F.max("body").alias("body"), F.max("body_type").alias("body_type"), F.max("takes").alias("takes"),
+        F.max("first_at").alias("first_at"), F.max(F.when(F.col("ends"), tok)).alias("end"), F.max(F.when(F.col("declares"), F.col("pos"))).alias("declares_at"), F.max(F.when(F.col("declares"), tok)).alias("kind"),
+        F.max(F.when(F.col("list"), F.col("prev"))).alias("method"), F.max("makes").alias("makes"), F.max("constant").alias("constant"), F.max("path").alias("path"), F.max("bracket").alias("bracket"),
+        F.array_sort(F.collect_list(F.when(F.col("noted") & (tok != "@"), F.struct("chain", "pos", "tok")))).alias("notes"),
+    )
+    whole = _all("parent", "begin")
+    for c, of in (("end", "statement_end"), ("declares_at", "statement_declares"), ("method", "statement_method")):
+        grouped = grouped.withColumn(of, F.max(c).over(whole))
+    return grouped
+
+
+def _variables(pieces: DataFrame) -> DataFrame:
+    """Adds to parts of fields and parameters the written type, of ``T...`` the element type."""
+    toks = F.col("toks")
+    cut = F.array_position(toks, "=").cast("int")
+    decl = F.when(cut > 0, F.slice(toks, 1, F.greatest(cut - 1, F.lit(0)))).otherwise(toks)
+    pieces = pieces.withColumn("decl", decl)
+    brackets = F.length(F.regexp_extract(F.array_join("decl", " "), r"((?: \[)*)$", 1)) / 2
+    pieces = pieces.withColumn("dims", brackets.cast("int"))
+    pieces = pieces.withColumn("lead", F.slice("decl", 1, F.greatest(F.size("decl") - F.col("dims") - 1, F.lit(0)))).withColumn("name", F.get("decl", F.size("decl") - F.col("dims") - 1))
+    typed = F.filter("lead", lambda t: t != "...")
+    typed = F.flatten(F.transform(typed, lambda t: F.when(t == "[", F.array(F.lit("["), F.lit("]"))).otherwise(F.array(t))))
+    suffix = F.repeat(F.lit("[]"), F.col("dims"))
+    is_field = F.col("body").isNotNull() & F.col("takes").isNull() & ~F.col("constant") & F.col("statement_declares").isNull() & F.col("statement_method").isNull() & F.coalesce(F.col("statement_end") == ";", F.lit(False))
+    pieces = pieces.withColumn("is_field", is_field)
+    own = F.when(F.size(typed) > 0, _written(typed))
+    of_all = F.max(F.when(F.col("part") == 0, own)).over(_all("parent", "begin"))
+    pieces = pieces.withColumn("base", F.when(F.col("is_field"), of_all).otherwise(own))
+    return pieces.withColumn("written", F.when((F.col("name") != "this") | F.col("is_field"), F.concat("base", suffix)))
+
+
+def _faults(pieces: DataFrame) -> Column:
+    """What cannot be read in a part; null if nothing."""
+    some, lead = F.size("toks") > 0, F.get("toks", F.lit(0))
+    word = F.concat(F.lit("unexpected "), lead)
+    top = (F.col("parent") < 0) & F.col("statement_declares").isNull() & some & ~(lead.isin("package", "import") & F.coalesce(F.col("statement_end") == ";", F.lit(False)))
+    # two names side by side are no type
+    odd = F.array_join("lead", " ").rlike(r"(?:^| )(?!extends |super )[\p{L}_$]\S* (?!extends |super )[\p{L}_$]")
+    parameter = F.col("takes").isNotNull() & F.col("body").isNull()
+    no_type = parameter & some & (F.col("base").isNull() | ~F.col("name").rlike(NAME) | odd)
+    member = F.col("body").isNotNull() & ~F.col("constant") & F.col("statement_declares").isNull() & F.col("statement_method").isNull()
+    compact = (F.size("toks") == 1) & (lead == F.col("body_type"))
+    stray = member & some & (F.col("statement_end").isNull() | (F.col("statement_end") == "{") & ~compact | F.col("is_field") & (odd | F.col("base").isNull() | F.col("name").isNull() | ~F.coalesce(F.col("name").rlike(NAME), F.lit(False))))
+    return F.when(top, word).when(no_type, F.lit("no parameter type")).when(stray, word)
+
+
+def _field_texts(rows: DataFrame) -> DataFrame:
+    """Whole texts of the first class's fields: of each statement directly in its body, all tokens down to the innermost."""
+    direct = (F.col("role") == "c") & F.col("own")
+    begin, end = (f(F.when(F.col("own") & (F.col("role") == r), F.col("pos"))).over(_all()) for f, r in ((F.min, "o"), (F.max, "x")))
+    rows = rows.withColumn("body_begin", begin).withColumn("body_end", end).filter((F.col("pos") > F.col("body_begin")) & (F.col("pos") < F.col("body_end")) & (F.col("role") != "o"))
+    rows = rows.withColumn("statement", F.last(F.when(direct, F.col("begin")), ignorenulls=True).over(_over()))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda r: r["tok"]), " ")
+    return rows.groupBy(*FILE, "statement").agg(texts.alias("text")).select(*FILE, F.col("statement").alias("begin"), _printed(F.col("text")).alias("text"))
 
 
 def extract(sources: DataFrame) -> DataFrame:
-    """A row of SCHEMA for each source file (project_id, file_seq, path, content); a file that cannot be read has only an error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [field.strip().split()[0] for field in re.split(r", (?=\w+ )", SCHEMA)]
-        for batch in batches:
-            rows = []
-            for pid, seq, path, content in zip(batch["project_id"], batch["file_seq"], batch["path"], batch["content"]):
-                try:
-                    row = declarations(content or "")
-                except (ParseError, RecursionError) as e:
-                    row = {"package_name": "", "is_interface": False, "error": str(e) or "nested too deeply"} | {
-                        k: [] for k in ("interfaces", "annotations", "imports", "fields", "methods", "field_types", "constructor_types", "parameter_types")
-                    }
-                rows.append({"project_id": pid, "file_seq": seq, "source_file": path} | row)
-            yield pd.DataFrame(rows, columns=columns)
-
-    return sources.select("project_id", "file_seq", "path", "content").mapInPandas(run, SCHEMA)
+    """A row of SCHEMA for each source file (project_id, file_seq, path, content); a file that cannot be read has only an error. A file
+    without content has no class. Files are numbered uniquely within a project."""
+    rows = _nested(tokens(sources.select(*FILE, "path", "content").repartition(*FILE)))
+    rows = rows.withColumn("bracket", F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("pos"))).over(_all()))
+    marked = _marked(_bodies(_statements(rows)))
+    pieces = _variables(_pieces(marked))
+    pieces = pieces.withColumn("fault", _faults(pieces))
+    dotted = lambda names: F.array_join(names, "")
+    simple = lambda names: F.transform(F.split(F.array_join(names, " "), " , "), lambda t: F.substring_index(F.trim(t), " ", -1))
+    lead, top, is_first = F.get("toks", F.lit(0)), F.col("parent") < 0, F.coalesce(F.col("statement_declares") == F.col("first_at"), F.lit(False))
+    rest = F.slice("toks", F.when(F.get("toks", F.lit(1)) == "static", 3).otherwise(2), F.size("toks"))
+    header = F.array_join("heads", " ")
+    clause = lambda word, others: F.regexp_extract(header, rf" {word} (.*?)(?: (?:{others}) |$)", 1)
+    listed = lambda text: F.filter(simple(F.split(text, " ")), lambda t: t != "")
+    # annotations stand before the declaring word, a name in pieces of one chain
+    notes = F.filter("notes", lambda t: t["pos"] < F.col("statement_declares"))
+    chains = F.array_distinct(F.transform(notes, lambda t: t["chain"]))
+    named = F.transform(chains, lambda c: dotted(F.transform(F.filter(notes, lambda t: t["chain"] == c), lambda t: t["tok"])))
+    first = F.when(is_first & F.col("declares_at").isNotNull(), F.struct(
+        F.get("heads", F.array_position("heads", F.col("kind")).cast("int")).alias("class_name"), (F.col("kind") == "interface").alias("is_interface"),
+        listed(clause("extends", "implements|permits")).alias("extended"), listed(clause("implements", "permits")).alias("interfaces"),
+    ))
+    gathered = pieces.groupBy(*FILE).agg(
+        F.max(F.when(top & (lead == "package"), dotted(rest))).alias("package"),
+        _listed(F.regexp_replace(dotted(rest), r"\.\*$", ""), F.col("at"), top & (lead == "import")).alias("imports"),
+        F.max(first).alias("first"), F.flatten(_listed(named, F.col("at"), is_first)).alias("annotations"),
+        _listed(F.col("method"), F.col("at"), F.col("own") & (F.col("makes") == "METHOD_PARAMETER")).alias("methods"),
+        _listed(F.col("written"), F.col("at"), F.col("is_field")).alias("field_types"),
+        *(_listed(F.col("written"), F.col("at"), F.col("takes") == k).alias(c) for k, c in (("CONSTRUCTOR", "constructor_types"), ("METHOD_PARAMETER", "parameter_types"))),
+        _listed(F.col("begin"), F.col("at"), F.col("own") & F.col("is_field") & (F.col("part") == 0)).alias("field_begins"),
+        F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("at"))).alias("error"),
+        F.max("path").alias("source_file"), F.max("bracket").alias("bracket"),
+    )
+    texts = _field_texts(marked).groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("begin", "text"))).alias("texts"))
+    all_ = gathered.join(texts, list(FILE), "left")
+    error = F.coalesce("bracket", "error")
+    good, none = error.isNull(), F.array().cast("array<string>")
+    some = lambda c: F.when(good, F.coalesce(c, none)).otherwise(none)
+    has = F.col("first").isNotNull()
+    own = lambda c: F.when(has, c).otherwise(none)
+    return all_.select(
+        *FILE, F.when(good, F.col("first.class_name")).alias("class_name"), F.when(good, F.coalesce("package", F.lit(""))).otherwise(F.lit("")).alias("package_name"),
+        F.coalesce(F.when(good, F.col("first.is_interface")), F.lit(False)).alias("is_interface"), F.when(good, F.try_element_at("first.extended", F.lit(-1))).alias("super_class"),
+        some(F.col("first.interfaces")).alias("interfaces"), some(own(F.col("annotations"))).alias("annotations"), some(own(F.col("imports"))).alias("imports"),
+        some(F.transform("field_begins", lambda b: F.col("texts")[b])).alias("fields"), some(F.col("methods")).alias("methods"), "source_file",
+        some(F.col("field_types")).alias("field_types"), some(F.col("constructor_types")).alias("constructor_types"), some(F.col("parameter_types")).alias("parameter_types"), error.alias("error"),
+    )
 
 
 def parsed(extracted: DataFrame, whole_projects: bool = False) -> DataFrame:

@@ -7,9 +7,10 @@ import pytest
 
 from stratograph.operators import analysis, graph, modules, render
 from stratograph.sources import archives, java
-from stratograph.sources.java import ParseError, declarations
 from stratograph.streaming.dropfolder import watch
 
+from .java_scanner import ParseError, declarations
+
 CONTROLLER = """package com.shop.web;
 import java.util.*;
 /* class Fake { Hidden h; } */
