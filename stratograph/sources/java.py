@@ -34,9 +34,9 @@ SCHEMA = (
 )
 
 
-def _over(*by: str, start: int | None = None, end: int = Window.currentRow) -> WindowSpec:
+def _over(*by: str, end: int = Window.currentRow) -> WindowSpec:
     """Rows of a file (and of ``by``) up to this one, in the order of tokens."""
-    return Window.partitionBy(*FILE, *by).orderBy("pos").rowsBetween(Window.unboundedPreceding if start is None else start, end)
+    return Window.partitionBy(*FILE, *by).orderBy("pos").rowsBetween(Window.unboundedPreceding, end)
 
 
 def _before(*by: str) -> WindowSpec:
@@ -56,11 +56,14 @@ def _place(where: Column, window: WindowSpec) -> Column:
     return F.coalesce(F.max(F.when(where, F.col("pos"))).over(window), F.lit(-1))
 
 
-def tokens(sources: DataFrame) -> DataFrame:
-    """project_id, file_seq, pos, tok of each file, and an empty token at its end, which carries the file's path."""
-    found = F.filter(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("//") & ~t.startswith("/*"))
-    rows = sources.select(*FILE, "path", F.posexplode(F.concat(found, F.array(F.lit("")))).alias("pos", "tok"))
-    return rows.withColumn("path", F.when(F.col("tok") == "", F.col("path")))
+def tokens(content: Column) -> Column:
+    """The tokens of a file as an array, without comments."""
+    return F.filter(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("//") & ~t.startswith("/*"))
+
+
+def _token_rows(files: DataFrame) -> DataFrame:
+    """project_id, file_seq, pos, tok, and an empty token at a file's end."""
+    return files.select(*FILE, F.posexplode(F.concat("tokens", F.array(F.lit("")))).alias("pos", "tok"))
 
 
 def _nested(toks: DataFrame) -> DataFrame:
@@ -71,58 +74,68 @@ def _nested(toks: DataFrame) -> DataFrame:
     deep = toks.withColumn("deep", F.sum(opens.cast("int") - closes.cast("int")).over(_over()))
     row = lambda role, level: F.struct(F.lit(role).alias("role"), level.alias("level"))
     roles = F.when(opens, F.array(row("c", F.col("deep") - 1), row("o", F.col("deep")))).when(closes, F.array(row("x", F.col("deep") + 1))).otherwise(F.array(row("c", F.col("deep"))))
-    rows = deep.select(*FILE, "path", "pos", "tok", F.explode(roles).alias("r")).select(*FILE, "path", "pos", "tok", "r.*")
+    rows = deep.select(*FILE, "pos", "tok", F.explode(roles).alias("r")).select(*FILE, "pos", "tok", "r.*")
     opener = F.col("role") == "o"
-    rows = rows.withColumn("parent", _place(opener, _over("level"))).withColumn("within", F.coalesce(_last(tok, opener, _over("level")), F.lit("")))
+    rows = rows.withColumns({"parent": _place(opener, _over("level")), "within": F.coalesce(_last(tok, opener, _over("level")), F.lit(""))})
     fits = F.coalesce(*(F.when(F.col("within") == a, tok == b) for a, b in zip(OPEN, CLOSE)), F.lit(False))
     wrong = F.when((F.col("role") == "x") & ~fits, F.concat(F.lit("unbalanced "), tok)).when((tok == "") & (F.col("level") > 0), F.concat(F.lit("unclosed "), F.col("within")))
-    return rows.withColumn("fault", wrong)
+    return rows.withColumn("fault", wrong).drop("level", "within")
 
 
 def _statements(rows: DataFrame) -> DataFrame:
     """Adds what is told by neighbours within a bracket: annotations, declaring words, the place where the statement begins."""
-    by, tok, child = "parent", F.col("tok"), F.col("role") == "c"
-    beside = Window.partitionBy(*FILE, by).orderBy("pos")
-    rows = rows.withColumn("prev", F.when(child, F.coalesce(F.lag("tok").over(beside), F.lit("")))).withColumn("next", F.lead("tok").over(beside)).withColumn("next2", F.lead("tok", 2).over(beside))
-    # the first token of a bracket follows the bracket itself
-    rows = rows.withColumn("prev", F.when(F.lag("role").over(beside) == "o", F.lit("")).otherwise(F.col("prev")))
+    tok, child, over, before = F.col("tok"), F.col("role") == "c", _over("parent"), _before("parent")
+    beside = Window.partitionBy(*FILE, "parent").orderBy("pos")
+    previous = F.when(F.lag("role").over(beside) == "c", F.lag("tok").over(beside)).otherwise(F.lit(""))  # not the bracket itself
+    rows = rows.withColumns({
+        "prev": previous, "next": F.lead("tok").over(beside), "next2": F.lead("tok", 2).over(beside),
+        "semicolon": _place(child & (tok == ";"), before), "equals": _place(child & (tok == "="), before),
+    })
     chained = (tok == ".") | F.col("prev").isin(".", "@")
-    rows = rows.withColumn("chain", _place(~chained, _over(by))).withColumn("head", _last(tok, ~chained, _over(by)))
-    noted = child & (F.col("head") == "@")
-    rows = rows.withColumn("noted", noted).withColumn("note_list", child & (tok == "(") & F.coalesce(F.lag("noted").over(beside), F.lit(False)))
-    named = F.coalesce(F.col("next").rlike(NAME), F.lit(False))
-    declares = (tok.isin("class", "interface", "enum") & ~F.col("prev").isin(".", "::") | (tok == "@interface") | (tok == "record") & F.col("next2").isin("(", "<")) & named & child & ~noted
-    declares = F.coalesce(declares, F.lit(False))
-    rows = rows.withColumn("declares", declares)
-    rows = rows.withColumn("semicolon", _place(child & (tok == ";"), _before(by))).withColumn("equals", _place(child & (tok == "="), _before(by)))
-    ends = child & ((tok == ";") | (tok == "{") & (F.col("equals") <= F.col("semicolon")))
-    rows = rows.withColumn("ends", ends).withColumn("begin", _place(F.col("ends"), _before(by)))
-    return rows.withColumn("declared", _place(F.col("declares"), _over(by))).withColumn("kind", _last(tok, F.col("declares"), _over(by))).withColumn("type", _last(F.col("next"), F.col("declares"), _over(by)))
+    rows = rows.withColumn("ends", child & ((tok == ";") | (tok == "{") & (F.col("equals") <= F.col("semicolon"))))
+    rows = rows.withColumns({"chain": _place(~chained, over), "head": _last(tok, ~chained, over), "begin": _place(F.col("ends"), before)})
+    rows = rows.withColumn("noted", child & (F.col("head") == "@"))
+    named = child & ~F.col("noted") & F.coalesce(F.col("next").rlike(NAME), F.lit(False))
+    declares = named & (tok.isin("class", "interface", "enum") & ~F.col("prev").isin(".", "::") | (tok == "@interface") | (tok == "record") & F.col("next2").isin("(", "<"))
+    rows = rows.withColumn("declares", F.coalesce(declares, F.lit(False)))
+    return rows.withColumns({
+        "note_list": child & (tok == "(") & F.coalesce(F.lag("noted").over(beside), F.lit(False)),
+        "declared": _place(F.col("declares"), over), "kind": _last(tok, F.col("declares"), over), "type": _last(F.col("next"), F.col("declares"), over),
+    }).drop("head", "next2")
+
+
+def _within(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Adds to all tokens of a bracket what the bracket itself is given. Its row as a child comes right before its row as a begin,
+    which is the first of its own level."""
+    both = Window.partitionBy(*FILE).orderBy("pos", "role")
+    rows = rows.withColumns({f"_{name}": value for name, value in values.items()})
+    rows = rows.withColumns({f"_{name}": F.when(F.col("role") == "o", F.lag(f"_{name}").over(both)) for name in values})
+    return rows.withColumns({name: F.first(f"_{name}").over(_over("parent")) for name in values}).drop(*(f"_{name}" for name in values))
 
 
 def _bodies(rows: DataFrame) -> DataFrame:
     """Adds to each token the body that it lies in directly: ``body`` (its kind; null if it isn't one), its type, and where that is
-    declared; and of each file, where its first class or interface is declared."""
-    by, tok, child = "parent", F.col("tok"), F.col("role") == "c"
-    beside = Window.partitionBy(*FILE, by).orderBy("pos")
+    declared. Keeps only what lies in bodies, headers and what may be parameters of a method."""
+    tok, child = F.col("tok"), F.col("role") == "c"
+    beside, before = Window.partitionBy(*FILE, "parent").orderBy("pos"), _before("parent")
     of_type = tok.rlike(NAME) & ~tok.isin("return", "throw", "else", "case", "instanceof") | tok.isin(".", "<", ">", ",", "?", "&", "@") | F.col("noted") | F.col("note_list")
-    rows = rows.withColumn("made", child & (tok == "(") & (_place(child & (tok == "new"), _before(by)) > _place(child & ~of_type, _before(by))))
-    declaration = F.col("declared") > F.col("begin")
+    rows = rows.withColumn("made", child & (tok == "(") & (_place(child & (tok == "new"), before) > _place(child & ~of_type, before)))
+    rows = rows.withColumn("made", F.coalesce(F.lag("made").over(beside), F.lit(False)))
     brace = child & (tok == "{")
-    own = F.when(brace & declaration, F.col("kind")).when(brace & F.coalesce(F.lag("made").over(beside), F.lit(False)), F.lit("anonymous"))
-    rows = rows.withColumn("opened", own).withColumn("opened_at", F.when(brace & declaration, F.col("declared"))).withColumn("opened_type", F.when(brace & declaration, F.col("type")))
-    for c in ("opened", "opened_at", "opened_type"):  # from a bracket as a child to the same bracket as a begin, and on to all within
-        rows = rows.withColumn(c, F.max(c).over(_all("pos")))
-    begins = F.col("role") == "o"
-    for c, name in (("opened", "body"), ("opened_at", "body_at"), ("opened_type", "body_type")):
-        rows = rows.withColumn(name, F.max(F.when(begins, F.col(c))).over(_all(by)))
+    declared = brace & (F.col("declared") > F.col("begin"))
+    kind = F.when(declared, F.col("kind")).when(brace & F.col("made"), F.lit("anonymous"))
+    rows = _within(rows, {"body": kind, "body_at": F.when(declared, F.col("declared")), "body_type": F.when(declared, F.col("type"))})
+    # braces among the constants of an enum are bodies, too; in a body, parentheses may hold parameters
     constant = (F.col("body") == "enum") & (F.col("semicolon") < 0)
-    # a constant's body is one more kind; it has no name
-    rows = rows.withColumn("opened", F.coalesce("opened", F.max(F.when(brace & constant, F.lit("constant"))).over(_all("pos"))))
-    rows = rows.withColumn("body", F.coalesce("body", F.max(F.when(begins, F.col("opened"))).over(_all(by))))
     rows = rows.withColumn("constant", F.coalesce(constant, F.lit(False)))
-    first = F.min(F.when(F.col("opened").isin("class", "interface") & brace, F.col("opened_at"))).over(_all())
-    return rows.withColumn("first_at", first).withColumn("own", F.coalesce(F.col("body_at") == first, F.lit(False)))
+    more = F.when(F.col("constant"), F.when(brace & ~declared, F.lit("constant"))).when(child & (tok == "(") & F.col("body").isNotNull(), F.lit("("))
+    rows = _within(rows, {"more": more})
+    # what lies in a constant's body is looked at once it is known as one
+    rows = rows.withColumn("body", F.coalesce("body", F.when(F.col("more") == "constant", F.col("more"))))
+    nested = F.when(child & (tok == "(") & (F.col("body") == "constant"), F.lit("("))
+    rows = _within(rows, {"deeper": nested}).withColumn("more", F.coalesce("more", "deeper"))
+    of_header = (F.col("declared") > F.col("begin")) | F.col("noted")
+    return rows.filter(F.col("body").isNotNull() | F.col("more").isNotNull() | (F.col("parent") < 0) | of_header | (tok == "") | F.col("fault").isNotNull() | (F.col("role") == "o"))
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -134,18 +147,19 @@ def _marked(rows: DataFrame) -> DataFrame:
     # in an initializer "<" opens a list of types only behind a dot or the name of a type
     generic = (tok == "<") & ((F.col("equals") <= F.col("begin")) | (F.col("prev") == ".") | F.col("prev").rlike(r"^\p{Lu}"))
     step = F.when(plain & generic, 1).when(plain & (tok == ">"), -1).otherwise(0)
-    rows = rows.withColumn("walk", F.sum(step).over(_over(*by)))
+    in_body = F.col("body").isNotNull() & ~F.col("constant")
+    list_ = plain & (tok == "(") & in_body & (F.col("equals") <= F.col("begin")) & (F.col("declared") <= F.col("begin")) & F.col("prev").rlike(NAME)
+    rows = rows.withColumns({"walk": F.sum(step).over(_over(*by)), "list": list_ & (_place(list_, _before(*by)) <= F.col("begin"))})
     # a ">" that closes nothing doesn't count: the walk above its own least value so far
     rows = rows.withColumn("angle", F.col("walk") - F.least(F.lit(0), F.min("walk").over(_over(*by))))
     top = F.col("plain") & (F.col("angle") == 0)
-    rows = rows.withColumn("part", F.sum((top & (tok == ",") & (F.col("declared") <= F.col("begin"))).cast("int")).over(_over(*by)))
-    rows = rows.withColumn("written", F.sum((top & ~tok.isin(">", "[")).cast("int")).over(_before(*by)))  # words so far
-    in_body = F.col("body").isNotNull() & ~F.col("constant")
-    list_ = plain & (tok == "(") & in_body & (F.col("equals") <= F.col("begin")) & (F.col("declared") <= F.col("begin")) & F.col("prev").rlike(NAME)
-    rows = rows.withColumn("list", list_ & (_place(list_, _before(*by)) <= F.col("begin")))
-    takes = F.when((F.col("prev") == F.col("body_type")) & (F.coalesce("written", F.lit(0)) <= 1), F.lit("CONSTRUCTOR")).otherwise(F.lit("METHOD_PARAMETER"))
-    rows = rows.withColumn("makes", F.when(F.col("list"), takes)).withColumn("takes", F.max("makes").over(_all("pos")))
-    return rows.withColumn("takes", F.max(F.when(F.col("role") == "o", F.col("takes"))).over(_all("parent")))
+    rows = rows.withColumns({
+        "part": F.sum((top & (tok == ",") & (F.col("declared") <= F.col("begin"))).cast("int")).over(_over(*by)),
+        "words": F.coalesce(F.sum((top & ~tok.isin(">", "[")).cast("int")).over(_before(*by)), F.lit(0)),
+    })
+    constructor = (F.col("prev") == F.col("body_type")) & (F.col("words") <= 1)
+    rows = rows.withColumn("makes", F.when(F.col("list"), F.when(constructor, F.lit("CONSTRUCTOR")).otherwise(F.lit("METHOD_PARAMETER"))))
+    return _within(rows, {"takes": F.col("makes")})
 
 
 def _written(toks: Column) -> Column:
@@ -156,7 +170,7 @@ def _written(toks: Column) -> Column:
 
 def _printed(text: Column) -> Column:
     """Tokens between spaces as source text."""
-    closer = F.regexp_replace(text, r" (?=[.,;)\]>(\[<])", "")
+    closer = F.regexp_replace(text, r" (?=[.,;)\]>])|(?<=[\p{L}\p{N}_$>\]]) (?=[(\[<])", "")
     return F.regexp_replace(closer, r"(?<=[.@(\[<]) ", "")
 
 
@@ -170,19 +184,21 @@ def _pieces(rows: DataFrame) -> DataFrame:
     """Parts of statements and of parameter lists: their plain tokens, and what the statement is."""
     tok, child = F.col("tok"), F.col("role") == "c"
     kept = F.when(F.col("plain") & ~(F.col("ends") | (tok == "") | (tok == ",") & (F.col("angle") == 0)), F.struct("pos", "tok"))
-    heads = F.when(F.col("plain") & ~F.col("ends") & ((F.col("angle") == 0) & (tok != ">")), F.struct("pos", "tok"))
-    told = rows.filter(child & ((F.col("body").isNotNull() & ~F.col("constant")) | F.col("takes").isNotNull() | (F.col("parent") < 0) | F.col("noted") | (F.col("declared") > F.col("begin")) | (tok == "")))
+    heads = F.when(F.col("plain") & ~F.col("ends") & (F.col("angle") == 0) & (tok != ">"), F.struct("pos", "tok"))
+    listed = F.coalesce(F.col("more") == "(", F.lit(False)) & F.col("takes").isNull()  # parentheses that hold no parameters
+    told = rows.filter((child & ~listed) | F.col("fault").isNotNull())
     names = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda r: r["tok"])
     grouped = told.groupBy(*FILE, "parent", "begin", "part").agg(
-        F.min("pos").alias("at"), names(kept).alias("toks"), names(heads).alias("heads"), F.max("own").alias("own"), F.max("body").alias("body"), F.max("body_type").alias("body_type"), F.max("takes").alias("takes"),
-        F.max("first_at").alias("first_at"), F.max(F.when(F.col("ends"), tok)).alias("end"), F.max(F.when(F.col("declares"), F.col("pos"))).alias("declares_at"), F.max(F.when(F.col("declares"), tok)).alias("kind"),
-        F.max(F.when(F.col("list"), F.col("prev"))).alias("method"), F.max("makes").alias("makes"), F.max("constant").alias("constant"), F.max("path").alias("path"), F.max("bracket").alias("bracket"),
+        F.min("pos").alias("at"), names(kept).alias("toks"), names(heads).alias("heads"), F.max("body").alias("body"), F.max("body_type").alias("body_type"), F.max("body_at").alias("body_at"), F.max("takes").alias("takes"),
+        F.max(F.when(F.col("ends"), tok)).alias("end"), F.max(F.when(F.col("ends"), F.col("pos"))).alias("end_at"), F.max(F.when(F.col("declares"), F.col("pos"))).alias("declares_at"), F.max(F.when(F.col("declares"), tok)).alias("kind"),
+        F.max(F.when(F.col("list"), F.col("prev"))).alias("method"), F.max("makes").alias("makes"), F.max("constant").alias("constant"), F.min(F.when(F.col("fault").isNotNull(), F.struct("pos", "fault"))).alias("bracket"),
         F.array_sort(F.collect_list(F.when(F.col("noted") & (tok != "@"), F.struct("chain", "pos", "tok")))).alias("notes"),
     )
     whole = _all("parent", "begin")
-    for c, of in (("end", "statement_end"), ("declares_at", "statement_declares"), ("method", "statement_method")):
-        grouped = grouped.withColumn(of, F.max(c).over(whole))
-    return grouped
+    of = {"end": "statement_end", "end_at": "statement_end_at", "declares_at": "statement_declares", "method": "statement_method"}
+    grouped = grouped.withColumns({name: F.max(c).over(whole) for c, name in of.items()})
+    first = F.min(F.when(F.col("kind").isin("class", "interface"), F.col("declares_at"))).over(_all())
+    return grouped.withColumn("first_at", first).withColumn("own", F.coalesce(F.col("body_at") == F.col("first_at"), F.lit(False)))
 
 
 def _variables(pieces: DataFrame) -> DataFrame:
@@ -220,23 +236,13 @@ def _faults(pieces: DataFrame) -> Column:
     return F.when(top, word).when(no_type, F.lit("no parameter type")).when(stray, word)
 
 
-def _field_texts(rows: DataFrame) -> DataFrame:
-    """Whole texts of the first class's fields: of each statement directly in its body, all tokens down to the innermost."""
-    direct = (F.col("role") == "c") & F.col("own")
-    begin, end = (f(F.when(F.col("own") & (F.col("role") == r), F.col("pos"))).over(_all()) for f, r in ((F.min, "o"), (F.max, "x")))
-    rows = rows.withColumn("body_begin", begin).withColumn("body_end", end).filter((F.col("pos") > F.col("body_begin")) & (F.col("pos") < F.col("body_end")) & (F.col("role") != "o"))
-    rows = rows.withColumn("statement", F.last(F.when(direct, F.col("begin")), ignorenulls=True).over(_over()))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda r: r["tok"]), " ")
-    return rows.groupBy(*FILE, "statement").agg(texts.alias("text")).select(*FILE, F.col("statement").alias("begin"), _printed(F.col("text")).alias("text"))
-
-
 def extract(sources: DataFrame) -> DataFrame:
     """A row of SCHEMA for each source file (project_id, file_seq, path, content); a file that cannot be read has only an error. A file
     without content has no class. Files are numbered uniquely within a project."""
-    rows = _nested(tokens(sources.select(*FILE, "path", "content").repartition(*FILE)))
-    rows = rows.withColumn("bracket", F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("pos"))).over(_all()))
-    marked = _marked(_bodies(_statements(rows)))
-    pieces = _variables(_pieces(marked))
+    # a number is given, as few bytes of source are much work: adaptive execution would put them into few tasks
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = sources.select(*FILE, "path", "content").repartition(n, *FILE).select(*FILE, "path", tokens(F.col("content")).alias("tokens"))
+    pieces = _variables(_pieces(_marked(_bodies(_statements(_nested(_token_rows(files)))))))
     pieces = pieces.withColumn("fault", _faults(pieces))
     dotted = lambda names: F.array_join(names, "")
     simple = lambda names: F.transform(F.split(F.array_join(names, " "), " , "), lambda t: F.substring_index(F.trim(t), " ", -1))
@@ -260,13 +266,13 @@ def extract(sources: DataFrame) -> DataFrame:
         _listed(F.col("method"), F.col("at"), F.col("own") & (F.col("makes") == "METHOD_PARAMETER")).alias("methods"),
         _listed(F.col("written"), F.col("at"), F.col("is_field")).alias("field_types"),
         *(_listed(F.col("written"), F.col("at"), F.col("takes") == k).alias(c) for k, c in (("CONSTRUCTOR", "constructor_types"), ("METHOD_PARAMETER", "parameter_types"))),
-        _listed(F.col("begin"), F.col("at"), F.col("own") & F.col("is_field") & (F.col("part") == 0)).alias("field_begins"),
+        _listed(F.struct("at", "statement_end_at"), F.col("at"), F.col("own") & F.col("is_field") & (F.col("part") == 0)).alias("field_places"),
         F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("at"))).alias("error"),
-        F.max("path").alias("source_file"), F.max("bracket").alias("bracket"),
+        F.min("bracket").alias("bracket"),
     )
-    texts = _field_texts(marked).groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("begin", "text"))).alias("texts"))
-    all_ = gathered.join(texts, list(FILE), "left")
-    error = F.coalesce("bracket", "error")
+    all_ = files.withColumnRenamed("path", "source_file").join(gathered, list(FILE), "left")
+    error = F.coalesce("bracket.fault", "error")
+    texts = F.transform("field_places", lambda p: _printed(F.array_join(F.slice("tokens", p["at"] + 1, p["statement_end_at"] - p["at"] + 1), " ")))
     good, none = error.isNull(), F.array().cast("array<string>")
     some = lambda c: F.when(good, F.coalesce(c, none)).otherwise(none)
     has = F.col("first").isNotNull()
@@ -275,7 +281,7 @@ def extract(sources: DataFrame) -> DataFrame:
         *FILE, F.when(good, F.col("first.class_name")).alias("class_name"), F.when(good, F.coalesce("package", F.lit(""))).otherwise(F.lit("")).alias("package_name"),
         F.coalesce(F.when(good, F.col("first.is_interface")), F.lit(False)).alias("is_interface"), F.when(good, F.try_element_at("first.extended", F.lit(-1))).alias("super_class"),
         some(F.col("first.interfaces")).alias("interfaces"), some(own(F.col("annotations"))).alias("annotations"), some(own(F.col("imports"))).alias("imports"),
-        some(F.transform("field_begins", lambda b: F.col("texts")[b])).alias("fields"), some(F.col("methods")).alias("methods"), "source_file",
+        some(texts).alias("fields"), some(F.col("methods")).alias("methods"), "source_file",
         some(F.col("field_types")).alias("field_types"), some(F.col("constructor_types")).alias("constructor_types"), some(F.col("parameter_types")).alias("parameter_types"), error.alias("error"),
     )
 
