@@ -287,6 +287,20 @@ def arc3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.layer_rules(spark).join(counts, ["source", "target"], "left").fillna(0, ["edges"]).select("rule_seq", "source", "target", "allowed", "edges")
 
 
+#: Rules in order, with a repeated pair, a denial behind a permission, and wildcards.
+_OWN_RULES = (("SERVICE", "REPOSITORY", False), ("SERVICE", "REPOSITORY", True), ("CONTROLLER", "REPOSITORY", True), ("CONTROLLER", "*", False), ("*", "DTO", True), ("REPOSITORY", "*", False))
+_OWN_TABLE = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}', {str(ok).lower()})" for i, (a, b, ok) in enumerate(_OWN_RULES, 1)) + ") r(rule_seq, source, target, allowed)"
+
+
+@query("jrl2_ordered_rules", _SHOP + f"""SELECT project_id, file_seq, ref_seq, rule_seq, coalesce(allowed, true) AS allowed FROM (
+  SELECT e.*, r.rule_seq, r.allowed, row_number() OVER (PARTITION BY e.project_id, e.src, e.dst, e.dependency_type ORDER BY r.rule_seq) AS k FROM edges e
+  LEFT JOIN {_OWN_TABLE} ON r.source IN (e.src_type, '*') AND r.target IN (e.dst_type, '*') WHERE src_type IS NOT NULL AND dst_type IS NOT NULL) WHERE k = 1""")
+def jrl2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An own table of rules: of those that fit an edge the first decides, once."""
+    verdicts = analysis.edge_verdicts(_edges(spark, sf_dir), analysis.layer_rules(spark, _OWN_RULES))
+    return verdicts.select("project_id", "file_seq", "ref_seq", F.col("rule_seq").cast("int").alias("rule_seq"), "allowed")
+
+
 @query("agg1_component_summary", _SHOP + f"SELECT project_id, component_type, count(*) AS n, {_ORDINAL} AS ordinal FROM classes GROUP BY ALL")
 def agg1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.component_summary(codebase.classes(spark, sf_dir)).select("project_id", "component_type", "n", "ordinal")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,33 +51,82 @@ def admitted(archives: DataFrame) -> DataFrame:
     return archives.withColumns({"project_id": project_id(F.col("path")), "project_name": name, "reject_reason": reject_reason(name, F.col("length"))})
 
 
-def explode_entries(archives: DataFrame) -> DataFrame:
+#: Entries whose content is read: build files and sources.
+WANTED = r"(^|/)pom\.xml$|(^|/)src/main/java/.*\.java$"
+#: Most bytes that an entry, and all read entries of an archive, may inflate to; what is beyond gives an error, not memory.
+MAX_ENTRY_BYTES, MAX_INFLATED_BYTES = 64 << 20, 8 * fixed.MAX_ARCHIVE_BYTES
+
+
+class Entry(NamedTuple):
+    """A file in an archive; ``content`` is null for what isn't wanted or cannot be read."""
+
+    seq: int
+    path: str
+    content: bytes | None
+    error: str | None
+
+
+def listing(archive: zipfile.ZipFile) -> list[tuple[int, str, zipfile.ZipInfo]]:
+    """Files of an archive's directory: place, normalized path, record. Of entries with one path the last holds."""
+    rows = [(i, posixpath.normpath(e.filename.replace("\\", "/")), e) for i, e in enumerate(archive.infolist()) if not e.is_dir()]
+    last = {path: i for i, path, _ in rows}
+    return [row for row in rows if last[row[1]] == row[0]]
+
+
+def inflate(archive: zipfile.ZipFile, seq: int, path: str, record: zipfile.ZipInfo, limit: int) -> Entry:
+    """One entry, read up to ``limit`` bytes. Whatever is wrong with it is an error of this entry alone."""
+    if path.startswith(("/", "../")) or path == "..":
+        return Entry(seq, path, None, "Entry leaves the archive")
+    try:
+        with archive.open(record) as file:
+            content = file.read(limit + 1)
+    except Exception as e:  # noqa: BLE001 - a damaged entry raises errors of many kinds
+        return Entry(seq, path, None, f"Entry cannot be read ({type(e).__name__})")
+    return Entry(seq, path, content, None) if len(content) <= limit else Entry(seq, path, None, f"Entry is larger than {limit} bytes")
+
+
+def read_entries(file: BinaryIO, wanted: str = WANTED, entry_limit: int = MAX_ENTRY_BYTES, archive_limit: int = MAX_INFLATED_BYTES) -> Iterator[Entry]:
+    """Entries of one archive, one at a time. Only paths that ``wanted`` matches are inflated; an archive that cannot be read gives
+    one entry without a path, and never raises."""
+    matches = re.compile(wanted).search
+    try:
+        archive = zipfile.ZipFile(file)
+        rows = listing(archive)
+    except Exception as e:  # noqa: BLE001 - as above
+        yield Entry(0, "", None, f"Invalid or corrupted ZIP file: {e}")
+        return
+    if not archive.infolist():
+        yield Entry(0, "", None, "ZIP file is empty")
+    left = archive_limit
+    for seq, path, record in rows:
+        if matches(path) or path.startswith(("/", "../")) or path == "..":
+            entry = inflate(archive, seq, path, record, min(entry_limit, left)) if left > 0 else Entry(seq, path, None, "Entry is beyond what an archive may hold")
+            left -= len(entry.content or b"")
+            yield entry
+        else:
+            yield Entry(seq, path, None, None)
+
+
+def explode_entries(archives: DataFrame, wanted: str = WANTED, entry_limit: int = MAX_ENTRY_BYTES, archive_limit: int = MAX_INFLATED_BYTES) -> DataFrame:
     """Files in admitted archives: project_id, entry_seq, path, content (bytes), error.
 
-    Of entries with one path the last holds. Entries that would leave the archive's root, and archives that cannot be read or
-    have no entries, give a row with an error instead of content. An archive is one row of at most 500 MB.
+    Of entries with one path the last holds. The content of paths that ``wanted`` doesn't match is null. Entries that would leave the
+    archive's root, cannot be read or are too large, and archives that cannot be read or have no entries, give a row with an error
+    instead of content. An archive is one row of at most 500 MB; of what it holds, a task has a few entries at a time.
     """
+    columns = ["project_id", "entry_seq", "path", "content", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
             for pid, content in zip(batch["project_id"], batch["content"]):
-                rows: dict[str, tuple] = {}
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        names = archive.infolist()
-                        if not names:
-                            rows[""] = (pid, 0, "", None, "ZIP file is empty")
-                        for i, entry in enumerate(names):
-                            path = posixpath.normpath(entry.filename.replace("\\", "/"))
-                            if entry.is_dir():
-                                continue
-                            if path.startswith(("/", "../")) or path == "..":
-                                rows[path] = (pid, i, path, None, "Entry leaves the archive")
-                            else:
-                                rows[path] = (pid, i, path, archive.read(entry), None)
-                except (zipfile.BadZipFile, EOFError, OSError, RuntimeError, NotImplementedError) as e:
-                    rows = {"": (pid, 0, "", None, f"Invalid or corrupted ZIP file: {e}")}
-                yield pd.DataFrame(list(rows.values()), columns=["project_id", "entry_seq", "path", "content", "error"])
+                for entry in read_entries(io.BytesIO(content or b""), wanted, entry_limit, archive_limit):
+                    rows.append((pid, *entry))
+                    size += len(entry.content or b"") + 200
+                    if size > 1 << 23:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
     slim = archives.filter("reject_reason IS NULL").select("project_id", "content")
     return slim.mapInPandas(run, "project_id string, entry_seq int, path string, content binary, error string")
