@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import expressions as E
 from .components import connected
+from .lineage import checkpoint
 
 #: Stands for the one node that all files without a class share.
 NO_CLASS = "(no class)"
@@ -115,15 +117,20 @@ def reachable(graph_nodes: DataFrame, graph_edges: DataFrame, role: str = "CONTR
     return labelled.join(members, ["project_id", "label"]).select("project_id", "start", F.nullif(F.col("class_name"), F.lit(NO_CLASS)).alias("class_name"))
 
 
-def _per_project(graph_nodes: DataFrame, graph_edges: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``run`` on the ordered nodes and edges of each project. One project's graph fits a worker: it is one code base."""
+def _per_component(graph_nodes: DataFrame, graph_edges: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` on the ordered nodes and edges of each undirected component of each project. A walk never leaves its component, so what
+    a task holds is one component, not one project. Files without a class are the node NO_CLASS."""
+    key = F.coalesce(F.col("src"), F.lit(NO_CLASS))
+    labels = checkpoint(components(graph_edges, graph_nodes))
+    n = graph_nodes.select("project_id", "class_name", "component_type", "file_seq", "ref_seq").join(labels, ["project_id", "class_name"])
+    e = graph_edges.select("project_id", key.alias("src"), "dst", "file_seq", "ref_seq").join(labels.toDF("project_id", "src", "label"), ["project_id", "src"])
+    e = e.toDF(*e.columns)  # columns of its own, as both sides have labels
 
     def both(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         return run(n.sort_values(["file_seq", "ref_seq"]), e.sort_values(["file_seq", "ref_seq"]))
 
-    n = graph_nodes.select("project_id", "class_name", "component_type", "file_seq", "ref_seq")
-    e = graph_edges.select("project_id", "src", "dst", "file_seq", "ref_seq")
-    return n.groupBy("project_id").cogroup(e.groupBy("project_id")).applyInPandas(both, schema)
+    by = ("project_id", "label")
+    return n.groupBy(*by).cogroup(e.groupBy(*by)).applyInPandas(both, schema)
 
 
 def _depth_first(start: str, neighbours: dict[str, list[str]]) -> Iterator[str]:
@@ -148,30 +155,43 @@ def traversal(graph_nodes: DataFrame, graph_edges: DataFrame, role: str = "CONTR
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}
-        for a, b in zip(e["src"].fillna(NO_CLASS), e["dst"]):
+        for a, b in zip(e["src"], e["dst"]):
             near.setdefault(a, []).append(b)
             near.setdefault(b, []).append(a)
         project = (n if len(n) else e)["project_id"].iloc[0]
         starts = n[n["component_type"] == role]["class_name"]
-        rows = [(project, i, s, k, None if m == NO_CLASS else m) for i, s in enumerate(starts, 1) for k, m in enumerate(_depth_first(s, near), 1)]
-        return pd.DataFrame(rows, columns=["project_id", "start_seq", "start", "member_seq", "class_name"])
+        rows = [(project, s, k, None if m == NO_CLASS else m) for s in starts for k, m in enumerate(_depth_first(s, near), 1)]
+        return pd.DataFrame(rows, columns=["project_id", "start", "member_seq", "class_name"])
 
-    return _per_project(graph_nodes, graph_edges, run, "project_id string, start_seq int, start string, member_seq int, class_name string")
+    # starts are numbered in a project, whatever component they lie in
+    order = Window.partitionBy("project_id").orderBy("file_seq", "ref_seq")
+    starts = graph_nodes.filter(F.col("component_type") == role).select("project_id", F.col("class_name").alias("start"), F.row_number().over(order).alias("start_seq"))
+    walked = _per_component(graph_nodes, graph_edges, run, "project_id string, start string, member_seq int, class_name string")
+    return walked.join(starts, ["project_id", "start"]).select("project_id", "start_seq", "start", "member_seq", "class_name")
 
 
 def cycles(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
     """Directed cycles as a depth-first search in node order meets them: project_id, cycle_seq, path (its first node again at
-    the end). A back edge that several kinds of dependency have counts once for each."""
+    the end). A back edge that several kinds of dependency have counts once for each.
+
+    Which cycles a search meets depends on where it enters, so components are walked whole; those without a strongly connected
+    part have no cycle and aren't walked.
+    """
+    cyclic = checkpoint(strong_components(graph_edges).select("project_id", "class_name"))
+    labels = checkpoint(components(graph_edges, graph_nodes))
+    worth = checkpoint(labels.join(cyclic, ["project_id", "class_name"], "left_semi").select("project_id", "label").distinct())
+    walked = labels.join(worth, ["project_id", "label"], "left_semi").select("project_id", "class_name")
+    nodes_ = graph_nodes.join(walked, ["project_id", "class_name"], "left_semi")
+    edges_ = graph_edges.filter(F.col("src").isNotNull()).join(walked.withColumnRenamed("class_name", "src"), ["project_id", "src"], "left_semi")
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}
         for a, b in zip(e["src"], e["dst"]):
-            if a is not None:
-                near.setdefault(a, []).append(b)
+            near.setdefault(a, []).append(b)
         project = (n if len(n) else e)["project_id"].iloc[0]
         seen: set[str] = set()
-        found: list[list[str]] = []
-        for start in n["class_name"]:
+        found: list[tuple] = []
+        for start, file, ref in zip(n["class_name"], n["file_seq"], n["ref_seq"]):
             if start in seen:
                 continue
             seen.add(start)
@@ -185,10 +205,65 @@ def cycles(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
                         stack.append(iter(near.get(name, ())))
                         break
                     if name in place:
-                        found.append([*path[place[name] :], name])
+                        found.append((project, file, ref, len(found), [*path[place[name] :], name]))
                 else:
                     stack.pop()
                     del place[path.pop()]
-        return pd.DataFrame([(project, i, path) for i, path in enumerate(found, 1)], columns=["project_id", "cycle_seq", "path"])
+        return pd.DataFrame(found, columns=["project_id", "file_seq", "ref_seq", "k", "path"])
+
+    met = _per_component(nodes_, edges_, run, "project_id string, file_seq long, ref_seq long, k int, path array<string>")
+    order = Window.partitionBy("project_id").orderBy("file_seq", "ref_seq", "k")
+    return met.select("project_id", F.row_number().over(order).alias("cycle_seq"), "path")
+
 
-    return _per_project(graph_nodes, graph_edges, run, "project_id string, cycle_seq int, path array<string>")
+def _without_ends(edges: DataFrame) -> DataFrame:
+    """Edges but for those of nodes that nothing leads to or that lead to nothing: they lie on no cycle. Repeated until none goes."""
+    own, left = edges, edges.count()
+    while left:
+        sources, targets = own.select("project_id", F.col("u").alias("v")).distinct(), own.select("project_id", F.col("v").alias("u")).distinct()
+        own = checkpoint(own.join(targets, ["project_id", "u"], "left_semi").join(sources, ["project_id", "v"], "left_semi").select(*edges.columns))
+        now = own.count()
+        if now == left:
+            break
+        left = now
+    return own
+
+
+def strong_components(graph_edges: DataFrame) -> DataFrame:
+    """Classes on directed cycles, by strongly connected component: project_id, class_name, component (its greatest member).
+
+    Forward and backward colouring: what lies on no cycle is trimmed; a node's colour is the greatest name that leads to it, spread
+    along edges until nothing changes; what leads back to the name of its colour within the colour is a component; the rest
+    goes round again. Each step is a join and an aggregate keyed by project and node. Files without a class and loops of one
+    node (the graph has none) are left out.
+    """
+    edges = graph_edges.filter(F.col("src").isNotNull() & (F.col("src") != F.col("dst"))).select("project_id", F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+    left, found = _without_ends(checkpoint(edges)), []
+    while not left.isEmpty():
+        nodes_ = left.select("project_id", F.col("u").alias("id")).union(left.select("project_id", F.col("v").alias("id"))).distinct()
+        colours = checkpoint(nodes_.withColumn("colour", F.col("id")))
+        while True:
+            led = left.join(colours.withColumnRenamed("id", "u"), ["project_id", "u"]).groupBy("project_id", F.col("v").alias("id")).agg(F.max("colour").alias("more"))
+            spread = colours.join(led, ["project_id", "id"], "left").select("project_id", "id", F.greatest("colour", "more").alias("colour"), (F.col("more") > F.col("colour")).alias("changed"))
+            spread = checkpoint(spread)
+            colours = spread.drop("changed")
+            if spread.filter("changed").isEmpty():
+                break
+        ends = colours.withColumnsRenamed({"id": "u", "colour": "cu"}), colours.withColumnsRenamed({"id": "v", "colour": "cv"})
+        inside = checkpoint(left.join(ends[0], ["project_id", "u"]).join(ends[1], ["project_id", "v"]).filter("cu = cv").select("project_id", "u", "v", F.col("cu").alias("colour")))
+        reached = fresh = checkpoint(colours.filter("id = colour"))
+        while not fresh.isEmpty():
+            back = inside.join(fresh.withColumnRenamed("id", "v"), ["project_id", "v", "colour"]).select("project_id", F.col("u").alias("id"), "colour").distinct()
+            fresh = checkpoint(back.join(reached, ["project_id", "id"], "left_anti"))
+            reached = checkpoint(reached.union(fresh))
+        found.append(reached)
+        done = reached.select("project_id", "id")
+        rest = left.join(done.withColumnRenamed("id", "u"), ["project_id", "u"], "left_anti").join(done.withColumnRenamed("id", "v"), ["project_id", "v"], "left_anti")
+        left = _without_ends(checkpoint(rest.select("project_id", "u", "v")))
+    if not found:
+        return edges.select("project_id", F.col("u").alias("class_name"), F.col("u").alias("component")).limit(0)
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    size = F.count(F.lit(1)).over(Window.partitionBy("project_id", "colour"))
+    return every.withColumn("n", size).filter("n > 1").select("project_id", F.col("id").alias("class_name"), F.col("colour").alias("component"))

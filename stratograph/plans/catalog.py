@@ -363,6 +363,55 @@ def agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grf2(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("cycles"))
 
 
+_DENSE = f"""WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.TANGLED_REFERENCES)}), {_GRAPH.partition("FROM raw_classes),")[2]},
+reach AS (SELECT project_id, src AS a, dst AS b FROM edges UNION SELECT r.project_id, a, dst FROM reach r JOIN edges e ON e.project_id = r.project_id AND e.src = b) """
+
+
+@query("scc_components", _DENSE + "SELECT x.project_id, x.a AS class_name, max(x.b) AS component FROM reach x JOIN reach y ON x.project_id = y.project_id AND x.a = y.b AND x.b = y.a GROUP BY 1, 2")
+def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes on cycles, by strongly connected component, of a graph with several ways on from a class, parallel edges, and a hub."""
+    classes, _ = codebase.sparse(spark, sf_dir)
+    found = graph.resolved(classes, codebase.derive(spark, sf_dir, codebase.TANGLED_REFERENCES))
+    return graph.strong_components(graph.edges(found))
+
+
+#: The sparse graph is a forest, so a depth-first walk is the order of paths: an edge's place decides which neighbour comes first.
+_WALKED = _SPARSE.rstrip() + """,
+ways AS (SELECT project_id, src AS a, dst AS b, [file_seq, ref_seq] AS way FROM edges UNION ALL SELECT project_id, dst, src, [file_seq, ref_seq] FROM edges),
+starts AS (SELECT project_id, class_name AS start, row_number() OVER (PARTITION BY project_id ORDER BY file_seq, ref_seq) AS start_seq FROM nodes WHERE component_type = 'CONTROLLER'),
+steps AS (SELECT project_id, start_seq, start, start AS here, '' AS back, CAST([] AS BIGINT[][]) AS path FROM starts
+  UNION ALL SELECT s.project_id, start_seq, start, b, here, list_append(path, way) FROM steps s JOIN ways w ON w.project_id = s.project_id AND w.a = here AND b <> back),
+walked AS (SELECT project_id, start_seq, start, row_number() OVER (PARTITION BY project_id, start ORDER BY path) AS member_seq, here AS class_name FROM steps),
+ordered AS (SELECT DISTINCT w.project_id, start_seq AS module_seq, start AS module_name, member_seq, w.class_name, component_type, package_name FROM walked w JOIN nodes n ON n.project_id = w.project_id AND n.class_name = w.class_name)
+"""
+
+
+@query("grf1_depth_first", _WALKED + "SELECT project_id, CAST(start_seq AS INT) AS start_seq, start, CAST(member_seq AS INT) AS member_seq, class_name FROM walked")
+def grf1_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.traversal(*_sparse(spark, sf_dir))
+
+
+@query("grf3_ordered_modules", _WALKED + "SELECT project_id, CAST(module_seq AS INT) AS module_seq, module_name, CAST(member_seq AS INT) AS member_seq, class_name, component_type, package_name FROM ordered")
+def grf3_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.discover_ordered(*_sparse(spark, sf_dir)).select("project_id", "module_seq", "module_name", "member_seq", "class_name", "component_type", "package_name")
+
+
+_ORDERED_MAPPED = f"""SELECT project_id, CAST(module_seq AS INT) AS module_seq, CAST(member_seq AS INT) AS member_seq, class_name, target_package
+FROM (SELECT *, CASE WHEN base_package = '' THEN '' ELSE base_package || '.' END || lower(module_name) || '.' || {_FOLDER_NAME} AS target_package
+  FROM (SELECT *, {_FOLDER} AS folder_type FROM ordered JOIN base USING (project_id)))"""
+
+
+@query("map1_ordered_mappings", _WALKED + _ORDERED_MAPPED)
+def map1_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = modules.mappings(checkpoint(modules.discover_ordered(*_sparse(spark, sf_dir))))
+    return found.select("project_id", "module_seq", "member_seq", "class_name", "target_package")
+
+
+@query("agg6_ordered_layout", _WALKED + f"SELECT project_id, module_name, {_FOLDER} AS folder_type, string_agg(class_name, ',' ORDER BY member_seq) AS classes FROM ordered GROUP BY ALL")
+def agg6_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.layout(modules.discover_ordered(*_sparse(spark, sf_dir))).withColumn("classes", F.array_join("classes", ","))
+
+
 @query("grf3_modules", _SPARSE + "SELECT DISTINCT * FROM members")
 def grf3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _modules(spark, sf_dir)

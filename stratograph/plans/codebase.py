@@ -100,6 +100,13 @@ CYCLE_REFERENCES = f"""
 SELECT 'S' || CAST({BLOCK} AS STRING) AS project_id, s_suppkey AS file_seq, 0 AS ref_seq, 'FIELD' AS ref_kind,
        'Supplier' || CAST(s_suppkey - s_suppkey % 40 + (s_suppkey * s_suppkey + 7) % 40 AS STRING) AS raw_type FROM {{supplier}}
 """
+#: Several ways on from a class, two kinds of one dependency, and a hub (every block's first class) that many lead to and back from.
+TANGLED_REFERENCES = f"""
+{CYCLE_REFERENCES}
+UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), s_suppkey, 1, 'CONSTRUCTOR', 'Supplier' || CAST(s_suppkey - s_suppkey % 40 + (s_suppkey * s_suppkey + 7) % 40 AS STRING) FROM {{supplier}} WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), s_suppkey, 2, 'FIELD', 'Supplier' || CAST(s_suppkey - s_suppkey % 40 + (s_suppkey * 3 + 5) % 40 AS STRING) FROM {{supplier}} WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), s_suppkey, 3, 'FIELD', 'Supplier' || CAST(s_suppkey - s_suppkey % 40 AS STRING) FROM {{supplier}} WHERE s_suppkey % 4 = 1
+"""
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

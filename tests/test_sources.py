@@ -1,13 +1,17 @@
 """Archives and Java sources, down to mappings."""
 
 import io
+import os
+import shutil
 import zipfile
 
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from stratograph.operators import analysis, graph, modules, render
 from stratograph.sources import archives, java
-from stratograph.streaming.dropfolder import watch
+from stratograph.streaming.dropfolder import committed, watch
 
 from .java_scanner import ParseError, declarations
 
@@ -112,7 +116,29 @@ def test_archives_to_mappings(spark, folder):
     assert '"status":"UPLOADED"' in response and '"success":true' in response
 
 
-def test_drop_folder(spark, folder, tmp_path):
-    query = watch(spark, folder, str(tmp_path / "out"), str(tmp_path / "state"))
-    query.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out" / "mappings")).count() > 0
+def test_drop_folder_writes_each_row_once(spark, folder, tmp_path, monkeypatch):
+    """A batch that fails between its tables, is tried again, and leaves no doubles; a later batch adds its own rows."""
+    drop, out, state = tmp_path / "drop", str(tmp_path / "out"), str(tmp_path / "state")
+    drop.mkdir()
+    shutil.copy(f"{folder}/shop.zip", drop / "shop.zip")
+    good, calls = analysis.violations, []
+
+    def failing(edges):
+        calls.append(1)
+        if len(calls) == 1:
+            return edges.withColumn("broken", F.raise_error(F.lit("lost in the middle")))
+        return good(edges)
+
+    monkeypatch.setattr(analysis, "violations", failing)
+    with pytest.raises(StreamingQueryException):
+        watch(spark, str(drop), out, state).awaitTermination(120)
+    assert os.path.exists(f"{out}/classes/batch=0") and not os.path.exists(f"{out}/_commits")
+    watch(spark, str(drop), out, state).awaitTermination(120)
+    once = {name: committed(spark, out, name).count() for name in ("classes", "nodes", "edges", "mappings", "errors")}
+    assert once["classes"] == 4 and once["mappings"] > 0 and once["errors"] == 2
+    classes = committed(spark, out, "classes")
+    assert classes.select("project_id", "file_seq").distinct().count() == classes.count()
+    shutil.copy(f"{folder}/bad.zip", drop / "bad.zip")
+    watch(spark, str(drop), out, state).awaitTermination(120)
+    assert {r["batch"] for r in committed(spark, out, "errors").collect()} == {0, 1}
+    assert committed(spark, out, "classes").count() == 4
