@@ -6,7 +6,7 @@ path order, and in a file fields before constructors before methods.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,18 +27,49 @@ def registry(classes: DataFrame) -> DataFrame:
     return classes.groupBy("project_id", "class_name").agg(last).select("project_id", "class_name", "r.*")
 
 
-def type_references(classes: DataFrame) -> DataFrame:
-    """Explode field_types, constructor_types and parameter_types: project_id, file_seq, ref_seq, ref_kind, raw_type."""
-    kinds = (("FIELD", "field_types"), ("CONSTRUCTOR", "constructor_types"), ("METHOD_PARAMETER", "parameter_types"))
+#: What an extractor gives: the kind of its references and the column whose type texts they are, in the order of a file's references.
+EXTRACTORS: tuple[tuple[str, str | Column], ...] = (("FIELD", "field_types"), ("CONSTRUCTOR", "constructor_types"), ("METHOD_PARAMETER", "parameter_types"))
 
-    def tagged(kind: str, types: str) -> Column:
-        return F.transform(types, lambda t: F.struct(F.lit(kind).alias("ref_kind"), t.alias("raw_type")))
 
-    every = F.concat(*(tagged(kind, types) for kind, types in kinds))
+def more_extractors() -> tuple[tuple[str, str | Column], ...]:
+    """EXTRACTORS and, as an extension, superclasses, interfaces and type arguments at every level."""
+    written = F.concat("field_types", "constructor_types", "parameter_types")
+    arguments = F.flatten(F.transform(written, type_arguments))
+    return (*EXTRACTORS, ("INHERITANCE", F.array_compact(F.array("super_class"))), ("IMPLEMENTATION", F.col("interfaces")), ("GENERIC", arguments))
+
+
+def type_arguments(raw: Column) -> Column:
+    """All types named within the brackets of a type text, at any level, in order; wildcards aren't types."""
+    inside = F.when(F.locate("<", raw) > 0, F.substr(raw, F.locate("<", raw) + 1)).otherwise(F.lit(""))
+    return F.filter(F.regexp_extract_all(inside, F.lit(r"[\p{L}_$][\p{L}\p{N}_$.]*"), F.lit(0)), lambda t: ~t.isin("extends", "super"))
+
+
+def type_references(classes: DataFrame, extractors: Sequence[tuple[str, str | Column]] = EXTRACTORS) -> DataFrame:
+    """Explode the columns of type texts that ``extractors`` name: project_id, file_seq, ref_seq, ref_kind, raw_type. An extractor is a
+    kind and an array column, or an expression that gives one; a null array has no references."""
+    none = F.array().cast("array<string>")
+
+    def tagged(kind: str, types: str | Column) -> Column:
+        column = F.col(types) if isinstance(types, str) else types
+        return F.transform(F.coalesce(column, none), lambda t: F.struct(F.lit(kind).alias("ref_kind"), t.alias("raw_type")))
+
+    every = F.concat(*(tagged(kind, types) for kind, types in extractors))
     rows = classes.select("project_id", "file_seq", F.posexplode(every).alias("ref_seq", "r"))
     return rows.select("project_id", "file_seq", F.col("ref_seq").cast("long").alias("ref_seq"), "r.*")
 
 
+#: What a dependency of a kind weighs; those not listed weigh one.
+WEIGHTS = {"INHERITANCE": 5, "IMPLEMENTATION": 4, "CONSTRUCTOR": 3, "FIELD": 2, "METHOD_PARAMETER": 1, "GENERIC": 1}
+
+
+def dependency_weights(found: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> DataFrame:
+    """Of resolved references, a row for each two classes: project_id, src, dst, kinds (sorted), refs (places where one is written) and
+    weight, the sum over them. No row leads from a class to itself."""
+    weight = F.coalesce(*(F.when(F.col("ref_kind") == kind, w) for kind, w in weights.items()), F.lit(1))
+    rows = found.filter(~F.col("src").eqNullSafe(F.col("dst")))
+    return rows.groupBy("project_id", "src", "dst").agg(F.array_sort(F.collect_set("ref_kind")).alias("kinds"), F.count(F.lit(1)).alias("refs"), F.sum(weight).alias("weight"))
+
+
 def named(refs: DataFrame, name: str) -> DataFrame:
     """``refs`` with the normalized type as ``name``. It is generated, not projected, so that no later filter or join writes its
     long expression out again for each place that names it."""

@@ -31,32 +31,82 @@ def summary_text(summary: DataFrame) -> DataFrame:
     return summary.filter("n > 0").groupBy("project_id").agg(lines.alias("report"))
 
 
+#: Headings, rules and labels of the reports.
+DOUBLE, SINGLE, PLAN_DOUBLE, DASHES = "=" * 47, "-" * 47, "=" * 41, "-" * 40
+LAYER_LABELS = {"CONTROLLER": "Controllers", "SERVICE": "Services", "REPOSITORY": "Repositories", "ENTITY": "Entities", "COMPONENT": "Components", "CONFIGURATION": "Configurations"}
+MAPPING_LABELS = {
+    "Class": "class_name", "Module": "module_name", "Folder": "folder_type", "Source Package": "source_package", "Base Package": "base_package", "Target Package": "target_package", "Target File": "target_file",
+}
+
+
+def _titled(title: str, *body: Column) -> Column:
+    """A report between double rules."""
+    return F.concat(F.lit(f"{DOUBLE}\n{title}\n{DOUBLE}\n"), *body, F.lit(f"\n{DOUBLE}"))
+
+
+def _labelled(label: str, value: Column, width: int) -> Column:
+    return F.concat(F.lit(f"{label:<{width}}: "), F.coalesce(value.cast("string"), F.lit("null")))
+
+
+def _for_all(blocks: DataFrame, projects: DataFrame | None, without: str) -> DataFrame:
+    """``blocks`` (project_id, l), and for those of ``projects`` without one the text that says so."""
+    if projects is None:
+        return blocks
+    return projects.select("project_id").distinct().join(blocks, "project_id", "left").fillna(without, ["l"])
+
+
 def architecture_text(report: DataFrame, violations: DataFrame) -> DataFrame:
-    head = F.format_string(
-        "Controllers      : %d\nServices         : %d\nRepositories     : %d\nEntities         : %d\nComponents       : %d\nConfigurations   : %d\nDependencies     : %d\n\n",
-        *(F.col(t.lower()) for t in fixed.COUNTED_LAYERS), F.col("dependencies"),
-    )
+    """Layer counts and dependencies of each project, and its violations in the order of edges."""
+    counts = F.concat_ws("\n", *(_labelled(LAYER_LABELS[t], F.col(t.lower()), 17) for t in fixed.COUNTED_LAYERS), _labelled("Dependencies", F.col("dependencies"), 17))
     lines = violations.groupBy("project_id").agg(E.ordered_lines(F.col("message"), F.col("file_seq"), F.col("ref_seq")).alias("l"))
-    text = F.concat(head, F.coalesce("l", F.lit("No architecture violations detected.")))
+    denied = F.coalesce("l", F.lit("No architecture violations detected."))
+    text = _titled("ARCHITECTURE REPORT", counts, F.lit(f"\n\nArchitecture Violations\n{SINGLE}\n"), denied)
     return report.join(lines, "project_id", "left").select("project_id", text.alias("report"))
 
 
-def cycles_text(cycles: DataFrame) -> DataFrame:
-    line = F.concat(F.format_string("Cycle %d\n\n", "cycle_seq"), F.array_join("path", "\n   ↓\n"))
-    return cycles.groupBy("project_id").agg(E.ordered_lines(line, F.col("cycle_seq")).alias("report"))
+def cycles_text(cycles: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Cycles in order, a node a line. With ``projects`` (project_id) given, those without a cycle have a report that says so."""
+    line = F.concat(F.format_string("Cycle %d\n\n", "cycle_seq"), F.array_join("path", "\n   ↓\n"), F.lit("\n"))
+    blocks = cycles.groupBy("project_id").agg(E.ordered_lines(line, F.col("cycle_seq")).alias("l"))
+    told = _for_all(blocks, projects, "No circular dependencies found.")
+    return told.select("project_id", _titled("CIRCULAR DEPENDENCY REPORT", F.col("l")).alias("report"))
 
 
-def modules_text(modules: DataFrame) -> DataFrame:
-    """Modules with their members; needs module_seq and member_seq."""
-    line = F.concat(F.lit("  - "), E.node_line(F.coalesce("class_name", F.lit("null")), F.col("component_type")))
+def modules_text(modules: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Modules with their members in order; needs module_seq and member_seq. With ``projects`` (project_id) given, those without a module
+    have a report that says so."""
+    line = F.concat(F.lit("   - "), F.coalesce("class_name", F.lit("null")))
     each = modules.groupBy("project_id", "module_seq", "module_name").agg(E.ordered_lines(line, F.col("member_seq")).alias("l"))
-    block = F.concat(F.lit("Module : "), F.col("module_name"), F.lit("\n"), F.col("l"))
-    return each.groupBy("project_id").agg(E.ordered_lines(block, F.col("module_seq")).alias("report"))
-
-
-def mapping_text(mappings: DataFrame) -> DataFrame:
-    line = F.concat_ws(" -> ", F.coalesce("class_name", F.lit("null")), "target_package", "target_file")
-    return mappings.groupBy("project_id").agg(E.ordered_lines(line, F.col("module_name"), F.col("class_name")).alias("report"))
+    block = F.concat(F.col("module_name"), F.lit("\n"), F.col("l"), F.lit("\n"))
+    blocks = each.groupBy("project_id").agg(E.ordered_lines(block, F.col("module_seq")).alias("l"))
+    text = F.concat(F.lit("\n========== DISCOVERED MODULES ==========\n"), F.col("l"), F.lit("\n" + "=" * 40))
+    return _for_all(blocks, projects, "No modules discovered.").select("project_id", text.alias("report"))
+
+
+def layout_text(modules: DataFrame) -> DataFrame:
+    """Modules in order, their folder kinds in the order in which members first need them, and each folder's classes in member order;
+    needs module_seq and member_seq."""
+    rows = modules.withColumn("folder_type", E.folder_type(F.col("component_type")))
+    line = F.concat(F.lit("      - "), F.coalesce("class_name", F.lit("null")))
+    folders = rows.groupBy("project_id", "module_seq", "module_name", "folder_type").agg(F.min("member_seq").alias("first"), E.ordered_lines(line, F.col("member_seq")).alias("l"))
+    folder = F.concat(F.lit("  "), F.col("folder_type"), F.lit("\n"), F.col("l"))
+    each = folders.groupBy("project_id", "module_seq", "module_name").agg(E.ordered_lines(folder, F.col("first")).alias("l"))
+    block = F.concat(F.lit("Module : "), F.col("module_name"), F.lit("\n"), F.col("l"), F.lit("\n"))
+    return each.groupBy("project_id").agg(_titled("MODULE LAYOUT", E.ordered_lines(block, F.col("module_seq"))).alias("report"))
+
+
+def mapping_block() -> Column:
+    """A mapping as a block of seven labelled lines between dashes."""
+    return F.concat_ws("\n", F.lit(DASHES), *(_labelled(label, F.col(c), 16) for label, c in MAPPING_LABELS.items()), F.lit(DASHES))
+
+
+def mapping_text(mappings: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """All mappings of a project: by module_seq and member_seq if there are such, else by name. With ``projects`` (project_id) given, those
+    without a mapping have a report that says so."""
+    order = ("module_seq", "member_seq") if "member_seq" in mappings.columns else ("module_name", "class_name")
+    blocks = mappings.groupBy("project_id").agg(E.ordered_lines(F.concat(mapping_block(), F.lit("\n")), *map(F.col, order)).alias("l"))
+    text = F.concat(F.lit("\n========== TRANSFORMATION PLAN ==========\n"), F.col("l"), F.lit(f"\n{PLAN_DOUBLE}"))
+    return _for_all(blocks, projects, "No transformation mappings generated.").select("project_id", text.alias("report"))
 
 
 def response(success: Column, message: Column, data: Column) -> Column:

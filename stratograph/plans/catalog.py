@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import fixed
-from ..operators import analysis, graph, modules, render
+from ..operators import analysis, assignment, comparison, graph, modules, render
 from ..operators.lineage import checkpoint
 from ..sources import archives, java
 from . import codebase
@@ -326,6 +326,20 @@ def snk2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.summary_text(analysis.component_summary(codebase.classes(spark, sf_dir)))
 
 
+_TITLED = "repeat('=', 47) || chr(10) || '{0}' || chr(10) || repeat('=', 47) || chr(10) || {1} || chr(10) || repeat('=', 47)"
+_COUNTS = " || chr(10) || ".join(f"'{label:<17}: ' || {c}" for label, c in (*((render.LAYER_LABELS[t], t.lower()) for t in fixed.COUNTED_LAYERS), ("Dependencies", "dependencies")))
+_DENIED = _COUNTS + " || chr(10) || chr(10) || 'Architecture Violations' || chr(10) || repeat('-', 47) || chr(10) || coalesce(l, 'No architecture violations detected.')"
+
+
+@query("snk2_architecture_text", _SHOP + f"""SELECT n.project_id, {_TITLED.format("ARCHITECTURE REPORT", _DENIED)} AS report FROM (SELECT project_id, {_LAYERS} FROM nodes GROUP BY project_id) n
+  JOIN (SELECT project_id, count(*) AS dependencies FROM edges GROUP BY 1) e ON e.project_id = n.project_id
+  LEFT JOIN (SELECT project_id, string_agg(message, chr(10) ORDER BY file_seq, ref_seq) AS l FROM ({_VIOLATIONS}) GROUP BY 1) v ON v.project_id = n.project_id""")
+def snk2_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, found = _shop(spark, sf_dir)
+    edges = checkpoint(graph.edges(found))
+    return render.architecture_text(analysis.architecture_report(graph.nodes(classes, found), edges), analysis.violations(edges))
+
+
 # ---- traversal, modules, mappings
 
 
@@ -347,15 +361,20 @@ walk AS (SELECT project_id, src AS start, src AS here, [src] AS path, 0 AS close
 found AS (SELECT project_id, array_to_string(path, ' > ') AS cycle FROM walk WHERE closed = 1 AND start = list_aggregate(path, 'min')) """
 
 
-@query("grf2_cycles", _WALK + "SELECT project_id, cycle FROM found")
-def grf2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles, each turned so that its least member comes first."""
+def _turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles (project_id, cycle_seq, path), each turned so that its least member comes first."""
     classes, _ = codebase.sparse(spark, sf_dir)
     found = graph.resolved(classes, codebase.derive(spark, sf_dir, codebase.CYCLE_REFERENCES))
     ring = graph.cycles(graph.nodes(classes, found), graph.edges(found)).withColumn("ring", F.slice("path", 1, F.size("path") - 1))
     at = F.array_position("ring", F.array_min("ring")).cast("int")
     turned = F.concat(F.slice("ring", at, F.size("ring")), F.slice("ring", F.lit(1), at - 1), F.array(F.array_min("ring")))
-    return ring.select("project_id", F.array_join(turned, " > ").alias("cycle"))
+    return ring.select("project_id", "cycle_seq", turned.alias("path"))
+
+
+@query("grf2_cycles", _WALK + "SELECT project_id, cycle FROM found")
+def grf2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles, each turned so that its least member comes first."""
+    return _turned(spark, sf_dir).select("project_id", F.array_join("path", " > ").alias("cycle"))
 
 
 @query("agg9_cycle_count", _WALK + "SELECT project_id, count(*) AS cycles FROM found GROUP BY 1")
@@ -412,6 +431,44 @@ def agg6_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.layout(modules.discover_ordered(*_sparse(spark, sf_dir))).withColumn("classes", F.array_join("classes", ","))
 
 
+_MODULE_LINES = "SELECT project_id, module_seq, module_name || chr(10) || string_agg('   - ' || class_name, chr(10) ORDER BY member_seq) || chr(10) AS b FROM ordered GROUP BY project_id, module_seq, module_name"
+_LAYOUT_LINES = f"""SELECT project_id, module_seq, 'Module : ' || module_name || chr(10) || string_agg(l, chr(10) ORDER BY foremost) || chr(10) AS b FROM (
+  SELECT project_id, module_seq, module_name, min(member_seq) AS foremost, '  ' || folder_type || chr(10) || string_agg('      - ' || class_name, chr(10) ORDER BY member_seq) AS l
+  FROM (SELECT *, {_FOLDER} AS folder_type FROM ordered) GROUP BY project_id, module_seq, module_name, folder_type) GROUP BY project_id, module_seq, module_name"""
+_BLOCKS = "string_agg(b, chr(10) ORDER BY module_seq)"
+
+
+@query("snk2_modules_text", _WALKED + f"SELECT project_id, chr(10) || '========== DISCOVERED MODULES ==========' || chr(10) || {_BLOCKS} || chr(10) || repeat('=', 40) AS report FROM ({_MODULE_LINES}) GROUP BY 1")
+def snk2_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.modules_text(modules.discover_ordered(*_sparse(spark, sf_dir)))
+
+
+@query("snk2_layout_text", _WALKED + f"SELECT project_id, {_TITLED.format('MODULE LAYOUT', _BLOCKS)} AS report FROM ({_LAYOUT_LINES}) GROUP BY 1")
+def snk2_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.layout_text(modules.discover_ordered(*_sparse(spark, sf_dir)))
+
+
+_LABELS = " || chr(10) || ".join(f"'{label:<16}: ' || {c}" for label, c in render.MAPPING_LABELS.items())
+
+
+@query("str9_mapping_text", _WALKED + f"""SELECT project_id, chr(10) || '========== TRANSFORMATION PLAN ==========' || chr(10) || string_agg(repeat('-', 40) || chr(10) || {_LABELS} || chr(10) || repeat('-', 40) || chr(10), chr(10) ORDER BY module_seq, member_seq)
+  || chr(10) || repeat('=', 41) AS report FROM (SELECT *, package_name AS source_package, 'src/main/java/' || replace(target_package, '.', '/') || '/' || class_name || '.java' AS target_file
+  FROM (SELECT *, CASE WHEN base_package = '' THEN '' ELSE base_package || '.' END || lower(module_name) || '.' || {_FOLDER_NAME} AS target_package FROM (SELECT *, {_FOLDER} AS folder_type FROM ordered JOIN base USING (project_id)))) GROUP BY 1""")
+def str9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.mapping_text(modules.mappings(checkpoint(modules.discover_ordered(*_sparse(spark, sf_dir)))))
+
+
+@query("snk2_cycles_text", _WALK + f""", listed AS (SELECT project_id, 'Cycle 1' || chr(10) || chr(10) || replace(any_value(cycle), ' > ', chr(10) || '   ↓' || chr(10)) || chr(10) AS l FROM found GROUP BY 1 HAVING count(*) = 1)
+SELECT p.project_id, {_TITLED.format("CIRCULAR DEPENDENCY REPORT", "coalesce(l, 'No circular dependencies found.')")} AS report FROM (SELECT DISTINCT project_id FROM classes) p LEFT JOIN listed USING (project_id)
+WHERE (SELECT count(*) FROM found f WHERE f.project_id = p.project_id) < 2""")
+def snk2_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of projects with at most one cycle, turned so that its least member is first: the order of several is the search's own."""
+    classes, _ = codebase.sparse(spark, sf_dir)
+    found = checkpoint(_turned(spark, sf_dir))
+    several = found.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return render.cycles_text(found, classes).join(several, "project_id", "left_anti")
+
+
 @query("grf3_modules", _SPARSE + "SELECT DISTINCT * FROM members")
 def grf3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _modules(spark, sf_dir)
@@ -469,6 +526,123 @@ def dead2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebase.classes(spark, sf_dir).select("project_id", "file_seq", E.naming_heuristic(F.col("class_name")).alias("module"))
 
 
+# ---- extensions: one module for each class, shared classes, two states of a code base
+
+
+def _tangled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    classes, _ = codebase.sparse(spark, sf_dir)
+    found = checkpoint(graph.resolved(classes, codebase.derive(spark, sf_dir, codebase.TANGLED_REFERENCES)))
+    return graph.nodes(classes, found), graph.edges(found)
+
+
+_COST = "CASE dependency_type " + " ".join(f"WHEN '{kind}' THEN {c}" for kind, c in assignment.STEP_COSTS.items()) + f" ELSE {assignment.OTHER_COST} END"
+#: A path without a node twice has fewer steps than nodes; no step costs more than the dearest kind.
+_NEAREST = _DENSE.rstrip() + f""",
+ways AS (SELECT project_id, a, b, min(c) AS c FROM (SELECT project_id, src AS a, dst AS b, {_COST} AS c FROM edges UNION ALL SELECT project_id, dst, src, {_COST} FROM edges) GROUP BY 1, 2, 3),
+sizes AS (SELECT project_id, {max(assignment.STEP_COSTS.values())} * count(*) AS most FROM nodes GROUP BY 1),
+far AS (SELECT project_id, class_name AS start, file_seq, class_name AS here, 0 AS d FROM nodes WHERE component_type = 'CONTROLLER'
+  UNION SELECT f.project_id, start, file_seq, b, d + c FROM far f JOIN ways w ON w.project_id = f.project_id AND w.a = here JOIN sizes s ON s.project_id = f.project_id WHERE d + c < most),
+nearest AS (SELECT project_id, here AS class_name, start AS module_name, d AS distance FROM far QUALIFY row_number() OVER (PARTITION BY project_id, here ORDER BY d, file_seq) = 1),
+owned AS (SELECT n.project_id, n.class_name, module_name, distance FROM nodes n LEFT JOIN nearest USING (project_id, class_name))
+"""
+
+
+@query("mod1_primary_module", _NEAREST + "SELECT project_id, class_name, module_name, CAST(distance AS BIGINT) AS distance FROM owned")
+def mod1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assignment.primary_modules(*_tangled(spark, sf_dir))
+
+
+@query("mod2_cohesion", _NEAREST + """, placed AS (SELECT e.project_id, s.module_name AS f, d.module_name AS t FROM edges e LEFT JOIN owned s ON s.project_id = e.project_id AND s.class_name = e.src LEFT JOIN owned d ON d.project_id = e.project_id AND d.class_name = e.dst),
+counted AS (SELECT m.project_id, m.module_name, m.classes, (SELECT count(*) FROM placed p WHERE p.project_id = m.project_id AND f = m.module_name AND t = m.module_name) AS internal,
+  (SELECT count(*) FROM placed p WHERE p.project_id = m.project_id AND f = m.module_name AND t IS DISTINCT FROM m.module_name) AS outgoing,
+  (SELECT count(*) FROM placed p WHERE p.project_id = m.project_id AND t = m.module_name AND f IS DISTINCT FROM m.module_name) AS incoming
+  FROM (SELECT project_id, module_name, count(*) AS classes FROM owned WHERE module_name IS NOT NULL GROUP BY 1, 2) m)
+SELECT *, internal / nullif(internal + outgoing + incoming, 0) AS cohesion, (outgoing + incoming) / nullif(internal + outgoing + incoming, 0) AS coupling FROM counted""")
+def mod2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _tangled(spark, sf_dir)
+    return assignment.cohesion(checkpoint(assignment.primary_modules(nodes, edges)), edges)
+
+
+#: The k-core by taking links away from a project's list until none goes.
+_CORE = _DENSE.rstrip() + """,
+linked AS (SELECT DISTINCT project_id, a, b FROM (SELECT project_id, src AS a, dst AS b FROM edges UNION ALL SELECT project_id, dst, src FROM edges)),
+peel AS (SELECT project_id, list({'a': a, 'b': b}) AS es, -1 AS n FROM linked GROUP BY 1
+  UNION ALL SELECT project_id, list_filter(es, lambda e: len(list_filter(es, lambda x: x.a = e.a)) >= 2 AND len(list_filter(es, lambda x: x.a = e.b)) >= 2), len(es) FROM peel WHERE n <> len(es)),
+core AS (SELECT DISTINCT project_id, e.a AS class_name FROM (SELECT project_id, unnest(es) AS e FROM peel WHERE n = len(es))),
+shared AS (SELECT project_id, dst AS class_name, count(DISTINCT src) AS dependents FROM edges e WHERE (project_id, dst) IN (SELECT (project_id, class_name) FROM core)
+  AND (project_id, dst) NOT IN (SELECT (project_id, class_name) FROM nodes WHERE component_type = 'CONTROLLER') GROUP BY 1, 2 HAVING count(DISTINCT src) >= 4)
+"""
+
+
+@query("mod3_shared_classes", _CORE + "SELECT project_id, class_name, dependents FROM shared")
+def mod3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assignment.shared_classes(*_tangled(spark, sf_dir), k=2, dependents=4)
+
+
+_KEPT = "(project_id, {0}) NOT IN (SELECT (project_id, class_name) FROM shared)"
+
+
+@query("mod4_modules_without_shared", _CORE.rstrip() + f""",
+everywhere AS (SELECT project_id, class_name AS s, class_name AS m FROM nodes UNION SELECT r.project_id, s, b FROM everywhere r JOIN linked l ON l.project_id = r.project_id AND l.a = m),
+rest AS (SELECT project_id, class_name AS s, class_name AS m FROM nodes WHERE {_KEPT.format("class_name")}
+  UNION SELECT r.project_id, s, b FROM rest r JOIN (SELECT * FROM linked WHERE {_KEPT.format("a")} AND {_KEPT.format("b")}) l ON l.project_id = r.project_id AND l.a = m)
+SELECT project_id, class_name AS module_name, (SELECT count(*) FROM everywhere e WHERE e.project_id = n.project_id AND e.s = n.class_name) AS classes_before,
+  (SELECT count(*) FROM rest e WHERE e.project_id = n.project_id AND e.s = n.class_name) AS classes_after,
+  (SELECT count(DISTINCT x.dst) FROM rest r JOIN edges x ON x.project_id = r.project_id AND x.src = r.m JOIN shared h ON h.project_id = x.project_id AND h.class_name = x.dst WHERE r.project_id = n.project_id AND r.s = n.class_name) AS shared
+FROM nodes n WHERE component_type = 'CONTROLLER'""")
+def mod4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _tangled(spark, sf_dir)
+    return assignment.modules_without(nodes, edges, assignment.shared_classes(nodes, edges, k=2, dependents=4))
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Classes and edges of a code base, and of the same some time later."""
+    out = []
+    for classes, refs in ((codebase.SPARSE_CLASSES, codebase.EARLIER_REFERENCES), (codebase.LATER_CLASSES, codebase.LATER_REFERENCES)):
+        own = checkpoint(codebase.derive(spark, sf_dir, classes))
+        out += [own, checkpoint(graph.edges(graph.resolved(own, codebase.derive(spark, sf_dir, refs))))]
+    return tuple(out)
+
+
+def _state_sql(classes: str, refs: str, suffix: str) -> str:
+    """Tables of one state as nested queries named with a suffix."""
+    body = f"WITH classes AS ({codebase.duckdb_sql(classes)}), refs AS ({codebase.duckdb_sql(refs)}), {_GRAPH.partition('FROM raw_classes),')[2]}"
+    return f"edges_{suffix} AS ({body} SELECT * FROM edges), classes_{suffix} AS ({body} SELECT * FROM registry WHERE class_name IS NOT NULL)"
+
+
+_DIFF = f"""WITH {_state_sql(codebase.SPARSE_CLASSES, codebase.EARLIER_REFERENCES, "b")}, {_state_sql(codebase.LATER_CLASSES, codebase.LATER_REFERENCES, "a")},
+gone AS (SELECT * FROM classes_b WHERE (project_id, class_name) NOT IN (SELECT (project_id, class_name) FROM classes_a)), came AS (SELECT * FROM classes_a WHERE (project_id, class_name) NOT IN (SELECT (project_id, class_name) FROM classes_b)),
+""" + ", ".join(
+    f"near_{x} AS (SELECT c.project_id, c.class_name, list_distinct(list(w)) AS w FROM {t} c JOIN (SELECT project_id, src AS class_name, 'to|' || dependency_type || '|' || dst AS w FROM edges_{x} UNION ALL SELECT project_id, dst, 'from|' || dependency_type || '|' || src FROM edges_{x}) USING (project_id, class_name) GROUP BY 1, 2)"
+    for x, t in (("b", "gone"), ("a", "came"))
+) + """,
+scored AS (SELECT *, n + 0.0 AS k, m - n AS total FROM (SELECT b.project_id, b.class_name AS x, a.class_name AS y, len(list_intersect(b.w, a.w)) AS n, len(b.w) + len(a.w) AS m FROM near_b b JOIN near_a a USING (project_id)) WHERE n * 100 >= (m - n) * 50 AND n > 0),
+pairs AS (SELECT project_id, x, y FROM scored QUALIFY row_number() OVER (PARTITION BY project_id, x ORDER BY n / total DESC, y) = 1 AND row_number() OVER (PARTITION BY project_id, y ORDER BY n / total DESC, x) = 1)
+"""
+
+
+@query("cmp1_changes", _DIFF + """SELECT project_id, CASE WHEN b.package_name IS DISTINCT FROM a.package_name THEN 'MOVED' ELSE 'RETYPED' END AS change, class_name, class_name AS new_name, b.package_name AS old_package, a.package_name AS new_package,
+  b.component_type AS old_type, a.component_type AS new_type FROM classes_b b JOIN classes_a a USING (project_id, class_name) WHERE b.package_name IS DISTINCT FROM a.package_name OR b.component_type IS DISTINCT FROM a.component_type
+UNION ALL SELECT g.project_id, CASE WHEN y IS NULL THEN 'REMOVED' ELSE 'RENAMED' END, g.class_name, y, g.package_name, c.package_name, g.component_type, c.component_type
+  FROM gone g LEFT JOIN pairs p ON p.project_id = g.project_id AND p.x = g.class_name LEFT JOIN came c ON c.project_id = g.project_id AND c.class_name = y
+UNION ALL SELECT c.project_id, 'ADDED', NULL, c.class_name, NULL, c.package_name, NULL, c.component_type FROM came c LEFT JOIN pairs p ON p.project_id = c.project_id AND p.y = c.class_name WHERE p.y IS NULL""")
+def cmp1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.changes(*_states(spark, sf_dir))
+
+
+#: Rules for the comparison of states, in which services may not use the rarer roles.
+_STATE_RULES = (("SERVICE", "CONTROLLER", False), ("SERVICE", "REPOSITORY", False), ("CONTROLLER", "REPOSITORY", False), ("*", "*", True))
+_STATE_DENIED = "SELECT project_id, src, dst, dependency_type, src_type || ' ''' || src || ''' must not depend on ' || dst_type || ' ''' || dst || '''' AS message FROM edges_{0} WHERE (src_type = 'SERVICE' AND dst_type IN ('CONTROLLER', 'REPOSITORY')) OR (src_type = 'CONTROLLER' AND dst_type = 'REPOSITORY')"
+
+
+@query("cmp2_new_violations", _DIFF + f"""SELECT n.project_id, src, dst, dependency_type, message FROM ({_STATE_DENIED.format("a")}) n LEFT JOIN pairs s ON s.project_id = n.project_id AND s.y = src LEFT JOIN pairs d ON d.project_id = n.project_id AND d.y = dst
+WHERE NOT EXISTS (SELECT 1 FROM ({_STATE_DENIED.format("b")}) o WHERE o.project_id = n.project_id AND o.src = coalesce(s.x, n.src) AND o.dst = coalesce(d.x, n.dst) AND o.dependency_type = n.dependency_type)""")
+def cmp2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, edges_before, after, edges_after = _states(spark, sf_dir)
+    found = checkpoint(comparison.changes(before, edges_before, after, edges_after))
+    return comparison.new_violations(edges_before, edges_after, found, analysis.layer_rules(spark, _STATE_RULES))
+
+
 # ---- archives and Java sources
 
 _SUPPLIER_ARCHIVE = "'nation' || s_nationkey || '-' || (s_suppkey // 400) || '.zip'"
@@ -530,6 +704,18 @@ def ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.type_references(_extracted(spark, sf_dir))
 
 
+@query("ext2_more_kinds", f"""SELECT project_id, file_seq, unnest(range(0, 12)) AS ref_seq, unnest(['FIELD', 'FIELD', 'FIELD', 'CONSTRUCTOR', 'CONSTRUCTOR', 'METHOD_PARAMETER', 'INHERITANCE', 'IMPLEMENTATION', 'GENERIC', 'GENERIC', 'GENERIC', 'GENERIC']) AS ref_kind,
+  unnest(['List<Nation' || s_nationkey || '>', 'List<Nation' || s_nationkey || '>[]', 'Extra' || (s_suppkey % 7), 'Map<String, Region' || s_nationkey || '>', 'int', 'Order' || s_suppkey, 'Base', 'Named', 'Nation' || s_nationkey, 'Nation' || s_nationkey, 'String', 'Region' || s_nationkey]) AS raw_type FROM ({_FILES})""")
+def ext2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three kinds of references and, as an extension, superclasses, interfaces and type arguments."""
+    return graph.type_references(_extracted(spark, sf_dir), graph.more_extractors())
+
+
+@query("ext3_dependency_weights", _SHOP + "SELECT project_id, src, dst, string_agg(DISTINCT ref_kind, ',' ORDER BY ref_kind) AS kinds, count(*) AS refs, CAST(sum(CASE ref_kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in graph.WEIGHTS.items()) + " ELSE 1 END) AS BIGINT) AS weight FROM resolved WHERE src IS DISTINCT FROM dst GROUP BY 1, 2, 3")
+def ext3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dependency_weights(_shop(spark, sf_dir)[1]).withColumn("kinds", F.array_join("kinds", ","))
+
+
 @query("map3_archives_to_mappings", f"""WITH RECURSIVE classes AS (SELECT project_id, file_seq, 'Supplier' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN 'Controller' ELSE '' END AS class_name,
   'com.mart.n' || s_nationkey AS package_name, CASE WHEN s_suppkey % 5 = 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'CONTROLLER' ELSE 'UNKNOWN' END WHEN s_suppkey % 2 = 0 THEN 'SERVICE' ELSE 'COMPONENT' END AS component_type
   FROM ({_FILES})), refs AS ({_WRITTEN}), {_MODULES} {_MAPPED}""")

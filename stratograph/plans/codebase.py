@@ -107,6 +107,25 @@ UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), s_suppkey, 1, 'CONSTRUCTOR', 'S
 UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), s_suppkey, 2, 'FIELD', 'Supplier' || CAST(s_suppkey - s_suppkey % 40 + (s_suppkey * 3 + 5) % 40 AS STRING) FROM {{supplier}} WHERE s_suppkey % 3 = 0
 UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), s_suppkey, 3, 'FIELD', 'Supplier' || CAST(s_suppkey - s_suppkey % 40 AS STRING) FROM {{supplier}} WHERE s_suppkey % 4 = 1
 """
+#: The same code base some time later: classes with other names, packages and roles, some gone, some new, and other references.
+_LATER_NAME = "CASE WHEN {0} % 13 = 5 THEN 'Vendor' ELSE 'Supplier' END || CAST({0} AS STRING)"
+_TARGET = "s_suppkey - s_suppkey % 40 + (s_suppkey * {0}) % 40"
+LATER_CLASSES = f"""
+SELECT 'S' || CAST({BLOCK} AS STRING) AS project_id, s_suppkey AS file_seq, {_LATER_NAME.format("s_suppkey")} AS class_name,
+       'com.mart.s' || CAST(s_nationkey AS STRING) || CASE WHEN s_suppkey % 7 = 0 THEN '.moved' ELSE '.supply' END AS package_name,
+       CASE WHEN s_suppkey % 10 = 0 THEN 'CONTROLLER' WHEN s_suppkey % 11 = 0 THEN 'REPOSITORY' ELSE 'SERVICE' END AS component_type FROM {{supplier}} WHERE s_suppkey % 17 <> 3
+UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), 500000000 + s_suppkey, 'Added' || CAST(s_suppkey AS STRING), 'com.mart.fresh', 'REPOSITORY' FROM {{supplier}} WHERE s_suppkey % 20 = 7
+"""
+EARLIER_REFERENCES = " UNION ALL ".join(
+    f"SELECT 'S' || CAST({BLOCK} AS STRING) AS project_id, s_suppkey AS file_seq, {i} AS ref_seq, '{kind}' AS ref_kind, 'Supplier' || CAST({_TARGET.format(f)} AS STRING) AS raw_type FROM {{supplier}}"
+    for i, (kind, f) in enumerate((("FIELD", "s_suppkey + 7"), ("CONSTRUCTOR", "3 + 5"), ("METHOD_PARAMETER", "7 + 11")))
+)
+LATER_REFERENCES = " UNION ALL ".join(
+    f"SELECT 'S' || CAST({BLOCK} AS STRING) AS project_id, s_suppkey AS file_seq, {i} AS ref_seq, '{kind}' AS ref_kind, {_LATER_NAME.format('(' + _TARGET.format(f) + ')')} AS raw_type FROM {{supplier}} WHERE s_suppkey % 17 <> 3"
+    for i, (kind, f) in enumerate((("FIELD", "s_suppkey + 7"), ("CONSTRUCTOR", "3 + 5"), ("METHOD_PARAMETER", "7 + 11")))
+) + f""" UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), 500000000 + s_suppkey, 0, 'FIELD', {_LATER_NAME.format("(" + _TARGET.format("3 + 5") + ")")} FROM {{supplier}} WHERE s_suppkey % 20 = 7
+UNION ALL SELECT 'S' || CAST({BLOCK} AS STRING), s_suppkey, 9, 'FIELD', 'Added' || CAST(s_suppkey - s_suppkey % 20 + 7 AS STRING) FROM {{supplier}} WHERE s_suppkey % 20 = 0
+"""
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

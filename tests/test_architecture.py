@@ -86,15 +86,19 @@ def test_golden_reports(golden):
     assert render.summary_text(analysis.component_summary(classes)).first()["report"].split("\n")[0] == "CONTROLLER           : 2"
     assert "must not depend" in render.architecture_text(analysis.architecture_report(nodes, edges), analysis.violations(edges)).first()["report"]
     found = modules.discover_ordered(nodes, edges)
-    assert render.modules_text(found).first()["report"].startswith("Module : AuthController\n  - AuthController (CONTROLLER)\n")
-    assert render.mapping_text(modules.mappings(found)).count() == 1
+    assert render.modules_text(found).first()["report"].startswith("\n========== DISCOVERED MODULES ==========\nAuthController\n   - AuthController\n")
+    plan = render.mapping_text(modules.mappings(found)).first()["report"].split("\n")
+    assert plan[1:5] == ["========== TRANSFORMATION PLAN ==========", "-" * 40, "Class           : AuthController", "Module          : AuthController"]
+    layout = render.layout_text(found).first()["report"].split("\n")
+    assert layout[3:6] == ["Module : AuthController", "  CONTROLLER", "      - AuthController"]
 
 
 def test_parallel_closing_edges_repeat_a_cycle(spark):
     _, nodes, edges = project(spark, [("Aa", "X"), ("Bb", "X"), ("Cc", "X")], [("Aa", "F", "Bb"), ("Bb", "F", "Cc"), ("Cc", "F", "Aa"), ("Cc", "P", "Aa")])
     found = graph.cycles(nodes, edges)
     assert [r["path"] for r in found.orderBy("cycle_seq").collect()] == [["Aa", "Bb", "Cc", "Aa"]] * 2
-    assert render.cycles_text(found).first()["report"].startswith("Cycle 1\n\nAa\n   ↓\nBb")
+    assert render.cycles_text(found).first()["report"].split("\n")[3:8] == ["Cycle 1", "", "Aa", "   ↓", "Bb"]
+    assert "No circular dependencies found." in render.cycles_text(found.limit(0), nodes).first()["report"]
 
 
 def test_a_violation_for_each_kind(spark):
