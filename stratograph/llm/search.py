@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,6 +170,22 @@ class Shard:
         return found_doc[keep], found_score[keep]
 
 
+def _order_of(keys: pa.Array) -> np.ndarray:
+    """Each key's place among all in ascending order, nulls last."""
+    order = pc.sort_indices(keys, null_placement="at_end").to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place
+
+
+def _cut(doc: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of a shard by rounded score and then key, which is the order of the merge: no more of it can be among the k best
+    of all, however many documents tie."""
+    score = np.round(score, 9)
+    best = np.lexsort((place[doc], -score))[:k]
+    return doc[best], score[best]
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k documents with the highest BM25 scores for each query: query, rank (from 1), the document's key, score.
 
@@ -203,8 +220,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
                 for a in range(0, batch.num_rows, SHARD):
                     part = batch.slice(a, SHARD)
                     shard = Shard([t or "" for t in part.column(1).to_pylist()], mean_length)
+                    place = _order_of(part.column(0))
                     query, doc, score = [], [], []
                     for q, d, s in shard.answers(shared.value, k):
+                        d, s = _cut(d, s, place, k)
                         query += [q] * len(d)
                         doc.append(d)
                         score.append(s)
@@ -214,6 +233,6 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
 
         part = slim.mapInArrow(answer, f"query {kind}, doc {kind}, score double")
         best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc")))
-        ranked = checkpoint(part.withColumn("score", F.round("score", 9)).withColumn("rank", best).filter(F.col("rank") <= k))
+        ranked = checkpoint(part.withColumn("rank", best).filter(F.col("rank") <= k))
         found = ranked if found is None else found.union(ranked)
     return found.select("query", "rank", F.col("doc").alias(key), "score")

@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Where a host stands in a lower-case URL (a backslash is read as a slash, as browsers do), and what none may hold.
+_HOST = r"^\s*(?:[a-z][a-z0-9+.-]*:)?[/\\]{2}(?:[^/\\?#]*@)?(\[[0-9a-f:.]+\]|[^/\\:?#\[\]@\s]+)"
+_NO_HOST = r"[\x00-\x20/\\:?#@%<>^|\[\]\x7f]"
+
+
 def host(url: Column) -> Column:
     """A URL's host in lower case, without user, port and closing dots; an IPv6 address keeps its brackets. A URL may begin with
-    its slashes. Null if there is no host."""
-    found = F.regexp_extract(F.lower(url), r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[0-9a-f:.]+\]|[^/:?#\[\]@\s]+)", 1)
-    return F.nullif(F.regexp_replace(found, r"\.+$", ""), F.lit(""))
+    its slashes; backslashes count as slashes; percent-encoded characters are decoded. Null if there is no host, or one that is
+    none once decoded."""
+    found = F.regexp_extract(F.lower(url), _HOST, 1)
+    plain = F.lower(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2b"))))
+    known = F.when(~F.contains(found, F.lit("%")), found).when(~plain.rlike(_NO_HOST), plain)
+    return F.nullif(F.regexp_replace(known, r"\.+$", ""), F.lit(""))
 
 
 def parents(name: Column) -> Column:
@@ -91,8 +99,8 @@ def filter_pages(pages: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH p AS (
-  SELECT page_id, row_number() OVER () AS r, nullif(regexp_replace(regexp_extract(lower(url), '^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[0-9a-f:.]+\]|[^/:?#\[\]@\s]+)', 1), '\.+$', ''), '') AS host
-  FROM pages
+  SELECT page_id, row_number() OVER () AS r, nullif(regexp_replace(CASE WHEN NOT contains(h, '%') THEN h WHEN NOT regexp_matches(lower(url_decode(h)), '[\x00-\x20/\\:?#@%<>^|\[\]\x7f]') THEN lower(url_decode(h)) END, '\.+$', ''), '') AS host
+  FROM (SELECT page_id, regexp_extract(lower(url), '^\s*(?:[a-z][a-z0-9+.-]*:)?[/\\]{2}(?:[^/\\?#]*@)?(\[[0-9a-f:.]+\]|[^/\\:?#\[\]@\s]+)', 1) AS h FROM pages)
 ), lists AS (
   SELECT *, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host] ELSE list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END AS domains FROM p
 ), captures AS (

@@ -7,6 +7,8 @@ from stratograph.llm import urlfilter
 HOSTS = {
     "http://user:pw@evil.example.com/": "evil.example.com", "http://a@b@evil.com/x@y": "evil.com", "http://[::1]:8080/": "[::1]", "http://evil.com./": "evil.com", "//evil.com/x": "evil.com",
     "HTTPS://WWW.Example.COM:443/a?b=http://other.org": "www.example.com", "http://evil.com?x@good.org": "evil.com", "http://evil.com#@good.org": "evil.com", "http://10.0.0.1/": "10.0.0.1",
+    "http://evil.com\\@good.com/": "evil.com", "http:\\\\evil.com\\x": "evil.com", "http://good.com@evil.com\\y": "evil.com", "http://evil%2Ecom/a%20b": "evil.com", "http://%45vil.com": "evil.com",
+    "http://a%2Fb.com/": None, "http://a%zz.com/": None, "http://a+b.com/": "a+b.com", "http://evil.com%2e/": "evil.com", "http://a%25.com": None, "/\\evil.com": "evil.com",
     "mailto:a@b.c": None, "not a url": None, "": None, None: None, "http:///path": None, " http://evil.com": "evil.com",
 }
 
