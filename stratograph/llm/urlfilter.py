@@ -16,10 +16,13 @@ def host(url: Column) -> Column:
     """A URL's host in lower case, without user, port and closing dots; an IPv6 address keeps its brackets. A URL may begin with
     its slashes; backslashes count as slashes; percent-encoded characters are decoded. Null if there is no host, or one that is
     none once decoded."""
-    found = F.regexp_extract(F.lower(url), _HOST, 1)
-    plain = F.lower(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2b"))))
-    known = F.when(~F.contains(found, F.lit("%")), found).when(~plain.rlike(_NO_HOST), plain)
-    return F.nullif(F.regexp_replace(known, r"\.+$", ""), F.lit(""))
+
+    def decoded(found: Column) -> Column:
+        plain = F.lower(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2b"))))
+        known = F.when(~F.contains(found, F.lit("%")), found).when(~plain.rlike(_NO_HOST), plain)
+        return F.nullif(F.regexp_replace(known, r"\.+$", ""), F.lit(""))
+
+    return F.transform(F.array(F.regexp_extract(F.lower(url), _HOST, 1)), decoded)[0]  # extracted once, however often it is named
 
 
 def parents(name: Column) -> Column:
@@ -67,6 +70,11 @@ def listed_as_of(captures: DataFrame, entries: DataFrame, last_day: Column) -> D
     return found.select("_own.*", "_entry.category", "_entry.valid_from", F.col("_entry").isNotNull().alias("listed"))
 
 
+def _once(value: Column) -> Column:
+    """``value`` generated, not projected, so that later steps that name it don't compute it again each time."""
+    return F.explode(F.array(value))
+
+
 def _day(factor: int) -> Column:
     """A day in 2024 that follows from page_id, whatever its size; null without one."""
     return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.pmod(F.col("page_id"), F.lit(366)) * factor, F.lit(366)).cast("int"))
@@ -74,14 +82,14 @@ def _day(factor: int) -> Column:
 
 def captures_of(pages: DataFrame) -> DataFrame:
     """The synthetic pages as captures: page_id, url, domain (the host), and a fetch date in 2024 that follows from page_id."""
-    return pages.select("page_id", "url", host(F.col("url")).alias("domain"), _day(7919).alias("fetched"))
+    return pages.select("page_id", "url", _once(host(F.col("url"))).alias("domain"), _day(7919).alias("fetched"))
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
     """A dated block list that follows from the pages: every fifth one has its host, or the domain that lies in, added or (one time
     in three) removed."""
-    listed = parents(host(F.col("url")))
-    return pages.filter("page_id % 5 = 0").select(
+    listed = parents(F.col("_host"))
+    return pages.filter("page_id % 5 = 0").select("page_id", _once(host(F.col("url"))).alias("_host")).select(
         F.when((F.col("page_id") % 4 == 0) & (F.size(listed) > 1), F.get(listed, F.lit(1))).otherwise(F.get(listed, F.lit(0))).alias("domain"),
         _day(104729).alias("day"),
         F.col("page_id").alias("seq"),
