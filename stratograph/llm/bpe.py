@@ -84,12 +84,11 @@ class ChunkedEncoder:
 
 
 class SegmentTreeBpe:
-    """Merges by a segment tree with ``FAN`` children to a node: a leaf holds (rank of the pair that begins here, position),
-    a node the least of its children, so the root is the leftmost pair of the lowest rank. A merge changes three
-    neighbouring leaves and the nodes above them."""
+    """Merges by a segment tree over the pairs of neighbours, a binary tree in one flat array: a leaf holds (rank of the pair that
+    begins here, position), a node the lesser of its two children, so the root is the leftmost pair of the lowest rank. A merge
+    changes three leaves and the nodes above them, a logarithmic number, for words of every length."""
 
-    NONE, SHIFT = 1 << 62, 4
-    FAN = 1 << SHIFT
+    NONE = 1 << 62
 
     def __init__(self, spec: dict) -> None:
         vocab, model = spec["model"]["vocab"], spec["model"]
@@ -123,62 +122,49 @@ class SegmentTreeBpe:
         return known
 
     def merge(self, symbols: list[int]) -> list[int]:
-        n, rank, merged, none, shift, fan = len(symbols), self.rank.get, self.merged, self.NONE, self.SHIFT, self.FAN
+        n, rank, merged, none = len(symbols), self.rank.get, self.merged, self.NONE
         if n < 2:
             return symbols
-        if n <= fan + 1:
-            return self.merge_in_one_node(symbols)
-        leaves = [rank(a << 32 | b, none) + i for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
-        levels = [leaves]
-        while len(levels[-1]) > fan:
-            below = levels[-1]
-            levels.append([min(below[k : k + fan]) for k in range(0, len(below), fan)])
-        top, inner = levels[-1], len(levels) > 1
+        width = 1 << (n - 2).bit_length()
+        level = [rank(a << 32 | b, none) + i for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+        level += [none] * (width - n + 1)
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        tree = [none]  # children of node k are 2k and 2k + 1, the root is 1, leaves begin at width
+        for level in reversed(levels):
+            tree += level
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (root := min(top)) < none:
+        while (root := tree[1]) < none:
             i = root & 0xFFFFFFFF
             j = after[i]
             k = after[j]
             symbols[i] = symbol = merged[symbols[i] << 32 | symbols[j]]
             symbols[j] = -1
             after[i] = k
+            changed = []
             if k < n:
                 before[k] = i
-                leaves[j] = none
-                leaves[i] = rank(symbol << 32 | symbols[k], none) + i
+                changed.append((i, rank(symbol << 32 | symbols[k], none) + i))
+                changed.append((j, none))
             else:
-                leaves[i] = none
-                if j < n - 1:
-                    leaves[j] = none
-            h = before[i]
-            if h >= 0:
-                leaves[h] = rank(symbols[h] << 32 | symbol, none) + h
-            if inner:
-                for leaf in (i, j, h):
-                    if 0 <= leaf < n - 1:
-                        for level in range(1, len(levels)):
-                            node = leaf >> shift
-                            least = min(levels[level - 1][node << shift : (node + 1) << shift])
-                            if levels[level][node] == least:
-                                break
-                            levels[level][node] = least
-                            leaf = node
+                changed.append((i, none))
+            if (h := before[i]) >= 0:
+                changed.append((h, rank(symbols[h] << 32 | symbol, none) + h))
+            for leaf, value in changed:
+                node = width + leaf
+                tree[node] = value
+                while node > 1:
+                    other = tree[node ^ 1]
+                    if other < value:
+                        value = other
+                    node >>= 1
+                    if tree[node] == value:
+                        break
+                    tree[node] = value
         return [s for s in symbols if s >= 0]
 
-    def merge_in_one_node(self, symbols: list[int]) -> list[int]:
-        """The tree of a short word is its root alone; leaves keep their order, so the first of the least is the leftmost."""
-        rank, merged, none = self.rank.get, self.merged, self.NONE
-        leaves = [rank(a << 32 | b, none) for a, b in zip(symbols, symbols[1:])]
-        while leaves and (root := min(leaves)) != none:
-            i = leaves.index(root)
-            symbols[i] = symbol = merged[symbols[i] << 32 | symbols.pop(i + 1)]
-            del leaves[i]
-            if i:
-                leaves[i - 1] = rank(symbols[i - 1] << 32 | symbol, none)
-            if i < len(leaves):
-                leaves[i] = rank(symbol << 32 | symbols[i + 1], none)
-        return symbols
-
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token_bytes.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
