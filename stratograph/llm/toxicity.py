@@ -33,15 +33,27 @@ SEED_WEIGHT, MOST_EVIDENCE = 6.0, 12.0
 #: Words as written whose classes a worker remembers before it forgets them all (and those of one text more).
 REMEMBERED = 500_000
 
-#: Classes of words; BREAK stands between clauses of a sentence. Flags of a word that ends a clause, or a sentence (or line).
-OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, BREAK, BREAKS, ENDS = 0, 1, 2, 3, 4, 5, 6, 8, 16
+#: Classes of words; BREAK stands between clauses of a sentence. LINK words take no part in the reach of others; CONTRAST and then
+#: FIRST (the author's own clause) end a report; DIRECT is a target that is spoken to; HARM is done to it, HARMED is done with.
+OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, BREAK, LINK, CONTRAST, FIRST, HARM, DIRECT, HARMED = range(13)
+#: The bits of a class, and flags of a word that ends a clause, or a sentence (or line).
+CLASS, BREAKS, ENDS = 15, 16, 32
 #: Words of the closed classes, and a few insults to start from, in English, German, French and Spanish.
 CLOSED = {
-    NEGATION: "not no never neither nor isn't aren't wasn't don't nicht kein keine nie niemals ne pas jamais non nunca jamás sin",
-    REPORT: "said says saying wrote writes called calls claimed claims quoted sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó",
-    TARGET: "you your you're u he she they him them du dich dir euch ihr tu te toi vous il ils usted ustedes él ellos",
+    NEGATION: "cannot without not no never neither nor isn't aren't wasn't don't nicht kein keine keinen keiner keines keinem nie niemals ne pas jamais non nunca jamás sin",
+    REPORT: "say told tells said says saying wrote writes called calls claimed claims quoted sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó",
+    TARGET: "he she they him them il ils él ellos",
+    DIRECT: "you your you're you'll u yourself yourselves du dich dir euch ihr tu te toi vous usted ustedes",
     THREAT: "kill murder stab strangle shoot burn töten umbringen ermorden erschießen tuer assassiner égorger matar asesinar degollar",
+    LINK: "be seem seems to call appear appears",
+    CONTRAST: "but however yet though aber doch sondern mais pourtant pero sino",
+    FIRST: "i i'm i'll i'd i've me my we ich mir wir je j'ai moi nous yo mí nosotros",
 }
+#: Stems and endings of further verbs of harm, as they are done (hang, killing) and suffered (stabbed).
+_VERB = r"kill|murder|stab|strangl|shoot|burn|hang|chok|drown|behead|slaughter|butcher"
+_HARM = re.compile(rf"(?:{_VERB})(?:e|es|s|b?ing)?|(?:töt|erwürg|erhäng|erstech|erschlag)(?:e|est|en|t)|tuerai|étrangl(?:e|er|erai)|mataré|mato|estrangul(?:o|ar|aré)")
+_HARMED = re.compile(rf"(?:{_VERB})b?e[dn]|shot|hung|getötet|ermordet|erschossen|erstochen|erwürgt|tuée?s?|égorgée?s?|asesinad[oa]s?|degollad[oa]s?")
+
 SEEDS = "idiot moron imbecile scum bastard depp abschaum trottel imbécile crétin salaud idiota imbécil estúpido cabrón"
 #: Contexts of a match, and what a unit of lexical weight is worth in each before any label is seen.
 CONTEXTS = {"plain": 1.0, "targeted": 1.2, "negated": 0.3, "reported": 0.5, "threat": 1.2}
@@ -50,7 +62,8 @@ START = -4.0
 #: Signs that close a quote or a bracket after a word.
 _CLOSING = "\"'”’»)]"
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_MATCH = re.compile(bytes([91, *(c | e for c in (THREAT, INSULT) for e in (0, BREAKS, ENDS, BREAKS | ENDS)), 93]))
+_MATCHED = (THREAT, INSULT, HARM, HARMED)
+_MATCH = re.compile(b"[" + re.escape(bytes(c | e for c in _MATCHED for e in (0, BREAKS, ENDS, BREAKS | ENDS))) + b"]")
 
 
 class Transducer:
@@ -91,19 +104,26 @@ class Composed:
         return out
 
 
-def _near(trigger: int, reach: int, writes: dict[object, object]) -> Transducer:
+def _near(triggers: Sequence[int], reach: int, writes: dict[object, object]) -> Transducer:
     """For ``reach`` words after a trigger, write other symbols in place of some."""
-    arcs: dict[tuple[int, object], tuple[int, object]] = {(s, trigger): (reach, trigger) for s in range(reach + 1)}
+    states = range(reach + 1)
+    arcs: dict[tuple[int, object], tuple[int, object]] = {(s, trigger): (reach, trigger) for s in states for trigger in triggers}
     arcs |= {(s, symbol): (s - 1, out) for s in range(1, reach + 1) for symbol, out in writes.items()}
-    arcs |= {(s, BREAK): (0, BREAK) for s in range(reach + 1)}
-    return Transducer(arcs, {s: max(0, s - 1) for s in range(reach + 1)})
+    arcs |= {(s, BREAK): (0, BREAK) for s in states} | {(s, LINK): (s, LINK) for s in states}
+    return Transducer(arcs, {s: max(0, s - 1) for s in states})
 
 
-def _from(trigger: int, writes: dict[object, object]) -> Transducer:
-    """After a trigger, to the end of the sentence."""
-    arcs: dict[tuple[int, object], tuple[int, object]] = {(s, trigger): (1, trigger) for s in (0, 1)}
-    arcs |= {(1, symbol): (1, out) for symbol, out in writes.items()}
-    return Transducer(arcs, {0: 0, 1: 1})
+def _reports(writes: dict[object, object]) -> Transducer:
+    """After a report, to the end of the sentence, or to a contrast that the author's own clause follows (at once or after one
+    word). What the author says to have said is no report."""
+    none, reported, contrast, later, author = range(5)
+    inside = (reported, contrast, later)
+    arcs: dict[tuple[int, object], tuple[int, object]] = {(s, REPORT): (reported, REPORT) for s in (none, *inside)}
+    arcs |= {(author, REPORT): (none, REPORT), (none, FIRST): (author, FIRST), (author, FIRST): (author, FIRST)}
+    arcs |= {(s, CONTRAST): (contrast, CONTRAST) for s in inside} | {(s, FIRST): (author, FIRST) for s in (contrast, later)}
+    arcs |= {(s, BREAK): (s, BREAK) for s in (contrast, later)}
+    arcs |= {(s, symbol): (reported, out) for s in inside for symbol, out in writes.items()}
+    return Transducer(arcs, {none: none, reported: reported, contrast: later, later: reported, author: none})
 
 
 def _beyond(trigger: int, writes: dict[object, object]) -> Transducer:
@@ -116,16 +136,23 @@ def _beyond(trigger: int, writes: dict[object, object]) -> Transducer:
 def grammar() -> Composed:
     """Reported speech, then negation, then targets before a match. A threat counts only in the reach of a target. A report goes
     on over commas, colons and quotes; negation and targets end with their clause. Reports and targets may also follow a match,
-    for which the sentence is read backwards as well (see ``Lexicon.evidence``): a report so has to be a clause of its own."""
+    for which the sentence is read backwards as well (see ``Lexicon.evidence``): a report so has to be a clause of its own. Verbs
+    of harm other than the listed threats count only if one who is spoken to suffers them: right before the participle, or right
+    after the verb (a link apart)."""
     return Composed(
-        _from(REPORT, {INSULT: "reported", THREAT: "reported threat"}),
-        _near(NEGATION, 3, {INSULT: "negated", THREAT: "negated threat"}),
-        _near(TARGET, 5, {INSULT: "targeted", THREAT: "threat"}),
+        _reports({INSULT: "reported", **dict.fromkeys((THREAT, HARM, HARMED), "reported threat")}),
+        _near([NEGATION], 3, {INSULT: "negated", **dict.fromkeys((THREAT, HARM, HARMED), "negated threat")}),
+        _near([TARGET, DIRECT], 5, {INSULT: "targeted", THREAT: "threat"}),
+        _near([DIRECT], 3, {HARMED: "threat"}),
     )
 
 
 def backwards() -> Composed:
-    return Composed(_beyond(REPORT, {INSULT: "reported", THREAT: "reported threat"}), _near(TARGET, 3, {INSULT: "targeted", THREAT: "threat"}))
+    return Composed(
+        _beyond(REPORT, {INSULT: "reported", **dict.fromkeys((THREAT, HARM, HARMED), "reported threat")}),
+        _near([TARGET, DIRECT], 3, {INSULT: "targeted", THREAT: "threat"}),
+        _near([DIRECT], 1, {HARM: "threat"}),
+    )
 
 
 @dataclass
@@ -171,14 +198,14 @@ class Lexicon:
                 end += 1
             sentence, places = [], []
             for k in range(begin, end + 1):
-                sentence.append(codes[k] & 7)
+                sentence.append(codes[k] & CLASS)
                 places.append(k)
                 if codes[k] & BREAKS:
                     sentence.append(BREAK)
                     places.append(-1)
             written, behind = self.machine.run(sentence), self.back.run(sentence[::-1])[::-1]
             for k, symbol, before, after in zip(places, sentence, written, behind):
-                if symbol in (INSULT, THREAT):
+                if symbol in _MATCHED:
                     context = after if before == symbol or str(after).startswith("reported") else before
                     context = "plain" if context == INSULT else context
                     if context in total:  # a threat out of any target's reach, negated or reported counts for nothing
@@ -191,6 +218,15 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _closed_class(word: str, closed: dict[str, int]) -> int:
+    """Class of a word by the lists, or by its form."""
+    if (found := closed.get(word)) is not None:
+        return found
+    if word.endswith("n't"):
+        return NEGATION
+    return HARM if _HARM.fullmatch(word) else HARMED if _HARMED.fullmatch(word) else OTHER
+
+
 class _Classes(dict):
     """Class of a word as written (with BREAKS if it ends a clause, ENDS if a sentence), remembered until ``Lexicon.evidence`` makes room."""
 
@@ -200,9 +236,9 @@ class _Classes(dict):
 
     def __missing__(self, word: str) -> int:
         code, most = OTHER, 0.0
-        for part in _LETTERS.findall(word.lower()):
+        for part in _LETTERS.findall(word.lower().replace("’", "'")):
             most = max(most, self.lexicon.weight(part))
-            code = max(code, self.lexicon.closed.get(part, OTHER))
+            code = max(code, _closed_class(part, self.lexicon.closed))
         if most:
             code = INSULT
         last = word.rstrip(_CLOSING)[-1:]

@@ -63,3 +63,32 @@ def test_scores_are_those_by_force(spark):
     for r in T.score(docs, lexicon).collect():
         z = lexicon.start + sum(w * x for w, x in zip(lexicon.worth.values(), evidence_by_force(lexicon, texts[r["doc_id"]])))
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+
+
+CASES = {
+    "kill yourself": "threat",
+    "I will hang you": "threat",
+    "I am killing you": "threat",
+    "you're getting stabbed": "threat",
+    "they hang around": None,
+    "he was shot": None,
+    "you hang pictures": None,
+    "I won’t strangle you": None,
+    "they told him, I will hang you": None,
+    "he doesn't seem to be a fool": "negated",
+    "he doesn’t seem to be a fool": "negated",
+    "I can't call you a fool": "negated",
+    "er ist keiner der fool ist": "negated",
+    "people say you are a fool": "reported",
+    "I never said you are a fool": "reported",
+    "He said hello but you are a fool": "reported",
+    "He said hello but I think you are a fool": "targeted",
+    "He said hello, but to me, you are a fool": "targeted",
+    "I said you are a fool": "targeted",
+}
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_contexts_of_written_cases(text):
+    found = {k for k, v in zip(T.CONTEXTS, T.Lexicon({"fool": 5.0}).evidence(text)) if v}
+    assert found == ({CASES[text]} if CASES[text] else set())
