@@ -143,26 +143,25 @@ class SegmentTreeBpe:
             symbols[i] = symbol = merged[symbols[i] << 32 | symbols[j]]
             symbols[j] = -1
             after[i] = k
-            changed = []
             if k < n:
                 before[k] = i
-                changed.append((i, rank(symbol << 32 | symbols[k], none) + i))
-                changed.append((j, none))
+                tree[width + i] = rank(symbol << 32 | symbols[k], none) + i
+                tree[width + j] = none
             else:
-                changed.append((i, none))
+                tree[width + i] = none
             if (h := before[i]) >= 0:
-                changed.append((h, rank(symbols[h] << 32 | symbol, none) + h))
-            for leaf, value in changed:
-                node = width + leaf
-                tree[node] = value
-                while node > 1:
-                    other = tree[node ^ 1]
-                    if other < value:
-                        value = other
-                    node >>= 1
-                    if tree[node] == value:
+                tree[width + h] = rank(symbols[h] << 32 | symbol, none) + h
+            # paths meet early; where a node stays, all above it are right but for the leaves that are still to come
+            for leaf in (i, j if k < n else i, h if h >= 0 else i):
+                node = width + leaf >> 1
+                while node:
+                    least, other = tree[2 * node], tree[2 * node + 1]
+                    if other < least:
+                        least = other
+                    if tree[node] == least:
                         break
-                    tree[node] = value
+                    tree[node] = least
+                    node >>= 1
         return [s for s in symbols if s >= 0]
 
     def decode(self, ids: bytes) -> str:
