@@ -21,7 +21,8 @@ def _cascade(rules: Iterable[tuple[Column, str]]) -> Column:
 
 def trim_java(value: Column) -> Column:
     """Trim as Java does: every character up to the space, control characters included."""
-    return F.btrim(value, F.lit("".join(map(chr, range(0x21)))))
+    bare = (F.substring(value, 1, 1) > " ") & (F.substring(value, -1, 1) > " ")  # the most, and a trim costs more
+    return F.when(bare, value).otherwise(F.btrim(value, F.lit("".join(map(chr, range(0x21))))))
 
 
 def is_blank(value: Column) -> Column:
@@ -71,12 +72,16 @@ def normalize_type(raw: Column) -> Column:
     Null gives an empty string. A bounded wildcard whose bound ends before it begins (as in ``Map<List<A>, ? extends B>``) has
     no name: the result is null, which ``type_error`` tells from the rest.
     """
-    value = trim_java(raw)
+    return normalize_trimmed(trim_java(raw))
+
+
+def normalize_trimmed(value: Column) -> Column:
+    """``normalize_type`` of a type that is trimmed."""
     begin, end = F.instr(value, F.lit("extends")) + 8, F.instr(value, F.lit(">"))
     bound = F.when((end > 0) & (begin <= end), trim_java(F.substr(value, begin, end - begin)))
     inner = F.substr(value, F.instr(value, F.lit("<")) + 1, F.length(value) - F.instr(F.reverse(value), F.lit(">")) - F.instr(value, F.lit("<")))
     return (
-        F.when(raw.isNull(), F.lit(""))
+        F.when(value.isNull(), F.lit(""))
         .when(value.contains("? extends"), bound)
         .when(value.contains("<") & value.contains(">"), trim_java(F.substring_index(inner, ",", -1)))
         .otherwise(F.substring_index(value, ".", -1))
@@ -97,7 +102,8 @@ def is_stop_listed(name: Column) -> Column:
 
 def is_ignored(name: Column) -> Column:
     """Whether a normalized type name stays out of the graph."""
-    odd = name.rlike(r"^(\s*|[A-Z])$|\[\]\z")  # blank, a single capital, an array
+    plain = (F.length(name) > 3) & (F.substring(name, 1, 1) > " ") & ~name.endswith("]")  # none of these, and a pattern costs more
+    odd = F.when(plain, F.lit(False)).otherwise(name.rlike(r"^(\s*|[A-Z])$|\[\]\z"))  # blank, a single capital, an array
     return F.coalesce(name.isin(*fixed.PRIMITIVES, *fixed.IGNORED_TYPES) | odd, F.lit(True))
 
 
@@ -155,5 +161,5 @@ def node_line(class_name: Column, component: Column) -> Column:
 
 def ordered_lines(line: Column, *order: Column) -> Column:
     """An aggregate: lines joined in order. One group's lines meet in a task: for reports, not for data."""
-    rows = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))))
+    rows = F.sort_array(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))))
     return F.array_join(F.transform(rows, lambda r: r["line"]), "\n")

@@ -15,16 +15,37 @@ from pyspark.sql.window import Window
 
 from ..functions import expressions as E
 from .components import connected
-from .lineage import checkpoint
+from .lineage import checkpoint, dealt
 
 #: Stands for the one node that all files without a class share.
 NO_CLASS = "(no class)"
 
 
-def registry(classes: DataFrame) -> DataFrame:
+#: A hash of project and target (or class name), by which rows are dealt. It goes before them in joins, groups and windows: a sort
+#: then compares numbers, and texts (of few projects, with names that begin alike) only where those are the same.
+KEY = "_key"
+
+
+def keyed(df: DataFrame, parts: int | None, name: str) -> DataFrame:
+    """``df`` dealt into ``parts`` tasks (None: as many as the session says) by project and ``name``, with KEY."""
+    return dealt(df.withColumn(KEY, F.xxhash64("project_id", name)), parts, KEY, "project_id", name)
+
+
+def _first(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row in ``order`` of each value of ``columns``. Columns that nobody reads aren't carried, as an aggregate's would be."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*columns).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def registry(classes: DataFrame, parts: int | None = None) -> DataFrame:
     """project_id, class_name, package_name, component_type: of files with the same class name the last one."""
+    return _registry(classes, parts).drop(KEY)
+
+
+def _registry(classes: DataFrame, parts: int | None) -> DataFrame:
+    """``registry``, with KEY."""
     last = F.max_by(F.struct("package_name", "component_type"), "file_seq").alias("r")
-    return classes.groupBy("project_id", "class_name").agg(last).select("project_id", "class_name", "r.*")
+    rows = keyed(classes.select("project_id", "class_name", "file_seq", "package_name", "component_type"), parts, "class_name")
+    return rows.groupBy(KEY, "project_id", "class_name").agg(last).select(KEY, "project_id", "class_name", "r.*")
 
 
 #: What an extractor gives: the kind of its references and the column whose type texts they are, in the order of a file's references.
@@ -72,16 +93,21 @@ def dependency_weights(found: DataFrame, weights: Mapping[str, int] = WEIGHTS) -
 
 def named(refs: DataFrame, name: str) -> DataFrame:
     """``refs`` with the normalized type as ``name``. It is generated, not projected, so that no later filter or join writes its
-    long expression out again for each place that names it."""
-    return refs.withColumn(name, F.explode(F.array(E.normalize_type(F.col("raw_type")))))
+    long expression out again for each place that names it; so is the trimmed text, which that expression names many times."""
+    trimmed = refs.withColumn("_trimmed", F.explode(F.array(E.trim_java(F.col("raw_type")))))
+    return trimmed.withColumn(name, F.explode(F.array(E.normalize_trimmed(F.col("_trimmed"))))).drop("_trimmed")
 
 
-def resolved(classes: DataFrame, refs: DataFrame) -> DataFrame:
-    """References that enter the graph, with the attributes of their own file and of what they resolve to (null: external)."""
+def resolved(classes: DataFrame, refs: DataFrame, parts: int | None = None) -> DataFrame:
+    """References that enter the graph, with the attributes of their own file and of what they resolve to (null: external). They are
+    dealt by project and target into ``parts`` tasks (None: as many as the session says), with KEY, so edges and nodes follow without
+    a shuffle."""
     entering = named(refs, "dst").filter(~E.is_ignored(F.col("dst")))
+    place = ("file_seq", "project_id")
     own = classes.select("project_id", "file_seq", F.col("class_name").alias("src"), F.col("package_name").alias("src_package"), F.col("component_type").alias("src_type"))
-    known = registry(classes).select("project_id", F.col("class_name").alias("dst"), F.col("package_name").alias("dst_package"), F.col("component_type").alias("dst_type"))
-    return entering.join(own, ["project_id", "file_seq"]).join(known, ["project_id", "dst"], "left")
+    known = _registry(classes, parts).select(KEY, "project_id", F.col("class_name").alias("dst"), F.col("package_name").alias("dst_package"), F.col("component_type").alias("dst_type"))
+    placed = dealt(entering, parts, *place).join(dealt(own, parts, *place), list(place))
+    return keyed(placed, parts, "dst").join(known, [KEY, "project_id", "dst"], "left")
 
 
 def type_errors(refs: DataFrame) -> DataFrame:
@@ -98,16 +124,20 @@ def edges(found: DataFrame, null_sources: bool = True) -> DataFrame:
     rows = found.filter(~F.col("src").eqNullSafe(F.col("dst")))
     if not null_sources:
         rows = rows.filter(F.col("src").isNotNull())
-    kept = F.min_by(F.struct("file_seq", "ref_seq", "src_package", "src_type", "dst_package", "dst_type"), F.struct("file_seq", "ref_seq"))
-    return rows.groupBy("project_id", "src", "dst", F.col("ref_kind").alias("dependency_type")).agg(kept.alias("e")).select("project_id", "src", "dst", "dependency_type", "e.*")
+    kept = _first(rows, (KEY, "project_id", "dst", "src", "ref_kind"), ("file_seq", "ref_seq"))
+    return kept.select("project_id", "src", "dst", F.col("ref_kind").alias("dependency_type"), "file_seq", "ref_seq", "src_package", "src_type", "dst_package", "dst_type")
 
 
-def nodes(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct nodes by name, the first one's attributes kept: a file's own class, then what it refers to."""
+def nodes(classes: DataFrame, found: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct nodes by name, the first one's attributes kept: a file's own class, then what it refers to. ``found`` are resolved
+    references or the edges made of them: an edge keeps the first one, and a class that refers to itself comes before. Without KEY
+    they are dealt into ``parts`` tasks here."""
+    found = found if KEY in found.columns else keyed(found, parts, "dst")
     own = classes.filter(F.col("class_name").isNotNull() & ~E.is_blank(F.col("class_name"))).select("project_id", "class_name", "file_seq", F.lit(-1).cast("long").alias("ref_seq"), "package_name", "component_type")
-    targets = found.select("project_id", F.col("dst").alias("class_name"), "file_seq", "ref_seq", F.col("dst_package").alias("package_name"), F.col("dst_type").alias("component_type"))
-    kept = F.min_by(F.struct("file_seq", "ref_seq", "package_name", "component_type"), F.struct("file_seq", "ref_seq"))
-    return own.unionByName(targets).groupBy("project_id", "class_name").agg(kept.alias("n")).select("project_id", "class_name", "n.*")
+    targets = found.select(KEY, "project_id", F.col("dst").alias("class_name"), "file_seq", "ref_seq", F.col("dst_package").alias("package_name"), F.col("dst_type").alias("component_type"))
+    name, told = (KEY, "project_id", "class_name"), F.struct("file_seq", "ref_seq", "package_name", "component_type")
+    a, b = (_first(rows, name, ("file_seq", "ref_seq")).select(*name, told.alias(side)) for rows, side in ((keyed(own, parts, "class_name"), "a"), (targets, "b")))
+    return a.join(b, list(name), "full").select("project_id", "class_name", F.least("a", "b").alias("n")).select("project_id", "class_name", "n.*")
 
 
 def outgoing(graph_edges: DataFrame, name: str) -> DataFrame:
@@ -124,7 +154,7 @@ def node_named(graph_nodes: DataFrame, name: str) -> DataFrame:
 
 def adjacency(graph_edges: DataFrame) -> DataFrame:
     """project_id, src and its targets in edge order, a target once for each kind of dependency."""
-    rows = F.array_sort(F.collect_list(F.struct("file_seq", "ref_seq", "dst")))
+    rows = F.sort_array(F.collect_list(F.struct("file_seq", "ref_seq", "dst")))
     return graph_edges.groupBy("project_id", "src").agg(F.transform(rows, lambda r: r["dst"]).alias("targets"))
 
 

@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import fixed
 from ..sources.archives import shown_id
+from .lineage import tasks_for
+
+_CHUNK = "project_id string, part int, file_seq long, ref_seq long, chunk long, text string"
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each batch, which are in order, as one text for each project, with the place of its first line."""
+    for i, batch in enumerate(batches):
+        first: dict[str, int] = {}
+        lines: dict[str, list[str]] = {}
+        for k, (project, line) in enumerate(zip(batch["project_id"].to_pylist(), batch["line"].to_pylist())):
+            first.setdefault(project, k)
+            lines.setdefault(project, []).append(line)
+        at = pa.array(first.values(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch[c].take(at) for c in ("project_id", "part", "file_seq", "ref_seq")), pa.array([i] * len(first), pa.int64()), pa.array(map("\n".join, lines.values()), pa.string())],
+            names=["project_id", "part", "file_seq", "ref_seq", "chunk", "text"],
+        )
+
+
+def whole_texts(lines: DataFrame, around: DataFrame, parts: int | None = None) -> DataFrame:
+    """project_id, report: for each row of ``around`` (project_id, head, and tail or null), head, ``lines`` (project_id, file_seq, ref_seq,
+    line) in order, tail. Lines are dealt by ranges and joined by the batch, so only a project's joined pieces meet in a task, never
+    its lines. A project's text is one value and must fit there, some three times."""
+    order = ("project_id", "file_seq", "ref_seq")
+    ranges = lines.filter("project_id IS NOT NULL").select("project_id", F.lit(1).alias("part"), F.col("file_seq").cast("long"), F.col("ref_seq").cast("long"), "line")
+    ranges = ranges.repartitionByRange(parts, *order) if parts else ranges.repartitionByRange(*order)
+    chunks = ranges.sortWithinPartitions("file_seq", "ref_seq", "project_id", "line").mapInArrow(_joined, _CHUNK)
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("head").alias("text")), F.struct(F.lit(2).alias("part"), F.col("tail").alias("text"))))
+    none = F.lit(None).cast("long")
+    outer = around.select("project_id", ends.alias("x")).select("project_id", "x.part", none.alias("file_seq"), none.alias("ref_seq"), none.alias("chunk"), "x.text")
+    pieces = F.sort_array(F.collect_list(F.struct("part", "file_seq", "ref_seq", "chunk", "text")))
+    text = F.concat_ws("\n", F.transform(pieces, lambda r: r["text"]))
+    every = chunks.union(outer.filter("text IS NOT NULL"))
+    return every.repartition(8 * tasks_for(lines, 0), "project_id").groupBy("project_id").agg(text.alias("report"), F.min("part").alias("first")).filter("first = 0").drop("first")
+
 
 
 def plantuml(edges: DataFrame) -> DataFrame:
@@ -16,13 +55,14 @@ def plantuml(edges: DataFrame) -> DataFrame:
     return edges.groupBy("project_id").agg(lines.alias("l")).select("project_id", F.concat(F.lit("@startuml\n\n"), F.col("l"), F.lit("\n\n@enduml")).alias("plantuml"))
 
 
-def graph_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts and edges of the graph in order."""
+def graph_text(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Counts and edges of the graph in order, of ``parts`` ranges of lines (None: as many as the session says)."""
     count = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
     line = E.edge_line(F.col("src"), F.col("dependency_type"), F.col("dst"))
-    lines = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("e"), E.ordered_lines(line, F.col("file_seq"), F.col("ref_seq")).alias("l"))
-    text = F.format_string("Dependency Graph\nNodes : %d\nEdges : %d\n%s", F.col("n"), F.coalesce("e", F.lit(0)), F.coalesce("l", F.lit("No dependencies found.")))
-    return count.join(lines, "project_id", "left").select("project_id", text.alias("report"))
+    told = count.join(edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("e")), "project_id", "left")
+    head = F.format_string("Dependency Graph\nNodes : %d\nEdges : %d", F.col("n"), F.coalesce("e", F.lit(0)))
+    around = told.select("project_id", head.alias("head"), F.when(F.col("e").isNull(), F.lit("No dependencies found.")).alias("tail"))
+    return whole_texts(edges.select("project_id", "file_seq", "ref_seq", line.alias("line")), around, parts)
 
 
 def summary_text(summary: DataFrame) -> DataFrame:
@@ -55,13 +95,13 @@ def _for_all(blocks: DataFrame, projects: DataFrame | None, without: str) -> Dat
     return projects.select("project_id").distinct().join(blocks, "project_id", "left").fillna(without, ["l"])
 
 
-def architecture_text(report: DataFrame, violations: DataFrame) -> DataFrame:
-    """Layer counts and dependencies of each project, and its violations in the order of edges."""
+def architecture_text(report: DataFrame, violations: DataFrame, parts: int | None = None) -> DataFrame:
+    """Layer counts and dependencies of each project, and its violations in the order of edges, of ``parts`` ranges of them."""
     counts = F.concat_ws("\n", *(_labelled(LAYER_LABELS[t], F.col(t.lower()), 17) for t in fixed.COUNTED_LAYERS), _labelled("Dependencies", F.col("dependencies"), 17))
-    lines = violations.groupBy("project_id").agg(E.ordered_lines(F.col("message"), F.col("file_seq"), F.col("ref_seq")).alias("l"))
-    denied = F.coalesce("l", F.lit("No architecture violations detected."))
-    text = _titled("ARCHITECTURE REPORT", counts, F.lit(f"\n\nArchitecture Violations\n{SINGLE}\n"), denied)
-    return report.join(lines, "project_id", "left").select("project_id", text.alias("report"))
+    head = F.concat(F.lit(f"{DOUBLE}\nARCHITECTURE REPORT\n{DOUBLE}\n"), counts, F.lit(f"\n\nArchitecture Violations\n{SINGLE}"))
+    tail = F.concat(F.when(F.col("violations") == 0, F.lit("No architecture violations detected.\n")).otherwise(F.lit("")), F.lit(DOUBLE))
+    around = report.select("project_id", head.alias("head"), tail.alias("tail"))
+    return whole_texts(violations.select("project_id", "file_seq", "ref_seq", F.col("message").alias("line")), around, parts)
 
 
 def cycles_text(cycles: DataFrame, projects: DataFrame | None = None) -> DataFrame:

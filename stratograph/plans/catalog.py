@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..functions import fixed
 from ..operators import analysis, assignment, comparison, graph, modules, render
-from ..operators.lineage import checkpoint
+from ..operators.lineage import checkpoint, written
 from ..sources import archives, java
 from . import codebase
 
@@ -73,8 +73,15 @@ _SPARSE = f"WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLAS
 def _shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Classes and resolved references of the derived shop. Both are used more than once, so what they start from is written."""
     sold = codebase.sales(spark, sf_dir)
-    classes = checkpoint(codebase.classes(spark, sf_dir, sold))
-    return classes, graph.resolved(classes, codebase.references(spark, sf_dir, sold))
+    classes = written(codebase.classes(spark, sf_dir, sold).select("project_id", "file_seq", "class_name", "package_name", "component_type"))
+    return classes, graph.resolved(classes, codebase.references(spark, sf_dir, sold), codebase.tasks(spark, sf_dir))
+
+
+def _nodes_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both, for queries that need both: edges are written once, without packages of sources, and nodes follow from them."""
+    classes, found = _shop(spark, sf_dir)
+    edges = written(graph.edges(found).drop("src_package"))
+    return graph.nodes(classes, edges, codebase.tasks(spark, sf_dir)), edges
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +89,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nodes(*_shop(spark, sf_dir))
+    return graph.nodes(*_shop(spark, sf_dir), codebase.tasks(spark, sf_dir))
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -221,9 +228,9 @@ def jadj(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg5_graph_size", _SHOP + "SELECT project_id, count(*) AS n_nodes, (SELECT count(*) FROM edges e WHERE e.project_id = n.project_id) AS n_edges FROM nodes n GROUP BY project_id")
 def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, found = _shop(spark, sf_dir)
-    n = graph.nodes(classes, found).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return n.join(graph.edges(found).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_edges")), "project_id", "left").fillna(0)
+    nodes, edges = _nodes_and_edges(spark, sf_dir)
+    n = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return n.join(edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_edges")), "project_id", "left").fillna(0)
 
 
 @query("dead3_outgoing", _SHOP + "SELECT project_id, src, dst, dependency_type FROM edges WHERE src = 'Customer1Controller'")
@@ -256,8 +263,7 @@ _LINES = "string_agg(coalesce(src, 'null') || ' --(' || dependency_type || ')-->
 
 @query("str5_graph_text", _SHOP + f"SELECT n.project_id, 'Dependency Graph' || chr(10) || 'Nodes : ' || n.c || chr(10) || 'Edges : ' || e.c || chr(10) || e.l AS report FROM (SELECT project_id, count(*) c FROM nodes GROUP BY 1) n JOIN (SELECT project_id, count(*) c, {_LINES} l FROM edges GROUP BY 1) e ON n.project_id = e.project_id")
 def str5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, found = _shop(spark, sf_dir)
-    return render.graph_text(graph.nodes(classes, found), graph.edges(found))
+    return render.graph_text(*_nodes_and_edges(spark, sf_dir), codebase.tasks(spark, sf_dir))
 
 
 @query("dead1_plantuml", _SPARSE + "SELECT project_id, '@startuml' || chr(10) || chr(10) || string_agg(src || ' --> ' || dst, chr(10) ORDER BY file_seq, ref_seq) || chr(10) || chr(10) || '@enduml' AS plantuml FROM edges GROUP BY 1")
@@ -316,9 +322,7 @@ def agg2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("arc1_architecture", _SHOP + f"SELECT n.*, e.dependencies, coalesce(v.violations, 0) AS violations FROM (SELECT project_id, {_LAYERS} FROM nodes GROUP BY project_id) n JOIN (SELECT project_id, count(*) AS dependencies FROM edges GROUP BY 1) e ON e.project_id = n.project_id LEFT JOIN (SELECT project_id, count(*) AS violations FROM ({_VIOLATIONS}) GROUP BY 1) v ON v.project_id = n.project_id")
 def arc1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, found = _shop(spark, sf_dir)
-    found = checkpoint(found)
-    return analysis.architecture_report(graph.nodes(classes, found), graph.edges(found))
+    return analysis.architecture_report(*_nodes_and_edges(spark, sf_dir))
 
 
 @query("snk2_summary_text", _SHOP + f"SELECT project_id, string_agg(rpad(component_type, 20, ' ') || ' : ' || n, chr(10) ORDER BY ordinal) AS report FROM (SELECT project_id, component_type, count(*) AS n, {_ORDINAL} AS ordinal FROM classes GROUP BY ALL) GROUP BY 1")
@@ -335,9 +339,8 @@ _DENIED = _COUNTS + " || chr(10) || chr(10) || 'Architecture Violations' || chr(
   JOIN (SELECT project_id, count(*) AS dependencies FROM edges GROUP BY 1) e ON e.project_id = n.project_id
   LEFT JOIN (SELECT project_id, string_agg(message, chr(10) ORDER BY file_seq, ref_seq) AS l FROM ({_VIOLATIONS}) GROUP BY 1) v ON v.project_id = n.project_id""")
 def snk2_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, found = _shop(spark, sf_dir)
-    edges = checkpoint(graph.edges(found))
-    return render.architecture_text(analysis.architecture_report(graph.nodes(classes, found), edges), analysis.violations(edges))
+    nodes, edges = _nodes_and_edges(spark, sf_dir)
+    return render.architecture_text(analysis.architecture_report(nodes, edges), analysis.violations(edges), codebase.tasks(spark, sf_dir))
 
 
 # ---- traversal, modules, mappings
