@@ -181,7 +181,7 @@ def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg8_registry", _SHOP + "SELECT project_id, class_name, package_name, component_type FROM registry")
 def agg8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.registry(codebase.classes(spark, sf_dir))
+    return graph.registry(codebase.classes(spark, sf_dir), codebase.tasks(spark, sf_dir))
 
 
 @query("lkp1_resolve", _SHOP + "SELECT project_id, file_seq, ref_seq, ref_kind, src, dst, dst_package, dst_type FROM resolved")
