@@ -21,6 +21,8 @@ from .lineage import checkpoint, dealt
 NO_CLASS = "(no class)"
 
 
+#: What a file is known by, and its class and its references meet on. Rows are dealt by all of it: Spark takes no part for both sides.
+PLACE = ("file_seq", "project_id")
 #: A hash of project and target (or class name), by which rows are dealt. It goes before them in joins, groups and windows: a sort
 #: then compares numbers, and texts (of few projects, with names that begin alike) only where those are the same.
 KEY = "_key"
@@ -31,9 +33,14 @@ def keyed(df: DataFrame, parts: int | None, name: str) -> DataFrame:
     return dealt(df.withColumn(KEY, F.xxhash64("project_id", name)), parts, KEY, "project_id", name)
 
 
-def _first(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row in ``order`` of each value of ``columns``. Columns that nobody reads aren't carried, as an aggregate's would be."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*columns).orderBy(*order))).filter("_n = 1").drop("_n")
+def _first(df: DataFrame, columns: Sequence[str], order: Sequence[str], few: bool = False) -> DataFrame:
+    """The first row in ``order`` of each value of ``columns``. Columns that nobody reads aren't carried, as an aggregate's would be. Where
+    a value has ``few`` rows, the first is told by having none before it: Spark would first cut groups that a number limits, which
+    costs as much again for each group."""
+    window = Window.partitionBy(*columns).orderBy(*order)
+    if few:
+        return df.withColumn("_n", F.lag(F.lit(1)).over(window)).filter("_n IS NULL").drop("_n")
+    return df.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
 def registry(classes: DataFrame, parts: int | None = None) -> DataFrame:
@@ -98,16 +105,22 @@ def named(refs: DataFrame, name: str) -> DataFrame:
     return trimmed.withColumn(name, F.explode(F.array(E.normalize_trimmed(F.col("_trimmed"))))).drop("_trimmed")
 
 
-def resolved(classes: DataFrame, refs: DataFrame, parts: int | None = None) -> DataFrame:
-    """References that enter the graph, with the attributes of their own file and of what they resolve to (null: external). They are
-    dealt by project and target into ``parts`` tasks (None: as many as the session says), with KEY, so edges and nodes follow without
-    a shuffle."""
+def sourced(classes: DataFrame, refs: DataFrame, parts: int | None = None, placed: bool = False) -> DataFrame:
+    """References that enter the graph, with the attributes of their own file. Both are dealt by file into ``parts`` tasks unless they
+    are ``placed`` so. A task keeps its share of classes as a table, so neither side is sorted."""
+    deal = (lambda df: df) if placed else (lambda df: dealt(df, parts, *PLACE))
     entering = named(refs, "dst").filter(~E.is_ignored(F.col("dst")))
-    place = ("file_seq", "project_id")
     own = classes.select("project_id", "file_seq", F.col("class_name").alias("src"), F.col("package_name").alias("src_package"), F.col("component_type").alias("src_type"))
+    return deal(entering).join(deal(own).hint("shuffle_hash"), list(PLACE))
+
+
+def resolved(classes: DataFrame, refs: DataFrame, parts: int | None = None, own: DataFrame | None = None) -> DataFrame:
+    """References that enter the graph, with the attributes of their own file and of what they resolve to (null: external). They are
+    dealt by project and target into ``parts`` tasks (None: as many as the session says), with KEY, so edges and nodes follow without
+    a shuffle. Where references are dealt by file already, ``own`` are the classes dealt likewise."""
     known = _registry(classes, parts).select(KEY, "project_id", F.col("class_name").alias("dst"), F.col("package_name").alias("dst_package"), F.col("component_type").alias("dst_type"))
-    placed = dealt(entering, parts, *place).join(dealt(own, parts, *place), list(place))
-    return keyed(placed, parts, "dst").join(known, [KEY, "project_id", "dst"], "left")
+    found = sourced(classes, refs, parts) if own is None else sourced(own, refs, parts, placed=True)
+    return keyed(found, parts, "dst").join(known.hint("shuffle_hash"), [KEY, "project_id", "dst"], "left")
 
 
 def type_errors(refs: DataFrame) -> DataFrame:
@@ -124,10 +137,43 @@ def edges(found: DataFrame, null_sources: bool = True) -> DataFrame:
     rows = found.filter(~F.col("src").eqNullSafe(F.col("dst")))
     if not null_sources:
         rows = rows.filter(F.col("src").isNotNull())
-    kept = _first(rows, (KEY, "project_id", "dst", "src", "ref_kind"), ("file_seq", "ref_seq"))
+    kept = _first_of_each(rows)
     return kept.select("project_id", "src", "dst", F.col("ref_kind").alias("dependency_type"), "file_seq", "ref_seq", "src_package", "src_type", "dst_package", "dst_type")
 
 
+def _first_of_each(rows: DataFrame) -> DataFrame:
+    """The first reference of each edge, of references dealt with KEY. A hash of the edge goes first, so a sort compares hardly more."""
+    edge = ("project_id", "src", "dst", "ref_kind")
+    return _first(rows.withColumn("_edge", F.xxhash64(*edge)), ("_edge", KEY, *edge), ("file_seq", "ref_seq"), few=True)
+
+
+def edges_by_source(found: DataFrame, parts: int | None = None) -> DataFrame:
+    """``edges`` of ``sourced`` references, without attributes of targets, for those who need none. They are dealt by project and
+    source, so what is grouped by these follows without a shuffle."""
+    rows = keyed(found.filter(~F.col("src").eqNullSafe(F.col("dst"))), parts, "src")
+    return _first_of_each(rows).select(KEY, "project_id", "src", "dst", F.col("ref_kind").alias("dependency_type"), "file_seq", "ref_seq", "src_package", "src_type")
+
+
+def nodes_of(classes: DataFrame, targets: DataFrame, parts: int | None = None) -> DataFrame:
+    """``nodes`` of classes and ``targets`` (project_id, dst, file_seq, ref_seq), which may be edges, or references of files that are all
+    among the classes (``entering``): attributes of targets are those of the registry, so no source is looked up."""
+    name, order = (KEY, "project_id", "class_name"), ("file_seq", "ref_seq")
+    own = classes.filter(F.col("class_name").isNotNull() & ~E.is_blank(F.col("class_name"))).select("project_id", "class_name", "file_seq", "package_name", "component_type")
+    told = ("package_name", "component_type")
+    first = F.min(F.struct("file_seq", F.lit(-1).cast("long").alias("ref_seq"), *told)).alias("a")
+    known = keyed(own, parts, "class_name").groupBy(*name).agg(first, F.max_by(F.struct(*told), "file_seq").alias("last"))
+    met = _first(keyed(targets.select("project_id", F.col("dst").alias("class_name"), *order), parts, "class_name"), name, order)
+    both = met.select(*name, F.struct(*order).alias("m")).join(known, list(name), "full")
+    b = F.when(F.col("m").isNotNull(), F.struct("m.*", *(F.col(f"last.{c}").alias(c) for c in told)))
+    return both.select("project_id", "class_name", F.least("a", b).alias("n")).select("project_id", "class_name", "n.*")
+
+
+def entering(refs: DataFrame) -> DataFrame:
+    """References that enter the graph, by their files and targets: project_id, dst, file_seq, ref_seq."""
+    rows = refs.filter(F.col("file_seq").isNotNull() & F.col("project_id").isNotNull()).select("project_id", "file_seq", "ref_seq", "raw_type")
+    return named(rows, "dst").filter(~E.is_ignored(F.col("dst"))).select("project_id", "dst", "file_seq", "ref_seq")
+
+
 def nodes(classes: DataFrame, found: DataFrame, parts: int | None = None) -> DataFrame:
     """Distinct nodes by name, the first one's attributes kept: a file's own class, then what it refers to. ``found`` are resolved
     references or the edges made of them: an edge keeps the first one, and a class that refers to itself comes before. Without KEY
@@ -153,9 +199,11 @@ def node_named(graph_nodes: DataFrame, name: str) -> DataFrame:
 
 
 def adjacency(graph_edges: DataFrame) -> DataFrame:
-    """project_id, src and its targets in edge order, a target once for each kind of dependency."""
+    """project_id, src and its targets in edge order, a target once for each kind of dependency. Edges with KEY (``edges_by_source``)
+    are grouped where they are."""
     rows = F.sort_array(F.collect_list(F.struct("file_seq", "ref_seq", "dst")))
-    return graph_edges.groupBy("project_id", "src").agg(F.transform(rows, lambda r: r["dst"]).alias("targets"))
+    by = [c for c in (KEY, "project_id", "src") if c in graph_edges.columns]
+    return graph_edges.groupBy(*by).agg(F.transform(rows, lambda r: r["dst"]).alias("targets")).drop(KEY)
 
 
 def components(graph_edges: DataFrame, graph_nodes: DataFrame | None = None) -> DataFrame:

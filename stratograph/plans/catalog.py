@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..functions import fixed
 from ..operators import analysis, assignment, comparison, graph, modules, render
-from ..operators.lineage import checkpoint, written
+from ..operators.lineage import checkpoint, dealt, written
 from ..sources import archives, java
 from . import codebase
 
@@ -72,24 +72,34 @@ _SPARSE = f"WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLAS
 
 def _shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Classes and resolved references of the derived shop. Both are used more than once, so what they start from is written."""
-    sold = codebase.sales(spark, sf_dir)
+    sold, parts = codebase.sales(spark, sf_dir), codebase.tasks(spark, sf_dir)
     classes = written(codebase.classes(spark, sf_dir, sold).select("project_id", "file_seq", "class_name", "package_name", "component_type"))
-    return classes, graph.resolved(classes, codebase.references(spark, sf_dir, sold), codebase.tasks(spark, sf_dir))
+    return classes, graph.resolved(classes, codebase.references(spark, sf_dir, sold, placed=True), parts, dealt(classes, parts, *graph.PLACE))
 
 
 def _nodes_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both, for queries that need both: edges are written once, without packages of sources, and nodes follow from them."""
     classes, found = _shop(spark, sf_dir)
     edges = written(graph.edges(found).drop("src_package"))
-    return graph.nodes(classes, edges, codebase.tasks(spark, sf_dir)), edges
+    return graph.nodes_of(classes, edges, codebase.tasks(spark, sf_dir)), edges
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(_shop(spark, sf_dir)[1])
 
 
+def _edges_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges for queries that read nothing of targets but their names: classes are read once and no target is looked up."""
+    sold, parts = codebase.sales(spark, sf_dir), codebase.tasks(spark, sf_dir)
+    classes, refs = (rows(spark, sf_dir, sold, placed=True) for rows in (codebase.classes, codebase.references))
+    return graph.edges_by_source(graph.sourced(classes, refs, parts, placed=True), parts)
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nodes(*_shop(spark, sf_dir), codebase.tasks(spark, sf_dir))
+    """Nodes. All files that references stand in are classes (both come from the same sales), so their sources aren't looked up."""
+    sold = codebase.sales(spark, sf_dir)
+    classes, refs = (rows(spark, sf_dir, sold) for rows in (codebase.classes, codebase.references))
+    return graph.nodes_of(classes, graph.entering(refs), codebase.tasks(spark, sf_dir))
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -223,7 +233,7 @@ def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jadj_adjacency", _SHOP + "SELECT project_id, src, string_agg(dst, ',' ORDER BY file_seq, ref_seq) AS targets FROM edges WHERE src IS NOT NULL GROUP BY ALL")
 def jadj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.adjacency(_edges(spark, sf_dir).filter("src IS NOT NULL")).select("project_id", "src", F.array_join("targets", ",").alias("targets"))
+    return graph.adjacency(_edges_by_source(spark, sf_dir).filter("src IS NOT NULL")).select("project_id", "src", F.array_join("targets", ",").alias("targets"))
 
 
 @query("agg5_graph_size", _SHOP + "SELECT project_id, count(*) AS n_nodes, (SELECT count(*) FROM edges e WHERE e.project_id = n.project_id) AS n_edges FROM nodes n GROUP BY project_id")
@@ -250,7 +260,7 @@ def dead5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str3_edge_lines", _SHOP + "SELECT project_id, file_seq, ref_seq, coalesce(src, 'null') || ' --(' || dependency_type || ')--> ' || dst AS line FROM edges")
 def str3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.edge_line(F.col("src"), F.col("dependency_type"), F.col("dst")).alias("line"))
+    return _edges_by_source(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.edge_line(F.col("src"), F.col("dependency_type"), F.col("dst")).alias("line"))
 
 
 @query("str4_node_lines", _SHOP + "SELECT project_id, class_name || ' (' || coalesce(component_type, 'null') || ')' AS line FROM nodes")

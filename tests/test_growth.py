@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stratograph.functions import expressions as E
 from stratograph.operators import graph, lineage, render
 from stratograph.plans import catalog, codebase
 
@@ -50,3 +51,35 @@ def test_texts_from_pieces(spark):
     found = {r["project_id"]: r["report"] for r in render.whole_texts(rows, around, 5).collect()}
     lines = lambda p: [str(i) for i in range(69_999, -1, -1) if i % 3 == p]
     assert found == {"P0": "\n".join(["h0", *lines(0), "t0"]), "P1": "\n".join(["h1", *lines(1)]), "P9": "h9\nnone"}
+
+
+def test_edges_and_nodes_without_lookups(spark):
+    """Files that share a class name, a class that refers to itself, files without a class, a reference of no file, unknown targets."""
+    classes = spark.createDataFrame(
+        [("P", 1, "Aa", "a", "SERVICE"), ("P", 2, "Aa", "b", "DTO"), ("P", 3, None, "c", "UNKNOWN"), ("P", 4, "Bb", "d", None), ("Q", 1, "Bb", "e", "ENTITY"), ("P", 5, " ", "f", "DTO"), (None, 6, "Aa", "g", "DTO")],
+        "project_id string, file_seq long, class_name string, package_name string, component_type string",
+    )
+    refs = spark.createDataFrame(
+        [("P", f, r, k, t) for f, r, k, t in ((2, 0, "FIELD", "Bb"), (1, 1, "FIELD", "Bb"), (1, 0, "FIELD", "List<Bb>"), (1, 2, "METHOD_PARAMETER", "Bb"), (1, 3, "FIELD", "Aa"), (3, 0, "FIELD", "Bb"), (3, 1, "FIELD", "Zoo"), (4, 0, "FIELD", "Zoo"), (2, 1, "FIELD", "Aa"))],
+        "project_id string, file_seq long, ref_seq long, ref_kind string, raw_type string",
+    )
+    found = graph.resolved(classes, refs)
+    edge = ("project_id", "src", "dst", "dependency_type", "file_seq", "ref_seq", "src_type")
+    lone = spark.createDataFrame([("P", 9, 0, "FIELD", "Bb")], refs.schema)
+    bare = graph.edges_by_source(graph.sourced(classes, refs.union(lone), 3), 3)
+    assert _rows(bare.select(*edge)) == _rows(graph.edges(found).select(*edge)) and bare.count() == 5
+    nodes = _rows(graph.nodes(classes, found))
+    assert _rows(graph.nodes_of(classes, graph.entering(refs))) == _rows(graph.nodes_of(classes, graph.edges(found), 3)) == nodes and len(nodes) == 5
+    targets = {r["src"]: r["targets"] for r in graph.adjacency(bare.filter("src IS NOT NULL")).collect()}
+    assert targets == {"Aa": ["Bb", "Bb"], "Bb": ["Zoo"]}
+
+
+def test_edge_lines_look_up_and_sort_no_more_than_they_need(spark):
+    plan = catalog.QUERIES["str3_edge_lines"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [file_seq" not in plan and "max_by" not in plan and "format_string" not in plan
+
+
+def test_lines_with_nulls(spark):
+    row = spark.sql("SELECT CAST(NULL AS STRING) AS n, 'X' AS x")
+    lines = row.select(E.edge_line(F.col("n"), F.col("x"), F.col("n")), E.node_line(F.col("n"), F.col("n")), E.violation_message(*map(F.col, "xnxn"))).first()
+    assert tuple(lines) == ("null --(X)--> null", "null (null)", "X 'null' must not depend on X 'null'")
