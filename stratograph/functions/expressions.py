@@ -21,8 +21,9 @@ def _cascade(rules: Iterable[tuple[Column, str]]) -> Column:
 
 def trim_java(value: Column) -> Column:
     """Trim as Java does: every character up to the space, control characters included."""
-    bare = (F.substring(value, 1, 1) > " ") & (F.substring(value, -1, 1) > " ")  # the most, and a trim costs more
-    return F.when(bare, value).otherwise(F.btrim(value, F.lit("".join(map(chr, range(0x21))))))
+    # the most begin and end with more than a space, which their bytes tell, or have spaces alone about them; a trim of a list costs more
+    bare = lambda v: (v >= "!") & (F.substring(v.cast("binary"), -1, 1) > F.lit(b" "))
+    return F.when(bare(value), value).when(bare(F.trim(value)), F.trim(value)).otherwise(F.btrim(value, F.lit("".join(map(chr, range(0x21))))))
 
 
 def is_blank(value: Column) -> Column:
@@ -77,17 +78,27 @@ def normalize_type(raw: Column) -> Column:
 
 def normalize_trimmed(value: Column) -> Column:
     """``normalize_type`` of a type that is trimmed."""
+    return normalize_part(value, name_part(value))
+
+
+def name_part(value: Column) -> Column:
+    """The part of a trimmed type that its name stands in; spaces about what was in brackets are still there."""
     begin, end = F.instr(value, F.lit("extends")) + 8, F.instr(value, F.lit(">"))
-    bound = F.when((end > 0) & (begin <= end), trim_java(F.substr(value, begin, end - begin)))
+    bound = F.when((end > 0) & (begin <= end), F.substr(value, begin, end - begin))
     inner = F.substr(value, F.instr(value, F.lit("<")) + 1, F.length(value) - F.instr(F.reverse(value), F.lit(">")) - F.instr(value, F.lit("<")))
     return (
         F.when(value.isNull(), F.lit(""))
         .when(value.contains("? extends"), bound)
-        .when(value.contains("<") & value.contains(">"), trim_java(F.substring_index(inner, ",", -1)))
+        .when(value.contains("<") & value.contains(">"), F.substring_index(inner, ",", -1))
         .otherwise(F.substring_index(value, ".", -1))
     )
 
 
+def normalize_part(value: Column, part: Column) -> Column:
+    """The name in the ``name_part`` of a trimmed type."""
+    return F.when(value.contains("? extends") | (value.contains("<") & value.contains(">")), trim_java(part)).otherwise(part)
+
+
 def type_error(raw: Column) -> Column:
     return normalize_type(raw).isNull()
 
@@ -102,7 +113,7 @@ def is_stop_listed(name: Column) -> Column:
 
 def is_ignored(name: Column) -> Column:
     """Whether a normalized type name stays out of the graph."""
-    plain = (F.length(name) > 3) & (F.substring(name, 1, 1) > " ") & ~name.endswith("]")  # none of these, and a pattern costs more
+    plain = (F.length(name) > 3) & (name >= "!") & ~name.endswith("]")  # none of these, and a pattern costs more
     odd = F.when(plain, F.lit(False)).otherwise(name.rlike(r"^(\s*|[A-Z])$|\[\]\z"))  # blank, a single capital, an array
     return F.coalesce(name.isin(*fixed.PRIMITIVES, *fixed.IGNORED_TYPES) | odd, F.lit(True))
 

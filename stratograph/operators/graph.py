@@ -100,9 +100,12 @@ def dependency_weights(found: DataFrame, weights: Mapping[str, int] = WEIGHTS) -
 
 def named(refs: DataFrame, name: str) -> DataFrame:
     """``refs`` with the normalized type as ``name``. It is generated, not projected, so that no later filter or join writes its
-    long expression out again for each place that names it; so is the trimmed text, which that expression names many times."""
-    trimmed = refs.withColumn("_trimmed", F.explode(F.array(E.trim_java(F.col("raw_type")))))
-    return trimmed.withColumn(name, F.explode(F.array(E.normalize_trimmed(F.col("_trimmed"))))).drop("_trimmed")
+    long expression out again for each place that names it; so are the trimmed text and the part of it that the name stands in, which
+    the next step names several times."""
+    once = lambda df, c, value: df.withColumn(c, F.explode(F.array(value)))
+    trimmed = once(refs, "_trimmed", E.trim_java(F.col("raw_type")))
+    parted = once(trimmed, "_part", E.name_part(F.col("_trimmed")))
+    return once(parted, name, E.normalize_part(F.col("_trimmed"), F.col("_part"))).drop("_trimmed", "_part")
 
 
 def sourced(classes: DataFrame, refs: DataFrame, parts: int | None = None, placed: bool = False) -> DataFrame:

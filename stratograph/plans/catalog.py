@@ -70,35 +70,36 @@ base AS (SELECT project_id, coalesce(array_to_string(list_transform(list_filter(
 _SPARSE = f"WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.SPARSE_REFERENCES)}), {_MODULES}"
 
 
-def _shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Classes and resolved references of the derived shop. Both are used more than once, so what they start from is written."""
+def _shop(spark: SparkSession, sf_dir: str, repeats: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Classes and resolved references of the derived shop. Both are used more than once, so what they start from is written. With
+    ``repeats`` references may come more than once, for edges, of which the first is kept anyway."""
     sold, parts = codebase.sales(spark, sf_dir), codebase.tasks(spark, sf_dir)
     classes = written(codebase.classes(spark, sf_dir, sold).select("project_id", "file_seq", "class_name", "package_name", "component_type"))
-    return classes, graph.resolved(classes, codebase.references(spark, sf_dir, sold, placed=True), parts, dealt(classes, parts, *graph.PLACE))
+    return classes, graph.resolved(classes, codebase.references(spark, sf_dir, sold, placed=True, repeats=repeats), parts, dealt(classes, parts, *graph.PLACE))
 
 
 def _nodes_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both, for queries that need both: edges are written once, without packages of sources, and nodes follow from them."""
-    classes, found = _shop(spark, sf_dir)
+    classes, found = _shop(spark, sf_dir, repeats=True)
     edges = written(graph.edges(found).drop("src_package"))
     return graph.nodes_of(classes, edges, codebase.tasks(spark, sf_dir)), edges
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(_shop(spark, sf_dir)[1])
+    return graph.edges(_shop(spark, sf_dir, repeats=True)[1])
 
 
 def _edges_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges for queries that read nothing of targets but their names: classes are read once and no target is looked up."""
     sold, parts = codebase.sales(spark, sf_dir), codebase.tasks(spark, sf_dir)
-    classes, refs = (rows(spark, sf_dir, sold, placed=True) for rows in (codebase.classes, codebase.references))
+    classes, refs = codebase.classes(spark, sf_dir, sold, placed=True), codebase.references(spark, sf_dir, sold, placed=True, repeats=True)
     return graph.edges_by_source(graph.sourced(classes, refs, parts, placed=True), parts)
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes. All files that references stand in are classes (both come from the same sales), so their sources aren't looked up."""
     sold = codebase.sales(spark, sf_dir)
-    classes, refs = (rows(spark, sf_dir, sold) for rows in (codebase.classes, codebase.references))
+    classes, refs = codebase.classes(spark, sf_dir, sold), codebase.references(spark, sf_dir, sold, repeats=True)
     return graph.nodes_of(classes, graph.entering(refs), codebase.tasks(spark, sf_dir))
 
 
