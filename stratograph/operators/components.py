@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import checkpoint
 
+#: Rows of links that make another task worth while: a round over fewer is put together in fewer tasks than the session's shuffles
+#: have, as each task of each exchange leaves files.
+ROUND_ROWS = 100_000
+
 
 def connected(links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Components of ``links`` (columns u and v, and those in ``by``, which keep links apart): ``by``, id, label.
@@ -18,18 +24,20 @@ def connected(links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """
     keep = list(by)
     edges = checkpoint(links.select(*keep, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
-    before = None
+    before, n = None, edges.count()
     while True:
-        both = edges.union(edges.select(*keep, "v", "u"))
+        few = lambda df, n=n: df.coalesce(max(1, math.ceil(2 * n / ROUND_ROWS)))
+        both = few(edges.union(edges.select(*keep, "v", "u")))
         least = both.groupBy(*keep, "u").agg(F.min("v").alias("m")).select(*keep, "u", F.least("u", "m").alias("m"))
-        large = both.join(least, [*keep, "u"]).filter("v > u").select(*keep, F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        met = both.join(least, [*keep, "u"]).filter("v > u").select(*keep, F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        large = few(few(met).distinct())
         least = large.groupBy(*keep, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [*keep, "u"])
         pairs = small.select(*keep, "u", F.col("m").alias("v")).union(small.select(*keep, F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = checkpoint(pairs.filter("u != v").distinct())
+        edges = checkpoint(few(few(pairs.filter("u != v")).distinct()))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keep, "u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     members = edges.select(*keep, F.col("u").alias("id"), F.col("v").alias("label"))
     return members.union(edges.select(*keep, F.col("v").alias("id"), F.col("v").alias("label")).distinct())
