@@ -160,15 +160,15 @@ def edges_by_source(found: DataFrame, parts: int | None = None) -> DataFrame:
 def nodes_of(classes: DataFrame, targets: DataFrame, parts: int | None = None) -> DataFrame:
     """``nodes`` of classes and ``targets`` (project_id, dst, file_seq, ref_seq), which may be edges, or references of files that are all
     among the classes (``entering``): attributes of targets are those of the registry, so no source is looked up."""
-    name, order = (KEY, "project_id", "class_name"), ("file_seq", "ref_seq")
-    own = classes.filter(F.col("class_name").isNotNull() & ~E.is_blank(F.col("class_name"))).select("project_id", "class_name", "file_seq", "package_name", "component_type")
-    told = ("package_name", "component_type")
-    first = F.min(F.struct("file_seq", F.lit(-1).cast("long").alias("ref_seq"), *told)).alias("a")
-    known = keyed(own, parts, "class_name").groupBy(*name).agg(first, F.max_by(F.struct(*told), "file_seq").alias("last"))
-    met = _first(keyed(targets.select("project_id", F.col("dst").alias("class_name"), *order), parts, "class_name"), name, order)
-    both = met.select(*name, F.struct(*order).alias("m")).join(known, list(name), "full")
-    b = F.when(F.col("m").isNotNull(), F.struct("m.*", *(F.col(f"last.{c}").alias(c) for c in told)))
-    return both.select("project_id", "class_name", F.least("a", b).alias("n")).select("project_id", "class_name", "n.*")
+    own = classes.filter(F.col("class_name").isNotNull() & ~E.is_blank(F.col("class_name")))
+    told = F.struct("package_name", "component_type")
+    rows = own.select("project_id", "class_name", "file_seq", F.lit(-1).cast("long").alias("ref_seq"), told.alias("told"))
+    met = targets.select("project_id", F.col("dst").alias("class_name"), "file_seq", "ref_seq", F.lit(None).cast(rows.schema["told"].dataType).alias("told"))
+    # classes and targets of a name are sorted together, once: the first is the node, the last class is what the registry knows
+    name = Window.partitionBy(KEY, "project_id", "class_name").orderBy("file_seq", "ref_seq")
+    known = F.last("told", ignorenulls=True).over(name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = keyed(rows.union(met), parts, "class_name").select("*", F.row_number().over(name).alias("_n"), known.alias("_known")).filter("_n = 1")
+    return first.select("project_id", "class_name", "file_seq", "ref_seq", F.coalesce("told", "_known").alias("t")).select("project_id", "class_name", "file_seq", "ref_seq", "t.*")
 
 
 def entering(refs: DataFrame) -> DataFrame:

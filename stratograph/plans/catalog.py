@@ -97,8 +97,9 @@ def _edges_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes. All files that references stand in are classes (both come from the same sales), so their sources aren't looked up."""
-    sold = codebase.sales(spark, sf_dir)
+    """Nodes. All files that references stand in are classes (both come from the same sales), so their sources aren't looked up. As a node
+    keeps the first reference to it, of references that are alike but for their file only the first is written out."""
+    sold = codebase.first_sales(spark, sf_dir)
     classes, refs = codebase.classes(spark, sf_dir, sold), codebase.references(spark, sf_dir, sold, repeats=True)
     return graph.nodes_of(classes, graph.entering(refs), codebase.tasks(spark, sf_dir))
 

@@ -56,3 +56,21 @@ def test_names_of_types_with_spaces_and_control_characters(spark):
         assert [r["n"] for r in found.orderBy("i").collect()] == named
     plan = _plan(graph.named(df, "n"))
     assert plan.count("Generate") == 3
+
+
+def test_nodes_write_out_only_the_first_reference_of_a_type(spark):
+    """Of references that are alike but for their file; nodes of them are those of all, and nothing is sold twice on the way to them."""
+    few = codebase.references(spark, SMALL, codebase.first_sales(spark, SMALL), repeats=True)
+    every, classes = codebase.references(spark, SMALL), codebase.classes(spark, SMALL)
+    assert few.join(every, every.columns, "left_anti").isEmpty() and few.count() < every.count()
+    built = few.filter("ref_kind = 'CONSTRUCTOR'")
+    assert built.select("project_id", "raw_type").distinct().count() == built.count() < every.filter("ref_kind = 'CONSTRUCTOR'").count()
+    assert _rows(graph.nodes_of(classes, graph.entering(few))) == _rows(graph.nodes_of(classes, graph.entering(every)))
+    firsts = codebase.classes(spark, SMALL, codebase.first_sales(spark, SMALL))
+    assert _rows(firsts.select("project_id", "file_seq", "class_name")) == _rows(classes.select("project_id", "file_seq", "class_name"))
+
+
+def test_nodes_are_sorted_once(spark):
+    """Classes and what refers to them go to their name together."""
+    plan = _plan(catalog.QUERIES["set1_nodes"](spark, SMALL))
+    assert "SortAggregate" not in plan and "SortMergeJoin [_key" not in plan and plan.count("Window [") == 1
