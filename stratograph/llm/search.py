@@ -1,8 +1,8 @@
 """Exact BM25 top-k search with block-max WAND over inverted indexes, a shard at a time.
 
-A shard is a slice of one partition's documents. Its index is built in the task that reads it and answers a whole block of
-queries, so documents are not shuffled; only each shard's k best for a query are, to be merged. Scores use the statistics of
-all documents, so shards agree and the merge is exact.
+A shard is a slice of one partition's documents. Its index is built in the task that reads it and answers one block of
+queries after the other, so documents are not shuffled; only each shard's k best for a query are, to be merged. Scores use the
+statistics of all documents, so shards agree and the merge is exact.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ SHARD, BLOCK = 16_384, 64
 #: Terms in at least this share of a shard's documents have their weights in rows of a matrix, not in postings: the most
 #: frequent ones, as far as the matrix has no more cells than that (64 MB).
 DENSE, CELLS = 1 / 16, 1 << 23
-#: A block of queries is at most so many, with so many terms in all (some 60 MB), and goes to all executors.
+#: A block of queries is at most so many, with so many terms in all (some 50 MB), and goes to all executors.
 QUERIES, QUERY_TERMS = 8_192, 3_000_000
+#: Blocks that an index answers once it is built; half their size each, as a rule, so some 200 MB of a task.
+AT_ONCE = 8
 #: Queries that a shard scores at once on frequent terms.
 TOGETHER = 64
 
@@ -87,41 +89,60 @@ class Shard:
     def __init__(self, texts: list[str], mean_length: float) -> None:
         self.n = len(texts)
         doc, term, times, length = _counts(texts)
+        # documents of a language stand together, so that few blocks have high bounds for a query in another one
+        self.number = self._alike(doc, term, length)
+        place = np.empty(self.n, np.int64)
+        place[self.number] = np.arange(self.n)
         weight = times * (K1 + 1) / (times + K1 * (1 - B + B * length[doc] / mean_length))
-        order = np.argsort(term, kind="stable")
+        doc = place[doc]
+        order = np.lexsort((doc, term))
         self.terms, start = np.unique(term[order], return_index=True)
         self.start = np.append(start, len(term))
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
+        self.doc, self.weight = doc[order], weight[order]
         size = np.diff(self.start)
         self.dense = np.full(len(self.terms), -1, np.int64)
         often = np.flatnonzero(size >= max(8, DENSE * self.n))
         self.blocks = -(-self.n // BLOCK)
         often = often[np.argsort(-size[often], kind="stable")][: CELLS // max(1, self.blocks * BLOCK)]
         self.dense[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), self.blocks * BLOCK))
+        # by document for exact scores, by term and with half the digits for all documents at once
+        self.exact = np.zeros((self.blocks * BLOCK, len(often)))
         for row, t in enumerate(often):
             at = slice(self.start[t], self.start[t + 1])
-            self.matrix[row, self.doc[at]] = self.weight[at]
-        # of the other terms, a posting for each block with the largest weight in it
-        block = self.doc.astype(np.int64) // BLOCK
+            self.exact[self.doc[at], row] = self.weight[at]
+        self.matrix = np.ascontiguousarray(self.exact.T, np.float32)
+        #: How far, at most, a sum of products in single precision is off, as a share; all that is added is positive.
+        self.slack = 1e-6 + len(often) * 2.0**-23
+        # postings of a term in one block are a run, with the largest weight in it
+        block = self.doc // BLOCK
         of_term = np.repeat(np.arange(len(self.terms)), size)
         first = np.ones(len(block), bool)
         first[1:] = (block[1:] != block[:-1]) | (of_term[1:] != of_term[:-1])
         at = np.flatnonzero(first)
+        self.run = np.append(at, len(block))
         self.bound_block = block[at]
         self.bound = np.maximum.reduceat(self.weight, at) if len(at) else self.weight
         self.bound_start = np.searchsorted(at, self.start)
 
+    @staticmethod
+    def _alike(doc: np.ndarray, term: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """An order of documents: by which of the most frequent terms (of some documents) they have, then by length."""
+        some, times = np.unique(term[: np.searchsorted(doc, 1024)], return_counts=True)
+        has = np.zeros(len(length), np.int64)
+        for t in some[np.argsort(-times, kind="stable")[:12]]:
+            has *= 2
+            has[doc[term == t]] += 1
+        return np.lexsort((length, has))
+
     @staticmethod
     def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All positions of ranges, and which range each belongs to."""
+        """All positions of ranges, and the ranges' sizes."""
         n = stop - start
-        which = np.repeat(np.arange(len(n)), n)
-        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), which
+        return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n), n
 
-    def answers(self, queries: list[tuple[object, np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
-        """For each query (name, terms, factors) its name and what ``best`` gives. Frequent terms are scored for TOGETHER queries
-        at once, by a matrix product."""
+    def answers(self, queries: list[tuple[object, np.ndarray, np.ndarray]], k: int, floor: np.ndarray | None = None) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+        """For each query (name, terms, factors) its name and what ``best`` gives; ``floor`` has a score for each, as there. Frequent
+        terms are scored for TOGETHER queries at once, by a matrix product."""
         for a in range(0, len(queries), TOGETHER):
             part = queries[a : a + TOGETHER]
             factors, rare = np.zeros((len(part), len(self.matrix))), []
@@ -133,41 +154,52 @@ class Shard:
                 row = self.dense[at]
                 factors[i, row[row >= 0]] = factor[row >= 0]
                 rare.append((at[row < 0], factor[row < 0]))
-            dense = factors @ self.matrix
-            for (name, _, _), score, (at, factor) in zip(part, dense, rare):
-                yield name, *self.best(score, at, factor, k)
+            dense = factors.astype(np.float32) @ self.matrix
+            top = dense.reshape(len(part), self.blocks, BLOCK).max(2, initial=0)
+            for i, (name, _, _) in enumerate(part):
+                yield name, *self.best(dense[i], top[i], factors[i], *rare[i], k, 0.0 if floor is None else floor[a + i])
 
-    def best(self, dense: np.ndarray, rare: np.ndarray, factor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents with the k best scores, ties at the k-th included, and those scores; only scores above 0 count.
+    def best(self, dense: np.ndarray, top: np.ndarray, factors: np.ndarray, rare: np.ndarray, factor: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Documents with the k best scores, ties at the k-th included, and those scores; only scores above 0 count, and none below
+        ``floor``, which k documents elsewhere reach.
 
-        Every block has an upper bound: the largest score of frequent terms in it, and the sum of the other terms' largest
+        Every block has an upper bound: the largest score of frequent terms in it (``top``), and the sum of the other terms' largest
         weights in it. The blocks of the highest bounds are scored first; once there are k scores, only blocks whose bound
-        reaches the k-th (the pivot of block-max WAND) are scored, from the highest bound down.
+        reaches the k-th (the pivot of block-max WAND) are scored. What frequent terms give (``dense``) is off by ``slack`` at most, so
+        documents that may be among the best are scored again, exactly.
         """
-        place, which = self._spread(self.bound_start[rare], self.bound_start[rare + 1])
-        upper = dense.reshape(self.blocks, BLOCK).max(1) + np.bincount(self.bound_block[place], self.bound[place] * factor[which], self.blocks)
-        place, which = self._spread(self.start[rare], self.start[rare + 1])
-        doc = self.doc[place]
-        block = doc // BLOCK
-        order = np.argsort(-upper, kind="stable")
-        found_doc, found_score, threshold, done, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, max(4, -(-2 * k // BLOCK))
-        while done < len(order) and upper[order[done]] > 0 and upper[order[done]] >= threshold * (1 - 1e-9):
-            chosen = order[done : done + step]
-            chosen = chosen[upper[chosen] >= threshold * (1 - 1e-9)]
-            live = np.zeros(self.blocks, bool)
-            live[chosen] = True
-            mine = np.flatnonzero(live[block])
-            score = np.bincount(doc[mine], self.weight[place[mine]] * factor[which[mine]], len(dense))
+        place, n = self._spread(self.bound_start[rare], self.bound_start[rare + 1])
+        block, factor = self.bound_block[place], np.repeat(factor, n)
+        upper = (top + np.bincount(block, self.bound[place] * factor, self.blocks)) * (1 + self.slack)
+        threshold = floor * (1 - 1e-9) - 1e-9
+        doc, about, others, left = np.empty(0, np.int64), np.empty(0), np.empty(0), upper > 0
+        step = max(4, -(-2 * k // BLOCK))
+        while True:
+            live = left & (upper >= threshold)
+            if threshold <= 0 and step < self.blocks:  # no score is known yet
+                first = np.zeros(self.blocks, bool)
+                first[np.argpartition(-upper, step)[:step]] = True
+                live &= first
+            if not live.any():
+                break
+            left &= ~live
+            runs = live[block]
+            at, m = self._spread(self.run[place[runs]], self.run[place[runs] + 1])
+            score = np.bincount(self.doc[at], self.weight[at] * np.repeat(factor[runs], m), len(dense))
             own = np.flatnonzero(np.repeat(live, BLOCK)[: self.n])
-            found_doc, found_score = np.concatenate([found_doc, own]), np.concatenate([found_score, score[own] + dense[own]])
-            if len(found_score) > k:
-                threshold = max(threshold, np.partition(found_score, -k)[-k])
-                keep = found_score >= threshold * (1 - 1e-9)
-                found_doc, found_score = found_doc[keep], found_score[keep]
-            done += step
-            step *= 16
-        keep = found_score > 0
-        return found_doc[keep], found_score[keep]
+            doc, others = np.concatenate([doc, own]), np.concatenate([others, score[own]])
+            about = np.concatenate([about, score[own] + dense[own]])
+            if len(about) > k:
+                threshold = max(threshold, np.partition(about, -k)[-k] * (1 - self.slack))
+                keep = about >= threshold * (1 - self.slack)
+                doc, about, others = doc[keep], about[keep], others[keep]
+            if threshold <= 0:
+                step = self.blocks
+        keep = about > 0
+        doc, score = doc[keep], others[keep] + self.exact[doc[keep]] @ factors
+        kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        keep = score >= max(kth, floor) * (1 - 1e-9) - 1e-9
+        return self.number[doc[keep]], score[keep]
 
 
 def _order_of(keys: pa.Array) -> np.ndarray:
@@ -186,6 +218,15 @@ def _cut(doc: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> tuple
     return doc[best], score[best]
 
 
+def _asked(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Queries with their terms as arrays: names, where each one's terms begin and end, terms, factors."""
+    rows = rows.combine_chunks()
+    names, lists = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
+    start = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    terms, factors = (np.array(c, kind) for c, kind in zip(lists.flatten().flatten(), (np.int64, np.float64)))
+    return names, start, terms.view(np.uint64), factors
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k documents with the highest BM25 scores for each query: query, rank (from 1), the document's key, score.
 
@@ -210,26 +251,31 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     slim = docs.select(F.col(key), F.col(text))
     kind = slim.schema[0].dataType.simpleString()
     found: DataFrame | None = None
-    for block in range(n_blocks):
-        rows = blocked.filter(F.col("block") == block).select("query", "t.term", "t.factor").toArrow()
-        asked = [(q, np.array(t, np.int64).view(np.uint64), np.array(f)) for q, t, f in zip(*(rows.column(c).to_pylist() for c in range(3)))]
-        shared = spark.sparkContext.broadcast(asked)
+    for first in range(0, n_blocks, AT_ONCE):
+        blocks = [spark.sparkContext.broadcast(_asked(blocked.filter(F.col("block") == b).select("query", "t").toArrow())) for b in range(first, min(n_blocks, first + AT_ONCE))]
 
-        def answer(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def answer(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            # the best scores of each query in this task so far: what is below the least of them isn't among the best of all
+            held = [np.zeros((len(shared.value[0]), k)) for shared in blocks]
             for batch in batches:
                 for a in range(0, batch.num_rows, SHARD):
                     part = batch.slice(a, SHARD)
                     shard = Shard([t or "" for t in part.column(1).to_pylist()], mean_length)
                     place = _order_of(part.column(0))
-                    query, doc, score = [], [], []
-                    for q, d, s in shard.answers(shared.value, k):
-                        d, s = _cut(d, s, place, k)
-                        query += [q] * len(d)
-                        doc.append(d)
-                        score.append(s)
-                    if query:
-                        own = part.column(0).take(pa.array(np.concatenate(doc)))
-                        yield pa.RecordBatch.from_arrays([pa.array(query, own.type), own, pa.array(np.concatenate(score))], names=["query", "doc", "score"])
+                    for shared, best in zip(blocks, held):
+                        names, start, terms, factors = shared.value
+                        asked = [(i, terms[x:y], factors[x:y]) for i, (x, y) in enumerate(zip(start[:-1], start[1:]))]
+                        query, doc, score = [], [], []
+                        for i, d, s in shard.answers(asked, k, best.min(1, initial=np.inf)):
+                            d, s = _cut(d, s, place, k)
+                            if len(d):
+                                best[i] = np.partition(np.concatenate([best[i], s]), -k)[-k:]
+                                query.append(np.full(len(d), i))
+                                doc.append(d)
+                                score.append(s)
+                        if query:
+                            own = part.column(0).take(pa.array(np.concatenate(doc)))
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(query))), own, pa.array(np.concatenate(score))], names=["query", "doc", "score"])
 
         part = slim.mapInArrow(answer, f"query {kind}, doc {kind}, score double")
         best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc")))
