@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import fixed
+from . import graph
 
 
 def classify(classes: DataFrame) -> DataFrame:
@@ -63,6 +64,12 @@ def edge_verdicts(edges: DataFrame, rules: DataFrame | None = None) -> DataFrame
     return typed.join(_decided(edges, rules), ["src_type", "dst_type"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
+def denied(edges: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """All edges, with ``denied``: whether the first layer rule of their roles denies them, as ``violations`` has it."""
+    told = edges.join(_decided(edges, rules).drop("rule_seq"), ["src_type", "dst_type"], "left")
+    return told.withColumn("denied", ~F.coalesce("allowed", F.lit(True))).drop("allowed")
+
+
 def violations(edges: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """A message for each edge that its first rule denies; two kinds of dependency between two classes make two. Since pairs without a
     rule are allowed, an inner join with the denials is enough."""
@@ -73,7 +80,10 @@ def violations(edges: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 def architecture_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A row per project: layer counts, number of dependencies, number of violations."""
-    counts = edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("dependencies"))
-    denied = violations(edges).groupBy("project_id").agg(F.count(F.lit(1)).alias("violations"))
-    report = layer_counts(nodes).join(counts, "project_id", "left").join(denied, "project_id", "left")
-    return report.fillna(0, ["dependencies", "violations"])
+    return targets_report(nodes, graph.by_target(denied(edges), n=F.count(F.lit(1)), denied=F.count_if("denied")))
+
+
+def targets_report(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``architecture_report``, of edges counted by target: n, denied."""
+    counts = targets.groupBy("project_id").agg(F.sum("n").alias("dependencies"), F.sum("denied").alias("violations"))
+    return layer_counts(nodes).join(counts, "project_id", "left").fillna(0, ["dependencies", "violations"])

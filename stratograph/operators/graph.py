@@ -29,8 +29,8 @@ KEY = "_key"
 
 
 def keyed(df: DataFrame, parts: int | None, name: str) -> DataFrame:
-    """``df`` dealt into ``parts`` tasks (None: as many as the session says) by project and ``name``, with KEY."""
-    return dealt(df.withColumn(KEY, F.xxhash64("project_id", name)), parts, KEY, "project_id", name)
+    """``df`` dealt into ``parts`` tasks (None: as many as the session says) by project and ``name``, with KEY, which isn't moved."""
+    return dealt(df, parts, "project_id", name).withColumn(KEY, F.xxhash64("project_id", name))
 
 
 def _first(df: DataFrame, columns: Sequence[str], order: Sequence[str], few: bool = False) -> DataFrame:
@@ -45,14 +45,9 @@ def _first(df: DataFrame, columns: Sequence[str], order: Sequence[str], few: boo
 
 def registry(classes: DataFrame, parts: int | None = None) -> DataFrame:
     """project_id, class_name, package_name, component_type: of files with the same class name the last one."""
-    return _registry(classes, parts).drop(KEY)
-
-
-def _registry(classes: DataFrame, parts: int | None) -> DataFrame:
-    """``registry``, with KEY."""
     last = F.max_by(F.struct("package_name", "component_type"), "file_seq").alias("r")
     rows = keyed(classes.select("project_id", "class_name", "file_seq", "package_name", "component_type"), parts, "class_name")
-    return rows.groupBy(KEY, "project_id", "class_name").agg(last).select(KEY, "project_id", "class_name", "r.*")
+    return rows.groupBy(KEY, "project_id", "class_name").agg(last).select("project_id", "class_name", "r.*")
 
 
 #: What an extractor gives: the kind of its references and the column whose type texts they are, in the order of a file's references.
@@ -121,9 +116,10 @@ def resolved(classes: DataFrame, refs: DataFrame, parts: int | None = None, own:
     """References that enter the graph, with the attributes of their own file and of what they resolve to (null: external). They are
     dealt by project and target into ``parts`` tasks (None: as many as the session says), with KEY, so edges and nodes follow without
     a shuffle. Where references are dealt by file already, ``own`` are the classes dealt likewise."""
-    known = _registry(classes, parts).select(KEY, "project_id", F.col("class_name").alias("dst"), F.col("package_name").alias("dst_package"), F.col("component_type").alias("dst_type"))
+    known = registry(classes, parts).select("project_id", F.col("class_name").alias("dst"), F.col("package_name").alias("dst_package"), F.col("component_type").alias("dst_type"))
     found = sourced(classes, refs, parts) if own is None else sourced(own, refs, parts, placed=True)
-    return keyed(found, parts, "dst").join(known.hint("shuffle_hash"), [KEY, "project_id", "dst"], "left")
+    joined = dealt(found, parts, "project_id", "dst").join(known.hint("shuffle_hash"), ["project_id", "dst"], "left")
+    return joined.withColumn(KEY, F.xxhash64("project_id", "dst"))
 
 
 def type_errors(refs: DataFrame) -> DataFrame:
@@ -171,6 +167,25 @@ def nodes_of(classes: DataFrame, targets: DataFrame, parts: int | None = None) -
     return first.select("project_id", "class_name", "file_seq", "ref_seq", F.coalesce("told", "_known").alias("t")).select("project_id", "class_name", "file_seq", "ref_seq", "t.*")
 
 
+def by_target(graph_edges: DataFrame, **told: Column) -> DataFrame:
+    """A row for each target of edges: project_id, dst, file_seq (the first that refers to it) and aggregates of its edges. Where edges are
+    dealt by project and target, as ``edges`` are, they don't move."""
+    return graph_edges.groupBy("project_id", "dst").agg(F.min("file_seq").alias("file_seq"), *(c.alias(name) for name, c in told.items()))
+
+
+def node_roles(classes: DataFrame, targets: DataFrame, parts: int | None = None) -> DataFrame:
+    """What ``nodes_of`` knows of each node but its place, of ``by_target`` rows: a class comes before the references of its own file, so the
+    first file tells whether a class or a reference was there first."""
+    return nodes_of(classes, targets.withColumn("ref_seq", F.lit(0).cast("long")), parts).drop("file_seq", "ref_seq")
+
+
+def sizes(classes: DataFrame, targets: DataFrame, parts: int | None = None) -> DataFrame:
+    """project_id, n_nodes, n_edges of ``by_target`` rows with n, the number of edges. Nodes are told by their names alone."""
+    own = classes.filter(F.col("class_name").isNotNull() & ~E.is_blank(F.col("class_name"))).select("project_id", "class_name", F.lit(0).cast("long").alias("n"))
+    each = dealt(own.union(targets.select("project_id", "dst", "n")), parts, "project_id", "class_name").groupBy("project_id", "class_name").agg(F.sum("n").alias("n"))
+    return each.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n").alias("n_edges"))
+
+
 def entering(refs: DataFrame) -> DataFrame:
     """References that enter the graph, by their files and targets: project_id, dst, file_seq, ref_seq."""
     rows = refs.filter(F.col("file_seq").isNotNull() & F.col("project_id").isNotNull()).select("project_id", "file_seq", "ref_seq", "raw_type")

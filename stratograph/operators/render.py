@@ -57,11 +57,15 @@ def plantuml(edges: DataFrame) -> DataFrame:
 
 def graph_text(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Counts and edges of the graph in order, of ``parts`` ranges of lines (None: as many as the session says)."""
-    count = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    count = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return sized_text(count.join(edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_edges")), "project_id", "left").fillna(0, ["n_edges"]), edges, parts)
+
+
+def sized_text(sizes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """``graph_text`` of projects whose ``sizes`` (project_id, n_nodes, n_edges) are known."""
     line = E.edge_line(F.col("src"), F.col("dependency_type"), F.col("dst"))
-    told = count.join(edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("e")), "project_id", "left")
-    head = F.format_string("Dependency Graph\nNodes : %d\nEdges : %d", F.col("n"), F.coalesce("e", F.lit(0)))
-    around = told.select("project_id", head.alias("head"), F.when(F.col("e").isNull(), F.lit("No dependencies found.")).alias("tail"))
+    head = F.format_string("Dependency Graph\nNodes : %d\nEdges : %d", "n_nodes", "n_edges")
+    around = sizes.select("project_id", head.alias("head"), F.when(F.col("n_edges") == 0, F.lit("No dependencies found.")).alias("tail"))
     return whole_texts(edges.select("project_id", "file_seq", "ref_seq", line.alias("line")), around, parts)
 
 

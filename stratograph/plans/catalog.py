@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,30 +71,53 @@ base AS (SELECT project_id, coalesce(array_to_string(list_transform(list_filter(
 _SPARSE = f"WITH RECURSIVE classes AS ({codebase.duckdb_sql(codebase.SPARSE_CLASSES)}), refs AS ({codebase.duckdb_sql(codebase.SPARSE_REFERENCES)}), {_MODULES}"
 
 
-def _shop(spark: SparkSession, sf_dir: str, repeats: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Classes and resolved references of the derived shop. Both are used more than once, so what they start from is written. With
-    ``repeats`` references may come more than once, for edges, of which the first is kept anyway."""
-    sold, parts = codebase.sales(spark, sf_dir), codebase.tasks(spark, sf_dir)
-    classes = written(codebase.classes(spark, sf_dir, sold).select("project_id", "file_seq", "class_name", "package_name", "component_type"))
-    return classes, graph.resolved(classes, codebase.references(spark, sf_dir, sold, placed=True, repeats=repeats), parts, dealt(classes, parts, *graph.PLACE))
+Build = Callable[[DataFrame], DataFrame]
 
 
-def _nodes_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both, for queries that need both: edges are written once, without packages of sources, and nodes follow from them."""
-    classes, found = _shop(spark, sf_dir, repeats=True)
-    edges = written(graph.edges(found).drop("src_package"))
-    return graph.nodes_of(classes, edges, codebase.tasks(spark, sf_dir)), edges
+def _slices(spark: SparkSession, sf_dir: str) -> Iterator[tuple[int, bool, Callable[..., DataFrame], Callable[..., DataFrame]]]:
+    """Of each slice of the projects: tasks, whether it is the only one, and what gives its classes and its references."""
+    sold = None
+    for part in codebase.slices(spark, sf_dir):
+        sold = sold or codebase.sales(spark, sf_dir, part)
+        of = {"sold": sold, "part": part}
+        classes = lambda of=of, **how: codebase.classes(spark, sf_dir, **of, **how)
+        refs = lambda of=of, **how: codebase.references(spark, sf_dir, placed=True, **of, **how)
+        yield codebase.tasks(spark, sf_dir, part.of), part.of == 1, classes, refs
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(_shop(spark, sf_dir, repeats=True)[1])
+def _shops(spark: SparkSession, sf_dir: str, repeats: bool = False) -> Iterator[tuple[int, bool, DataFrame, DataFrame]]:
+    """Tasks, whether it is the only one, classes and resolved references of each slice of the derived shop. Both are used more than once,
+    so what they start from is written. With ``repeats`` references may come more than once, for edges, of which the first is kept
+    anyway."""
+    for parts, alone, classes, refs in _slices(spark, sf_dir):
+        own = written(classes().select("project_id", "file_seq", "class_name", "package_name", "component_type"))
+        yield parts, alone, own, graph.resolved(own, refs(repeats=repeats), parts, dealt(own, parts, *graph.PLACE))
 
 
-def _edges_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Classes and resolved references of a shop of one slice."""
+    ((_, _, classes, found),) = _shops(spark, sf_dir)
+    return classes, found
+
+
+def _together(slices: Iterator[tuple[bool, DataFrame]]) -> DataFrame:
+    """Rows of all slices: those of one are written before the next is begun, a lone one's are not."""
+    return reduce(DataFrame.union, (df if alone else written(df) for alone, df in slices))
+
+
+def _resolved(spark: SparkSession, sf_dir: str, then: Build) -> DataFrame:
+    """What ``then`` makes of resolved references. Here and below it is given whole projects, but not all of them at once."""
+    return _together((alone, then(found)) for _, alone, _, found in _shops(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str, then: Build = lambda edges: edges) -> DataFrame:
+    return _together((alone, then(graph.edges(found))) for _, alone, _, found in _shops(spark, sf_dir, repeats=True))
+
+
+def _edges_by_source(spark: SparkSession, sf_dir: str, then: Build) -> DataFrame:
     """Edges for queries that read nothing of targets but their names: classes are read once and no target is looked up."""
-    sold, parts = codebase.sales(spark, sf_dir), codebase.tasks(spark, sf_dir)
-    classes, refs = codebase.classes(spark, sf_dir, sold, placed=True), codebase.references(spark, sf_dir, sold, placed=True, repeats=True)
-    return graph.edges_by_source(graph.sourced(classes, refs, parts, placed=True), parts)
+    found = lambda parts, classes, refs: graph.edges_by_source(graph.sourced(classes(placed=True), refs(repeats=True), parts, placed=True), parts)
+    return _together((alone, then(found(parts, classes, refs))) for parts, alone, classes, refs in _slices(spark, sf_dir))
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +204,7 @@ def flt4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt5_self_loops", _SHOP + "SELECT project_id, file_seq, src FROM resolved WHERE src = dst")
 def flt5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shop(spark, sf_dir)[1].filter(F.col("src").eqNullSafe(F.col("dst"))).select("project_id", "file_seq", "src")
+    return _resolved(spark, sf_dir, lambda found: found.filter(F.col("src").eqNullSafe(F.col("dst"))).select("project_id", "file_seq", "src"))
 
 
 @query("q6_type_errors", _SHOP + "SELECT project_id, 'JavaParsing' AS kind, 400 AS http_status, 'cannot normalize type ' || raw_type AS message FROM normalized WHERE n IS NULL")
@@ -198,7 +222,7 @@ def agg8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lkp1_resolve", _SHOP + "SELECT project_id, file_seq, ref_seq, ref_kind, src, dst, dst_package, dst_type FROM resolved")
 def lkp1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shop(spark, sf_dir)[1].select("project_id", "file_seq", "ref_seq", "ref_kind", "src", "dst", "dst_package", "dst_type")
+    return _resolved(spark, sf_dir, lambda found: found.select("project_id", "file_seq", "ref_seq", "ref_kind", "src", "dst", "dst_package", "dst_type"))
 
 
 @query("lkp2_internal_refs", _SHOP + "SELECT project_id, file_seq, ref_seq, n AS name FROM normalized x WHERE EXISTS (SELECT 1 FROM registry g WHERE g.project_id = x.project_id AND g.class_name = x.n)")
@@ -215,7 +239,7 @@ def set1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("set2_edges", _SHOP + "SELECT project_id, src, dst, dependency_type, file_seq, ref_seq, src_type, dst_type FROM edges")
 def set2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).select("project_id", "src", "dst", "dependency_type", "file_seq", "ref_seq", "src_type", "dst_type")
+    return _edges(spark, sf_dir, lambda edges: edges.select("project_id", "src", "dst", "dependency_type", "file_seq", "ref_seq", "src_type", "dst_type"))
 
 
 @query("set3_module_members", _SPARSE + "SELECT DISTINCT project_id, module_name, class_name FROM members")
@@ -230,29 +254,29 @@ def gb2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q1_no_class_edges", _SHOP + "SELECT project_id, dst, dependency_type FROM edges WHERE src IS NULL")
 def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).filter("src IS NULL").select("project_id", "dst", "dependency_type")
+    return _edges(spark, sf_dir, lambda edges: edges.filter("src IS NULL").select("project_id", "dst", "dependency_type"))
 
 
 @query("jadj_adjacency", _SHOP + "SELECT project_id, src, string_agg(dst, ',' ORDER BY file_seq, ref_seq) AS targets FROM edges WHERE src IS NOT NULL GROUP BY ALL")
 def jadj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.adjacency(_edges_by_source(spark, sf_dir).filter("src IS NOT NULL")).select("project_id", "src", F.array_join("targets", ",").alias("targets"))
+    return _edges_by_source(spark, sf_dir, lambda edges: graph.adjacency(edges.filter("src IS NOT NULL")).select("project_id", "src", F.array_join("targets", ",").alias("targets")))
 
 
 @query("agg5_graph_size", _SHOP + "SELECT project_id, count(*) AS n_nodes, (SELECT count(*) FROM edges e WHERE e.project_id = n.project_id) AS n_edges FROM nodes n GROUP BY project_id")
 def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _nodes_and_edges(spark, sf_dir)
-    n = nodes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return n.join(edges.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_edges")), "project_id", "left").fillna(0)
+    """Edges are counted by target where they are, and only targets meet the classes."""
+    size = lambda parts, classes, found: graph.sizes(classes, graph.by_target(graph.edges(found), n=F.count(F.lit(1))), parts)
+    return _together((alone, size(parts, classes, found)) for parts, alone, classes, found in _shops(spark, sf_dir, repeats=True))
 
 
 @query("dead3_outgoing", _SHOP + "SELECT project_id, src, dst, dependency_type FROM edges WHERE src = 'Customer1Controller'")
 def dead3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.outgoing(_edges(spark, sf_dir), "Customer1Controller").select("project_id", "src", "dst", "dependency_type")
+    return _edges(spark, sf_dir, lambda edges: graph.outgoing(edges, "Customer1Controller").select("project_id", "src", "dst", "dependency_type"))
 
 
 @query("dead4_incoming", _SHOP + "SELECT project_id, src, dst, dependency_type FROM edges WHERE dst = 'Nation3Dto'")
 def dead4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.incoming(_edges(spark, sf_dir), "Nation3Dto").select("project_id", "src", "dst", "dependency_type")
+    return _edges(spark, sf_dir, lambda edges: graph.incoming(edges, "Nation3Dto").select("project_id", "src", "dst", "dependency_type"))
 
 
 @query("dead5_find_node", _SHOP + "SELECT project_id, class_name, package_name, component_type FROM nodes WHERE class_name = 'Supplier5Entity'")
@@ -262,7 +286,7 @@ def dead5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str3_edge_lines", _SHOP + "SELECT project_id, file_seq, ref_seq, coalesce(src, 'null') || ' --(' || dependency_type || ')--> ' || dst AS line FROM edges")
 def str3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges_by_source(spark, sf_dir).select("project_id", "file_seq", "ref_seq", E.edge_line(F.col("src"), F.col("dependency_type"), F.col("dst")).alias("line"))
+    return _edges_by_source(spark, sf_dir, lambda edges: edges.select("project_id", "file_seq", "ref_seq", E.edge_line(F.col("src"), F.col("dependency_type"), F.col("dst")).alias("line")))
 
 
 @query("str4_node_lines", _SHOP + "SELECT project_id, class_name || ' (' || coalesce(component_type, 'null') || ')' AS line FROM nodes")
@@ -275,7 +299,12 @@ _LINES = "string_agg(coalesce(src, 'null') || ' --(' || dependency_type || ')-->
 
 @query("str5_graph_text", _SHOP + f"SELECT n.project_id, 'Dependency Graph' || chr(10) || 'Nodes : ' || n.c || chr(10) || 'Edges : ' || e.c || chr(10) || e.l AS report FROM (SELECT project_id, count(*) c FROM nodes GROUP BY 1) n JOIN (SELECT project_id, count(*) c, {_LINES} l FROM edges GROUP BY 1) e ON n.project_id = e.project_id")
 def str5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.graph_text(*_nodes_and_edges(spark, sf_dir), codebase.tasks(spark, sf_dir))
+    """What lines are made of is written, once; texts are put together of all slices."""
+    every, sizes = [], []
+    for parts, _, classes, found in _shops(spark, sf_dir, repeats=True):
+        every.append(written(graph.edges(found).select("project_id", "src", "dst", "dependency_type", "file_seq", "ref_seq")))
+        sizes.append(written(graph.sizes(classes, graph.by_target(every[-1], n=F.count(F.lit(1))), parts)))
+    return render.sized_text(reduce(DataFrame.union, sizes), reduce(DataFrame.union, every), codebase.tasks(spark, sf_dir))
 
 
 @query("dead1_plantuml", _SPARSE + "SELECT project_id, '@startuml' || chr(10) || chr(10) || string_agg(src || ' --> ' || dst, chr(10) ORDER BY file_seq, ref_seq) || chr(10) || chr(10) || '@enduml' AS plantuml FROM edges GROUP BY 1")
@@ -288,7 +317,7 @@ def dead1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jrl_edge_verdicts", _SHOP + f"SELECT project_id, file_seq, ref_seq, coalesce(r.allowed, true) AS allowed FROM edges LEFT JOIN {_RULES} ON src_type = r.source AND dst_type = r.target WHERE src_type IS NOT NULL AND dst_type IS NOT NULL")
 def jrl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.edge_verdicts(_edges(spark, sf_dir)).select("project_id", "file_seq", "ref_seq", "allowed")
+    return _edges(spark, sf_dir, lambda edges: analysis.edge_verdicts(edges).select("project_id", "file_seq", "ref_seq", "allowed"))
 
 
 _VIOLATIONS = f"SELECT project_id, file_seq, ref_seq, src_type || ' ''' || coalesce(src, 'null') || ''' must not depend on ' || dst_type || ' ''' || dst || '''' AS message FROM edges JOIN {_RULES} ON src_type = r.source AND dst_type = r.target WHERE NOT r.allowed"
@@ -296,12 +325,13 @@ _VIOLATIONS = f"SELECT project_id, file_seq, ref_seq, src_type || ' ''' || coale
 
 @query("arc2_violations", _SHOP + _VIOLATIONS)
 def arc2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.violations(_edges(spark, sf_dir)).select("project_id", "file_seq", "ref_seq", "message")
+    return _edges(spark, sf_dir, lambda edges: analysis.violations(edges).select("project_id", "file_seq", "ref_seq", "message"))
 
 
 @query("arc3_rules", _SHOP + f"SELECT r.rule_seq, r.source, r.target, r.allowed, count(e.dst) AS edges FROM {_RULES} LEFT JOIN edges e ON e.src_type = r.source AND e.dst_type = r.target GROUP BY ALL")
 def arc3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _edges(spark, sf_dir).groupBy(F.col("src_type").alias("source"), F.col("dst_type").alias("target")).agg(F.count(F.lit(1)).alias("edges"))
+    counted = lambda edges: edges.groupBy(F.col("src_type").alias("source"), F.col("dst_type").alias("target")).agg(F.count(F.lit(1)).alias("edges"))
+    counts = _edges(spark, sf_dir, counted).groupBy("source", "target").agg(F.sum("edges").alias("edges"))
     return analysis.layer_rules(spark).join(counts, ["source", "target"], "left").fillna(0, ["edges"]).select("rule_seq", "source", "target", "allowed", "edges")
 
 
@@ -315,8 +345,8 @@ _OWN_TABLE = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}', {str(ok).lower()})" fo
   LEFT JOIN {_OWN_TABLE} ON r.source IN (e.src_type, '*') AND r.target IN (e.dst_type, '*') WHERE src_type IS NOT NULL AND dst_type IS NOT NULL) WHERE k = 1""")
 def jrl2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An own table of rules: of those that fit an edge the first decides, once."""
-    verdicts = analysis.edge_verdicts(_edges(spark, sf_dir), analysis.layer_rules(spark, _OWN_RULES))
-    return verdicts.select("project_id", "file_seq", "ref_seq", F.col("rule_seq").cast("int").alias("rule_seq"), "allowed")
+    rules = analysis.layer_rules(spark, _OWN_RULES)
+    return _edges(spark, sf_dir, lambda edges: analysis.edge_verdicts(edges, rules).select("project_id", "file_seq", "ref_seq", F.col("rule_seq").cast("int").alias("rule_seq"), "allowed"))
 
 
 @query("agg1_component_summary", _SHOP + f"SELECT project_id, component_type, count(*) AS n, {_ORDINAL} AS ordinal FROM classes GROUP BY ALL")
@@ -334,7 +364,10 @@ def agg2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("arc1_architecture", _SHOP + f"SELECT n.*, e.dependencies, coalesce(v.violations, 0) AS violations FROM (SELECT project_id, {_LAYERS} FROM nodes GROUP BY project_id) n JOIN (SELECT project_id, count(*) AS dependencies FROM edges GROUP BY 1) e ON e.project_id = n.project_id LEFT JOIN (SELECT project_id, count(*) AS violations FROM ({_VIOLATIONS}) GROUP BY 1) v ON v.project_id = n.project_id")
 def arc1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.architecture_report(*_nodes_and_edges(spark, sf_dir))
+    """Edges are counted by target where they are, and only the counts are written."""
+    counted = lambda found: written(graph.by_target(analysis.denied(graph.edges(found)), n=F.count(F.lit(1)), denied=F.count_if("denied")))
+    report = lambda parts, classes, targets: analysis.targets_report(graph.node_roles(classes, targets, parts), targets)
+    return _together((alone, report(parts, classes, counted(found))) for parts, alone, classes, found in _shops(spark, sf_dir, repeats=True))
 
 
 @query("snk2_summary_text", _SHOP + f"SELECT project_id, string_agg(rpad(component_type, 20, ' ') || ' : ' || n, chr(10) ORDER BY ordinal) AS report FROM (SELECT project_id, component_type, count(*) AS n, {_ORDINAL} AS ordinal FROM classes GROUP BY ALL) GROUP BY 1")
@@ -351,8 +384,15 @@ _DENIED = _COUNTS + " || chr(10) || chr(10) || 'Architecture Violations' || chr(
   JOIN (SELECT project_id, count(*) AS dependencies FROM edges GROUP BY 1) e ON e.project_id = n.project_id
   LEFT JOIN (SELECT project_id, string_agg(message, chr(10) ORDER BY file_seq, ref_seq) AS l FROM ({_VIOLATIONS}) GROUP BY 1) v ON v.project_id = n.project_id""")
 def snk2_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _nodes_and_edges(spark, sf_dir)
-    return render.architecture_text(analysis.architecture_report(nodes, edges), analysis.violations(edges), codebase.tasks(spark, sf_dir))
+    """Of edges their places, targets and, if they are denied, messages are written, once; texts are put together of all slices."""
+    reports, lines = [], []
+    message = F.when(F.col("denied"), E.violation_message(*(F.col(c) for c in ("src_type", "src", "dst_type", "dst")))).alias("message")
+    for parts, _, classes, found in _shops(spark, sf_dir, repeats=True):
+        told = written(analysis.denied(graph.edges(found)).select("project_id", "dst", "file_seq", "ref_seq", message))
+        targets = written(graph.by_target(told, n=F.count(F.lit(1)), denied=F.count("message")))
+        reports.append(written(analysis.targets_report(graph.node_roles(classes, targets, parts), targets)))
+        lines.append(told.filter("message IS NOT NULL"))
+    return render.architecture_text(reduce(DataFrame.union, reports), reduce(DataFrame.union, lines), codebase.tasks(spark, sf_dir))
 
 
 # ---- traversal, modules, mappings
@@ -728,7 +768,7 @@ def ext2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ext3_dependency_weights", _SHOP + "SELECT project_id, src, dst, string_agg(DISTINCT ref_kind, ',' ORDER BY ref_kind) AS kinds, count(*) AS refs, CAST(sum(CASE ref_kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in graph.WEIGHTS.items()) + " ELSE 1 END) AS BIGINT) AS weight FROM resolved WHERE src IS DISTINCT FROM dst GROUP BY 1, 2, 3")
 def ext3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dependency_weights(_shop(spark, sf_dir)[1]).withColumn("kinds", F.array_join("kinds", ","))
+    return _resolved(spark, sf_dir, lambda found: graph.dependency_weights(found).withColumn("kinds", F.array_join("kinds", ",")))
 
 
 @query("map3_archives_to_mappings", f"""WITH RECURSIVE classes AS (SELECT project_id, file_seq, 'Supplier' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN 'Controller' ELSE '' END AS class_name,
