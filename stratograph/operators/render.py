@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,46 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each project, which come one after the other and in order, as one; a project whose first piece isn't a head is left
+    out. A text is held once, in a buffer that it is also sent from."""
+    project, text, headed = batches, bytearray(), False  # no project's name
+
+    def row() -> pa.RecordBatch:
+        report = pa.Array.from_buffers(pa.string(), 1, [None, pa.array([0, len(text)], pa.int32()).buffers()[1], pa.py_buffer(text)])
+        return pa.RecordBatch.from_arrays([pa.array([project], pa.string()), report], names=["project_id", "report"])
+
+    for batch in batches:
+        column = batch["text"]
+        for i, (name, part) in enumerate(zip(batch["project_id"].to_pylist(), batch["part"].to_pylist())):
+            if name != project:
+                if headed:
+                    yield row()
+                project, text, headed = name, bytearray(), part == 0
+            elif headed:
+                text += b"\n"
+            if headed:
+                text += column[i].as_buffer()
+        del batch, column
+    if headed:
+        yield row()
+
+
+def _two_cores(df: DataFrame) -> ResourceProfile | None:
+    """That a task counts as two, where executors are known to have two cores for it: half as many texts are then held at once."""
+    sc = df.sparkSession.sparkContext
+    cores = re.match(r"local-cluster\[\s*\d+\s*,\s*(\d+)", sc.master)
+    cores = int(cores[1] if cores else sc.getConf().get("spark.executor.cores", "0"))
+    if cores < 2 or sc.master.startswith("local["):
+        return None
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+
+
 def whole_texts(lines: DataFrame, around: DataFrame, parts: int | None = None) -> DataFrame:
     """project_id, report: for each row of ``around`` (project_id, head, and tail or null), head, ``lines`` (project_id, file_seq, ref_seq,
     line) in order, tail. Lines are dealt by ranges and joined by the batch, so only a project's joined pieces meet in a task, never
-    its lines. A project's text is one value and must fit there, some three times."""
+    its lines. They are sorted there and put together as they pass, by tasks that take two cores: what is held of
+    a row that large, here and by its writer, adds up in an executor."""
     order = ("project_id", "file_seq", "ref_seq")
     ranges = lines.filter("project_id IS NOT NULL").select("project_id", F.lit(1).alias("part"), F.col("file_seq").cast("long"), F.col("ref_seq").cast("long"), "line")
     ranges = ranges.repartitionByRange(parts, *order) if parts else ranges.repartitionByRange(*order)
@@ -42,11 +80,8 @@ def whole_texts(lines: DataFrame, around: DataFrame, parts: int | None = None) -
     ends = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("head").alias("text")), F.struct(F.lit(2).alias("part"), F.col("tail").alias("text"))))
     none = F.lit(None).cast("long")
     outer = around.select("project_id", ends.alias("x")).select("project_id", "x.part", none.alias("file_seq"), none.alias("ref_seq"), none.alias("chunk"), "x.text")
-    pieces = F.sort_array(F.collect_list(F.struct("part", "file_seq", "ref_seq", "chunk", "text")))
-    text = F.concat_ws("\n", F.transform(pieces, lambda r: r["text"]))
-    every = chunks.union(outer.filter("text IS NOT NULL"))
-    return every.repartition(8 * tasks_for(lines, 0), "project_id").groupBy("project_id").agg(text.alias("report"), F.min("part").alias("first")).filter("first = 0").drop("first")
-
+    every = chunks.union(outer.filter("text IS NOT NULL")).repartition(8 * tasks_for(lines, 0), "project_id")
+    return every.sortWithinPartitions("project_id", "part", "file_seq", "ref_seq", "chunk").select("project_id", "part", "text").mapInArrow(_put_together, "project_id string, report string", profile=_two_cores(lines))
 
 
 def plantuml(edges: DataFrame) -> DataFrame:
